@@ -115,7 +115,7 @@ def linspace(lo: float, hi: float, n: int) -> list[float]:
 
 
 def half_even(c: Column | str, digits: int) -> Column:
-    """Round half to even, as Python and numpy do."""
+    """Round half to even, judged on the shortest decimal that names the value."""
     return F.bround(_col(c), digits)
 
 

@@ -59,9 +59,11 @@ def review_caption(csv_row: Column | str = "csv_row", label: str = "label", pred
     a, b = class_name(label, names), class_name(pred, names)
     verdict = F.when(F.col(label) == F.col(pred), F.concat(F.lit("✓ "), a)).otherwise(
         F.concat(F.lit("✗ "), a, F.lit("→"), b))
-    shown = F.coalesce(F.format_string("%.2f", F.col(margin)), F.lit("nan"))
-    score = F.when(F.col(quality).isNotNull() & ~F.isnan(quality),
-                   F.concat(F.lit(" Q="), F.format_string("%.2f", F.col(quality)))).otherwise("")
+    def two_digits(c):
+        return F.when(F.col(c).isNotNull() & ~F.isnan(c), F.format_string("%.2f", F.bround(c, 2)))
+
+    score = F.coalesce(F.concat(F.lit(" Q="), two_digits(quality)), F.lit(""))
+    shown = F.coalesce(two_digits(margin), F.lit("nan"))
     return F.concat(F.lit(f"[{word} "), csv_row.cast("string"), F.lit("] "), verdict,
                     F.lit("\nM="), shown, score)
 
