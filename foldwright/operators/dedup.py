@@ -9,9 +9,7 @@ bounded by the number of words around it, whatever the data.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +54,11 @@ def assign_group_ids(df: DataFrame, fingerprint: str = "hash", key: str = "key")
     return rows.where(F.col("group_id").isNotNull()).unionByName(single)
 
 
-def masks(radius: int) -> np.ndarray:
-    """All 64-bit words with at most `radius` bits set."""
-    words = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)]
-    return np.array(words, dtype=np.uint64).view(np.int64)
+# All 64-bit words with at most 0, 1 or 2 bits set; Spark folds each into one array constant.
+_ONE_BIT = "transform(sequence(0, 63), i -> shiftleft(1L, i))"
+_TWO_BITS = ("flatten(transform(sequence(1, 63), i -> transform(sequence(0, i - 1), "
+             "j -> shiftleft(1L, i) | shiftleft(1L, j))))")
+_MASKS = ["array(0L)", f"concat(array(0L), {_ONE_BIT})", f"concat(array(0L), {_ONE_BIT}, {_TWO_BITS})"]
 
 
 def _around(points: DataFrame, radius: int) -> DataFrame:
@@ -69,7 +68,7 @@ def _around(points: DataFrame, radius: int) -> DataFrame:
     """
     out = points.withColumn("w", F.col("h"))
     for r in ([radius] if radius <= 2 else [2, radius - 2]):
-        flip = F.explode(F.lit(masks(r)))
+        flip = F.explode(F.expr(_MASKS[r]))
         out = out.withColumn("f", flip).withColumn("w", F.col("w").bitwiseXOR(F.col("f"))).drop("f")
     return out
 

@@ -9,9 +9,11 @@ Tables carry key, fold, label, vec.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
 )
@@ -139,19 +141,21 @@ def assemble_oof(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def cross_val_oof(df: DataFrame, head: str | Head, n_classes: int, seed: int = 42, balanced: bool = False,
-                  check: bool = True) -> DataFrame:
+                  check: bool = True, parallelism: int = 4) -> DataFrame:
     """(key, fold, label, probs): each fold predicted by a model that never saw it."""
     if head == "knn":
         oof = knn.knn_oof(df, n_classes, NEIGHBOURS)
     else:
         h = get_head(head)
         folds = [r["fold"] for r in df.select("fold").distinct().orderBy("fold").collect()]  # a handful
-        parts = []
-        for f in folds:
+
+        def one(f):
             model = h.fit(df.where(F.col("fold") != f), n_classes, seed, balanced)
-            parts.append(h.predict(model, df.where(F.col("fold") == f), n_classes)
-                         .select("key", "fold", "label", "probs"))
-        oof = assemble_oof(parts)
+            return h.predict(model, df.where(F.col("fold") == f), n_classes).select("key", "fold", "label", "probs")
+
+        # Each fit is a chain of short jobs; independent folds overlap, as in MLlib's own cross-validation.
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            oof = assemble_oof(list(pool.map(inheritable_thread_target(df.sparkSession)(one), folds)))
     if check:
         assert_ok(validate_probs(oof, n_classes, expected=df))
     return oof

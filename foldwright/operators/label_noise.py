@@ -90,7 +90,7 @@ def _cuts(df: DataFrame, k: int, quota: dict[tuple[int, int], int], sizes: list[
     if not wanted:
         return {}
     rows = df.select(F.inline(F.array(*cells))).where(F.col("g").isin(list(wanted)))
-    at = order_statistics(rows, "v", wanted, by=F.col("g"))
+    at = order_statistics(rows, "v", wanted, by=F.col("g"), around=(-1.0, 1.0))
     return {divmod(g, k): v for (g, _), v in at.items()}
 
 

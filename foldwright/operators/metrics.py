@@ -35,10 +35,10 @@ def confusion_counts(df: DataFrame, group: Sequence[str] = (), label: str = "lab
 def wide_confusion(df: DataFrame, k: int, group: Sequence[str] = (), label: str = "label",
                    pred: str = "pred", n: Column | None = None) -> DataFrame:
     """One row per group with K*K count columns c_<label>_<pred>, zeros included."""
-    one = F.lit(1) if n is None else n
+    if n is None:  # count cells first: one counter per row instead of K x K conditions
+        df, label, pred, n = confusion_counts(df, group, label, pred), "label", "pred", F.col("n")
     return df.groupBy(*group).agg(*[
-        F.coalesce(F.sum(F.when((F.col(label) == i) & (F.col(pred) == j), one)), F.lit(0))
-        .alias(f"c_{i}_{j}")
+        F.coalesce(F.sum(F.when((F.col(label) == i) & (F.col(pred) == j), n)), F.lit(0)).alias(f"c_{i}_{j}")
         for i in range(k) for j in range(k)
     ])
 

@@ -14,81 +14,88 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BUCKETS = 2048
+_BUCKETS = 4096
 
 
 def order_statistics(df: DataFrame, value: Column | str, ranks: Mapping[Hashable, Iterable[int]],
-                     by: Column | None = None) -> dict[tuple[Hashable, int], float]:
-    """The value at each 0-based rank (ascending) of each group.
+                     by: Column | None = None, around: tuple[float, float] = (0.0, 1.0)) -> dict:
+    """The value at each 0-based rank (ascending) of each group, as {(group, rank): value}.
 
     `by` is a column with few distinct values (classes, pairs); `ranks` maps a group to the
     ranks wanted. Without `by` use the group 0. Ranks must be below the group's row count.
+    `around` is where most values are expected; it affects the number of passes only.
     """
     value = F.col(value) if isinstance(value, str) else value
     data = df.select((F.lit(0) if by is None else by).alias("g"), value.cast("double").alias("v"))
-    return _search(data, lambda sizes: ranks)
+    return _search(data, lambda sizes: ranks, around)
 
 
-def _search(data: DataFrame, ranks_for: Callable[[dict], Mapping[Hashable, Iterable[int]]]) -> dict:
+def _search(data: DataFrame, ranks_for: Callable[[dict], Mapping[Hashable, Iterable[int]]],
+            around: tuple[float, float]) -> dict[tuple[Hashable, int], float]:
     """data: g, v. ranks_for gets the group sizes and returns the ranks wanted per group."""
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # two narrow columns, read by every pass
+    data = data.where(F.col("v").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)  # two narrow columns
     try:
-        ends = {r["g"]: r for r in data.groupBy("g").agg(
-            F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-        return _narrow(data, ends, ranks_for({g: e["n"] for g, e in ends.items()}))
+        first = _count_buckets(data.select("g", _bucket(*around).alias("b"), "v"), "g")
+        for line in first.values():
+            if any(math.isnan(hi) for _, _, _, hi in line):
+                raise ValueError("the column holds NaN; validate it first")
+        sizes = {g: sum(n for _, n, _, _ in line) for g, line in first.items()}
+        found: dict[tuple[Hashable, int], float] = {}
+        # interval (group, lo, hi) -> [(rank, rows of the group below the interval)]
+        open_: dict[tuple, list[tuple[int, int]]] = {}
+        for g, rank in {(g, int(r)) for g, rs in ranks_for(sizes).items() for r in rs}:
+            if not 0 <= rank < sizes.get(g, 0):
+                raise ValueError(f"group {g!r} has no rank {rank}")
+            _settle(g, rank, 0, first[g], found, open_)
+        while open_:
+            intervals, open_ = open_, {}
+            lines = _count_buckets(_inside(data, list(intervals)), "i")
+            for i, ((g, _, _), wanted) in enumerate(intervals.items()):
+                for rank, below in wanted:
+                    _settle(g, rank, below, lines[i], found, open_)
+        return found
     finally:
         data.unpersist()
 
 
-def _narrow(data: DataFrame, ends: dict, ranks: Mapping[Hashable, Iterable[int]]) -> dict:
-    found: dict[tuple[Hashable, int], float] = {}
-    # interval (group, lo, hi) -> [(rank, rows of the group below the interval)]
-    open_: dict[tuple, list[tuple[int, int]]] = {}
+def _bucket(lo: float, hi: float) -> Column:
+    """Number of v's equal-width bucket; values outside fall into the first or the last one."""
+    place = F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(_BUCKETS)))
+    return F.least(F.greatest(place, F.lit(0)), F.lit(_BUCKETS - 1))
 
-    def settle(g, lo, hi, below, count, rank):
+
+def _inside(data: DataFrame, intervals: list[tuple]) -> DataFrame:
+    """i, b, v: each row once for every open interval of its group that holds it."""
+    cells = [
+        F.when((F.col("g") == F.lit(g)) & F.col("v").between(lo, hi),
+               F.struct(F.lit(i).alias("i"), _bucket(lo, hi).alias("b")))
+        for i, (g, lo, hi) in enumerate(intervals)
+    ]
+    return data.select("v", F.explode(F.array(*cells)).alias("c")).where(F.col("c").isNotNull()).select("c.*", "v")
+
+
+def _count_buckets(rows: DataFrame, by: str) -> dict[Hashable, list[tuple]]:
+    """Per group the non-empty buckets in order: (bucket, count, least value, greatest value)."""
+    out: dict[Hashable, list[tuple]] = {}
+    for r in rows.groupBy(by, "b").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+        out.setdefault(r[by], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+    return {g: sorted(line) for g, line in out.items()}
+
+
+def _settle(g, rank: int, below: int, line: list[tuple], found: dict, open_: dict) -> None:
+    """Find the bucket with the rank; its ends may already be the answer, else it stays open."""
+    for _, n, lo, hi in line:
+        if rank >= below + n:
+            below += n
+            continue
         if lo == hi or rank == below:
             found[(g, rank)] = lo
-        elif rank == below + count - 1:
+        elif rank == below + n - 1:
             found[(g, rank)] = hi
         else:
             open_.setdefault((g, lo, hi), []).append((rank, below))
-
-    for g, rank in {(g, int(r)) for g, rs in ranks.items() for r in rs}:
-        if g not in ends or not 0 <= rank < ends[g]["n"]:
-            raise ValueError(f"group {g!r} has no rank {rank}")
-        e = ends[g]
-        if math.isnan(e["hi"]):
-            raise ValueError("the column holds NaN; validate it first")
-        settle(g, e["lo"], e["hi"], 0, e["n"], rank)
-
-    while open_:
-        intervals, open_ = open_, {}
-        names = list(intervals)
-        cells = []
-        for i, (g, lo, hi) in enumerate(names):
-            place = F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(_BUCKETS)))
-            cells.append(F.when(
-                (F.col("g") == F.lit(g)) & F.col("v").between(lo, hi),
-                F.struct(F.lit(i).alias("i"), F.least(place, F.lit(_BUCKETS - 1)).alias("b")),
-            ))
-        counted = (
-            data.select("v", F.explode(F.array(*cells)).alias("c")).where(F.col("c").isNotNull())
-            .groupBy("c.i", "c.b")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .collect()
-        )
-        buckets: dict[int, list] = {}
-        for row in counted:
-            buckets.setdefault(row["i"], []).append((row["b"], row["n"], row["lo"], row["hi"]))
-        for i, name in enumerate(names):
-            line = sorted(buckets[i])
-            for rank, below in intervals[name]:
-                for _, n, lo, hi in line:
-                    if rank < below + n:
-                        settle(name[0], lo, hi, below, n, rank)
-                        break
-                    below += n
-    return found
+        return
 
 
 def quantiles(df: DataFrame, columns: Mapping[str, Iterable[float]]) -> dict[tuple[str, float], float]:
@@ -108,7 +115,7 @@ def quantiles(df: DataFrame, columns: Mapping[str, Iterable[float]]) -> dict[tup
 
     # All columns share the passes: one (column number, value) row per column.
     cells = [F.struct(F.lit(i).alias("g"), F.col(c).cast("double").alias("v")) for i, c in enumerate(names)]
-    at = _search(df.select(F.inline(F.array(*cells))), ranks_for)
+    at = _search(df.select(F.inline(F.array(*cells))), ranks_for, (0.0, 1.0))
     last = {i: max((r for g, r in at if g == i), default=0) for i in range(len(names))}
     out = {}
     for (c, q), h in wanted.items():

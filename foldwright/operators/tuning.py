@@ -33,41 +33,101 @@ def simplex_candidates(n: int, dim: int, seed: int = 42) -> list[list[float]]:
     return np.random.default_rng(seed).dirichlet(np.ones(dim), size=n).tolist()
 
 
-def _count_candidates(candidates: np.ndarray, n_sets: int, k: int):
-    """Task function: count (candidate, fold, label, pred) over its rows.
+def _by_prefix(candidates: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates that differ only in the last class: (common weights, last weights ascending, ids)."""
+    groups: dict[tuple, list[int]] = {}
+    for i, w in enumerate(candidates):
+        groups.setdefault(tuple(w[:-1]), []).append(i)
+    out = []
+    for common, ids in groups.items():
+        ids = np.array(ids)
+        ids = ids[np.argsort(candidates[ids, -1], kind="stable")]
+        out.append((np.array(common), candidates[ids, -1], ids))
+    return out
 
-    One probability set: the candidate scales the classes. Several: it blends the sets.
+
+def _first_above(best: np.ndarray, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per row, the first position whose p * weight exceeds best (len(weights) if none).
+
+    The quotient gives the place up to rounding; the products decide, as in a direct comparison.
     """
-    def predict(sets, w):
-        best = pred = None
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = np.searchsorted(weights, best / p, side="right")
+    while True:
+        high = (at > 0) & (p * weights[np.maximum(at - 1, 0)] > best)
+        if not high.any():
+            break
+        at -= high
+    while True:
+        low = (at < len(weights)) & (p * weights[np.minimum(at, len(weights) - 1)] <= best)
+        if not low.any():
+            return at
+        at += low
+
+
+def _count_multipliers(groups, n_candidates: int, k: int, ps: list[np.ndarray], code: np.ndarray,
+                       cells: int) -> np.ndarray:
+    """counts[candidate, cell, pred]. Along the last weight a row changes class once, so one
+    histogram of the turning points serves all candidates of a prefix."""
+    counts = np.empty((n_candidates, cells, k), dtype=np.int64)
+    for common, weights, ids in groups:
+        best, arg = ps[0] * common[0], np.zeros(len(code), dtype=np.int64)
+        for c in range(1, k - 1):
+            score = ps[c] * common[c]
+            np.copyto(arg, c, where=score > best)  # strict: the first maximum wins
+            np.maximum(best, score, out=best)
+        m = len(weights)
+        turn = _first_above(best, ps[k - 1], weights)
+        h = np.bincount((code * (k - 1) + arg) * (m + 1) + turn, minlength=cells * (k - 1) * (m + 1))
+        h = h.reshape(cells, k - 1, m + 1)
+        last = h.cumsum(axis=2)[:, :, :m]
+        counts[ids, :, :k - 1] = np.moveaxis(h.sum(axis=2)[:, :, None] - last, 2, 0)
+        counts[ids, :, k - 1] = last.sum(axis=1).T
+    return counts
+
+
+def _count_blends(candidates: np.ndarray, k: int, sets: list[list[np.ndarray]], code: np.ndarray,
+                  cells: int) -> np.ndarray:
+    counts = np.empty((len(candidates), cells, k), dtype=np.int64)
+    cell_of = [code * k + c for c in range(k)]
+    for i, w in enumerate(candidates):
+        best = at = None
         for c in range(k):
-            if n_sets == 1:
-                score = sets[0][c] * w[c]
-            else:
-                score = sets[0][c] * w[0]
-                for s in range(1, n_sets):
-                    score = score + sets[s][c] * w[s]
+            score = sets[0][c] * w[0]
+            for s in range(1, len(sets)):
+                score += sets[s][c] * w[s]
             if best is None:
-                best, pred = score, np.zeros(len(score), dtype=np.int64)
+                best, at = score, cell_of[0].copy()
             else:
-                higher = score > best  # strict: the first maximum wins
-                pred[higher] = c
-                best = np.where(higher, score, best)
-        return pred
+                np.copyto(at, cell_of[c], where=score > best)
+                np.maximum(best, score, out=best)
+        counts[i] = np.bincount(at, minlength=cells * k).reshape(cells, k)
+    return counts
+
+
+def _count_candidates(candidates: np.ndarray, n_sets: int, k: int):
+    """Task function: count (candidate, fold, label, pred) over its rows.
+
+    One probability set: the candidate scales the classes. Several: it blends the sets.
+    """
+    groups = _by_prefix(candidates) if n_sets == 1 else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
+            if b.empty:
+                continue
             sets = [[b[f"p{s}_{c}"].to_numpy() for c in range(k)] for s in range(n_sets)]
-            fold, label = b["fold"].to_numpy(), b["label"].to_numpy()
-            base = fold.min() if len(fold) else 0
+            fold, label = b["fold"].to_numpy().astype(np.int64), b["label"].to_numpy()
+            base = fold.min()
             cells, code = np.unique((fold - base) * k + label, return_inverse=True)
-            counts = np.empty((len(candidates), len(cells), k), dtype=np.int64)
-            for i, w in enumerate(candidates):
-                counts[i] = np.bincount(code * k + predict(sets, w), minlength=len(cells) * k).reshape(-1, k)
+            if groups is not None:
+                counts = _count_multipliers(groups, len(candidates), k, sets[0], code, len(cells))
+            else:
+                counts = _count_blends(candidates, k, sets, code, len(cells))
             for j, cell in enumerate(cells):
                 at = (int(cell // k + base), int(cell % k))
-                totals[at] = counts[:, j] + totals[at] if at in totals else counts[:, j]
+                totals[at] = counts[:, j] + totals[at] if at in totals else counts[:, j].copy()
         for (fold, label), n in totals.items():
             cand, pred = np.nonzero(n)
             yield pd.DataFrame({"cand": cand.astype(np.int32), "fold": np.int32(fold), "label": np.int32(label),
@@ -126,13 +186,12 @@ def _full(scores: DataFrame) -> DataFrame:
         F.max(F.when(F.col("cand") == BASELINE, F.col("f1_all"))).alias("baseline_f1"))
 
 
-def _weights(cand, candidates: Sequence[Sequence[float]], dim: int, prefix: str = "w"):
-    """Columns w0, w1, ... of the chosen candidate (an array literal lookup, candidates rows long)."""
-    out = []
-    for d in range(dim):
-        column = F.lit(np.array([c[d] for c in candidates], dtype=np.float64))
-        out.append(F.get(column, cand).alias(f"{prefix}{d}"))
-    return out
+def _named(rows: DataFrame, candidates: Sequence[Sequence[float]], first: int = BASELINE) -> DataFrame:
+    """Add w0, w1, ... of each row's candidate from the candidate table (a few hundred rows)."""
+    names = [f"w{d}" for d in range(len(candidates[0]))]
+    table = pd.DataFrame(list(candidates), columns=names, dtype="float64")
+    table.insert(0, "cand", np.arange(first, first + len(table), dtype=np.int32))
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table)), "cand")
 
 
 def _shift(counts: DataFrame) -> DataFrame:
@@ -154,11 +213,10 @@ def tune_multipliers(df: DataFrame, grid: Sequence[Sequence[float]] | None = Non
     grid = multiplier_grid() if grid is None else grid
     counts = multiplier_counts(df, grid, k, probs) if counts is None else counts
     wide = wide_confusion(counts, k, ("cand",), n=F.col("n")).select("cand", macro_f1_of(k).alias("f1_all"))
-    best = _full(wide.withColumn("_tie", -F.col("cand")))
+    best = _named(_full(wide.withColumn("_tie", -F.col("cand"))), [[1.0] * k, *grid])
     gain = F.col("full_tuned_f1") - F.col("baseline_f1")
     return best.select(
-        F.col("cand").alias("grid_id"), *_weights(F.col("cand") + 1, [[1.0] * k, *grid], k),
-        "baseline_f1", F.col("full_tuned_f1").alias("best_f1"), gain.alias("gain"),
+        F.col("cand").alias("grid_id"), *[f"w{i}" for i in range(k)], "baseline_f1", F.col("full_tuned_f1").alias("best_f1"), gain.alias("gain"),
         F.when(gain < 1e-5, "argmax_is_best").when(gain > 0.003, "check_nested").otherwise("small_gain")
         .alias("verdict"))
 
@@ -182,12 +240,11 @@ def nested_multipliers(df: DataFrame, grid: Sequence[Sequence[float]] | None = N
     grid = multiplier_grid() if grid is None else grid
     counts = multiplier_counts(df, grid, k, probs) if counts is None else counts
     scores = _complete(_scores(counts, k), BASELINE)
-    named = [[1.0] * k, *grid]
-    nested, full = _nested(scores), _full(scores)
-    per_fold = nested.select(
-        "fold", F.col("cand").alias("grid_id"), *_weights(F.col("cand") + 1, named, k), "tune_f1", "nested_f1")
-    full = full.select(F.col("cand").alias("grid_id"), *_weights(F.col("cand") + 1, named, k),
-                       "baseline_f1", "full_tuned_f1")
+    candidates, ws = [[1.0] * k, *grid], [f"w{i}" for i in range(k)]
+    nested = _nested(scores)
+    per_fold = _named(nested, candidates).select("fold", F.col("cand").alias("grid_id"), *ws, "tune_f1", "nested_f1")
+    full = _named(_full(scores), candidates).select(
+        F.col("cand").alias("grid_id"), *ws, "baseline_f1", "full_tuned_f1")
     return per_fold, _summary(nested, full)
 
 
@@ -214,7 +271,7 @@ def nested_weight_search(df: DataFrame, prob_cols: Sequence[str], n: int = 200,
         F.max_by("f1_fold", F.struct("_f1_rest", "_tie")).alias("nested_f1"))
     full = scores.agg(F.max_by("cand", F.struct("_f1_all", "_tie")).alias("cand"),
                       F.max("_f1_all").alias("full_tuned_f1"))
-    per_fold = nested.select("fold", F.col("cand").alias("cand_id"),
-                             *_weights(F.col("cand") + 1, candidates, dim), "tune_f1", "nested_f1")
-    full = full.select(F.col("cand").alias("cand_id"), *_weights(F.col("cand") + 1, candidates, dim), "full_tuned_f1")
+    ws = [f"w{d}" for d in range(dim)]
+    per_fold = _named(nested, candidates).select("fold", F.col("cand").alias("cand_id"), *ws, "tune_f1", "nested_f1")
+    full = _named(full, candidates).select(F.col("cand").alias("cand_id"), *ws, "full_tuned_f1")
     return per_fold, _summary(nested, full)

@@ -70,9 +70,12 @@ def test_sign_bit(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
-def test_masks():
-    assert len(dedup.masks(1)) == 65 and len(dedup.masks(2)) == 1 + 64 + 64 * 63 // 2
-    assert len(set(dedup.masks(2).tolist())) == len(dedup.masks(2))
+def test_words_around(spark):
+    point = spark.createDataFrame([(-5,)], "h bigint")
+    for radius, n in ((0, 1), (1, 65), (2, 2081)):
+        words = [r["w"] for r in dedup._around(point, radius).collect()]
+        assert len(words) == len(set(words)) == n
+        assert all(bin((w ^ -5) & (2**64 - 1)).count("1") <= radius for w in words)
 
 
 def test_exact_groups(spark):
