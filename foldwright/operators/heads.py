@@ -171,11 +171,12 @@ def fit_predict(train: DataFrame, test: DataFrame, head: str | Head, n_classes:
 def probe_grid(sets: Mapping[str, DataFrame], heads: Sequence[str], n_classes: int, seed: int = 42,
                balanced: bool = True) -> DataFrame:
     """combo, head, mean, std, min for every vector set and head, best mean first."""
-    rows = None
+    rows = []
     for combo, df in sets.items():
         for head in heads:
             oof = with_pred(cross_val_oof(df, head, n_classes, seed, balanced, check=False))
-            line = fold_consistency(oof, n_classes).select(
-                F.lit(combo).alias("combo"), F.lit(head).alias("head"), "mean", "std", "min")
-            rows = line if rows is None else rows.unionByName(line)
-    return rows.orderBy(F.desc("mean"), "combo", "head")
+            score = fold_consistency(oof, n_classes).first()  # one row of the experiment log
+            rows.append((combo, head, score["mean"], score["std"], score["min"]))
+    rows.sort(key=lambda r: (-r[2], r[0], r[1]))
+    spark = next(iter(sets.values())).sparkSession
+    return spark.createDataFrame(rows, "combo string, head string, mean double, std double, min double")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.operators.ordering import hash_order, place_in_shuffle
+from foldwright.session import freeze
 
 _LARGE = 1000
 
@@ -23,10 +24,9 @@ def exclude(df: DataFrame, skip: DataFrame, on: str = "key") -> DataFrame:
 
 def fold_overlap(folds: DataFrame, key: str = "key", fold: str = "fold") -> DataFrame:
     """Keys that occur in more than one fold: key, n_folds."""
-    # min <> max combines on the map side and is enough to find the leak.
-    return folds.groupBy(key).agg(
-        F.countDistinct(fold).alias("n_folds"), F.min(fold).alias("first"), F.max(fold).alias("last")
-    ).where(F.col("first") != F.col("last")).drop("first", "last")
+    # One shuffle by key; a set never holds more than the number of folds.
+    seen = folds.groupBy(key).agg(F.size(F.collect_set(fold)).cast("bigint").alias("n_folds"))
+    return seen.where(F.col("n_folds") > 1)
 
 
 def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label: str = "label", key: str = "key") -> DataFrame:
@@ -56,10 +56,11 @@ def stratified_group_kfold(df: DataFrame, k: int = 5, seed: int = 42, n_classes:
 
     Groups above 1/1000 of a fold number at most k x 1000; they are placed one by one on the
     driver. All others are dealt by seeded hash so that they fill what each fold still lacks.
+    Every row needs a group.
     """
-    counts = df.groupBy(group).agg(
+    counts = freeze(df.groupBy(group).agg(
         F.count(F.lit(1)).alias("_size"),
-        *[F.count_if(F.col(label) == c).alias(f"_n{c}") for c in range(n_classes)])
+        *[F.count_if(F.col(label) == c).alias(f"_n{c}") for c in range(n_classes)]))
     ns = [f"_n{c}" for c in range(n_classes)]
     totals = counts.agg(F.sum("_size").alias("n"), *[F.sum(c).alias(c) for c in ns]).first()
     limit = (totals["n"] or 0) / (k * _LARGE)

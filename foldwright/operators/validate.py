@@ -55,9 +55,10 @@ def validate_probs(df: DataFrame, k: int = 3, probs: str = "probs", tol: float =
     if "label" in df.columns:
         rules["label_known"] = F.count_if(~F.coalesce(F.col("label").between(0, k - 1), F.lit(False)))
     row = df.agg(*[c.alias(n) for n, c in rules.items()])
-    row = beside(row, _repeated(df, key))
     names = [*rules, "repeated"]
-    if expected is not None:
+    if expected is None:
+        row = beside(row, _repeated(df, key))
+    else:
         row = beside(row, _coverage(df, expected, key))
         names += ["missing", "unexpected"]
     titles = {"repeated": "key_once", "missing": "every_key_present", "unexpected": "no_unknown_key"}
@@ -65,9 +66,11 @@ def validate_probs(df: DataFrame, k: int = 3, probs: str = "probs", tol: float =
 
 
 def _coverage(df: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    a = df.groupBy(key).agg(F.lit(1).alias("_a"))
+    """One row: surplus rows, expected keys without a row, keys nobody expects. Each table is shuffled once."""
+    a = df.groupBy(key).agg(F.count(F.lit(1)).alias("_a"))
     b = expected.groupBy(key).agg(F.lit(1).alias("_b"))
     return a.join(b, key, "full").agg(
+        F.sum(F.col("_a") - 1).alias("repeated"),
         F.count_if(F.col("_a").isNull()).alias("missing"), F.count_if(F.col("_b").isNull()).alias("unexpected"))
 
 

@@ -27,11 +27,11 @@ def profile_corpus(spark: SparkSession, root: str, label_map: Mapping[str, int]
     """Readable images with label, hash and group id; the unreadable ones; one row of statistics."""
     listed = images.scan_labelled(spark, root, label_map)
     content = images.read_content(spark, root).join(listed.select("path"), "path", "left_semi")
-    health = freeze(images.image_health(content, decoder))
+    health = freeze(images.inspect(content, decoder))  # the only pass over the image bytes
     skipped = images.skip_list(health)
     clean = splits.exclude(listed.withColumnRenamed("path", "key"), skipped.withColumnRenamed("path", "key"))
-    hashes = images.phash64(content, decoder).withColumnRenamed("path", "key")
-    rows = freeze(clean.join(hashes, "key", "left").withColumnRenamed("phash", "hash"))
+    hashes = health.select(F.col("path").alias("key"), F.col("phash").alias("hash"))
+    rows = freeze(clean.join(hashes, "key"))
     names = [n for n, _ in sorted(label_map.items(), key=lambda x: x[1])]
     stats = profile.eda_stats(
         profile.class_distribution(rows, len(names), names),

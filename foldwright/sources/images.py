@@ -113,22 +113,32 @@ def _unfilter(raw: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
-def image_health(images: DataFrame, decoder: Decoder = decode_png) -> DataFrame:
-    """path, ok, width, height, channels from a full decode of every file.
+_INSPECTED = "path string, ok boolean, width int, height int, channels int, phash bigint"
+
+
+def inspect(images: DataFrame, decoder: Decoder = decode_png) -> DataFrame:
+    """path, ok, width, height, channels, phash from one full decode of every file.
 
-    `images` needs path and content. Split it with `healthy` and `skip_list`.
+    `images` needs path and content. An unreadable file has ok = false and NULLs.
     """
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            shapes = [(d.shape if d is not None else None) for d in map(decoder, b["content"])]
+            seen = []
+            for content in b["content"]:
+                d = decoder(content)
+                seen.append((None,) * 4 if d is None else (d.shape[1], d.shape[0], d.shape[2], phash_bits(d)))
+            columns = list(zip(*seen)) or [()] * 4
             yield pd.DataFrame({
-                "path": b["path"], "ok": [s is not None for s in shapes],
-                "width": pd.array([s[1] if s else None for s in shapes], dtype="Int32"),
-                "height": pd.array([s[0] if s else None for s in shapes], dtype="Int32"),
-                "channels": pd.array([s[2] if s else None for s in shapes], dtype="Int32")})
+                "path": b["path"].to_numpy(), "ok": [s[0] is not None for s in seen],
+                **{name: pd.array(list(c), dtype=kind) for name, c, kind in zip(
+                    ("width", "height", "channels", "phash"), columns, ("Int32", "Int32", "Int32", "Int64"))}})
+
+    return images.select("path", "content").mapInPandas(run, _INSPECTED)
 
-    return images.select("path", "content").mapInPandas(
-        check, "path string, ok boolean, width int, height int, channels int")
+
+def image_health(images: DataFrame, decoder: Decoder = decode_png) -> DataFrame:
+    """path, ok, width, height, channels. Split it with `healthy` and `skip_list`."""
+    return inspect(images, decoder).drop("phash")
 
 
 def healthy(health: DataFrame) -> DataFrame:
@@ -187,12 +197,7 @@ def phash_bits(image: np.ndarray, size: int = 32, keep: int = 8) -> int:
 
 def phash64(images: DataFrame, decoder: Decoder = decode_png) -> DataFrame:
     """path, phash: signed 64-bit hash, NULL for an unreadable image."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            words = [None if d is None else phash_bits(d) for d in map(decoder, b["content"])]
-            yield pd.DataFrame({"path": b["path"], "phash": pd.array(words, dtype="Int64")})
-
-    return images.select("path", "content").mapInPandas(run, "path string, phash bigint")
+    return inspect(images, decoder).select("path", "phash")
 
 
 def encode(images: DataFrame, encoder: Callable[[], Callable], views: Sequence[Callable] = (),

@@ -134,16 +134,18 @@ def resolve_files(template: DataFrame, listing: DataFrame, suffixes: Sequence[st
                   id_col: str = "id") -> DataFrame:
     """pos, id, path: the first listed file among id, id.jpg, id.jpeg, id.png; NULL path when none.
 
-    `listing` has path. Missing ids keep their row, so later rows do not move up.
+    `listing` has path. Each file states the ids it can serve and how well, so the template is
+    joined once. Missing ids keep their row, so later rows do not move up.
     """
-    tries = F.array(*[F.struct(F.lit(i).alias("i"), F.concat(F.col(id_col).cast("string"), F.lit(s)).alias("name"))
-                      for i, s in enumerate(suffixes)])
-    wanted = template.select("pos", F.col(id_col).alias("id"), F.explode(tries).alias("t")).select(
-        "pos", "id", "t.i", "t.name")
-    files = listing.groupBy(file_name("path").alias("name")).agg(F.min("path").alias("path"))
-    hits = wanted.join(files, "name", "left")
-    return hits.groupBy("pos", "id").agg(
-        F.min_by("path", F.when(F.col("path").isNotNull(), F.col("i"))).alias("path"))
+    name = file_name("path")
+    serves = F.array(*[
+        F.when(name.endswith(s), F.struct(name.substr(F.lit(1), F.length(name) - len(s)).alias("id"),
+                                          F.lit(i).alias("rank")))
+        for i, s in enumerate(suffixes)])
+    offers = listing.select("path", F.explode(serves).alias("s")).where(F.col("s").isNotNull())
+    best = offers.groupBy("s.id").agg(F.min_by("path", F.struct("s.rank", "path")).alias("path"))
+    ids = template.select("pos", F.col(id_col).cast("string").alias("id"))
+    return ids.join(best, "id", "left").select("pos", "id", "path")
 
 
 def merge_shards(spark: SparkSession, shards: DataFrame, paths: Sequence[str], n_expected: int, out: str,
