@@ -1,13 +1,15 @@
 """Exact cosine k-nearest-neighbour join and the vote built on it.
 
-Queries and train rows are cut into blocks by key hash. Every pair of blocks is one task that
-multiplies two matrices and emits k rows per query; the best k of all blocks win. Block sizes
-are fixed, so memory per task does not grow with the data and no vector value can make a hot block.
+Train rows are cut into cells around a bounded number of pivots. The triangle inequality tells
+each query which cells can hold one of its k nearest rows; only those are searched, so results
+are exact while clustered data need few cells. Cells and query groups are split into blocks of
+fixed size, and each pair of blocks is one matrix product that returns k rows per query. Of
+identical train vectors only the first k keys can ever win, so copies cannot make a hot block.
 """
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,44 +17,128 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.functions.probs import add_up
+from foldwright.operators.skew import lookup
+from foldwright.operators.splits import seeded_sample
+from foldwright.session import freeze
 
 BLOCK_ROWS = 8192
+MAX_PIVOTS = 4096
+_STRIP = 512
 _ZERO = 1e-12
+_SLACK = 1e-5
+_APART = np.sqrt(2.0)  # unit-vector distance that stands for cosine distance 1
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one, and which rows were the zero vector."""
     m = np.stack(vectors.to_numpy()).astype(np.float64)
     n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n == 0, 1.0, n)
+    return m / np.where(n == 0, 1.0, n), n[:, 0] == 0
+
+
+def _apart(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Straight-line distance of unit vectors, the square root of twice the cosine distance."""
+    return np.sqrt(np.maximum(2.0 - 2.0 * (units @ pivots.T), 0.0))
+
+
+def _choose_pivots(train: DataFrame, n: int) -> np.ndarray:
+    rows = seeded_sample(train.select("key", "vec"), min(n, MAX_PIVOTS)).collect()  # at most MAX_PIVOTS vectors
+    m, zero = _unit(pd.Series([r["vec"] for r in rows]))
+    return np.unique(m[~zero], axis=0)
+
+
+def _into_cells(pivots: np.ndarray):
+    """Task function: add the nearest pivot's number and distance; zero vectors get a cell of their own."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if b.empty:
+                continue
+            units, zero = _unit(b["t_vec"])
+            cell = np.full(len(b), len(pivots), dtype=np.int32)
+            away = np.zeros(len(b))
+            for lo in range(0, len(b) if len(pivots) else 0, _STRIP):
+                d = _apart(units[lo:lo + _STRIP], pivots)
+                cell[lo:lo + _STRIP], away[lo:lo + _STRIP] = d.argmin(axis=1), d.min(axis=1)
+            cell[zero], away[zero] = len(pivots), 0.0
+            yield b.assign(cell=cell, away=away)
+
+    return run
+
+
+def _cells_needed(pivots: np.ndarray, radius: np.ndarray, rows_by_fold: dict[int, np.ndarray], k: int,
+                  first: np.ndarray, parts: np.ndarray):
+    """Task function: add each query's own cell and the train blocks that may hold its k nearest rows.
+
+    rows_by_fold[f][c]: rows of cell c a query of fold f may use; key None for any other fold.
+    """
+    def reach(units, zero, may_use):
+        d = _apart(units, pivots)
+        low, high = d - radius[:-1], d + radius[:-1]
+        edge = np.full((len(units), 1), _APART)  # distance to zero vectors
+        low, high = np.hstack([low, edge]), np.hstack([high, edge])
+        low[zero], high[zero] = _APART, _APART
+        order = np.argsort(high, axis=1, kind="stable")
+        enough = np.take_along_axis(may_use, order, axis=1).cumsum(axis=1) >= k
+        at = enough.argmax(axis=1)
+        rows = np.arange(len(units))
+        bound = np.where(enough.any(axis=1), high[rows, order[rows, at]], np.inf)
+        home = d.argmin(axis=1) if len(pivots) else np.zeros(len(units), dtype=int)
+        return np.where(zero, len(pivots), home), (low <= bound[:, None] + _SLACK) & (may_use > 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if b.empty:
+                continue
+            units, zero = _unit(b["q_vec"])
+            may_use = [rows_by_fold.get(f, rows_by_fold[None]) for f in b["q_fold"]]
+            home, blocks = [], []
+            for lo in range(0, len(b), _STRIP):
+                here, need = reach(units[lo:lo + _STRIP], zero[lo:lo + _STRIP], np.array(may_use[lo:lo + _STRIP]))
+                home.append(here)
+                for row in need:
+                    cells = np.nonzero(row)[0]
+                    blocks.append(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in cells])
+                                  .astype(np.int32) if len(cells) else np.empty(0, dtype=np.int32))
+            yield b.assign(home=np.concatenate(home).astype(np.int32), blocks=blocks)
+
+    return run
 
 
 def _block_topk(k: int):
+    cols = ["q_key", "t_key", "t_label", "dist"]
+
     def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        cols = ["q_key", "t_key", "t_label", "dist"]
         if q.empty or t.empty:
             return pd.DataFrame({c: [] for c in cols})
         t = t.sort_values("t_key", kind="stable")
-        tm, labels, folds = _unit(t["t_vec"]).T, t["t_label"].to_numpy(), t["t_fold"].to_numpy()
+        tm, labels, folds = _unit(t["t_vec"])[0].T, t["t_label"].to_numpy(), t["t_fold"].to_numpy()
         keys, out = t["t_key"].to_numpy(), []
-        qm, qk, qf = _unit(q["q_vec"]), q["q_key"].to_numpy(), q["q_fold"].to_numpy()
-        for lo in range(0, len(qk), 512):  # a strip of queries at a time bounds the score matrix
-            d = np.clip(1.0 - qm[lo:lo + 512] @ tm, 0.0, 2.0)
+        qm, qk, qf = _unit(q["q_vec"])[0], q["q_key"].to_numpy(), q["q_fold"].to_numpy()
+        for lo in range(0, len(qk), _STRIP):  # a strip of queries at a time bounds the score matrix
+            d = np.clip(1.0 - qm[lo:lo + _STRIP] @ tm, 0.0, 2.0)
             d[d < _ZERO] = 0.0
-            d[qf[lo:lo + 512, None] == folds[None, :]] = np.inf
+            d[qf[lo:lo + _STRIP, None] == folds[None, :]] = np.inf
             # Stable order: equal distances are won by the smaller train key.
             idx = np.argsort(d, axis=1, kind="stable")[:, :k]
             dist = np.take_along_axis(d, idx, axis=1)
             rows, ranks = np.nonzero(np.isfinite(dist))
             pick = idx[rows, ranks]
-            out.append(pd.DataFrame({"q_key": qk[lo:lo + 512][rows], "t_key": keys[pick],
+            out.append(pd.DataFrame({"q_key": qk[lo:lo + _STRIP][rows], "t_key": keys[pick],
                                      "t_label": labels[pick], "dist": dist[rows, ranks]}))
         return pd.concat(out)
 
     return best
 
 
-def _block(key: str, salt: str, n: int):
-    return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(n)).cast("int")
+def _split(rows: DataFrame, cell: str, key: str, counts: np.ndarray, size: int, name: str) -> DataFrame:
+    """Number blocks of about `size` rows: each cell is cut by key hash into as many as it needs."""
+    parts = -(-counts // size)
+    first = np.concatenate([[0], np.cumsum(parts)[:-1]])
+    table = pd.DataFrame({cell: np.arange(len(counts), dtype=np.int32), "_first": first.astype(np.int32),
+                          "_parts": np.maximum(parts, 1).astype(np.int32)})  # at most MAX_PIVOTS + 1 rows
+    at = F.col("_first") + F.pmod(F.xxhash64(F.col(key)), F.col("_parts")).cast("int")
+    out = rows.join(F.broadcast(rows.sparkSession.createDataFrame(table)), cell)
+    return out.withColumn(name, at).drop("_first", "_parts")
 
 
 def knn_join(query: DataFrame, train: DataFrame, k: int = 15, block_rows: int = BLOCK_ROWS,
@@ -61,28 +147,53 @@ def knn_join(query: DataFrame, train: DataFrame, k: int = 15, block_rows: int =
 
     query needs key and vec (and fold); train needs key, vec, label (and fold). With
     exclude_same_fold a query never sees train rows of its own fold: out-of-fold in one job.
+    Distances below 1e-12 count as 0; equal distances are won by the smaller key.
     """
-    n_query, n_train = query.count(), train.count()
-    # Enough blocks that each fits a task, and at least one query block per core.
-    parallel = query.sparkSession.sparkContext.defaultParallelism
-    q_blocks = max(-(-n_query // block_rows), min(parallel, max(n_query // 256, 1)))
-    t_blocks = max(-(-n_train // block_rows), 1)
-    q_fold = F.col("fold").cast("int") if exclude_same_fold else F.lit(-1)
-    t_fold = F.col("fold").cast("int") if exclude_same_fold else F.lit(-2)
-    q = query.select(F.col("key").alias("q_key"), F.col("vec").alias("q_vec"), q_fold.alias("q_fold"),
-                     _block("key", "q", q_blocks).alias("qb"))
-    q = q.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))))
-    t = train.select(F.col("key").alias("t_key"), F.col("vec").alias("t_vec"), t_fold.alias("t_fold"),
-                     F.col("label").cast("int").alias("t_label"), _block("key", "t", t_blocks).alias("tb"))
-    t = t.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    key_type = dict(query.dtypes)["key"]
-    t_type = dict(train.dtypes)["key"]
-    near = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(
-        _block_topk(k), f"q_key {key_type}, t_key {t_type}, t_label int, dist double")
+    spark = query.sparkSession
+    fold = F.col("fold").cast("int")
+    t = train.select(F.col("key").alias("t_key"), F.col("vec").alias("t_vec"),
+                     (fold if exclude_same_fold else F.lit(-2)).alias("t_fold"),
+                     F.col("label").cast("int").alias("t_label"))
+    copies = Window.partitionBy("t_vec", "t_fold").orderBy("t_key")
+    t = t.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
+    pivots = _choose_pivots(train, max(-(-train.count() // block_rows), 1))
+    t = freeze(t.mapInPandas(_into_cells(pivots), _schema(t, "cell int, away double")))
+
+    n_cells = len(pivots) + 1
+    radius, by_fold = np.zeros(n_cells), {}
+    for r in t.groupBy("cell", "t_fold").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect():
+        by_fold.setdefault(r["t_fold"], np.zeros(n_cells, dtype=np.int64))[r["cell"]] = r["n"]
+        radius[r["cell"]] = max(radius[r["cell"]], r["far"])
+    total = sum(by_fold.values(), np.zeros(n_cells, dtype=np.int64))
+    usable = {f: total - n for f, n in by_fold.items()} if exclude_same_fold else {}
+    usable[None] = total
+    parts = -(-total // block_rows)
+    first = np.concatenate([[0], np.cumsum(parts)[:-1]])
+    t = _split(t, "cell", "t_key", total, block_rows, "tb")
+
+    q = query.select(F.col("key").alias("q_key"), F.col("vec").alias("q_vec"),
+                     (fold if exclude_same_fold else F.lit(-1)).alias("q_fold"))
+    q = freeze(q.mapInPandas(_cells_needed(pivots, radius, usable, k, first, parts),
+                             _schema(q, "home int, blocks array<int>")))
+    at_home = np.zeros(n_cells, dtype=np.int64)
+    for r in q.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect():
+        at_home[r["home"]] = r["n"]
+    size = int(min(block_rows, max(-(-int(at_home.sum()) // spark.sparkContext.defaultParallelism), 256)))
+    q = _split(q, "home", "q_key", at_home, size, "qb")
+    q = q.select("q_key", "q_vec", "q_fold", "qb", F.explode("blocks").alias("tb"))
+
+    pairs = q.select(F.col("qb").alias("for_qb"), F.col("tb").alias("in_tb")).distinct()  # one per matrix product
+    t = t.select("t_key", "t_vec", "t_fold", "t_label", F.col("tb").alias("in_tb")).join(pairs, "in_tb")
+    near = q.groupBy("qb", "tb").cogroup(t.groupBy("for_qb", "in_tb")).applyInPandas(
+        _block_topk(k), f"q_key {dict(q.dtypes)['q_key']}, t_key {dict(t.dtypes)['t_key']}, t_label int, dist double")
     w = Window.partitionBy("q_key").orderBy("dist", "t_key")
     return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join(f"{c} {kind}" for c, kind in df.dtypes) + ", " + more
+
+
 def vote(neighbours: DataFrame, n_classes: int) -> DataFrame:
     """(key, probs): votes weighted by 1/distance; when there are exact hits only they vote."""
     zero = F.col("dist") == 0
@@ -97,15 +208,25 @@ def vote(neighbours: DataFrame, n_classes: int) -> DataFrame:
     return sums.select("key", probs.alias("probs"))
 
 
+def _knn_probs(query: DataFrame, train: DataFrame, n_classes: int, k: int, block_rows: int,
+               exclude_same_fold: bool) -> DataFrame:
+    """query with probs. Equal vectors (of one fold) get equal answers, so each is searched once."""
+    same = ["vec", "fold"] if exclude_same_fold else ["vec"]
+    ident = F.concat_ws("-", F.xxhash64(F.lit(1), *same), F.xxhash64(F.lit(2), *same))  # 128 bits
+    rows = query.withColumn("_same", ident)
+    one = freeze(rows.groupBy("_same").agg(F.min("key").alias("key"), *[F.min_by(c, "key").alias(c) for c in same]))
+    probs = vote(knn_join(one, train, k, block_rows, exclude_same_fold), n_classes)
+    answers = freeze(one.select("key", "_same").join(probs, "key").drop("key"))
+    # Without any usable train row there is no answer, and the row is left out as in knn_join.
+    return lookup(rows, answers, "_same").where(F.col("probs").isNotNull()).drop("_same")
+
+
 def knn_oof(df: DataFrame, n_classes: int, k: int = 15, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, fold, label, probs) for every row, from neighbours in the other folds."""
-    near = knn_join(df, df, k, block_rows, exclude_same_fold=True)
-    return df.select("key", "fold", "label").join(vote(near, n_classes), "key")
+    return _knn_probs(df, df, n_classes, k, block_rows, True).select("key", "fold", "label", "probs")
 
 
 def knn_predict(train: DataFrame, test: DataFrame, n_classes: int, k: int = 15,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, probs) for the test rows."""
-    return vote(knn_join(test, train, k, block_rows), n_classes)
-
-
+    return _knn_probs(test.select("key", "vec"), train, n_classes, k, block_rows, False).select("key", "probs")

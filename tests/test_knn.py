@@ -35,7 +35,7 @@ def data(spark):
     return vec_rows(spark, x, label, fold), x, label, fold
 
 
-@pytest.mark.parametrize("block_rows", [10_000, 64])
+@pytest.mark.parametrize("block_rows", [10_000, 64, 17])
 def test_equals_brute_force(data, block_rows):
     df, x, label, fold = data
     got = {r["key"]: r["probs"] for r in knn.knn_oof(df.repartition(3), 3, 15, block_rows).collect()}
@@ -71,3 +71,39 @@ def test_few_train_rows(spark):
     test = vec_rows(spark, np.array([[1.0, 0, 0], [1, 1, 0], [0, 0, 0]]), [0] * 3, [0] * 3)
     got = {r["key"]: r["probs"] for r in knn.knn_predict(train, test, 3).collect()}
     assert got[0] == [1, 0, 0] and got[1][0] == pytest.approx(got[1][1]) and sum(got[2]) == pytest.approx(1)
+
+
+def test_far_cells_are_skipped(spark):
+    """Well separated clusters: a query's blocks stay near its own cluster, and results are exact."""
+    rng = np.random.default_rng(7)
+    label, fold = np.arange(600) % 6, (np.arange(600) // 6) % 5
+    x = np.eye(6)[label] * 10 + rng.normal(0, 0.05, (600, 6))
+    df = vec_rows(spark, x, label, fold)
+    got = {r["key"]: r["probs"] for r in knn.knn_oof(df, 6, 5, block_rows=20).collect()}
+    assert np.allclose([got[i] for i in range(600)], brute(x, label, fold, 5, 6), atol=1e-9)
+
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots, per = units[:6], np.full(7, 100)
+    per[6] = 0
+    run = knn._cells_needed(pivots, np.array([0.1] * 6 + [0.0]), {None: per}, 5, np.arange(7), np.ones(7, dtype=int))
+    import pandas as pd
+    out = next(run(iter([pd.DataFrame({"q_key": [0], "q_vec": [x[0]], "q_fold": [0]})])))
+    assert out["home"][0] == 0 and list(out["blocks"][0]) == [0]
+
+
+def test_zero_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 4))
+    x[::7] = 0
+    label, fold = np.arange(120) % 3, np.arange(120) % 5
+    df = vec_rows(spark, x, label, fold)
+    got = {r["key"]: r["probs"] for r in knn.knn_oof(df, 3, 15, 16).collect()}
+    assert np.allclose([got[i] for i in range(120)], brute(x, label, fold, 15, 3), atol=1e-9)
+
+
+def test_all_zero_and_copies(spark):
+    df = vec_rows(spark, np.zeros((40, 3)), np.arange(40) % 2, np.arange(40) % 4)
+    rows = knn.knn_join(df, df, 3, 8, exclude_same_fold=True).collect()
+    assert len(rows) == 120 and all(r["dist"] == 1.0 for r in rows)
+    assert {r["t_key"] for r in rows if r["q_key"] == 39} == {0, 1, 2}
+    assert {r["t_key"] for r in rows if r["q_key"] == 0} == {1, 2, 3}
