@@ -141,24 +141,24 @@ def _split(rows: DataFrame, cell: str, key: str, counts: np.ndarray, size: int,
     return out.withColumn(name, at).drop("_first", "_parts")
 
 
-def knn_join(query: DataFrame, train: DataFrame, k: int = 15, block_rows: int = BLOCK_ROWS,
-             exclude_same_fold: bool = False) -> DataFrame:
-    """(q_key, t_key, t_label, dist): the k nearest train rows of each query by cosine distance.
+def _query_block(n: int, block_rows: int, spark) -> int:
+    """Queries per block: enough blocks to use every core, none above block_rows."""
+    return int(min(block_rows, max(-(-n // spark.sparkContext.defaultParallelism), 256)))
 
-    query needs key and vec (and fold); train needs key, vec, label (and fold). With
-    exclude_same_fold a query never sees train rows of its own fold: out-of-fold in one job.
-    Distances below 1e-12 count as 0; equal distances are won by the smaller key.
-    """
-    spark = query.sparkSession
-    fold = F.col("fold").cast("int")
-    t = train.select(F.col("key").alias("t_key"), F.col("vec").alias("t_vec"),
-                     (fold if exclude_same_fold else F.lit(-2)).alias("t_fold"),
-                     F.col("label").cast("int").alias("t_label"))
-    copies = Window.partitionBy("t_vec", "t_fold").orderBy("t_key")
-    t = t.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
-    pivots = _choose_pivots(train, max(-(-train.count() // block_rows), 1))
-    t = freeze(t.mapInPandas(_into_cells(pivots), _schema(t, "cell int, away double")))
 
+def _one_block(q: DataFrame, t: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """At most block_rows train rows: every query block meets the one train block."""
+    n = q.count()
+    blocks = max(-(-n // _query_block(n, block_rows, q.sparkSession)), 1)
+    q = q.withColumn("qb", F.pmod(F.xxhash64("q_key"), F.lit(blocks)).cast("int")).withColumn("tb", F.lit(0))
+    t = t.withColumn("for_qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("in_tb", F.lit(0))
+    return q, t
+
+
+def _paired_blocks(q: DataFrame, t: DataFrame, pivots: np.ndarray, k: int, block_rows: int,
+                   exclude_same_fold: bool) -> tuple[DataFrame, DataFrame]:
+    """q with (qb, tb) and t with (for_qb, in_tb): each pair of blocks that may hold neighbours."""
+    t = freeze(t.mapInPandas(_into_cells(pivots), _schema(t, "cell int, away double")))
     n_cells = len(pivots) + 1
     radius, by_fold = np.zeros(n_cells), {}
     for r in t.groupBy("cell", "t_fold").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect():
@@ -169,21 +169,43 @@ def knn_join(query: DataFrame, train: DataFrame, k: int = 15, block_rows: int =
     usable[None] = total
     parts = -(-total // block_rows)
     first = np.concatenate([[0], np.cumsum(parts)[:-1]])
-    t = _split(t, "cell", "t_key", total, block_rows, "tb")
+    t = _split(t, "cell", "t_key", total, block_rows, "in_tb")
 
-    q = query.select(F.col("key").alias("q_key"), F.col("vec").alias("q_vec"),
-                     (fold if exclude_same_fold else F.lit(-1)).alias("q_fold"))
     q = freeze(q.mapInPandas(_cells_needed(pivots, radius, usable, k, first, parts),
                              _schema(q, "home int, blocks array<int>")))
     at_home = np.zeros(n_cells, dtype=np.int64)
     for r in q.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect():
         at_home[r["home"]] = r["n"]
-    size = int(min(block_rows, max(-(-int(at_home.sum()) // spark.sparkContext.defaultParallelism), 256)))
+    size = _query_block(int(at_home.sum()), block_rows, q.sparkSession)
     q = _split(q, "home", "q_key", at_home, size, "qb")
     q = q.select("q_key", "q_vec", "q_fold", "qb", F.explode("blocks").alias("tb"))
 
     pairs = q.select(F.col("qb").alias("for_qb"), F.col("tb").alias("in_tb")).distinct()  # one per matrix product
-    t = t.select("t_key", "t_vec", "t_fold", "t_label", F.col("tb").alias("in_tb")).join(pairs, "in_tb")
+    return q, t.select("t_key", "t_vec", "t_fold", "t_label", "in_tb").join(pairs, "in_tb")
+
+
+def knn_join(query: DataFrame, train: DataFrame, k: int = 15, block_rows: int = BLOCK_ROWS,
+             exclude_same_fold: bool = False) -> DataFrame:
+    """(q_key, t_key, t_label, dist): the k nearest train rows of each query by cosine distance.
+
+    query needs key and vec (and fold); train needs key, vec, label (and fold). With
+    exclude_same_fold a query never sees train rows of its own fold: out-of-fold in one job.
+    Distances below 1e-12 count as 0; equal distances are won by the smaller key.
+    """
+    fold = F.col("fold").cast("int")
+    t = train.select(F.col("key").alias("t_key"), F.col("vec").alias("t_vec"),
+                     (fold if exclude_same_fold else F.lit(-2)).alias("t_fold"),
+                     F.col("label").cast("int").alias("t_label"))
+    copies = Window.partitionBy("t_vec", "t_fold").orderBy("t_key")
+    t = t.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
+    q = query.select(F.col("key").alias("q_key"), F.col("vec").alias("q_vec"),
+                     (fold if exclude_same_fold else F.lit(-1)).alias("q_fold"))
+    n_train = train.count()
+    if n_train <= block_rows:
+        q, t = _one_block(q, t, block_rows)
+    else:
+        pivots = _choose_pivots(train, -(-n_train // block_rows))
+        q, t = _paired_blocks(q, t, pivots, k, block_rows, exclude_same_fold)
     near = q.groupBy("qb", "tb").cogroup(t.groupBy("for_qb", "in_tb")).applyInPandas(
         _block_topk(k), f"q_key {dict(q.dtypes)['q_key']}, t_key {dict(t.dtypes)['t_key']}, t_label int, dist double")
     w = Window.partitionBy("q_key").orderBy("dist", "t_key")

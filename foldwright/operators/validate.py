@@ -193,6 +193,13 @@ def validate_shards(shards: DataFrame, n_expected: int) -> DataFrame:
                         "no_gap": F.col("gaps")})
 
 
+def shard_contiguity(shards: DataFrame) -> DataFrame:
+    """Each shard with `contiguous`: it starts at 0 or where another shard ends."""
+    ends = shards.select(F.col("end").alias("start")).distinct().withColumn("_hit", F.lit(True))
+    rows = shards.join(ends, "start", "left")
+    return rows.withColumn("contiguous", (F.col("start") == 0) | F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
 def validate_weights(weights: DataFrame, k: int = 3, heaviest: int | None = None) -> DataFrame:
     """K positive weights; the largest belongs to the expected rare class."""
     row = weights.agg(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from foldwright.operators import (
 from foldwright.operators.order_stats import quantiles
 from foldwright.plans import clean, decide, inputs, twins
 from foldwright.session import freeze
-from foldwright.sources import tables
+from foldwright.sources import images, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -408,7 +409,7 @@ def group_ids(spark, sf):
     return dedup.assign_group_ids(rows).select("key", "group_id")
 
 
-@query("near_duplicates")
+@query("near_duplicates", twins.STAR)
 def near_duplicates(spark, sf):
     return dedup.near_duplicates(inputs.hash_table(spark, sf), 2, "star").select("key", "root")
 
@@ -560,6 +561,20 @@ def linear_predict(spark, sf):
         "key", "label", *[F.get("probs", F.lit(i)).alias(f"p{i}") for i in range(3)])
 
 
+@query("mlp_predict")
+def mlp_predict(spark, sf):
+    train, test = splits.split_fold(_features(spark, sf), 0)
+    return heads.fit_predict(train.cache(), test, heads.make_mlp(16, 60), 3).select(
+        "key", "label", *[F.get("probs", F.lit(i)).alias(f"p{i}") for i in range(3)])
+
+
+@query("trees_predict")
+def trees_predict(spark, sf):
+    train, test = splits.split_fold(_features(spark, sf), 0)
+    return heads.fit_predict(train.cache(), test, heads.make_trees(3, 4), 3, balanced=True).select(
+        "key", "label", *[F.get("probs", F.lit(i)).alias(f"p{i}") for i in range(3)])
+
+
 @query("probe_grid")
 def probe_grid(spark, sf):
     vecs = inputs.vector_table(spark, sf).cache()
@@ -661,6 +676,42 @@ def upsert_results(spark, sf):
     return experiments.upsert_results(best("F"), best("O"))
 
 
+# --- pictures ---------------------------------------------------------------------------------------
+
+def _as_picture(content: bytes):
+    """The bytes of a page as a grey picture 32 pixels wide; an empty page is unreadable."""
+    if not content:
+        return None
+    pixels = np.frombuffer(bytes(content), dtype=np.uint8)
+    return np.pad(pixels, (0, -len(pixels) % 32)).reshape(-1, 32, 1)
+
+
+def _pictures(spark, sf):
+    return inputs.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"),
+                                                   F.encode("html", "UTF-8").alias("content"))
+
+
+@query("image_stats", twins.IMAGE_STATS)
+def image_stats(spark, sf):
+    return images.image_stats(images.image_health(_pictures(spark, sf), _as_picture))
+
+
+@query("image_hash_groups")
+def image_hash_groups(spark, sf):
+    hashes = images.phash64(_pictures(spark, sf), _as_picture).select(F.col("path").alias("key"), F.col("phash").alias("hash"))
+    return dedup.near_duplicates(hashes, 2, "components").select("key", "hash", "root")
+
+
+@query("batch_encode", twins.BATCH_ENCODE)
+def batch_encode(spark, sf):
+    def encoder():
+        return lambda pictures: np.array([[p.shape[0], p.shape[1]] for p in pictures], dtype=np.float64)
+
+    rows = images.encode(_pictures(spark, sf), encoder, [lambda p: p[:, ::-1]], _as_picture)
+    return rows.select("path", F.get("vec", F.lit(0)).cast("double").alias("rows"), F.get("vec", F.lit(1)).cast("double")
+                       .alias("columns"))
+
+
 # --- files, templates, validators --------------------------------------------------------------------
 
 @query("resolve_ordered_files", twins.RESOLVE_FILES)
@@ -694,6 +745,13 @@ def validate_shards(spark, sf):
     return validate.validate_shards(shards, shards.count() * 10)
 
 
+@query("shard_contiguity", twins.SHARD_CONTIGUITY)
+def shard_contiguity(spark, sf):
+    o = inputs.table(spark, sf, "orders")
+    start, short = F.col("o_orderkey") * 10, F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)
+    return validate.shard_contiguity(o.select(start.alias("start"), (start + 10 - short).alias("end")))
+
+
 @query("validate_probs", twins.VALIDATE_PROBS)
 def validate_probs(spark, sf):
     good = inputs.prob_table(spark, sf)

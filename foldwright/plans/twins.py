@@ -528,6 +528,15 @@ out AS (SELECT h.key, root.root FROM h JOIN d USING (hash) JOIN root USING (id))
 COMPONENTS = f"WITH RECURSIVE {_COMPONENTS} SELECT key, root FROM out"
 COMPONENT_GROUPS = f"WITH RECURSIVE {_COMPONENTS} SELECT root, count(*) AS n FROM out GROUP BY root HAVING count(*) > 1"
 
+STAR = f"""WITH RECURSIVE {_COMPONENTS},
+m AS (SELECT root.root, list({{'id': d.id, 'hash': d.hash}} ORDER BY d.id) AS members FROM root JOIN d USING (id) GROUP BY root.root),
+s AS (SELECT root, members, list_reduce(members, lambda acc, x:
+    CASE WHEN len(list_filter(acc, lambda y: bit_count(xor(y.hash, x.hash)) <= 2)) > 0 THEN acc ELSE list_append(acc, x) END,
+    list_filter(members, lambda y: false)) AS seeds FROM m),
+e AS (SELECT seeds, unnest(members) AS x FROM s)
+SELECT h.key, list_filter(e.seeds, lambda y: bit_count(xor(y.hash, e.x.hash)) <= 2)[1].id AS root
+FROM e JOIN h ON h.hash = e.x.hash"""
+
 
 def _shuffled(key: str = "key", seed: int = 42) -> str:
     return f"md5(concat({key}, ':{seed}')), {key}"
@@ -788,6 +797,13 @@ one AS (SELECT 1) """ + _report([
     ("covers_range", "(SELECT CASE WHEN min(start) = 0 AND max(\"end\") = (SELECT n FROM n) THEN 0 ELSE 1 END FROM s)"),
     ("no_repeated_start", "(SELECT count(*) - count(DISTINCT start) FROM s)"),
     ("no_gap", "(SELECT count(*) FROM l WHERE prev IS NOT NULL AND prev <> start)")], "one")
+SHARD_CONTIGUITY = """WITH s AS (SELECT o_orderkey * 10 AS start,
+  o_orderkey * 10 + 10 - CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS "end" FROM orders)
+SELECT start, "end", start = 0 OR lag("end") OVER (ORDER BY start) = start AS contiguous FROM s"""
+IMAGE_STATS = """WITH p AS (SELECT page_id, CAST(ceil(octet_length(encode(html)) / 32) AS INT) AS h FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS path, 32 AS width, h AS height, 1 AS channels, round_even(32 / h, 3) AS aspect_ratio FROM p"""
+BATCH_ENCODE = """SELECT CAST(page_id AS VARCHAR) AS path, CAST(ceil(octet_length(encode(html)) / 32) AS DOUBLE) AS rows,
+  32e0 AS columns FROM pages"""
 VALIDATE_PROBS = f"WITH {PROB}, one AS (SELECT 1) " + _report([
     ("length_k", "(SELECT count(*) FROM prob WHERE fold = 2 AND label <> 1)"),
     ("finite", "(SELECT count(*) FROM prob WHERE fold IN (0, 2) AND label <> 1)"),

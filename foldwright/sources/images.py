@@ -6,9 +6,10 @@ function bytes -> array of height x width x channels (uint8), or None when unrea
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+import os
 import struct
 import zlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,16 @@ def scan_unlabelled(spark: SparkSession, root: str) -> DataFrame:
     return _files(spark, root).select("path", file_name("path").alias("filename")).orderBy("path")
 
 
+def common_root(df: DataFrame, path: str = "path") -> str:
+    """The deepest folder above every path. Only the first and the last path in order decide."""
+    folder = F.regexp_replace(path, r"/[^/]*$", "/")
+    ends = df.agg(F.min(folder).alias("a"), F.max(folder).alias("b")).first()
+    if ends["a"] is None:
+        return ""
+    shared = os.path.commonprefix([ends["a"], ends["b"]])
+    return shared[:shared.rfind("/") + 1].rstrip("/")
+
+
 def read_content(spark: SparkSession, root: str) -> DataFrame:
     """path, content, length of every image file."""
     return _files(spark, root).select("path", "content", "length")

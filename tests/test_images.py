@@ -165,3 +165,11 @@ def test_extract_all_skips_finished(spark, tmp_path, make_png):
     ingest.extract_all(spark, jobs, str(tmp_path / "sets"))
     assert sorted(os.listdir(paths["plain"])) == before
     assert sorted(r["vec"][0] for r in spark.read.parquet(paths["dark"]).collect()) == [0.0, 0.5, 1.0]
+
+
+@pytest.mark.parametrize("paths,want", [
+    (["/a/b/c/1.png", "/a/b/d/2.png"], "/a/b"), (["/a/b/1.png", "/a/b/2.png"], "/a/b"), (["/a/bc/1.png", "/a/bd/1.png"], "/a"),
+    (["/a/b/1.png", "/a/b/c/2.png"], "/a/b"), (["/x/1.png", "/y/1.png"], "")])
+def test_common_root(spark, paths, want):
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert images.common_root(df) == want
