@@ -18,6 +18,7 @@ from foldwright.functions import probs as P
 from foldwright.functions.probs import linspace
 from foldwright.operators.metrics import macro_f1_of, wide_confusion
 from foldwright.operators.single import beside
+from foldwright.session import freeze
 
 BASELINE = -1
 
@@ -167,11 +168,6 @@ def _scores(counts: DataFrame, k: int) -> DataFrame:
         macro_f1_of(k, whole).alias("f1_all"))
 
 
-def _complete(scores: DataFrame, first: int) -> DataFrame:
-    """Order value that prefers the smaller candidate id on equal F1; ids below `first` come earliest."""
-    return scores.where(F.col("cand") >= first).withColumn("_tie", -F.col("cand"))
-
-
 def _nested(scores: DataFrame) -> DataFrame:
     """Per held-out fold: the candidate best on the other folds and its F1 on the fold."""
     return scores.groupBy("fold").agg(
@@ -238,8 +234,9 @@ def nested_multipliers(df: DataFrame, grid: Sequence[Sequence[float]] | None = N
                        counts: DataFrame | None = None, probs: str = "probs") -> tuple[DataFrame, DataFrame]:
     """(per held-out fold, one-row summary) of tuning on the other folds only."""
     grid = multiplier_grid() if grid is None else grid
-    counts = multiplier_counts(df, grid, k, probs) if counts is None else counts
-    scores = _complete(_scores(counts, k), BASELINE)
+    if counts is None:  # used twice below; candidates x folds x K x K rows
+        counts = freeze(multiplier_counts(df, grid, k, probs))
+    scores = _scores(counts, k).withColumn("_tie", -F.col("cand"))  # equal F1: the smaller id wins
     candidates, ws = [[1.0] * k, *grid], [f"w{i}" for i in range(k)]
     nested = _nested(scores)
     per_fold = _named(nested, candidates).select("fold", F.col("cand").alias("grid_id"), *ws, "tune_f1", "nested_f1")
@@ -252,13 +249,13 @@ def nested_weight_search(df: DataFrame, prob_cols: Sequence[str], n: int = 200,
                          include_uniform: bool = False) -> tuple[DataFrame, DataFrame]:
     """(per held-out fold, one-row summary) of choosing ensemble weights.
 
-    Candidate 0 is the uniform weight. It competes only with include_uniform, otherwise it is
+    Candidate -1 is the uniform weight. It competes only with include_uniform, otherwise it is
     what remains when every other candidate scores 0.
     """
     dim = len(prob_cols)
     candidates = [[1.0 / dim] * dim, *simplex_candidates(n, dim, seed)]
-    scores = _shift(candidate_counts(df, candidates, prob_cols, k))
-    scores = _scores(scores, k).withColumn("_tie", -F.col("cand"))
+    counts = freeze(_shift(candidate_counts(df, candidates, prob_cols, k)))
+    scores = _scores(counts, k).withColumn("_tie", -F.col("cand"))
     if not include_uniform:
         # Uniform ranks above a zero score only.
         for c in ("f1_rest", "f1_all"):
