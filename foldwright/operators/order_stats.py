@@ -2,7 +2,7 @@
 
 Every pass counts rows in equal-width buckets of the intervals still in question and then
 narrows each interval to the bucket that holds the wanted rank. A pass moves at most
-intervals x buckets summary rows; the data are never sorted, shuffled or collected.
+intervals x buckets summary rows (about 200,000); the data are never sorted, shuffled or collected.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BUCKETS = 4096
+_LEAST, _MOST, _SUMMARY_ROWS = 16, 4096, 200_000
 
 
 def order_statistics(df: DataFrame, value: Column | str, ranks: Mapping[Hashable, Iterable[int]],
@@ -27,15 +27,16 @@ def order_statistics(df: DataFrame, value: Column | str, ranks: Mapping[Hashable
     """
     value = F.col(value) if isinstance(value, str) else value
     data = df.select((F.lit(0) if by is None else by).alias("g"), value.cast("double").alias("v"))
-    return _search(data, lambda sizes: ranks, around)
+    return _search(data, lambda sizes: ranks, around, len(ranks))
 
 
 def _search(data: DataFrame, ranks_for: Callable[[dict], Mapping[Hashable, Iterable[int]]],
-            around: tuple[float, float]) -> dict[tuple[Hashable, int], float]:
+            around: tuple[float, float], n_groups: int) -> dict[tuple[Hashable, int], float]:
     """data: g, v. ranks_for gets the group sizes and returns the ranks wanted per group."""
+    buckets = max(_LEAST, min(_MOST, _SUMMARY_ROWS // max(n_groups, 1)))
     data = data.where(F.col("v").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)  # two narrow columns
     try:
-        first = _count_buckets(data.select("g", _bucket(*around).alias("b"), "v"), "g")
+        first = _count_buckets(data.select("g", _bucket(*map(F.lit, around), buckets).alias("b"), "v"), "g")
         for line in first.values():
             if any(math.isnan(hi) for _, _, _, hi in line):
                 raise ValueError("the column holds NaN; validate it first")
@@ -49,7 +50,7 @@ def _search(data: DataFrame, ranks_for: Callable[[dict], Mapping[Hashable, Itera
             _settle(g, rank, 0, first[g], found, open_)
         while open_:
             intervals, open_ = open_, {}
-            lines = _count_buckets(_inside(data, list(intervals)), "i")
+            lines = _count_buckets(_inside(data, list(intervals), buckets), "i")
             for i, ((g, _, _), wanted) in enumerate(intervals.items()):
                 for rank, below in wanted:
                     _settle(g, rank, below, lines[i], found, open_)
@@ -58,20 +59,22 @@ def _search(data: DataFrame, ranks_for: Callable[[dict], Mapping[Hashable, Itera
         data.unpersist()
 
 
-def _bucket(lo: float, hi: float) -> Column:
+def _bucket(lo: Column, hi: Column, buckets: int) -> Column:
     """Number of v's equal-width bucket; values outside fall into the first or the last one."""
-    place = F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(_BUCKETS)))
-    return F.least(F.greatest(place, F.lit(0)), F.lit(_BUCKETS - 1))
+    place = F.floor((F.col("v") - lo) / (hi - lo) * F.lit(float(buckets)))
+    return F.least(F.greatest(place, F.lit(0)), F.lit(buckets - 1))
 
 
-def _inside(data: DataFrame, intervals: list[tuple]) -> DataFrame:
-    """i, b, v: each row once for every open interval of its group that holds it."""
-    cells = [
-        F.when((F.col("g") == F.lit(g)) & F.col("v").between(lo, hi),
-               F.struct(F.lit(i).alias("i"), _bucket(lo, hi).alias("b")))
-        for i, (g, lo, hi) in enumerate(intervals)
-    ]
-    return data.select("v", F.explode(F.array(*cells)).alias("c")).where(F.col("c").isNotNull()).select("c.*", "v")
+def _inside(data: DataFrame, intervals: list[tuple], buckets: int) -> DataFrame:
+    """i, b, v: each row once for every open interval of its group that holds it.
+
+    There are at most as many intervals as ranks asked for.
+    """
+    kind = dict(data.dtypes)["g"]
+    table = data.sparkSession.createDataFrame(
+        [(g, i, lo, hi) for i, (g, lo, hi) in enumerate(intervals)], f"g {kind}, i int, lo double, hi double")
+    rows = data.join(F.broadcast(table), "g").where(F.col("v").between(F.col("lo"), F.col("hi")))
+    return rows.select("i", _bucket(F.col("lo"), F.col("hi"), buckets).alias("b"), "v")
 
 
 def _count_buckets(rows: DataFrame, by: str) -> dict[Hashable, list[tuple]]:
@@ -115,7 +118,7 @@ def quantiles(df: DataFrame, columns: Mapping[str, Iterable[float]]) -> dict[tup
 
     # All columns share the passes: one (column number, value) row per column.
     cells = [F.struct(F.lit(i).alias("g"), F.col(c).cast("double").alias("v")) for i, c in enumerate(names)]
-    at = _search(df.select(F.inline(F.array(*cells))), ranks_for, (0.0, 1.0))
+    at = _search(df.select(F.inline(F.array(*cells))), ranks_for, (0.0, 1.0), len(names))
     last = {i: max((r for g, r in at if g == i), default=0) for i in range(len(names))}
     out = {}
     for (c, q), h in wanted.items():

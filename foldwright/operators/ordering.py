@@ -97,7 +97,7 @@ def shuffled_offsets(df: DataFrame, group: str, weight: Column, digits: int) ->
 
 
 def place_in_shuffle(df: DataFrame, group: str, key: str, seed: int, weight: Column | None = None,
-                     digits: int = 2) -> DataFrame:
+                     digits: int = 3) -> DataFrame:
     """Add _before (weight ahead of the row in the group's seeded order) and _total.
 
     The order is by hash, so cutting each group by hash prefix gives even slices and the

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,19 +23,23 @@ class Corpus:
 
 
 def profile_corpus(spark: SparkSession, root: str, label_map: Mapping[str, int] = FOLDER_LABELS,
-                   decoder: images.Decoder = images.decode_png, sample_n: int | None = None) -> Corpus:
-    """Readable images with label, hash and group id; the unreadable ones; one row of statistics."""
-    listed = images.scan_labelled(spark, root, label_map)
-    content = images.read_content(spark, root).join(listed.select("path"), "path", "left_semi")
-    health = freeze(images.inspect(content, decoder))  # the only pass over the image bytes
-    skipped = images.skip_list(health)
-    clean = splits.exclude(listed.withColumnRenamed("path", "key"), skipped.withColumnRenamed("path", "key"))
-    hashes = health.select(F.col("path").alias("key"), F.col("phash").alias("hash"))
-    rows = freeze(clean.join(hashes, "key"))
+                   read: Callable = images.read_pixels, decoder: images.Decoder = images.decode_pixels,
+                   sample_n: int | None = None) -> Corpus:
+    """Readable images with label, hash and group id; the unreadable ones; one row of statistics.
+
+    The image bytes are read and decoded once and never shuffled. For formats the JVM cannot read
+    pass read=images.read_content and a decoder of your own.
+    """
+    content = read(spark, root)
+    content = content.where(images.folder_label("path", label_map)[1].isNotNull())
+    seen = freeze(images.inspect(content, decoder).select("*", *images.folder_label("path", label_map)))
+    images.require_classes(seen, label_map)
+    skipped = images.skip_list(seen)
+    rows = seen.where("ok").select(F.col("path").alias("key"), "label_name", "label", F.col("phash").alias("hash"))
     names = [n for n, _ in sorted(label_map.items(), key=lambda x: x[1])]
     stats = profile.eda_stats(
         profile.class_distribution(rows, len(names), names),
-        profile.size_summary(images.image_stats(health, sample_n)),
+        profile.size_summary(images.image_stats(seen, sample_n)),
         dedup.duplicate_summary(rows), skipped.count())
     return Corpus(dedup.assign_group_ids(rows), skipped, stats)
 

@@ -1,7 +1,8 @@
 """Image corpora: listing, health, sizes, perceptual hashes, batched encoding.
 
 Listings read file metadata only. Decoding runs in Arrow batches inside tasks; a decoder is a
-function bytes -> array of height x width x channels (uint8), or None when unreadable.
+function bytes -> array of height x width x channels (uint8), or None when unreadable. Formats the
+JVM knows come decoded from `read_pixels`; others (WebP) need the user's decoder on `read_content`.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.functions.paths import file_name, suffix
@@ -29,18 +30,27 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
             .where(suffix("path").isin(*IMAGE_SUFFIXES)))
 
 
-def scan_labelled(spark: SparkSession, root: str, label_map: Mapping[str, int] = FOLDER_LABELS) -> DataFrame:
-    """path, label_name, label from class folders below root; a class without a folder is an error."""
-    files = _files(spark, root).select("path")
-    name = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
+def folder_label(path: str, label_map: Mapping[str, int]) -> tuple[Column, Column]:
+    """(label_name, label) from the folder that holds the file; NULL label for any other folder."""
+    name = F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)
     label = F.lit(None).cast("int")
     for folder, i in label_map.items():
         label = F.when(name == folder, i).otherwise(label)
-    out = files.select("path", name.alias("label_name"), label.alias("label")).where(F.col("label").isNotNull())
-    found = {r["label_name"] for r in out.select("label_name").distinct().collect()}  # at most K
+    return name.alias("label_name"), label.alias("label")
+
+
+def require_classes(labelled: DataFrame, label_map: Mapping[str, int]) -> None:
+    """Every class of the map has at least one row."""
+    found = {r["label_name"] for r in labelled.select("label_name").distinct().collect()}  # at most K
     missing = [c for c in label_map if c not in found]
     if missing:
-        raise FileNotFoundError(f"no images for {missing} under {root}")
+        raise FileNotFoundError(f"no images for {missing}")
+
+
+def scan_labelled(spark: SparkSession, root: str, label_map: Mapping[str, int] = FOLDER_LABELS) -> DataFrame:
+    """path, label_name, label from class folders below root; a class without images is an error."""
+    out = _files(spark, root).select("path", *folder_label("path", label_map)).where(F.col("label").isNotNull())
+    require_classes(out, label_map)
     return out
 
 
@@ -64,6 +74,26 @@ def read_content(spark: SparkSession, root: str) -> DataFrame:
     return _files(spark, root).select("path", "content", "length")
 
 
+def read_pixels(spark: SparkSession, root: str) -> DataFrame:
+    """path, content with pixels decoded by the JVM (JPEG, PNG, BMP); use with `decode_pixels`.
+
+    content is height, width and channels as 32-bit numbers, then the bytes; NULL when unreadable.
+    """
+    rows = (spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
+            .select("image.*").where(suffix("origin").isin(*IMAGE_SUFFIXES)))
+    head = F.unhex(F.format_string("%08x%08x%08x", "height", "width", "nChannels"))
+    return rows.select(F.col("origin").alias("path"), F.when(F.col("height") > 0, F.concat(head, "data")).alias("content"))
+
+
+def decode_pixels(content: bytes | None) -> np.ndarray | None:
+    """Grey, RGB or RGBA array from the output of `read_pixels`."""
+    if content is None:
+        return None
+    h, w, bands = struct.unpack(">III", content[:12])
+    image = np.frombuffer(content, np.uint8, offset=12).reshape(h, w, bands)
+    return image if bands < 3 else image[:, :, [2, 1, 0, *range(3, bands)]]  # stored blue first
+
+
 def decode_png(content: bytes) -> np.ndarray | None:
     """8-bit non-interlaced grey, RGB, palette, grey+alpha or RGBA PNG; None when damaged."""
     try:
@@ -167,15 +197,6 @@ def image_stats(health: DataFrame, sample_n: int | None = None, seed: int = 42)
         "path", "width", "height", "channels", half_even(F.col("width") / F.col("height"), 3).alias("aspect_ratio"))
 
 
-def jvm_image_stats(spark: SparkSession, root: str) -> DataFrame:
-    """The same for formats the JVM image reader knows (no Python): path, ok, width, height, channels."""
-    rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
-    ok = F.col("image.height") > 0
-    return rows.select(
-        F.col("image.origin").alias("path"), ok.alias("ok"), F.when(ok, F.col("image.width")).alias("width"),
-        F.when(ok, F.col("image.height")).alias("height"), F.when(ok, F.col("image.nChannels")).alias("channels"))
-
-
 def _grey(image: np.ndarray) -> np.ndarray:
     if image.shape[2] >= 3:
         return image[:, :, :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])

@@ -73,8 +73,29 @@ def test_health_and_stats(spark, tree):
     stats = {name(r["path"]): tuple(r)[1:] for r in images.image_stats(health).collect()}
     assert stats["a.png"] == (48, 64, 1, 0.75) and stats["rgb.png"] == (30, 20, 3, 1.5) and len(stats) == 5
     assert images.image_stats(health, sample_n=3).count() <= 3
-    jvm = {name(r["path"]): (r["ok"], r["width"], r["height"]) for r in images.jvm_image_stats(spark, tree).collect()}
-    assert jvm["a.png"] == (True, 48, 64) and jvm["broken.png"] == (False, None, None)
+
+
+def test_jvm_pixels_equal_own_decoder(spark, tree):
+    def rows(df):
+        return {name(r["path"]): tuple(r)[1:] for r in df.collect()}
+
+    jvm = rows(images.inspect(images.read_pixels(spark, tree), images.decode_pixels))
+    assert jvm == rows(images.inspect(images.read_content(spark, tree)))
+    assert jvm["broken.png"] == (False, None, None, None, None) and jvm["rgba.png"][3] == 4
+
+
+def test_jpeg(spark, tmp_path):
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(24, 16, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for x in range(24):
+        for y in range(16):
+            picture.setRGB(x, y, 200 * 65536 + 100 * 256 + 50)
+    assert jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(str(tmp_path / "x.jpg")))
+    content = images.read_pixels(spark, str(tmp_path))
+    r = images.inspect(content, images.decode_pixels).first()
+    assert (r["ok"], r["width"], r["height"], r["channels"]) == (True, 24, 16, 3)
+    pixels = images.decode_pixels(content.first()["content"])
+    assert np.abs(pixels.reshape(-1, 3).mean(0) - [200, 100, 50]).max() < 4
 
 
 def test_phash(spark, tree):
