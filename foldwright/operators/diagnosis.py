@@ -11,6 +11,7 @@ from foldwright.functions import probs as P
 from foldwright.operators.order_stats import quantiles
 from foldwright.operators.profile import drop_cap
 from foldwright.schema import CLASS_NAMES, PRIORITY_PAIRS
+from foldwright.session import freeze
 
 
 def diagnose(df: DataFrame, k: int = 3, probs: str = "probs") -> DataFrame:
@@ -127,6 +128,7 @@ def ambiguous_with_cap(diag: DataFrame, issues: DataFrame | None = None, pct: fl
         rows, low, high = filter_ambiguous(diag, pct=share, **options)
         if issues is not None:
             rows = flag_double(rows, issues)
+        rows = freeze(rows)  # a few percent of the table, counted here and used by the caller
         n = rows.count()
         report = {"pct": share, "margin_threshold": low, "entropy_threshold": high, "n": n,
                   "within_cap": drop_cap(n, total, cap_pct)}

@@ -212,7 +212,8 @@ def tune_multipliers(df: DataFrame, grid: Sequence[Sequence[float]] | None = Non
     best = _named(_full(wide.withColumn("_tie", -F.col("cand"))), [[1.0] * k, *grid])
     gain = F.col("full_tuned_f1") - F.col("baseline_f1")
     return best.select(
-        F.col("cand").alias("grid_id"), *[f"w{i}" for i in range(k)], "baseline_f1", F.col("full_tuned_f1").alias("best_f1"), gain.alias("gain"),
+        F.col("cand").alias("grid_id"), *[f"w{i}" for i in range(k)], "baseline_f1",
+        F.col("full_tuned_f1").alias("best_f1"), gain.alias("gain"),
         F.when(gain < 1e-5, "argmax_is_best").when(gain > 0.003, "check_nested").otherwise("small_gain")
         .alias("verdict"))
 
