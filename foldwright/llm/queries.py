@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwright.llm import packing
+from foldwright.llm import language, packing
 from foldwright.llm.common import table
 
 QUERIES: dict = {}
@@ -28,3 +28,9 @@ def op1(spark, sf_dir):
     pieces = packing.tokenize(table(spark, sf_dir, "documents"), TOKENIZER)
     return packing.place(pieces.drop("ids")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
