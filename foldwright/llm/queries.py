@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwright.llm import language, packing
+from foldwright.llm import language, licenses, packing
 from foldwright.llm.common import table
 
 QUERIES: dict = {}
@@ -34,3 +34,8 @@ def op1(spark, sf_dir):
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
+
+
+@query("op4_license_scan")
+def op4(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
