@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwright.llm import language, licenses, packing
+from foldwright.llm import language, licenses, packing, syncmers
 from foldwright.llm.common import table
 
 QUERIES: dict = {}
@@ -39,3 +39,12 @@ def op2(spark, sf_dir):
 @query("op4_license_scan")
 def op4(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query("op5_document_fingerprints")
+def op5(spark, sf_dir):
+    return syncmers.compare_edited(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", syncmers.fingerprint("sketch").alias("fingerprint"),
+        syncmers.fingerprint("edited_sketch").alias("edited_fingerprint"),
+        syncmers.likeness("sketch", "edited_sketch").alias("near_edited"),
+        syncmers.likeness("sketch", "next_sketch").alias("near_next"))
