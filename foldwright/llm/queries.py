@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwright.llm import language, licenses, packing, syncmers
-from foldwright.llm.common import table
+from foldwright.llm import language, licenses, packing, syncmers, warc
+from foldwright.llm.common import scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,17 @@ def op5(spark, sf_dir):
         syncmers.fingerprint("edited_sketch").alias("edited_fingerprint"),
         syncmers.likeness("sketch", "edited_sketch").alias("near_edited"),
         syncmers.likeness("sketch", "next_sketch").alias("near_next"))
+
+
+@query("op10_warc_round_trip", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f""")
+def op10(spark, sf_dir):
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_archives(spark, path)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
