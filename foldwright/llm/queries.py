@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwright.llm import language, licenses, packing, syncmers, warc
+from foldwright.llm import language, licenses, packing, pii, syncmers, warc
 from foldwright.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -62,3 +62,13 @@ def op10(spark, sf_dir):
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.page_records(warc.read_archives(spark, path)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: For the test data only; a user passes a secret.
+PII_KEY = "test-data-key"
+
+
+@query("op9_pii_pseudonyms")
+def op9(spark, sf_dir):
+    out = pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
+    return out.select("doc_id", "text", F.size("pseudonyms").cast("bigint").alias("n_replaced"), pii.kinds().alias("kinds"))
