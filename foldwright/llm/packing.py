@@ -6,13 +6,11 @@
    or three lengths that fill a sequence, fits their repeat counts to the histogram by non-negative least squares, rounds
    them, and packs what is left best fit, longest first.
 3. `place` gives every piece its sequence and offset from its rank among the pieces of its length.
-
-Ids are cached per blank-separated chunk: the byte-level pre-tokeniser always starts a new token at a single blank between
-two other characters, so chunks are independent. A text with any other run of white space next to a blank is encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,78 +28,52 @@ SIZE = 1024
 END_ID = 2
 PIECES = ("doc_id bigint, piece int, start bigint, length bigint, ids array<int>, ids_crc32 bigint, "
           "task int, nth bigint")
-_CACHE_ENTRIES = 500_000
-_MARKS = ".,;:!?*&#$%)\"]}"
 
 
-class _Chunks(dict):
-    """chunk -> its ids as bytes (None: not independent of its surroundings)."""
+def _byte_symbols() -> dict[str, int]:
+    """The printable stand-ins of the byte-level vocabulary, by rule: printable Latin-1 as itself, the rest from U+0100."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
-    def __init__(self, tokenizer, lead: str):
-        super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
 
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+def _same_merges(path: str):
+    """A faster engine (tiktoken) with the same merges and pattern, or None where the file is of another kind.
 
-    def learn(self, chunks) -> None:
-        """Encode many new chunks in few calls: one line each, cut at the id of the line end."""
-        if len(self) + len(chunks) > _CACHE_ENTRIES:
-            self.clear()
-        plain = [c for c in chunks if c.isalpha() and c.isprintable()]
-        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        for at in range(0, len(plain), 2000):
-            part = plain[at:at + 2000]
-            ids = np.array(self.tokenizer.encode("\n".join(self.lead + c for c in part), add_special_tokens=False).ids,
-                           dtype=np.uint32)
-            cuts = np.flatnonzero(ids == line_end[0])
-            if len(line_end) == 1 and len(cuts) == len(part) - 1:
-                begin, end = np.append(0, cuts + 1), np.append(cuts, len(ids))
-                raw = ids.tobytes()
-                for c, b, e in zip(part, begin.tolist(), end.tolist()):
-                    self[c] = raw[4 * b:4 * e]
-
-    def __missing__(self, chunk: str):
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace() or not (chunk[0] + chunk[-1]).isprintable():
-            value = None
-        else:
-            value = self._ids(self.lead + chunk)
-        self[chunk] = value
-        return value
+    Both merge the pair of least rank first. The ranks agree where the file is plain byte-level BPE and the k-th merge makes
+    the k-th id after the 256 bytes.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (model.get("type") == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel"
+             and not before.get("add_prefix_space") and before.get("use_regex", True) and not model.get("ignore_merges"))
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+    vocabulary = model["vocab"]
+    if not plain or any(vocabulary.get("".join(m)) != 256 + k for k, m in enumerate(pairs)):
+        return None
+    byte = _byte_symbols()
+    ranks = {bytes(byte[c] for c in token): k for token, k in vocabulary.items() if k < 256 + len(pairs)}
+    return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class _Encoder:
+    """Ids of a whole text as bytes (little-endian unsigned 32 bit). Strings of special tokens are ordinary text."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
-        self.first, self.later, self.tail = (_Chunks(self.tokenizer, lead) for lead in ("", " ", ""))
+        self.tokenizer, self.engine = Tokenizer.from_file(path), _same_merges(path)
+        self.tokenizer.encode_special_tokens = True
 
-    def whole(self, text: str) -> bytes:
+    def __call__(self, text: str) -> bytes:
+        if self.engine:
+            return self.engine.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        chunks = [t.split(" ") for t in texts]
-        cores = self.later
-        new: set[str] = set()
-        for c in chunks:
-            new.update(c)
-        new = new.difference(cores)
-        if new:
-            # A word and the marks after it are separate for the pre-tokeniser; words recur more often.
-            stems = {c.rstrip(_MARKS) for c in new}.difference(cores)
-            cores.learn(stems)
-            for c in new:
-                stem = c.rstrip(_MARKS)
-                if stem != c and stem.isalpha() and cores[stem] is not None:
-                    cores[c] = cores[stem] + self.tail[c[len(stem):]]
-        for text, (head, *rest) in zip(texts, chunks):
-            try:
-                yield b"".join([self.first[head], *map(cores.__getitem__, rest)])
-            except TypeError:  # a None among them
-                yield self.whole(text)
-
 
 def _encoder(path: str) -> _Encoder:
     return worker_cache(f"encoder {path}", lambda: _Encoder(path))
@@ -117,8 +89,8 @@ def _tokenized(path: str, size: int, end_id: int, encode_rows: int = 500):
                 part = whole.slice(at, encode_rows)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows, raw = [], []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.batch(texts)):
-                    ids += end
+                for doc, text in zip(part.column(0).to_pylist(), texts):
+                    ids = encoder(text) + end
                     n = len(ids) // 4
                     start, piece = 0, 0
                     while start < n:
