@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwright.llm import language, licenses, packing, pii, syncmers, warc
+from foldwright.llm import chunks, language, licenses, packing, pii, syncmers, warc
 from foldwright.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -72,3 +72,8 @@ PII_KEY = "test-data-key"
 def op9(spark, sf_dir):
     out = pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY)
     return out.select("doc_id", "text", F.size("pseudonyms").cast("bigint").alias("n_replaced"), pii.kinds().alias("kinds"))
+
+
+@query("op3_substring_dedup")
+def op3(spark, sf_dir):
+    return chunks.repeated_passages(table(spark, sf_dir, "documents")).drop("tag")

@@ -222,10 +222,10 @@ def page_records(records: DataFrame) -> DataFrame:
     head = F.substring(F.col("block"), F.lit(1), cut + 3).cast("string")
     response = h["WARC-Type"] == "response"
     rows = records.select(
-        h["X-Page-ID"].cast("bigint").alias("page_id"), h["WARC-Target-URI"].alias("url"),
-        h["WARC-Type"].alias("record_type"), h["X-Refers-To-Page"].cast("bigint").alias("refers_to"),
+        h["X-Page-ID"].try_cast("bigint").alias("page_id"), h["WARC-Target-URI"].alias("url"),
+        h["WARC-Type"].alias("record_type"), h["X-Refers-To-Page"].try_cast("bigint").alias("refers_to"),
         F.when(response, F.substring(F.col("block"), cut + 4, F.octet_length("block"))).alias("payload"),
-        F.regexp_extract(head, r"Content-Length: (\d+)", 1).cast("bigint").alias("stated"),
+        F.regexp_extract(head, r"Content-Length: (\d+)", 1).try_cast("bigint").alias("stated"),
         F.regexp_replace(h["WARC-Payload-Digest"], "^sha256:", "").alias("digest"))
     return rows.select("page_id", "url", "record_type", "refers_to", "payload",
                        F.coalesce(F.octet_length("payload").cast("bigint"), "stated").alias("payload_bytes"),
