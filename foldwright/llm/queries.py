@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwright.llm import chunks, language, licenses, packing, pii, syncmers, warc
+from foldwright.llm import chunks, language, licenses, packing, pii, syncmers, urls, warc
 from foldwright.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -77,3 +77,53 @@ def op9(spark, sf_dir):
 @query("op3_substring_dedup")
 def op3(spark, sf_dir):
     return chunks.repeated_passages(table(spark, sf_dir, "documents")).drop("tag")
+
+
+_URL_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, url, CAST(DATE '2021-01-01' + CAST(page_id * 104729 % 1461 AS INTEGER) AS DATE) AS fetched,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'),
+                     lambda s: s <> '') AS segments
+  FROM pages),
+p AS (SELECT *, string_split(host, '.') AS labels FROM parsed),
+events AS (
+  SELECT CASE page_id % 3 WHEN 0 THEN 'malware' WHEN 1 THEN 'adult' ELSE 'ads' END AS list,
+         CASE WHEN page_id % 11 = 0 AND len(segments) > 0 THEN host || '/' || segments[1]
+              WHEN page_id % 4 = 0 THEN array_to_string(labels[-2:], '.') ELSE host END AS entry,
+         page_id % 5 < 2 AS is_on, CAST(DATE '2021-01-01' + CAST(page_id * 7919 % 1461 AS INTEGER) AS DATE) AS day
+  FROM p),
+days AS (SELECT list, entry, day, bool_or(is_on) AS is_on FROM events GROUP BY ALL),
+changes AS (SELECT * FROM (SELECT *, coalesce(lag(is_on) OVER (PARTITION BY list, entry ORDER BY day), false) AS was FROM days)
+            WHERE is_on <> was),
+valid AS (SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY list, entry ORDER BY day) AS valid_to FROM changes) WHERE is_on),
+asked AS (
+  SELECT page_id, fetched, unnest(list_distinct(list_concat(
+    CASE WHEN len(labels) < 3 THEN [host] ELSE list_transform(range(1, len(labels)), lambda i: array_to_string(labels[i:], '.')) END,
+    list_transform(range(1, len(segments) + 1), lambda i: host || '/' || array_to_string(segments[1:i], '/'))))) AS entry
+  FROM p),
+hits AS (SELECT DISTINCT a.page_id, v.list FROM asked a JOIN valid v ON a.entry = v.entry AND a.fetched >= v.day
+         AND (v.valid_to IS NULL OR a.fetched < v.valid_to)),
+lists AS (SELECT page_id, string_agg(list, ',' ORDER BY list) AS lists FROM hits GROUP BY page_id)
+SELECT p.page_id, p.fetched, l.lists IS NOT NULL AS blocked, coalesce(l.lists, '') AS lists
+FROM p LEFT JOIN lists l USING (page_id)"""
+
+
+@query("op6_url_filter", _URL_SQL)
+def op6(spark, sf_dir):
+    """Every page is a capture on a date made from its id, and one dated event for its host, domain or path."""
+    def day(factor):
+        return F.date_add(F.lit("2021-01-01").cast("date"), (F.col("page_id") * factor % 1461).cast("int"))
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", day(104729).alias("fetched"))
+    host = urls.host(F.col("url"))
+    domain = F.array_join(F.slice(F.split(host, r"\."), -2, 2), ".")
+    segment = F.filter(F.split(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/"),
+                       lambda s: s != "")
+    events = pages.select(
+        F.element_at(F.array(F.lit("malware"), F.lit("adult"), F.lit("ads")), (F.col("page_id") % 3 + 1).cast("int")).alias("list"),
+        F.when((F.col("page_id") % 11 == 0) & (F.size(segment) > 0), F.concat_ws("/", host, F.get(segment, F.lit(0))))
+        .when(F.col("page_id") % 4 == 0, F.when(F.size(F.split(host, r"\.")) < 2, host).otherwise(domain))
+        .otherwise(host).alias("entry"),
+        F.when(F.col("page_id") % 5 < 2, "add").otherwise("remove").alias("action"), day(7919).alias("day"))
+    return urls.filter_captures(pages, events).select("page_id", "fetched", "blocked", "lists")
