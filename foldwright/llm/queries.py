@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwright.llm import chunks, language, licenses, packing, pii, syncmers, urls, warc
+from foldwright.llm import chunks, language, licenses, neardup, packing, pii, syncmers, urls, warc
 from foldwright.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -127,3 +127,8 @@ def op6(spark, sf_dir):
         .otherwise(host).alias("entry"),
         F.when(F.col("page_id") % 5 < 2, "add").otherwise("remove").alias("action"), day(7919).alias("day"))
     return urls.filter_captures(pages, events).select("page_id", "fetched", "blocked", "lists")
+
+
+@query("op7_minhash_near_dedup")
+def op7(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
