@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwright.llm import chunks, language, licenses, neardup, packing, pii, syncmers, urls, warc
+from foldwright.llm import (
+    chunks, decontaminate, language, licenses, neardup, packing, pii, syncmers, urls, warc,
+)
 from foldwright.llm.common import scratch, table
 
 QUERIES: dict = {}
@@ -132,3 +134,8 @@ def op6(spark, sf_dir):
 @query("op7_minhash_near_dedup")
 def op7(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_benchmark_decontamination")
+def op8(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
