@@ -1,12 +1,65 @@
-"""The corpus pipeline: its stages in order, each applied to all that the stage before it kept."""
+"""The corpus pipeline: its stages in order, each applied to all that the stage before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run() writes
+each stage's result in the cluster's shared folder and reads it back as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldwright.llm import packing
+from foldwright.llm import decontaminate, language, neardup, packing, pii
 from foldwright.llm.common import store, table
-from foldwright.llm.queries import TOKENIZER
+from foldwright.llm.queries import PII_KEY, TOKENIZER
+
+#: A text is in none of the learned languages if even the best one needs this many bits per character of it.
+MOST_BITS = 5.0
+#: Shorter texts say too little about that.
+LEAST_CHARS = 64
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: keep documents with letters that are written in a learned language; lang becomes the prediction.
+
+    Without any learned language, all documents with letters stay as they are.
+    """
+    model = language.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    names = docs.columns
+    judged = language.identify(docs, model, keep=names)
+    foreign = (F.col("bits") > MOST_BITS) & (F.length("text") >= LEAST_CHARS)
+    kept = judged.where((F.col("lang_pred") != language.UNDETERMINED) & ~foreign)
+    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in names])
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group the document with the least doc_id stays, once.
+
+    Rows without a doc_id stay unless their text is a copy or near copy of a document that has one.
+    """
+    classes = neardup.near_duplicates(docs)
+    first = store(classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct(), "first")
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = classes.where(F.col("doc_id").isNull() & F.col("class_id").isNull()).limit(1)
+    if not nameless.isEmpty():
+        kept = kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    return kept
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold an item go."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    found = store(found.select("doc_id").distinct(), "contaminated")
+    return docs.join(found, "doc_id", "left_anti")
+
+
+def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: personal numbers, dates and addresses become pseudonyms of their format; n_chars follows the text."""
+    out = pii.pseudonymize(docs, PII_KEY)
+    names = docs.columns
+    return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,16 +67,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.place(packing.tokenize(docs, TOKENIZER).drop("ids"))
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("language ID", identify),
+    ("MinHash near-dedup", deduplicate),
+    ("benchmark decontamination", decontaminated),
+    ("PII", pseudonymize),
+    ("best-fit packing", pack),
+]
 
-#: Tokenisation, sampling and the fitted models cannot be said in SQL; tests/llm holds the stages against brute force.
+#: Fitted models, sampling and tokenisation cannot be said in SQL; tests/llm holds every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = store(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

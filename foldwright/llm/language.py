@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwright.llm.common import worker_cache
 
@@ -189,7 +190,7 @@ def _predict(sent, key: str):
         parser = worker_cache(f"language {key}", lambda: _Parser(model)) if model.languages else None
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = [t or "" for t in batch.column("_judged").to_pylist()]
             begin = 0
             while begin < len(texts):
                 end, chars = begin, 0
@@ -208,7 +209,7 @@ def _predict(sent, key: str):
                         second = np.take_along_axis(h, order[:, 1:2], 1)[:, 0] if h.shape[1] > 1 else np.full(len(h), np.inf)
                         best[known], bits[known] = order[:, 0], least
                         score[known] = np.clip(1 - least / np.maximum(second, 1e-12), 0, 1)
-                columns = batch.slice(begin, end - begin).drop_columns(["text"])
+                columns = batch.slice(begin, end - begin).drop_columns(["_judged"])
                 yield pa.RecordBatch.from_arrays(
                     [*columns.columns, pa.array(names[best], pa.string()), pa.array(score),
                      pa.array(bits, mask=np.isnan(bits))],
@@ -218,15 +219,22 @@ def _predict(sent, key: str):
     return run
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits for every row, from the whole text.
 
+    keep names the columns of docs to carry along instead of doc_id and held_out.
+
     lang_pred: a learned language (the first by name on a tie), or `und` where the text is null or has no letter, or
     nothing was learned. score: 1 - least / second least cross-entropy; 0 for `und`, 1 with a single language. bits: the least
     cross-entropy in bits per character, null for `und`. Repeated rows give repeated results.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.lengths, model.edges))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"),
-                       F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(sent, model.key()),
-                           "doc_id bigint, held_out boolean, lang_pred string, score double, bits double")
+    if keep is None:
+        carried = [F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out")]
+    else:
+        carried = [F.col(f"`{c}`") for c in keep if c not in ("lang_pred", "score", "bits")]
+    rows = docs.select(*carried, F.col("text").cast("string").alias("_judged"))
+    schema = docs.select(*carried).schema
+    for name, kind in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits", T.DoubleType())):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(_predict(sent, model.key()), schema)

@@ -15,6 +15,7 @@ from foldwright.operators.ordering import ordered_chunks
 
 S, K, SKETCH = 2, 5, 64  # K - S + 1 = 4 inner hashes
 _BITS = 32
+_NO_ID = -(1 << 63)  # sorts first
 
 
 def _with_anchors(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -92,7 +93,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"),
+    rows = rows.select("text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("_doc"),
                        F.xxhash64("text", F.col("doc_id").isNull()).alias("_key"))
     ids = rows.groupBy("_doc", "_key").agg(F.max(F.length("text")).alias("_n"), F.count(F.lit(1)).alias("_rows"))
     follow = _successors(ids.select("_doc", "_key", "_n"))
@@ -105,7 +106,9 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     given = texts.join(wanted, ["_doc", "_key"]).select(
         F.col("_to_id").alias("_doc"), F.col("_to_key").alias("_key"),
         F.substring("text", F.lit(1), F.col("_half")).alias("_tail"), F.col("sketch").alias("next_sketch"))
+    # Both joins read the texts with the same columns and key, so Spark shuffles them once.
     out = texts.join(given, ["_doc", "_key"]).withColumn("n_chars", F.length("text").cast("bigint"))
+    out = out.withColumn("doc_id", F.nullif("_doc", F.lit(_NO_ID)))
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
     out = out.select("doc_id", "n_chars", "sketch", "next_sketch", F.concat(kept, "_tail").alias("edited"))
     out = with_sketch(out, "edited", "edited_sketch")
