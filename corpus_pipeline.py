@@ -35,17 +35,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each group the document with the least doc_id stays, once.
-
-    Rows without a doc_id stay unless their text is a copy or near copy of a document that has one.
-    """
-    classes = neardup.near_duplicates(docs)
-    first = store(classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct(), "first")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = classes.where(F.col("doc_id").isNull() & F.col("class_id").isNull()).limit(1)
-    if not nameless.isEmpty():
-        kept = kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
-    return kept
+    """MinHash near-dedup: of each group the document with the least doc_id stays, once."""
+    return neardup.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ _SHARED = 24  # of the 48 samples; a pair at 0.8 has as many with probability ab
 
 
 def _digest():
-    return F.unhex(F.md5(F.col("text")))
+    return F.unhex(F.md5(F.col("text").cast("string")))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -230,8 +230,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, copy_of for every row: class_id is the least doc_id of the row's group of near duplicates, copy_of
-    the least doc_id with exactly its text.
+    """doc_id, class_id, copy_of, stays, digest for every row: class_id is the least doc_id of the row's group of near
+    duplicates, copy_of the least doc_id with exactly its text, stays whether the row is the group's one to keep, digest the
+    MD5 of its text.
 
     Groups are connected components of links of weighted Jaccard similarity `least` or more. A text without words (null,
     empty, marks only) is a duplicate of none but its exact copies; a row with a null text is alone (class_id and copy_of are
@@ -281,10 +282,32 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     more = _links(store(pairs, "pairs"), needed, idf, least, "more-links")
 
     final = components(links.unionByName(more)) if not more.isEmpty() else roots
-    classes = nodes.join(final, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("node").alias("rep"))
+    classes = nodes.join(final, "node", "left").select("digest", "node", "first", F.coalesce("root", "node").alias("root"))
     classes = store(classes, "classes")
-    least_ids = store(classes.groupBy("root").agg(F.min("first").alias("class_id")), "class-ids")
-    of_digest = store(classes.join(least_ids, "root").select("digest", "class_id", F.col("first").alias("copy_of")), "of-digest")
-    known = members.join(of_digest, "digest").select("doc_id", "class_id", "copy_of")
+    chosen = store(classes.groupBy("root").agg(F.min(order).alias("least")).select("root", "least.rep", "least.first").select(
+        "root", "rep", F.col("first").alias("class_id")), "class-ids")
+    of_digest = store(classes.join(chosen, "root").select(
+        "digest", "class_id", F.col("first").alias("copy_of"), (F.col("node") == F.col("rep")).alias("chosen")), "of-digest")
+    known = members.join(of_digest, "digest").select(
+        "doc_id", "class_id", "copy_of", (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("copy_of"))).alias("stays"), "digest")
     empty = docs.where(F.col("text").isNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    return known.unionByName(empty.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of")))
+    return known.unionByName(empty.select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(True).alias("stays"),
+        F.lit(None).cast("binary").alias("digest")))
+
+
+def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of docs of which one per group of near duplicates is left: that with the least doc_id, once.
+
+    Null texts are no group and stay.
+    """
+    stays = near_duplicates(docs, least).where("stays").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_rows"))
+    stays = store(stays.where(F.col("digest").isNotNull()), "stays")
+    names = docs.columns
+    rows = docs.where(F.col("text").isNotNull()).withColumn("_digest", _digest())
+    rows = rows.join(stays.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")),
+                     ["_digest"], "inner").where(F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")))
+    if not stays.where(F.col("_rows") > 1).isEmpty():
+        rows = rows.dropDuplicates(["_doc", "_digest"])
+    return rows.select(*names).unionByName(docs.where(F.col("text").isNull()))

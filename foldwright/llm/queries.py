@@ -133,7 +133,7 @@ def op6(spark, sf_dir):
 
 @query("op7_minhash_near_dedup")
 def op7(spark, sf_dir):
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of")
 
 
 @query("op8_benchmark_decontamination")
