@@ -37,6 +37,11 @@ def _digest():
     return F.unhex(F.md5(F.col("text").cast("string")))
 
 
+def _key(doc_id: str):
+    """A doc_id to join on: null counts as a value."""
+    return F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("key")
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """doc_id, digest, text of rows with a text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -244,11 +249,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = store(texts.select("doc_id", "digest"), "members")
     nodes = members.groupBy("digest").agg(F.min("doc_id").alias("first"))
     nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # With the first document's id in the key, the copies of a much-copied text fall in many partitions.
+    firsts = nodes.select("digest", _key("first"), "node")
 
     idf = spark.sparkContext.broadcast(cell_weights(frequencies(texts), members.count()))
     sampled = texts.mapInArrow(_sampled(idf), "doc_id bigint, digest binary, samples array<int>, bands array<bigint>")
     # One row per node: that of its first document.
-    sampled = sampled.join(nodes, "digest").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    sampled = sampled.withColumn("key", _key("doc_id")).join(firsts, ["digest", "key"])
     signatures = store(sampled.dropDuplicates(["node"]).select("node", "samples", "bands"), "signatures")
 
     rows = signatures.select("node", F.explode("bands").alias("band"))
@@ -258,8 +265,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     star = store(shared.where(F.col("node") != F.col("centre")).select(
         F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
 
-    wanted = shared.select("node").distinct().join(nodes, "node").select("node", "digest", F.col("first").alias("doc_id"))
-    needed = texts.join(wanted, "digest").where(texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    wanted = shared.select("node").distinct().join(firsts, "node")
+    needed = texts.withColumn("key", _key("doc_id")).join(wanted, ["digest", "key"]).select("node", "text")
     needed = store(needed.dropDuplicates(["node"]), "texts")
     links = _links(star, needed, idf, least, "links")
 
@@ -305,9 +312,8 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     stays = near_duplicates(docs, least).where("stays").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_rows"))
     stays = store(stays.where(F.col("digest").isNotNull()), "stays")
     names = docs.columns
-    rows = docs.where(F.col("text").isNotNull()).withColumn("_digest", _digest())
-    rows = rows.join(stays.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")),
-                     ["_digest"], "inner").where(F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")))
+    rows = docs.where(F.col("text").isNotNull()).withColumns({"_digest": _digest(), "_key": _key("doc_id")})
+    rows = rows.join(stays.select(_key("doc_id").alias("_key"), F.col("digest").alias("_digest")), ["_digest", "_key"])
     if not stays.where(F.col("_rows") > 1).isEmpty():
-        rows = rows.dropDuplicates(["_doc", "_digest"])
+        rows = rows.dropDuplicates(["_digest", "_key"])
     return rows.select(*names).unionByName(docs.where(F.col("text").isNull()))
