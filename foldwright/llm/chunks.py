@@ -76,7 +76,8 @@ def cut(texts: list[bytes], least: int, most: int, bits: int) -> list[list[tuple
 
 
 def stretches(chunks: list[tuple[int, int, int]], seed_words: int) -> list[tuple[int, int, int, int, int]]:
-    """(nth, start, stop, word, stop_word): from each chunk on, the fewest chunks with at least seed_words words."""
+    """(nth, start, stop, word, stop_word): from each chunk on, the fewest chunks with at least seed_words words; the last
+    stretch reaches the end of the text."""
     before, total = [], 0
     for c in chunks:
         before.append(total)
@@ -87,6 +88,8 @@ def stretches(chunks: list[tuple[int, int, int]], seed_words: int) -> list[tuple
         while last < len(chunks) and before[last + 1] - before[k] < seed_words:
             last += 1
         if last == len(chunks):
+            if out and out[-1][2] < chunks[-1][1]:  # the stretch that reaches the end
+                out.append((k, chunks[k - 1][0], chunks[-1][1], before[k - 1], total))
             break
         out.append((k, start, chunks[last][1], before[k], before[last + 1]))
     return out
@@ -249,13 +252,14 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, seed_
 
 def remove_passages(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
     """docs with the reported passages cut out of the text; all rows and columns stay."""
-    spans = passages.groupBy(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")).agg(
+    spans = passages.groupBy(F.col("doc_id").alias("_of_doc"), F.col("tag").alias("_of_tag")).agg(
         F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    rows = docs.withColumn("_here", F.hash(F.col(text).cast("string")))
-    rows = rows.join(spans, (rows["doc_id"] == spans["_doc"]) & (rows["_here"] == spans["_tag"]), "left")
-    cut_text = F.expr(f"""aggregate(_spans, named_struct('t', cast('' AS binary), 'at', 0), (s, x) -> named_struct(
-        't', IF(x.start > s.at, concat(s.t, substring(cast(`{text}` AS binary), s.at + 1, x.start - s.at)), s.t),
-        'at', greatest(s.at, x.stop)),
-        s -> cast(concat(s.t, substring(cast(`{text}` AS binary), s.at + 1)) AS string))""")
-    kept = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut_text)
-    return rows.select(*[kept.alias(text) if c == text else rows[f"`{c}`"] for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    value = F.col("_row").getField(text).cast("string")
+    rows = rows.select("_row", F.col("_row.doc_id").cast("bigint").alias("_of_doc"), F.hash(value).alias("_of_tag"),
+                       value.cast("binary").alias("_data")).join(spans, ["_of_doc", "_of_tag"], "left")
+    cut_text = F.expr("""aggregate(_spans, named_struct('t', cast('' AS binary), 'at', 0), (s, x) -> named_struct(
+        't', IF(x.start > s.at, concat(s.t, substring(_data, s.at + 1, x.start - s.at)), s.t),
+        'at', greatest(s.at, x.stop)), s -> cast(concat(s.t, substring(_data, s.at + 1)) AS string))""")
+    kept = F.when(F.col("_spans").isNull(), value).otherwise(cut_text)
+    return rows.select(*[kept.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])

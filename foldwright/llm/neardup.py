@@ -1,12 +1,14 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Exact copies (equal digests of the text) become one node; everything below works on nodes.
-2. Document frequencies of five-word shingles over all documents are counted in a table of 2**FREQUENCY_BITS hashed cells, whatever the corpus's
-   size; a shingle's weight is its count in the text times ln(1 + N / frequency of its cell).
+2. Document frequencies of five-word shingles over all documents are counted in a table of 2**FREQUENCY_BITS hashed cells,
+   whatever the corpus's size; a shingle's weight is its count in the text times a damped IDF,
+   1 + DAMPING * ln(1 + N / frequency of its cell) / ln(1 + N).
 3. Improved consistent weighted sampling gives BANDS * ROWS samples per node: two nodes share a sample with probability equal
    to their weighted Jaccard similarity. ROWS samples make a band; nodes with an equal band are candidates.
 4. In every bucket all nodes are compared with its first node (a star, never all pairs), by the weighted Jaccard similarity
-   of the whole texts. Links make components.
+   of the whole texts; the plain similarity of the shingle sets counts as well, so that the IDF cannot part the copies of
+   a group that makes up much of the corpus. Links make components.
 5. Only buckets that still hold several components can hide a link. Their nodes, other than those of the bucket's
    largest component, meet all nodes of other components that share a second band and half of the samples, and are compared in the same way.
 
@@ -28,9 +30,10 @@ from foldwright.llm.shingles import batches_of, mixed, shingles
 
 BANDS, ROWS = 16, 3
 SIMILARITY = 0.8
+DAMPING = 0.5
 FREQUENCY_BITS = 18
 _SEGMENT = 4096
-_SHARED = 24  # of the 48 samples; a pair at 0.8 has as many with probability above 0.9999999
+_SHARED = 20  # of the 48 samples; a pair at 0.8 has as many with probability above 0.9999999
 
 
 def _digest():
@@ -85,7 +88,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def cell_weights(frequency: np.ndarray, n_docs: int) -> np.ndarray:
-    return np.log1p(n_docs / np.maximum(frequency, 1)).astype(np.float32)
+    return (1 + DAMPING * np.log1p(n_docs / np.maximum(frequency, 1)) / np.log1p(max(n_docs, 1))).astype(np.float32)
 
 
 def weighted(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +97,17 @@ def weighted(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, count * idf[_cells(distinct)]
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity: sum of minima / sum of maxima; 0 if a text has no word."""
+def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """Weighted Jaccard similarity (sum of minima / sum of maxima) and that of the sets; 0 if a text has no word."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0, 0.0
     _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     least = float(np.minimum(a[1][ia], b[1][ib]).sum())
-    total = float(a[1].sum()) + float(b[1].sum()) - least
-    return least / total if total > 0 and len(a[0]) and len(b[0]) else 0.0
+    return least / (float(a[1].sum()) + float(b[1].sum()) - least), len(ia) / (len(a[0]) + len(b[0]) - len(ia))
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    return max(jaccard(a, b))
 
 
 # --- samples -----------------------------------------------------------------------------------------
