@@ -24,6 +24,7 @@ from foldwright.session import freeze
 BLOCK_ROWS = 8192
 MAX_PIVOTS = 4096
 _STRIP = 512
+_SALTS = 32
 _ZERO = 1e-12
 _SLACK = 1e-5
 _APART = np.sqrt(2.0)  # unit-vector distance that stands for cosine distance 1
@@ -66,10 +67,11 @@ def _into_cells(pivots: np.ndarray):
 
 
 def _cells_needed(pivots: np.ndarray, radius: np.ndarray, rows_by_fold: dict[int, np.ndarray], k: int,
-                  first: np.ndarray, parts: np.ndarray):
+                  first: np.ndarray, parts: np.ndarray, cells_per_query: int | None = None):
     """Task function: add each query's own cell and the train blocks that may hold its k nearest rows.
 
-    rows_by_fold[f][c]: rows of cell c a query of fold f may use; key None for any other fold.
+    rows_by_fold[f][c]: rows of cell c a query of fold f may use; key None for any other fold. With cells_per_query
+    only that many of the cells are asked, those that begin nearest.
     """
     def reach(units, zero, may_use):
         d = _apart(units, pivots)
@@ -83,7 +85,11 @@ def _cells_needed(pivots: np.ndarray, radius: np.ndarray, rows_by_fold: dict[int
         rows = np.arange(len(units))
         bound = np.where(enough.any(axis=1), high[rows, order[rows, at]], np.inf)
         home = d.argmin(axis=1) if len(pivots) else np.zeros(len(units), dtype=int)
-        return np.where(zero, len(pivots), home), (low <= bound[:, None] + _SLACK) & (may_use > 0)
+        need = (low <= bound[:, None] + _SLACK) & (may_use > 0)
+        if cells_per_query is not None:
+            place = np.argsort(np.argsort(np.where(need, low, np.inf), axis=1, kind="stable"), axis=1, kind="stable")
+            need &= place < cells_per_query
+        return np.where(zero, len(pivots), home), need
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -95,10 +101,12 @@ def _cells_needed(pivots: np.ndarray, radius: np.ndarray, rows_by_fold: dict[int
             for lo in range(0, len(b), _STRIP):
                 here, need = reach(units[lo:lo + _STRIP], zero[lo:lo + _STRIP], np.array(may_use[lo:lo + _STRIP]))
                 home.append(here)
-                for row in need:
-                    cells = np.nonzero(row)[0]
-                    blocks.append(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in cells])
-                                  .astype(np.int32) if len(cells) else np.empty(0, dtype=np.int32))
+                row, cell = np.nonzero(need)
+                n = parts[cell]
+                begin = np.concatenate([[0], np.cumsum(n)])
+                block = np.repeat(first[cell] - begin[:-1], n) + np.arange(begin[-1])
+                each = np.bincount(row, weights=n, minlength=len(need)).astype(np.int64)
+                blocks += np.split(block.astype(np.int32), np.cumsum(each)[:-1])
             yield b.assign(home=np.concatenate(home).astype(np.int32), blocks=blocks)
 
     return run
@@ -146,17 +154,19 @@ def _query_block(n: int, block_rows: int, spark) -> int:
     return int(min(block_rows, max(-(-n // spark.sparkContext.defaultParallelism), 256)))
 
 
-def _one_block(q: DataFrame, t: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """At most block_rows train rows: every query block meets the one train block."""
-    n = q.count()
-    blocks = max(-(-n // _query_block(n, block_rows, q.sparkSession)), 1)
-    q = q.withColumn("qb", F.pmod(F.xxhash64("q_key"), F.lit(blocks)).cast("int")).withColumn("tb", F.lit(0))
-    t = t.withColumn("for_qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("in_tb", F.lit(0))
-    return q, t
+def _one_block(q: DataFrame, t: DataFrame, k: int, schema: str) -> DataFrame:
+    """At most block_rows train rows: they are sent to every task, and no row is shuffled."""
+    best, rows = _block_topk(k), q.sparkSession.sparkContext.broadcast(t.toPandas())
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield best(b, rows.value)
+
+    return q.mapInPandas(search, schema)
 
 
 def _paired_blocks(q: DataFrame, t: DataFrame, pivots: np.ndarray, k: int, block_rows: int,
-                   exclude_same_fold: bool) -> tuple[DataFrame, DataFrame]:
+                   exclude_same_fold: bool, cells_per_query: int | None) -> tuple[DataFrame, DataFrame]:
     """q with (qb, tb) and t with (for_qb, in_tb): each pair of blocks that may hold neighbours."""
     t = freeze(t.mapInPandas(_into_cells(pivots), _schema(t, "cell int, away double")))
     n_cells = len(pivots) + 1
@@ -171,7 +181,7 @@ def _paired_blocks(q: DataFrame, t: DataFrame, pivots: np.ndarray, k: int, block
     first = np.concatenate([[0], np.cumsum(parts)[:-1]])
     t = _split(t, "cell", "t_key", total, block_rows, "in_tb")
 
-    q = freeze(q.mapInPandas(_cells_needed(pivots, radius, usable, k, first, parts),
+    q = freeze(q.mapInPandas(_cells_needed(pivots, radius, usable, k, first, parts, cells_per_query),
                              _schema(q, "home int, blocks array<int>")))
     at_home = np.zeros(n_cells, dtype=np.int64)
     for r in q.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -181,13 +191,20 @@ def _paired_blocks(q: DataFrame, t: DataFrame, pivots: np.ndarray, k: int, block
     q = q.select("q_key", "q_vec", "q_fold", "qb", F.explode("blocks").alias("tb"))
 
     pairs = q.select(F.col("qb").alias("for_qb"), F.col("tb").alias("in_tb")).distinct()  # one per matrix product
-    return q, t.select("t_key", "t_vec", "t_fold", "t_label", "in_tb").join(pairs, "in_tb")
+    # A block that all queries need is copied by _SALTS tasks, each with its share of the block's rows.
+    pairs = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    t = t.select("t_key", "t_vec", "t_fold", "t_label", "in_tb", F.pmod(F.xxhash64("t_key"), F.lit(_SALTS)).cast("int").alias("_salt"))
+    return q, t.join(pairs, ["in_tb", "_salt"]).drop("_salt")
 
 
 def knn_join(query: DataFrame, train: DataFrame, k: int = 15, block_rows: int = BLOCK_ROWS,
-             exclude_same_fold: bool = False) -> DataFrame:
+             exclude_same_fold: bool = False, cells_per_query: int | None = None) -> DataFrame:
     """(q_key, t_key, t_label, dist): the k nearest train rows of each query by cosine distance.
 
+    block_rows is the size of a block. Train rows that fit one block are broadcast; more are cut into cells. Both plans
+    are exact. cells_per_query bounds the cells a query asks, for vectors without clusters, where an exact answer
+    needs them all: the result is then approximate (measure its recall), exact is the default.
+
     query needs key and vec (and fold); train needs key, vec, label (and fold). With
     exclude_same_fold a query never sees train rows of its own fold: out-of-fold in one job.
     Distances below 1e-12 count as 0; equal distances are won by the smaller key.
@@ -201,13 +218,12 @@ def knn_join(query: DataFrame, train: DataFrame, k: int = 15, block_rows: int =
     q = query.select(F.col("key").alias("q_key"), F.col("vec").alias("q_vec"),
                      (fold if exclude_same_fold else F.lit(-1)).alias("q_fold"))
     n_train = train.count()
+    schema = f"q_key {dict(q.dtypes)['q_key']}, t_key {dict(t.dtypes)['t_key']}, t_label int, dist double"
     if n_train <= block_rows:
-        q, t = _one_block(q, t, block_rows)
-    else:
-        pivots = _choose_pivots(train, -(-n_train // block_rows))
-        q, t = _paired_blocks(q, t, pivots, k, block_rows, exclude_same_fold)
-    near = q.groupBy("qb", "tb").cogroup(t.groupBy("for_qb", "in_tb")).applyInPandas(
-        _block_topk(k), f"q_key {dict(q.dtypes)['q_key']}, t_key {dict(t.dtypes)['t_key']}, t_label int, dist double")
+        return _one_block(q, t, k, schema)
+    pivots = _choose_pivots(train, -(-n_train // block_rows))
+    q, t = _paired_blocks(q, t, pivots, k, block_rows, exclude_same_fold, cells_per_query)
+    near = q.groupBy("qb", "tb").cogroup(t.groupBy("for_qb", "in_tb")).applyInPandas(_block_topk(k), schema)
     w = Window.partitionBy("q_key").orderBy("dist", "t_key")
     return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 

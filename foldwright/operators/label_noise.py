@@ -138,7 +138,9 @@ def flag_high_priority(issues: DataFrame, q: float = 0.25) -> DataFrame:
 
 
 def attach_metadata(issues: DataFrame, folds: DataFrame, columns: Sequence[str] = ("fold",)) -> DataFrame:
-    """Add columns of the folds table to issues by key."""
-    return issues.drop(*[c for c in columns if c in issues.columns]).join(
-        folds.select("key", *columns), "key"
-    )
+    """Add columns of the folds table to issues by key. An issue without a row there is an error."""
+    rows = issues.drop(*[c for c in columns if c in issues.columns]).join(
+        folds.select("key", *columns, F.lit(True).alias("_known")), "key", "left")
+    lost = F.raise_error(F.concat(F.lit("no metadata for issue "), F.coalesce(F.col("key").cast("string"), F.lit("NULL"))))
+    kind = dict(rows.dtypes)["key"]
+    return rows.withColumn("key", F.when(F.col("_known"), F.col("key")).otherwise(lost.cast(kind))).drop("_known")

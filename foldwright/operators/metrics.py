@@ -70,12 +70,14 @@ def macro_f1_of(k: int, cell=lambda i, j: F.col(f"c_{i}_{j}"), observed: bool =
 
 
 def confusion(df: DataFrame, k: int = 3, label: str = "label", pred: str = "pred") -> DataFrame:
-    """K x K rows (label, pred, n), zeros included."""
+    """K x K rows (label, pred, n), zeros included. Rows outside 0..k-1 are no cell; validate_probs reports them."""
     spark = df.sparkSession
     grid = spark.range(k * k).select(
         F.floor(F.col("id") / k).cast("int").alias("label"), (F.col("id") % k).cast("int").alias("pred")
     )
-    counts = confusion_counts(df, (), label, pred)
+    # Only cells of the grid, so the broadcast has at most k x k rows whatever stands in the columns.
+    inside = F.col(label).between(0, k - 1) & F.col(pred).between(0, k - 1)
+    counts = confusion_counts(df.where(inside), (), label, pred)
     return grid.join(F.broadcast(counts), ["label", "pred"], "left").select(
         "label", "pred", F.coalesce("n", F.lit(0)).alias("n")
     )

@@ -16,8 +16,8 @@ from foldwright.schema import CLASS_NAMES
 
 def class_distribution(df: DataFrame, k: int = 3, names: Sequence[str] = CLASS_NAMES,
                        label: str = "label") -> DataFrame:
-    """label, label_name, n, share; every class appears."""
-    counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """label, label_name, n, share; every class appears. Labels outside 0..k-1 belong to none; validate_probs reports them."""
+    counts = df.where(F.col(label).between(0, k - 1)).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     rows = classes(df.sparkSession, k).join(F.broadcast(counts), "label", "left")
     rows = rows.select("label", class_name("label", names).alias("label_name"),
                        F.coalesce("n", F.lit(0)).alias("n"))

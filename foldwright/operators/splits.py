@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foldwright.operators.ordering import hash_order, place_in_shuffle
 from foldwright.session import freeze
 
-_LARGE = 1000
+LARGE_SHARE = 1 / 1000
 
 
 def split_fold(folds: DataFrame, k: int, fold: str = "fold") -> tuple[DataFrame, DataFrame]:
@@ -36,7 +36,7 @@ def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label: str = "la
 
 
 def _deal_large(groups: list, n_folds: int, target: list[float]) -> tuple[dict, list[list[float]]]:
-    """Largest first, each to the fold whose worst class stays lowest. At most folds x 1000 groups."""
+    """Largest first, each to the fold whose worst class stays lowest. At most folds / large_share groups."""
     filled = [[0.0] * len(target) for _ in range(n_folds)]
     out = {}
     for group, counts in groups:
@@ -51,19 +51,23 @@ def _deal_large(groups: list, n_folds: int, target: list[float]) -> tuple[dict,
 
 
 def stratified_group_kfold(df: DataFrame, k: int = 5, seed: int = 42, n_classes: int = 3, label: str = "label",
-                           group: str = "group") -> DataFrame:
+                           group: str = "group", large_share: float = LARGE_SHARE) -> DataFrame:
     """Add fold so that a group never spans folds and class shares stay even.
 
-    Groups above 1/1000 of a fold number at most k x 1000; they are placed one by one on the
-    driver. All others are dealt by seeded hash so that they fill what each fold still lacks.
-    Every row needs a group.
+    Groups of more than large_share of a fold (and more than one row) number at most k / large_share;
+    they are placed one by one on the driver, the largest first. All others are dealt by seeded hash so
+    that they fill what each fold still lacks. A class's count in a fold therefore misses its even share by at
+    most the largest group plus what hashing the small groups leaves (about the square root of
+    large_share of it). A row without a group is an error.
     """
+    missing = F.raise_error(F.lit("a row has no group")).cast(dict(df.dtypes)[group])
+    df = df.withColumn(group, F.when(F.col(group).isNull(), missing).otherwise(F.col(group)))
     counts = freeze(df.groupBy(group).agg(
         F.count(F.lit(1)).alias("_size"),
         *[F.count_if(F.col(label) == c).alias(f"_n{c}") for c in range(n_classes)]))
     ns = [f"_n{c}" for c in range(n_classes)]
     totals = counts.agg(F.sum("_size").alias("n"), *[F.sum(c).alias(c) for c in ns]).first()
-    limit = (totals["n"] or 0) / (k * _LARGE)
+    limit = (totals["n"] or 0) * large_share / k
     target = [(totals[c] or 0) / k for c in ns]
 
     big = counts.where(F.col("_size") > F.lit(max(limit, 1.0)))
@@ -114,10 +118,3 @@ def sample_per_class(df: DataFrame, n: int, seed: int = 42, label: str = "label"
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, key: str = "key") -> DataFrame:
     """n rows in seeded order (top-n, no full sort)."""
     return df.withColumn("_h", hash_order(key, seed)).orderBy("_h", key).limit(n).drop("_h")
-
-
-def class_share_by_fold(folds: DataFrame, n_classes: int, extra: Sequence[Column] = ()) -> DataFrame:
-    return folds.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[(F.count_if(F.col("label") == c) / F.count(F.lit(1))).alias(f"share_{c}") for c in range(n_classes)],
-        *extra)

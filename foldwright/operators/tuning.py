@@ -137,13 +137,29 @@ def _count_candidates(candidates: np.ndarray, n_sets: int, k: int):
     return run
 
 
+def _countable(k: int, probs: Sequence[str]):
+    """The label; an error where a row cannot be counted, instead of counting it elsewhere or dropping it."""
+    finite = F.lit(True)
+    for p in probs:
+        finite = finite & F.coalesce(F.abs(F.col(p)) < float("inf"), F.lit(False)) & ~F.isnan(p)
+    known = F.coalesce(F.col("label").between(0, k - 1), F.lit(False)) & F.col("fold").isNotNull()
+    message = F.concat(F.lit("cannot tune on a row with fold "), F.coalesce(F.col("fold").cast("string"), F.lit("NULL")),
+                       F.lit(", label "), F.coalesce(F.col("label").cast("string"), F.lit("NULL")),
+                       F.when(finite, "").otherwise(" and a missing or non-finite probability"))
+    return F.when(known & finite, F.col("label")).otherwise(F.raise_error(message).cast("int"))
+
+
 def candidate_counts(df: DataFrame, candidates: Sequence[Sequence[float]], prob_cols: Sequence[str],
                      k: int = 3) -> DataFrame:
-    """(cand, fold, label, pred, n) for every candidate; df needs fold, label and the probability arrays."""
+    """(cand, fold, label, pred, n) for every candidate; df needs fold, label and the probability arrays.
+
+    A null fold, a label that is null or outside 0..k-1, and a probability that is null, NaN or infinite are errors.
+    """
     table = np.array(candidates, dtype=np.float64)
     rows = df.select(
         F.col("fold").cast("int").alias("fold"), F.col("label").cast("int").alias("label"),
         *[c.alias(f"p{s}_{i}") for s, name in enumerate(prob_cols) for i, c in enumerate(P.entries(name, k))])
+    rows = rows.withColumn("label", _countable(k, [c for c in rows.columns if c not in ("fold", "label")]))
     part = rows.mapInPandas(_count_candidates(table, len(prob_cols), k),
                             "cand int, fold int, label int, pred int, n bigint")
     return part.groupBy("cand", "fold", "label", "pred").agg(F.sum("n").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.functions import probs as P
@@ -72,10 +72,18 @@ def join_blocks(blocks: Sequence[DataFrame], key: str = "key", vec: str = "vec")
 
 
 def average_views(views: Sequence[DataFrame], key: str = "key", vec: str = "vec") -> DataFrame:
-    """Mean vector over several views of the same keys."""
-    parts = [v.select(key, F.col(vec).alias(f"_v{i}")) for i, v in enumerate(views)]
-    rows = reduce(lambda a, b: a.join(b, key), parts)
-    return rows.select(key, V.vec_mean([f"_v{i}" for i in range(len(parts))]).alias(vec))
+    """Mean vector over several views of the same keys. A key that a view lacks is an error."""
+    names = [f"_v{i}" for i in range(len(views))]
+    parts = [v.select(key, F.col(vec).alias(n)) for v, n in zip(views, names)]
+    rows = reduce(lambda a, b: a.join(b, key, "full"), parts)
+    return rows.select(key, _complete(names, V.vec_mean(names), key, "views").alias(vec))
+
+
+def _complete(names: Sequence[str], value: Column, key: str, what: str) -> Column:
+    """value; an error where one of the joined columns is missing."""
+    message = F.concat(F.lit(f"{what} do not hold the same keys: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    gap = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in names])
+    return F.when(gap, F.raise_error(message).cast("array<double>")).otherwise(value)
 
 
 def normalise_weights(names: Sequence[str], weights: Mapping[str, float] | None) -> list[float]:
@@ -91,12 +99,15 @@ def normalise_weights(names: Sequence[str], weights: Mapping[str, float] | None)
 
 def ensemble(sets: Mapping[str, DataFrame], weights: Mapping[str, float] | None = None, k: int = 3,
              key: str = "key", probs: str = "probs") -> DataFrame:
-    """(key, probs): weighted sum of probability sets joined by key; other columns come from the first."""
+    """(key, probs): weighted sum of probability sets joined by key; other columns come from the first.
+
+    All sets must hold the same keys; a key that one lacks is an error.
+    """
     names = list(sets)
     ws = normalise_weights(names, weights)
     first = sets[names[0]].withColumnRenamed(probs, "_p0")
     rows = reduce(
-        lambda a, item: a.join(sets[item[1]].select(key, F.col(probs).alias(f"_p{item[0]}")), key),
+        lambda a, item: a.join(sets[item[1]].select(key, F.col(probs).alias(f"_p{item[0]}")), key, "full"),
         list(enumerate(names))[1:], first)
     cols = [f"_p{i}" for i in range(len(names))]
-    return rows.withColumn(probs, P.blend_probs(cols, ws, k)).drop(*cols)
+    return rows.withColumn(probs, _complete(cols, P.blend_probs(cols, ws, k), key, "probability sets")).drop(*cols)

@@ -537,6 +537,30 @@ def knn_join(spark, sf):
     return rounded(knn.knn_join(vecs, vecs, 15, exclude_same_fold=True).select("q_key", "t_key", "t_label", "dist"))
 
 
+@query("knn_join_cells", twins.knn_join())
+def knn_join_cells(spark, sf):
+    """The plan for train tables above one block: pivots, cells and paired blocks."""
+    vecs = inputs.vector_table(spark, sf)
+    return rounded(knn.knn_join(vecs, vecs, 15, block_rows=64, exclude_same_fold=True).select("q_key", "t_key", "t_label", "dist"))
+
+
+@query("knn_oof_cells", twins.knn_oof())
+def knn_oof_cells(spark, sf):
+    rows = knn.knn_oof(inputs.vector_table(spark, sf), 10, block_rows=64)
+    return rounded(rows.select("key", "fold", "label", *[F.get("probs", F.lit(i)).alias(f"p{i}") for i in range(10)]))
+
+
+@query("knn_recall", "SELECT count(*) AS queries, true AS recall_at_least_90 FROM embeddings")
+def knn_recall(spark, sf):
+    """Share of the exact neighbours that a search of six cells per query finds."""
+    vecs = inputs.vector_table(spark, sf)
+    exact = knn.knn_join(vecs, vecs, 10, block_rows=64).select("q_key", "t_key")
+    near = knn.knn_join(vecs, vecs, 10, block_rows=64, cells_per_query=6).select("q_key", "t_key", F.lit(1).alias("found"))
+    return exact.join(near, ["q_key", "t_key"], "left").agg(
+        F.count_distinct("q_key").alias("queries"),
+        (F.sum(F.coalesce("found", F.lit(0))) / F.count(F.lit(1)) >= 0.9).alias("recall_at_least_90"))
+
+
 @query("knn_oof", twins.knn_oof())
 def knn_oof(spark, sf):
     rows = knn.knn_oof(inputs.vector_table(spark, sf), 10)

@@ -67,7 +67,7 @@ def decide(oof_sets: Mapping[str, DataFrame], test_sets: Mapping[str, DataFrame]
     One weight rule and one grid serve both the out-of-fold and the test side.
     """
     oof = freeze(ensemble(oof_sets, weights, k))
-    assert_ok(validate_probs(oof, k))
+    assert_ok(validate_probs(oof, k, expected=next(iter(oof_sets.values()))))
     grid = tuning.multiplier_grid() if grid is None else grid
     counts = freeze(tuning.multiplier_counts(oof, grid, k))  # candidates x folds x K x K rows
     nested_folds, summary = tuning.nested_multipliers(oof, grid, k, counts)

@@ -10,15 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores (one small file) is dealt out once; a large one is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def prob_table(spark: SparkSession, sf_dir: str, a: int = 7, b: int = 13, c: int = 29) -> DataFrame:
     """key, label, fold, probs for every order: arithmetic scores that lean towards the label."""
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     label = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
     base = o.select(F.col("o_orderkey").alias("key"), label.alias("label"),
                     (F.col("o_orderkey") % 5).cast("int").alias("fold"),

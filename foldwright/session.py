@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +28,19 @@ def local_session(app: str = "foldwright", cores: str | int | None = None) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a scratch one only if unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where none is named: a relative path, which Hadoop resolves to the user's home on the default (shared) file system;
+    with a local master, where one machine does everything, that machine's scratch folder.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foldwright-checkpoint-"))
+    one_machine = sc.master.split("[")[0] == "local"
+    scratch = f"file:{spark.conf.get('spark.local.dir', '/tmp')}/foldwright-checkpoints"
+    sc.setCheckpointDir(named or (scratch if one_machine else "foldwright-checkpoints"))
     return sc.getCheckpointDir()
 
 

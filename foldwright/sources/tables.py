@@ -60,6 +60,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
 def write_versioned(df: DataFrame, path: str, meta: Mapping | None = None, allow_overwrite: bool = False,
                     partition_by: Sequence[str] = ()) -> dict:
     """Parquet plus a manifest written after the data; refuses to replace an earlier version.
@@ -73,6 +79,9 @@ def write_versioned(df: DataFrame, path: str, meta: Mapping | None = None, allow
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     if "vec" in df.columns:
         aggs.append(F.max(F.size("vec")).alias("dim"))
+    if allow_overwrite:
+        # Without its manifest a half-written folder is never taken for complete.
+        remove(spark, f"{path}{_META}")
     df.observe(seen, *aggs).write.mode("overwrite" if allow_overwrite else "errorifexists").partitionBy(
         *partition_by).parquet(path)
     full = {**(meta or {}), **seen.get}
@@ -120,11 +129,11 @@ def submission(pred: DataFrame, template: DataFrame) -> DataFrame:
                                              "id", "left").select("pos", "id", "predicted")
 
 
-def write_submission(sub: DataFrame, path: str, single_file: bool = True) -> None:
+def write_submission(sub: DataFrame, path: str, single_file: bool = False) -> None:
     """id,predicted in template order.
 
-    An upload is one small file; with single_file=False the parts are range-sorted by pos and
-    concatenating them in name order gives the same file at any size.
+    The parts are range-sorted by pos, so concatenating them in name order gives the whole file at any size.
+    single_file=True writes one part for an upload, by a single task.
     """
     rows = sub.repartition(1).sortWithinPartitions("pos") if single_file else sub.orderBy("pos")
     rows.select("id", "predicted").write.option("header", "true").csv(path)
