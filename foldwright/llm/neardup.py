@@ -6,11 +6,11 @@
    1 + DAMPING * ln(1 + N / frequency of its cell) / ln(1 + N).
 3. Improved consistent weighted sampling gives BANDS * ROWS samples per node: two nodes share a sample with probability equal
    to their weighted Jaccard similarity. ROWS samples make a band; nodes with an equal band are candidates.
-4. In every bucket all nodes are compared with its first node (a star, never all pairs), by the weighted Jaccard similarity
+4. In every bucket all nodes are compared with one centre (a star, never all pairs), by the weighted Jaccard similarity
    of the whole texts; the plain similarity of the shingle sets counts as well, so that the IDF cannot part the copies of
    a group that makes up much of the corpus. Links make components.
-5. Only buckets that still hold several components can hide a link. Their nodes, other than those of the bucket's
-   largest component, meet all nodes of other components that share a second band and half of the samples, and are compared in the same way.
+5. Only buckets that still hold several components can hide a link. Their nodes that share a second band form clusters; in a
+   cluster the nodes outside its largest component are compared with all others, in pairs of blocks of bounded size.
 
 At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**3)**16 > 0.9999, and a second one in 0.9998 of cases.
 """
@@ -34,6 +34,7 @@ DAMPING = 0.5
 FREQUENCY_BITS = 18
 _SEGMENT = 4096
 _SHARED = 20  # of the 48 samples; a pair at 0.8 has as many with probability above 0.9999999
+_BLOCK_NODES, _BLOCK_CHARS = 2000, 8_000_000
 
 
 def _digest():
@@ -242,6 +243,99 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = state.select("node", "root")
 
 
+class _Members:
+    """Nodes of a block, ready to be compared."""
+
+    def __init__(self, rows: pd.DataFrame, idf: np.ndarray):
+        self.node, self.root = rows["node"].to_numpy(), rows["root"].to_numpy()
+        self.bands, self.samples = (np.array(rows[c].tolist()) for c in ("bands", "samples"))
+        self.features = []
+        texts = rows["text"].tolist()
+        for b, e in batches_of(texts):
+            self.features += [weighted(s, idf) for s in shingles(texts[b:e])]
+        self.size = np.array([len(f[0]) for f in self.features])
+        self.weight = np.array([f[1].sum() for f in self.features])
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+        self.hashes, self.weights = (np.concatenate([f[k] for f in self.features]) for k in (0, 1))
+
+    def like(self, k: int, among: "_Members", least: float) -> list[tuple[int, int, float]]:
+        """Links of member k to those of another component that share two bands and enough samples."""
+        chosen = np.flatnonzero((among.root != self.root[k]) & ((among.bands == self.bands[k]).sum(1) >= 2)
+                                & ((among.samples == self.samples[k]).sum(1) >= _SHARED)
+                                & (np.minimum(among.size, self.size[k]) >= (least - 0.2) * np.maximum(among.size, self.size[k])))
+        if not len(chosen):
+            return []
+        hashes, weights = self.features[k]
+        at = np.concatenate([np.arange(among.begin[c], among.begin[c + 1]) for c in chosen])
+        of = np.repeat(np.arange(len(chosen)), among.size[chosen])
+        found = np.minimum(np.searchsorted(hashes, among.hashes[at]), len(hashes) - 1)
+        both = np.flatnonzero(hashes[found] == among.hashes[at])
+        common = np.bincount(of[both], minlength=len(chosen))
+        smaller = np.bincount(of[both], weights=np.minimum(weights[found[both]], among.weights[at[both]]), minlength=len(chosen))
+        value = np.maximum(smaller / (self.weight[k] + among.weight[chosen] - smaller),
+                           common / (len(hashes) + among.size[chosen] - common))
+        return [(int(self.node[k]), int(among.node[c]), float(v)) for c, v in zip(chosen, value) if v >= least]
+
+
+def _block_links(sent, least: float):
+    def compare(minor: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(minor) and len(every):
+            one, all_ = _Members(minor, sent.value), _Members(every, sent.value)
+            for k in range(len(one.node)):
+                out += one.like(k, all_, least)
+        return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+    return compare
+
+
+def _hidden_links(shared: DataFrame, signatures: DataFrame, roots: DataFrame, texts: DataFrame, sent, least: float) -> DataFrame:
+    """Links between components that share buckets, which the stars did not compare.
+
+    Nodes of buckets with several components that share two bands form clusters. In a cluster the nodes outside its largest
+    component are compared with all others, in pairs of blocks of bounded size; a pair of nodes never leaves the task
+    unless it is a link.
+    """
+    placed = shared.join(roots, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed_buckets = store(parts.where(F.col("low") < F.col("high")).select("band"), "mixed")
+    open_nodes = placed.join(mixed_buckets, "band").join(signatures.select("node", "bands"), "node")
+    two = F.transform(F.array_remove("bands", F.col("band")), lambda other: F.xxhash64(
+        F.least(F.col("band"), other), F.greatest(F.col("band"), other)))
+    pairs_of_bands = open_nodes.select("node", F.explode(two).alias("two")).distinct()
+    centre = pairs_of_bands.groupBy("two").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
+    centre = store(centre.where(F.col("centre") < F.col("last")).drop("last"), "two-bands")
+    edges = pairs_of_bands.join(centre, "two").where(F.col("node") != F.col("centre")).select(
+        F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    clusters = components(edges).withColumnRenamed("root", "cluster")
+
+    known = clusters.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = store(known.join(texts.select("node", F.length("text").alias("chars")), "node"), "clusters")
+    per_root = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    facts = per_root.groupBy("cluster").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars"),
+        F.max("n").alias("n_main"), F.max_by("chars", F.struct("n", "root")).alias("chars_main"))
+
+    def blocks(n, chars):
+        return F.greatest(F.ceil(n / _BLOCK_NODES), F.ceil(chars / _BLOCK_CHARS)).cast("int")
+
+    facts = store(facts.where(F.col("n") > F.col("n_main")).select(
+        "cluster", "main", blocks(F.col("n"), F.col("chars")).alias("of_all"),
+        blocks(F.col("n") - F.col("n_main"), F.col("chars") - F.col("chars_main")).alias("of_minor")), "facts")
+    rows = known.drop("chars").join(facts, "cluster").join(signatures, "node")
+    place = F.xxhash64("node")
+    minor = rows.where(F.col("root") != F.col("main")).withColumn("i", F.pmod(place, F.col("of_minor")).cast("int")).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), F.col("of_all") - 1)))
+    every = rows.withColumn("j", F.pmod(place, F.col("of_all")).cast("int")).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.col("of_minor") - 1)))
+    keep = ["cluster", "i", "j", "node", "root", "samples", "bands", "text"]
+    key = ["cluster", "i", "j"]
+    left = minor.join(texts, "node").select(*keep)
+    right = every.join(texts, "node").select(*[F.col(c).alias(c) for c in keep])  # columns of its own
+    found = left.groupBy(*key).cogroup(right.groupBy(*key))
+    return store(found.applyInPandas(_block_links(sent, least), "a bigint, b bigint, similarity double"), "hidden-links")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, copy_of, stays, digest for every row: class_id is the least doc_id of the row's group of near
     duplicates, copy_of the least doc_id with exactly its text, stays whether the row is the group's one to keep, digest the
@@ -267,36 +361,23 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     signatures = store(sampled.dropDuplicates(["node"]).select("node", "samples", "bands"), "signatures")
 
     rows = signatures.select("node", F.explode("bands").alias("band"))
-    centres = rows.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("_last"))
-    buckets = store(centres.where(F.col("centre") < F.col("_last")).drop("_last"), "buckets")
-    shared = store(rows.join(buckets, "band"), "shared")
-    star = store(shared.where(F.col("node") != F.col("centre")).select(
-        F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
-
-    wanted = shared.select("node").distinct().join(firsts, "node")
+    sizes = store(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "buckets")
+    shared = store(rows.join(sizes, "band"), "shared")
+    # The original of many copies shares more bands with them than they with each other: it makes the best centre.
+    hubs = store(shared.groupBy("node").agg(F.sum("n").alias("hub")), "hubs")
+    ranked = shared.join(hubs, "node")
+    centres = store(ranked.groupBy("band").agg(F.max_by("node", F.struct("hub", -F.col("node"))).alias("centre")), "centres")
+    star = shared.join(centres, "band").where(F.col("node") != F.col("centre"))
+    star = store(star.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "star")
+
+    wanted = hubs.join(firsts, "node").drop("hub")
     needed = texts.withColumn("key", _key("doc_id")).join(wanted, ["digest", "key"]).select("node", "text")
     needed = store(needed.dropDuplicates(["node"]), "texts")
     links = _links(star, needed, idf, least, "links")
-
-    # Buckets with several components: their nodes outside the bucket's largest component against the others.
     roots = components(links)
-    placed = shared.join(roots, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed_buckets = store(sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"))
-                          .where(F.col("parts") > 1).drop("parts"), "mixed")
-    open_rows = store(placed.join(mixed_buckets, "band").join(signatures, "node").select(
-        "node", "root", (F.col("root") != F.col("main")).alias("minor"), "samples",
-        F.explode(F.transform(F.array_remove("bands", F.col("band")), lambda other: F.xxhash64(
-            F.least(F.col("band"), other), F.greatest(F.col("band"), other)))).alias("two")).distinct(), "open")
-    minor = open_rows.where("minor").select(F.col("node").alias("a"), F.col("root").alias("root_a"),
-                                            F.col("samples").alias("samples_a"), "two")
-    other = open_rows.select(F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("samples").alias("samples_b"), "two")
-    alike = F.expr("size(filter(zip_with(samples_a, samples_b, (x, y) -> x = y), z -> z))")
-    pairs = minor.join(other, "two").where((F.col("root_a") != F.col("root_b")) & (alike >= _SHARED)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _links(store(pairs, "pairs"), needed, idf, least, "more-links")
-
+    more = _hidden_links(shared, signatures, roots, needed, idf, least)
     final = components(links.unionByName(more)) if not more.isEmpty() else roots
+
     order = F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("node").alias("rep"))
     classes = nodes.join(final, "node", "left").select("digest", "node", "first", F.coalesce("root", "node").alias("root"))
     classes = store(classes, "classes")

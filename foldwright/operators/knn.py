@@ -71,7 +71,7 @@ def _cells_needed(pivots: np.ndarray, radius: np.ndarray, rows_by_fold: dict[int
     """Task function: add each query's own cell and the train blocks that may hold its k nearest rows.
 
     rows_by_fold[f][c]: rows of cell c a query of fold f may use; key None for any other fold. With cells_per_query
-    only that many of the cells are asked, those that begin nearest.
+    only that many of the cells are asked, those with the nearest pivots.
     """
     def reach(units, zero, may_use):
         d = _apart(units, pivots)
@@ -87,7 +87,8 @@ def _cells_needed(pivots: np.ndarray, radius: np.ndarray, rows_by_fold: dict[int
         home = d.argmin(axis=1) if len(pivots) else np.zeros(len(units), dtype=int)
         need = (low <= bound[:, None] + _SLACK) & (may_use > 0)
         if cells_per_query is not None:
-            place = np.argsort(np.argsort(np.where(need, low, np.inf), axis=1, kind="stable"), axis=1, kind="stable")
+            away = np.where(need, np.hstack([d, edge]), np.inf)
+            place = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1, kind="stable")
             need &= place < cells_per_query
         return np.where(zero, len(pivots), home), need
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from foldwright.functions import probs as P
 from foldwright.operators.order_stats import order_statistics, quantiles
 from foldwright.schema import CLASS_NAMES
+from foldwright.session import freeze
 
 
 def class_thresholds(df: DataFrame, k: int, probs: str = "probs") -> list[float]:
@@ -128,7 +129,7 @@ def confident_learning(df: DataFrame, k: int = 3, filter_by: str = "prune_by_noi
         quality.alias("quality"), P.top1(probs).alias("confidence"), P.margin(probs).alias("margin"),
         P.entropy_norm(probs, k).alias("entropy"),
     )
-    return flag_high_priority(issues)
+    return flag_high_priority(freeze(issues))  # few rows; the quantile takes several passes
 
 
 def flag_high_priority(issues: DataFrame, q: float = 0.25) -> DataFrame:

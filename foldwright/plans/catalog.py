@@ -18,6 +18,7 @@ from foldwright.operators import (
     dedup, diagnosis, experiments, heads, knn, label_noise, metrics, profile, review, splits, tuning, validate, vectors,
 )
 from foldwright.operators.order_stats import quantiles
+from foldwright.operators.single import beside
 from foldwright.plans import clean, decide, inputs, twins
 from foldwright.session import freeze
 from foldwright.sources import images, tables
@@ -89,12 +90,17 @@ def table_digest(spark, sf):
     return profile.table_digest(labels).drop("schema_digest")
 
 
-@query("eda_stats")
+@query("eda_stats", twins.eda_stats())
 def eda_stats(spark, sf):
+    """The nested profile row, its parts as columns."""
     docs = inputs.document_table(spark, sf)
     sizes = size_summary(spark, sf)
     dist = profile.class_distribution(inputs.labelled_documents(spark, sf), 2, ["low", "high"])
-    return profile.eda_stats(dist, sizes, dedup.duplicate_summary(docs))
+    row = profile.eda_stats(dist, sizes, dedup.duplicate_summary(docs))
+    counts, ratios = F.col("class_counts"), F.col("class_ratios")
+    return rounded(row.select(
+        counts["low"].alias("n_low"), counts["high"].alias("n_high"), ratios["low"].alias("share_low"),
+        ratios["high"].alias("share_high"), "sizes.*", "duplicate_groups", "duplicate_total", "need_group_split", "n_corrupt"))
 
 
 # --- metrics -------------------------------------------------------------------------------
@@ -144,6 +150,11 @@ def cv_summary(spark, sf):
     return rounded(metrics.cv_summary(_scored(spark, sf)))
 
 
+@query("fold_scores", twins.fold_scores())
+def fold_scores(spark, sf):
+    return rounded(metrics.fold_scores(_scored(spark, sf)))
+
+
 @query("fold_label_pivot", twins.fold_label_pivot())
 def fold_label_pivot(spark, sf):
     return rounded(metrics.fold_label_pivot(inputs.prob_table(spark, sf)))
@@ -429,10 +440,20 @@ def stratified_kfold(spark, sf):
     return splits.stratified_kfold(_folds(spark, sf).drop("fold")).select("key", "label", "fold")
 
 
-@query("stratified_group_kfold")
+@query("stratified_group_kfold", """SELECT quality AS label, count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys,
+  CAST(5 AS BIGINT) AS n_folds, true AS even FROM labels GROUP BY quality""")
 def stratified_group_kfold(spark, sf):
-    return splits.stratified_group_kfold(inputs.labelled_documents(spark, sf), n_classes=2).select(
+    """Per class: every row once, and no fold further from its even share than the largest group and a tenth of the share."""
+    rows = splits.stratified_group_kfold(inputs.labelled_documents(spark, sf), n_classes=2).select(
         "key", "label", "group", "fold")
+    per_group = freeze(rows.groupBy("label", "fold", "group").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys")))
+    per_fold = per_group.groupBy("label", "fold").agg(
+        F.sum("n").alias("n"), F.sum("keys").alias("keys"), F.max("n").alias("largest"))
+    share = F.sum("n") / 5
+    off = F.greatest(F.max("n") - share, share - F.min("n"))
+    return per_fold.groupBy("label").agg(
+        F.sum("n").alias("n_rows"), F.sum("keys").alias("n_keys"), F.count(F.lit(1)).alias("n_folds"),
+        (off <= F.max("largest") + 0.1 * share + 3).alias("even")).withColumn("label", F.col("label").cast("bigint"))
 
 
 @query("group_kfold_leaks", "SELECT CAST(0 AS BIGINT) AS n_leaks, count(*) AS n_rows FROM labels")
@@ -552,10 +573,11 @@ def knn_oof_cells(spark, sf):
 
 @query("knn_recall", "SELECT count(*) AS queries, true AS recall_at_least_90 FROM embeddings")
 def knn_recall(spark, sf):
-    """Share of the exact neighbours that a search of six cells per query finds."""
-    vecs = inputs.vector_table(spark, sf)
-    exact = knn.knn_join(vecs, vecs, 10, block_rows=64).select("q_key", "t_key")
-    near = knn.knn_join(vecs, vecs, 10, block_rows=64, cells_per_query=6).select("q_key", "t_key", F.lit(1).alias("found"))
+    """Share of the exact neighbours that a search of six cells per query finds, for vectors that cluster by label."""
+    corner = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), 3.0).otherwise(0.0))
+    vecs = inputs.vector_table(spark, sf).withColumn("vec", F.concat(corner, F.col("vec").cast("array<double>")))
+    exact = knn.knn_join(vecs, vecs, 10, block_rows=16).select("q_key", "t_key")
+    near = knn.knn_join(vecs, vecs, 10, block_rows=16, cells_per_query=6).select("q_key", "t_key", F.lit(1).alias("found"))
     return exact.join(near, ["q_key", "t_key"], "left").agg(
         F.count_distinct("q_key").alias("queries"),
         (F.sum(F.coalesce("found", F.lit(0))) / F.count(F.lit(1)) >= 0.9).alias("recall_at_least_90"))
@@ -572,37 +594,58 @@ def _features(spark, sf):
     return inputs.second_prob_table(spark, sf).withColumnRenamed("probs", "vec")
 
 
-@query("linear_oof")
+def _prediction_facts(rows: DataFrame, k: int = 3) -> DataFrame:
+    """Per fold what holds for any sound head: every key once, sums of 1, better than the commonest class."""
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    hit = (P.argmax("probs") == F.col("label")).cast("int")
+    shares = [F.sum((F.col("label") == c).cast("int")) for c in range(k)]
+    return rows.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("key").alias("n_keys"),
+        F.bool_and((F.size("probs") == k) & (F.abs(total - 1) < 1e-6)).alias("sums_to_one"),
+        (F.sum(hit) > F.greatest(*shares)).alias("beats_commonest"))
+
+
+_FACTS = """SELECT CAST(o_orderkey % 5 AS INT) AS fold, count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys,
+  true AS sums_to_one, true AS beats_commonest FROM orders {where} GROUP BY 1"""
+_FIRST_FOLD = _FACTS.format(where="WHERE o_orderkey % 5 = 0")
+
+
+def _fitted(spark, sf, head, balanced=False):
+    """The first fold predicted by a head fitted on all others."""
+    train, test = splits.split_fold(_features(spark, sf), 0)
+    return _prediction_facts(heads.fit_predict(freeze(train), test, head, 3, balanced=balanced))
+
+
+@query("linear_oof", _FACTS.format(where=""))
 def linear_oof(spark, sf):
-    oof = heads.cross_val_oof(_features(spark, sf).cache(), "linear", 3, balanced=True, check=False)
-    return oof.select("key", "fold", "label", *[F.get("probs", F.lit(i)).alias(f"p{i}") for i in range(3)])
+    return _prediction_facts(heads.cross_val_oof(freeze(_features(spark, sf)), "linear", 3, balanced=True))
 
 
-@query("linear_predict")
+@query("linear_predict", _FIRST_FOLD)
 def linear_predict(spark, sf):
-    train, test = splits.split_fold(_features(spark, sf), 0)
-    return heads.fit_predict(train.cache(), test, "linear", 3).select(
-        "key", "label", *[F.get("probs", F.lit(i)).alias(f"p{i}") for i in range(3)])
+    return _fitted(spark, sf, "linear")
 
 
-@query("mlp_predict")
+@query("mlp_predict", _FIRST_FOLD)
 def mlp_predict(spark, sf):
-    train, test = splits.split_fold(_features(spark, sf), 0)
-    return heads.fit_predict(train.cache(), test, heads.make_mlp(16, 60), 3).select(
-        "key", "label", *[F.get("probs", F.lit(i)).alias(f"p{i}") for i in range(3)])
+    return _fitted(spark, sf, "mlp")
 
 
-@query("trees_predict")
+@query("trees_predict", _FIRST_FOLD)
 def trees_predict(spark, sf):
-    train, test = splits.split_fold(_features(spark, sf), 0)
-    return heads.fit_predict(train.cache(), test, heads.make_trees(3, 4), 3, balanced=True).select(
-        "key", "label", *[F.get("probs", F.lit(i)).alias(f"p{i}") for i in range(3)])
+    return _fitted(spark, sf, "trees")
 
 
-@query("probe_grid")
+@query("probe_grid", """SELECT unnest(['joined', 'plain', 'unit', 'joined', 'plain', 'unit']) AS combo,
+  unnest(['knn', 'knn', 'knn', 'linear', 'linear', 'linear']) AS head, true AS in_range""")
 def probe_grid(spark, sf):
-    vecs = inputs.vector_table(spark, sf).cache()
-    return heads.probe_grid({"plain": vecs, "unit": vectors.l2_normalise(vecs)}, ["knn"], 10)
+    """Two vector sets and their concatenation; the boosted and neural heads have queries of their own."""
+    vecs = freeze(inputs.vector_table(spark, sf))
+    unit = freeze(vectors.l2_normalise(vecs))
+    joined = freeze(vectors.join_blocks([vecs.select("key", "vec"), unit.select("key", F.reverse("vec").alias("vec"))]).join(
+        vecs.select("key", "fold", "label"), "key"))
+    grid = heads.probe_grid({"plain": vecs, "unit": unit, "joined": joined}, ["knn", "linear"], 10)
+    return grid.select("combo", "head", (F.col("mean").between(F.col("min"), 1.0) & F.col("std").between(0.0, 0.5)).alias("in_range"))
 
 
 @query("ensemble", twins.ensemble())
@@ -656,9 +699,16 @@ def ensemble_submission(spark, sf):
     return _decision(spark, sf).submission
 
 
-@query("submission_manifest")
+@query("submission_manifest", twins.submission_manifest())
 def submission_manifest(spark, sf):
-    return _decision(spark, sf).manifest.drop("timestamp_utc")
+    """What the manifest records of the tables behind the submission, one column each."""
+    m = _decision(spark, sf).manifest
+    return rounded(m.select(
+        "submission_number", "team_name", F.col("submission_digest.n_rows").alias("n_submitted"),
+        F.col("submission_digest.content_sum").alias("submission_sum"), F.col("folds_digest.content_sum").alias("folds_sum"),
+        F.concat_ws(",", "active_compositions").alias("compositions"),
+        F.col("ensemble_weights")["a"].alias("weight_a"), F.col("ensemble_weights")["b"].alias("weight_b"),
+        F.size("multipliers").alias("n_multipliers"), F.col("timestamp_utc").isNotNull().alias("is_dated")))
 
 
 # --- experiment logs -------------------------------------------------------------------------------
@@ -686,7 +736,9 @@ def pick_winner(spark, sf):
 @query("decide_variant", twins.DECIDE_VARIANT)
 def decide_variant(spark, sf):
     grid = inputs.score_grid(spark, sf)
-    return rounded(experiments.decide_variant(grid.where("head = 'N'"), grid.where("head = 'R'"), ["task", "combo"]))
+    both = [experiments.decide_variant(grid.where("head = 'N'"), grid.where(F.col("head") == h), ["task", "combo"])
+            .withColumn("variant", F.lit(h)) for h in ("A", "R")]
+    return rounded(both[0].unionByName(both[1]))
 
 
 @query("upsert_results", twins.UPSERT_RESULTS)
@@ -694,10 +746,10 @@ def upsert_results(spark, sf):
     o = inputs.table(spark, sf, "orders")
 
     def best(status):
-        return o.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("run_name")).agg(
+        return o.where(F.col("o_orderstatus").isin(status)).groupBy(F.col("o_custkey").alias("run_name")).agg(
             F.max("o_totalprice").alias("best"), F.count(F.lit(1)).alias("n"))
 
-    return experiments.upsert_results(best("F"), best("O"))
+    return experiments.upsert_results(best(["F", "P"]), best(["O"]))
 
 
 # --- pictures ---------------------------------------------------------------------------------------
@@ -720,10 +772,20 @@ def image_stats(spark, sf):
     return images.image_stats(images.image_health(_pictures(spark, sf), _as_picture))
 
 
-@query("image_hash_groups")
+@query("image_hash_groups", """SELECT count(*) AS n, count(DISTINCT CASE WHEN html <> '' THEN md5(html) END) AS contents,
+  count(*) FILTER (WHERE html IS NULL OR html = '') AS unreadable, CAST(0 AS BIGINT) AS contents_with_two_hashes,
+  CAST(0 AS BIGINT) AS hashes_in_two_groups FROM pages""")
 def image_hash_groups(spark, sf):
-    hashes = images.phash64(_pictures(spark, sf), _as_picture).select(F.col("path").alias("key"), F.col("phash").alias("hash"))
-    return dedup.near_duplicates(hashes, 2, "components").select("key", "hash", "root")
+    """Equal pictures have one hash, unreadable ones none, and equal hashes one group."""
+    pictures = _pictures(spark, sf)
+    hashes = images.phash64(pictures, _as_picture).select(F.col("path").alias("key"), F.col("phash").alias("hash"))
+    groups = dedup.near_duplicates(hashes, 2, "components").select("key", "hash", "root")
+    seen = freeze(groups.join(pictures.select(F.col("path").alias("key"), F.md5("content").alias("content")), "key"))
+    per_content = seen.where(F.col("hash").isNotNull()).groupBy("content").agg(F.count_distinct("hash").alias("n"))
+    per_hash = seen.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.count_distinct("root").alias("n"))
+    row = seen.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hash").isNull()).alias("unreadable"))
+    return beside(row, per_content.agg(F.count(F.lit(1)).alias("contents"), F.count_if(F.col("n") > 1).alias("contents_with_two_hashes")),
+                  per_hash.agg(F.count_if(F.col("n") > 1).alias("hashes_in_two_groups")))
 
 
 @query("batch_encode", twins.BATCH_ENCODE)
@@ -811,7 +873,7 @@ def compare_cv_oof(spark, sf):
     return validate.compare_cv_oof(metrics.cv_summary(_scored(spark, sf)))
 
 
-@query("handoff_report")
+@query("handoff_report", twins.handoff_report())
 def handoff_report(spark, sf):
     probs = inputs.prob_table(spark, sf)
     return validate.combine({

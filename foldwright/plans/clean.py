@@ -45,6 +45,8 @@ def review_candidates(probs: DataFrame, folds: DataFrame, k: int = 3, pct: float
                       frac_noise: float = 0.1, names: Sequence[str] = S.CLASS_NAMES,
                       pairs: Sequence[tuple[int, int]] = S.PRIORITY_PAIRS) -> Candidates:
     """Label issues and ambiguous rows, merged, ordered and turned into an empty review log."""
+    # Both searches, and the quantiles behind them, take many passes over these rows.
+    probs = freeze(probs)
     diag = diagnosis.diagnose(probs, k)
     issues = freeze(label_issues(probs, folds, k, frac_noise=frac_noise, names=names))
     ambiguous, report = diagnosis.ambiguous_with_cap(diag, issues, pct, cap_pct, names=names, pairs=pairs)

