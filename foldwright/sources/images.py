@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import struct
-import zlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.functions.paths import file_name, suffix
+from foldwright.functions.paths import file_name
 from foldwright.functions.probs import half_even
 from foldwright.operators.splits import seeded_sample
 from foldwright.schema import FOLDER_LABELS, IMAGE_SUFFIXES
@@ -25,9 +24,14 @@ from foldwright.schema import FOLDER_LABELS, IMAGE_SUFFIXES
 Decoder = Callable[[bytes], "np.ndarray | None"]
 
 
+def image_glob() -> str:
+    """A file-name pattern for the image suffixes in either case, applied while folders are listed."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in s) for s in IMAGE_SUFFIXES) + "}"
+
+
 def _files(spark: SparkSession, root: str) -> DataFrame:
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .where(suffix("path").isin(*IMAGE_SUFFIXES)))
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", image_glob())
+            .load(root))
 
 
 def folder_label(path: str, label_map: Mapping[str, int]) -> tuple[Column, Column]:
@@ -79,8 +83,16 @@ def read_pixels(spark: SparkSession, root: str) -> DataFrame:
 
     content is height, width and channels as 32-bit numbers, then the bytes; NULL when unreadable.
     """
-    rows = (spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
-            .select("image.*").where(suffix("origin").isin(*IMAGE_SUFFIXES)))
+    return packed_pixels(spark.read.format("image").options(**image_options()).load(root))
+
+
+def image_options() -> dict[str, str]:
+    return {"dropInvalid": "false", "recursiveFileLookup": "true", "pathGlobFilter": image_glob()}
+
+
+def packed_pixels(pictures: DataFrame) -> DataFrame:
+    """path, content from rows of Spark's image source, batch or stream."""
+    rows = pictures.select("image.*")
     head = F.unhex(F.format_string("%08x%08x%08x", "height", "width", "nChannels"))
     return rows.select(F.col("origin").alias("path"), F.when(F.col("height") > 0, F.concat(head, "data")).alias("content"))
 
@@ -94,73 +106,14 @@ def decode_pixels(content: bytes | None) -> np.ndarray | None:
     return image if bands < 3 else image[:, :, [2, 1, 0, *range(3, bands)]]  # stored blue first
 
 
-def decode_png(content: bytes) -> np.ndarray | None:
-    """8-bit non-interlaced grey, RGB, palette, grey+alpha or RGBA PNG; None when damaged."""
-    try:
-        if content[:8] != b"\x89PNG\r\n\x1a\n":
-            return None
-        at, data, palette, head, ended = 8, [], None, None, False
-        while at + 8 <= len(content) and not ended:
-            size, kind = struct.unpack(">I4s", content[at:at + 8])
-            body = content[at + 8:at + 8 + size]
-            check = content[at + 8 + size:at + 12 + size]
-            if len(body) != size or struct.unpack(">I", check)[0] != zlib.crc32(kind + body):
-                return None
-            if kind == b"IHDR":
-                head = struct.unpack(">IIBBBBB", body)
-            elif kind == b"PLTE":
-                palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-            elif kind == b"IDAT":
-                data.append(body)
-            ended = kind == b"IEND"
-            at += 12 + size
-        if head is None or not ended:
-            return None
-        width, height, depth, colour, _, _, interlace = head
-        bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
-        if depth != 8 or interlace or bands is None:
-            return None
-        raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, 1 + width * bands)
-        image = _unfilter(raw, bands).reshape(height, width, bands)
-        return palette[image[:, :, 0]] if colour == 3 else image
-    except (struct.error, zlib.error, ValueError, IndexError, TypeError):
-        return None
-
-
-def _unfilter(raw: np.ndarray, bands: int) -> np.ndarray:
-    """Undo the per-line prediction of the PNG format."""
-    out = np.zeros((raw.shape[0], raw.shape[1] - 1), dtype=np.uint8)
-    above = np.zeros(out.shape[1], dtype=np.int64)
-    for y, line in enumerate(raw):
-        kind, row = int(line[0]), line[1:].astype(np.int64)
-        if kind == 1:
-            row = np.cumsum(row.reshape(-1, bands), axis=0).reshape(-1)
-        elif kind == 2:
-            row = row + above
-        elif kind in (3, 4):
-            for x in range(len(row)):
-                left = row[x - bands] if x >= bands else 0
-                up, corner = above[x], above[x - bands] if x >= bands else 0
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    guess = min(((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner)))[2]
-                row[x] = (row[x] + guess) & 255
-        elif kind != 0:
-            raise ValueError("unknown line filter")
-        above = row & 255
-        out[y] = above
-    return out
-
-
 _INSPECTED = "path string, ok boolean, width int, height int, channels int, phash bigint"
 
 
-def inspect(images: DataFrame, decoder: Decoder = decode_png) -> DataFrame:
+def inspect(images: DataFrame, decoder: Decoder = decode_pixels) -> DataFrame:
     """path, ok, width, height, channels, phash from one full decode of every file.
 
-    `images` needs path and content. An unreadable file has ok = false and NULLs.
+    `images` needs path and content: of `read_pixels`, or of `read_content` with a decoder for its format. An unreadable
+    file has ok = false and NULLs.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -177,7 +130,7 @@ def inspect(images: DataFrame, decoder: Decoder = decode_png) -> DataFrame:
     return images.select("path", "content").mapInPandas(run, _INSPECTED)
 
 
-def image_health(images: DataFrame, decoder: Decoder = decode_png) -> DataFrame:
+def image_health(images: DataFrame, decoder: Decoder = decode_pixels) -> DataFrame:
     """path, ok, width, height, channels. Split it with `healthy` and `skip_list`."""
     return inspect(images, decoder).drop("phash")
 
@@ -227,13 +180,13 @@ def phash_bits(image: np.ndarray, size: int = 32, keep: int = 8) -> int:
     return word - (1 << 64) if word >= 1 << 63 else word
 
 
-def phash64(images: DataFrame, decoder: Decoder = decode_png) -> DataFrame:
+def phash64(images: DataFrame, decoder: Decoder = decode_pixels) -> DataFrame:
     """path, phash: signed 64-bit hash, NULL for an unreadable image."""
     return inspect(images, decoder).select("path", "phash")
 
 
 def encode(images: DataFrame, encoder: Callable[[], Callable], views: Sequence[Callable] = (),
-           decoder: Decoder = decode_png, batch: int = 64) -> DataFrame:
+           decoder: Decoder = decode_pixels, batch: int = 64) -> DataFrame:
     """path, vec: encoder output per image, averaged over the plain image and its views.
 
     `encoder` is a factory called once per task; it returns a function from a list of images to

@@ -36,21 +36,6 @@ def tree(tmp_path_factory, make_png):
     return str(root)
 
 
-@pytest.mark.parametrize("line_filter", range(5))
-@pytest.mark.parametrize("bands", [1, 2, 3, 4])
-def test_png_round_trip(make_png, line_filter, bands):
-    x = np.random.default_rng(bands).integers(0, 256, (7, 9, bands)).astype(np.uint8)
-    assert np.array_equal(images.decode_png(make_png(x, line_filter)), x)
-
-
-def test_damaged_png(make_png):
-    whole = make_png(np.zeros((8, 8)))
-    flipped = whole[:45] + bytes([whole[45] ^ 255]) + whole[46:]
-    assert images.decode_png(whole) is not None
-    for content in (b"", b"no image", whole[:-5], whole[:40], flipped):
-        assert images.decode_png(content) is None
-
-
 def name(path):
     return path.rsplit("/", 1)[-1]
 
@@ -68,38 +53,40 @@ def test_scan(spark, tree):
 
 
 def test_health_and_stats(spark, tree):
-    health = images.image_health(images.read_content(spark, tree)).cache()
+    health = images.image_health(images.read_pixels(spark, tree)).cache()
     assert [name(r["path"]) for r in images.skip_list(health).collect()] == ["broken.png"]
     stats = {name(r["path"]): tuple(r)[1:] for r in images.image_stats(health).collect()}
     assert stats["a.png"] == (48, 64, 1, 0.75) and stats["rgb.png"] == (30, 20, 3, 1.5) and len(stats) == 5
     assert images.image_stats(health, sample_n=3).count() <= 3
 
 
-def test_jvm_pixels_equal_own_decoder(spark, tree):
-    def rows(df):
-        return {name(r["path"]): tuple(r)[1:] for r in df.collect()}
+def test_pixels(spark, tree):
+    seen = {name(r["path"]): tuple(r)[1:] for r in images.inspect(images.read_pixels(spark, tree)).collect()}
+    assert seen["broken.png"] == (False, None, None, None, None) and seen["rgba.png"][3] == 4
+    assert seen["a.png"][:4] == (True, 48, 64, 1)
 
-    jvm = rows(images.inspect(images.read_pixels(spark, tree), images.decode_pixels))
-    assert jvm == rows(images.inspect(images.read_content(spark, tree)))
-    assert jvm["broken.png"] == (False, None, None, None, None) and jvm["rgba.png"][3] == 4
 
-
-def test_jpeg(spark, tmp_path):
+def save_jpeg(spark, path, value=(200, 100, 50)):
     jvm = spark._jvm
     picture = jvm.java.awt.image.BufferedImage(24, 16, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
     for x in range(24):
         for y in range(16):
-            picture.setRGB(x, y, 200 * 65536 + 100 * 256 + 50)
-    assert jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(str(tmp_path / "x.jpg")))
+            picture.setRGB(x, y, value[0] * 65536 + value[1] * 256 + value[2])
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    assert jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(path))
+
+
+def test_jpeg(spark, tmp_path):
+    save_jpeg(spark, str(tmp_path / "x.jpg"))
     content = images.read_pixels(spark, str(tmp_path))
-    r = images.inspect(content, images.decode_pixels).first()
+    r = images.inspect(content).first()
     assert (r["ok"], r["width"], r["height"], r["channels"]) == (True, 24, 16, 3)
     pixels = images.decode_pixels(content.first()["content"])
     assert np.abs(pixels.reshape(-1, 3).mean(0) - [200, 100, 50]).max() < 4
 
 
 def test_phash(spark, tree):
-    h = {name(r["path"]): r["phash"] for r in images.phash64(images.read_content(spark, tree)).collect()}
+    h = {name(r["path"]): r["phash"] for r in images.phash64(images.read_pixels(spark, tree)).collect()}
     assert h["a.png"] == h["copy.PNG"] and h["broken.png"] is None
 
     def distance(a, b):
@@ -115,19 +102,19 @@ def mean_encoder():
 def test_encode_averages_views(spark, tmp_path, make_png):
     for v in (0, 50, 200):
         save(str(tmp_path / f"{v}.png"), make_png(np.full((4, 4), v)))
-    rows = images.encode(images.read_content(spark, str(tmp_path)), mean_encoder, [lambda p: p * 0 + 100], batch=2)
+    rows = images.encode(images.read_pixels(spark, str(tmp_path)), mean_encoder, [lambda p: p * 0 + 100], batch=2)
     got = {name(r["path"]): r["vec"] for r in rows.collect()}
     assert got == {"0.png": [50.0, 1.0], "50.png": [75.0, 1.0], "200.png": [150.0, 1.0]}
 
 
 def test_encode_rejects_bad_output(spark, tmp_path, make_png):
     save(str(tmp_path / "x.png"), make_png(np.zeros((4, 4))))
-    content = images.read_content(spark, str(tmp_path))
+    content = images.read_pixels(spark, str(tmp_path))
     with pytest.raises(Exception, match="finite"):
         images.encode(content, lambda: (lambda ps: np.full((len(ps), 2), np.nan))).collect()
     save(str(tmp_path / "y.png"), b"junk")
     with pytest.raises(Exception, match="unreadable"):
-        images.encode(images.read_content(spark, str(tmp_path)), mean_encoder).collect()
+        images.encode(images.read_pixels(spark, str(tmp_path)), mean_encoder).collect()
 
 
 def test_digest(spark, tree):
@@ -194,3 +181,23 @@ def test_extract_all_skips_finished(spark, tmp_path, make_png):
 def test_common_root(spark, paths, want):
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     assert images.common_root(df) == want
+
+
+def test_resume_over_jpeg_and_png(spark, tmp_path, make_png):
+    """Defaults encode both formats; a decoder of one's own gets the bytes."""
+    root = str(tmp_path / "in")
+    save(f"{root}/a.png", make_png(np.full((4, 4), 7)))
+    save_jpeg(spark, f"{root}/sub/b.JPG", (90, 90, 90))
+    save(f"{root}/notes.txt", b"no image")
+
+    def run(out):
+        rows = ingest.encode_resumable(spark, root, str(tmp_path / out), str(tmp_path / f"{out}-cp"), mean_encoder).collect()
+        return {name(r["path"]): r["vec"][0] for r in rows}
+
+    got = run("one")
+    assert set(got) == {"a.png", "b.JPG"} and got["a.png"] == 7 and abs(got["b.JPG"] - 90) < 2
+    save_jpeg(spark, f"{root}/c.jpeg", (10, 10, 10))
+    assert set(run("one")) == {"a.png", "b.JPG", "c.jpeg"}
+    sizes = ingest.encode_resumable(spark, root, str(tmp_path / "two"), str(tmp_path / "two-cp"), mean_encoder, (),
+                                    lambda content: np.full((1, 1, 1), len(content) % 251))
+    assert sizes.count() == 3
