@@ -6,7 +6,8 @@ import sys
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldwright.session import ensure_checkpoint_dir
 
@@ -30,6 +31,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that an operator's own columns beside it cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def worker_cache(name: str, make):
     """make() once per Python worker process; Spark reuses its workers for many tasks."""
     kept = sys.modules.setdefault("_foldwright_worker", types.ModuleType("_foldwright_worker")).__dict__

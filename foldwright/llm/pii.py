@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwright.llm.common import whole_row
+
 ROUNDS = 8
 
 # Alphabets within which a symbol stays.
@@ -171,12 +173,13 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str = "ps
     All other columns and all rows stay as they are; a null text stays null (found is empty), repeated rows give repeated
     results. The column named by `found` is replaced if it exists. key is secret: whoever has it can reverse the pseudonyms.
     """
-    of = F.col(text).cast("string")
+    names = [c for c in docs.columns if c != found]
+    of = F.col("_text")
     # Without a digit or an at sign nothing can match, so most texts are read once, by a search for one character class.
     hit = F.coalesce(of.rlike("[0-9@]|(?:token|secret|password|key)[\"' =:]") & of.rlike(ANY), F.lit(False))
-    names = [c for c in docs.columns if c != found]
-    rows = docs.select(*names, F.when(hit, F.regexp_extract_all(of, F.lit(ANY), F.lit(0))).alias("_matches"))
-    rows = rows.select(*names, F.expr(f"transform(_matches, v -> {_replacement('v', key)})").alias("_new"), "_matches")
+    rows = docs.select(whole_row(docs).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = rows.select("_row", "_text", F.when(hit, F.regexp_extract_all(of, F.lit(ANY), F.lit(0))).alias("_matches"))
+    rows = rows.select("_row", "_text", "_matches", F.expr(f"transform(_matches, v -> {_replacement('v', key)})").alias("_new"))
     between = F.split(of, ANY, -1)
     new_text = F.array_join(F.zip_with(between, F.concat(F.transform("_new", lambda n: n["new"]), F.array(F.lit(""))),
                                        lambda a, b: F.concat(a, b)), "")
@@ -184,7 +187,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str = "ps
         n["kind"].alias("kind"), n["new"].alias("new"), (v != n["new"]).alias("changed"))), lambda x: x["changed"])
     listed = F.transform(changed, lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("new")))
     return rows.select(
-        *[F.coalesce(new_text, of).alias(text) if c == text else F.col(f"`{c}`") for c in names],
+        *[F.coalesce(new_text, of).alias(text) if c == text else F.col("_row").getField(c).alias(c) for c in names],
         F.coalesce(listed, F.array().cast("array<struct<kind:string,new:string>>")).alias(found))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import store
+from foldwright.llm.common import store, whole_row
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -65,8 +65,8 @@ def filter_captures(captures: DataFrame, events: DataFrame, url: str = "url", fe
     blocked.
     """
     names = [c for c in captures.columns if c not in ("blocked", "lists", "matches")]
-    rows = captures.select(*[F.col(f"`{c}`") for c in names], F.col(url).cast("string").alias("_url"),
-                           F.col(fetched).cast("date").alias("_day"))
+    rows = captures.select(whole_row(captures).alias("_row"), F.col(f"`{url}`").cast("string").alias("_url"),
+                           F.col(f"`{fetched}`").cast("date").alias("_day"))
     asked = rows.select("_url", "_day").distinct().withColumn("entry", F.explode(entries(F.col("_url"))))
     asked = asked.withColumn("_month", _month(F.col("_day")))
 
@@ -86,5 +86,5 @@ def filter_captures(captures: DataFrame, events: DataFrame, url: str = "url", fe
     out = rows.join(verdicts, ["_url", "_day"], "left")
     none = F.array().cast("array<struct<list:string,entry:string,valid_from:date>>")
     out = out.withColumn("matches", F.coalesce("matches", none))
-    return out.select(*[F.col(f"`{c}`") for c in names], (F.size("matches") > 0).alias("blocked"),
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in names], (F.size("matches") > 0).alias("blocked"),
                       F.array_join(F.array_sort(F.array_distinct(F.col("matches")["list"])), ",").alias("lists"), "matches")
