@@ -73,7 +73,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> Da
     rows = df.where(v.isNotNull())
     ends = rows.groupBy(*group).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(F.lit(1)).alias("total"))
     if by:
-        rows = rows.join(F.broadcast(ends), by)
+        rows = rows.join(ends, by)
     else:
         e = ends.first()
         rows = rows.select("*", F.lit(e["lo"]).alias("lo"), F.lit(e["hi"]).alias("hi"),
@@ -114,7 +114,3 @@ def eda_stats(distribution: DataFrame, sizes: DataFrame, duplicates: DataFrame,
     return beside(counts, sizes.select(F.struct("*").alias("sizes")),
                   duplicates.select("duplicate_groups", "duplicate_total", "need_group_split"),
                   ).withColumn("n_corrupt", F.lit(n_corrupt))
-
-
-def fold_sizes(df: DataFrame) -> DataFrame:
-    return df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
