@@ -97,17 +97,20 @@ def shuffled_offsets(df: DataFrame, group: str, weight: Column, digits: int) ->
 
 
 def place_in_shuffle(df: DataFrame, group: str, key: str, seed: int, weight: Column | None = None,
-                     digits: int = 3) -> DataFrame:
+                     slice_rows: int = 50_000) -> DataFrame:
     """Add _before (weight ahead of the row in the group's seeded order) and _total.
 
-    The order is by hash, so cutting each group by hash prefix gives even slices and the
-    windows never hold more than 1/16**digits of a group.
+    The order is by hash, so cutting each group by hash prefix gives even slices. The prefix is as long as it takes for
+    a window to hold about slice_rows rows; the result does not depend on it.
     """
     weight = F.lit(1) if weight is None else weight
+    digits, n = 1, df.count()
+    while slice_rows * 16 ** digits < n and digits < 12:
+        digits += 1
     rows = df.withColumn("_h", hash_order(key, seed)).withColumn("_slot", F.substring("_h", 1, digits))
     offsets = shuffled_offsets(rows, group, weight, digits)
     ahead = (Window.partitionBy(group, "_slot").orderBy("_h", key)
              .rowsBetween(Window.unboundedPreceding, -1))
     out = rows.withColumn("_in", F.coalesce(F.sum(weight).over(ahead), F.lit(0)))
-    out = out.join(F.broadcast(offsets), [group, "_slot"])
+    out = out.join(offsets, [group, "_slot"])
     return out.withColumn("_before", F.col("_in") + F.col("_ahead")).drop("_h", "_slot", "_in", "_ahead")
