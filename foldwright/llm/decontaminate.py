@@ -121,6 +121,7 @@ class _Block:
         self.word, self.vocabulary = (np.frombuffer(row[c], np.uint64) for c in ("word", "vocabulary"))
         self.v, self.latent = (np.frombuffer(zlib.decompress(row[c]), np.float32).reshape(-1, row["rank"])
                                for c in ("v", "latent"))
+        self.v = np.vstack([self.v, np.zeros((1, self.v.shape[1]), dtype=np.float32)])
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
         self.item_words = [self.word[b:e].tolist() for b, e in zip(self.begin[:-1], self.begin[1:])]
@@ -206,17 +207,14 @@ def _search_block(block: _Block, idf, cosine, word, begin, ids):
     if not len(chosen):
         return []
     hits: dict[tuple[int, int], list[int]] = {}
-    for c in range(0, len(chosen), 2048):
-        part = chosen[c:c + 2048]
+    for c in range(0, len(chosen), 512):
+        part = chosen[c:c + 512]
         low, high = at[part], np.minimum(at[part] + 2 * STEP, begin[owner[part] + 1])
-        n = high - low
-        flat = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        known = place[flat] >= 0
-        of = np.repeat(np.arange(len(part)), n)[known]
-        rows = block.v[place[flat[known]]] * weight[flat[known], None]
-        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        latent = np.zeros((len(part), block.v.shape[1]), dtype=np.float32)
-        latent[of[starts]] = np.add.reduceat(rows, starts, axis=0)
+        cell = low[:, None] + np.arange(2 * STEP)
+        column = np.where(cell < high[:, None], place[np.minimum(cell, len(word) - 1)], -1)
+        # Words outside the vocabulary fall on the row of zeros at the end.
+        share = weight[np.minimum(cell, len(word) - 1)][:, None, :]
+        latent = np.matmul(share, block.v[column])[:, 0, :]
         cos = (latent @ block.latent.T) / np.sqrt(whole[part])[:, None]
         for p, q in zip(*np.nonzero(cos >= cosine)):
             hits.setdefault((int(owner[part[p]]), int(block.owner[q])), []).append(int(low[p]))
