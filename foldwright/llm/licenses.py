@@ -172,3 +172,51 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare: int
         F.array_join(F.array_sort(F.array_union("base", F.col("found.label"))), ",").alias("labels"),
         F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.col("found.coverage")), F.lit(0.0))).alias("score"),
         "found")
+
+
+def twin_sql(templates: tuple[Template, ...] = TEMPLATES, rare: int = 8, votes: int = 2) -> str:
+    """DuckDB SQL for scan() without `found`, over a table documents whose doc_id is unique."""
+    def values(rows):
+        return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+    postings, keys = [], []
+    for k, t in enumerate(templates):
+        text = t.text.split()
+        postings += [(k, i, w) for i, w in enumerate(text)]
+        for phrase in t.keys:
+            p = phrase.split()
+            start = next(i for i in range(len(text)) if text[i:i + len(p)] == p)
+            keys += [(k, start + i, w) for i, w in enumerate(p)]
+    base = [(n, i, w, label) for n, (phrase, label) in enumerate(BASE.items()) for i, w in enumerate(phrase.split())]
+    return f"""
+WITH cut AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(replace(coalesce(text, ''), 'K', 'Ω')),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM cut),
+postings(template, spot, word) AS (VALUES {values(postings)}), keys(template, spot, word) AS (VALUES {values(sorted(set(keys)))}),
+base(phrase, spot, word, label) AS (VALUES {values(base)}),
+labels(template, label) AS (VALUES {values([(k, t.label) for k, t in enumerate(templates)])}),
+licence AS (SELECT * FROM words WHERE word IN (SELECT word FROM postings UNION SELECT word FROM base)),
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM licence GROUP BY word),
+rarest AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word FROM licence) JOIN df USING (word)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df, word) <= {rare}),
+aligned AS (SELECT l.doc_id, p.template, l.pos - p.spot AS shift FROM licence l JOIN rarest r USING (doc_id, word)
+  JOIN postings p USING (word) GROUP BY ALL HAVING count(*) >= {votes}),
+n_keys AS (SELECT template, count(*) AS n FROM keys GROUP BY template), n_base AS (SELECT phrase, count(*) AS n FROM base GROUP BY phrase),
+n_words AS (SELECT template, count(*) AS n FROM postings GROUP BY template),
+accepted AS (SELECT a.doc_id, a.template, a.shift FROM aligned a JOIN keys k USING (template) JOIN n_keys USING (template)
+  JOIN licence l ON l.doc_id = a.doc_id AND l.pos = a.shift + k.spot AND l.word = k.word
+  GROUP BY a.doc_id, a.template, a.shift HAVING count(*) = max(n)),
+covered AS (SELECT a.doc_id, a.template, a.shift, count(*) / max(n) AS coverage
+  FROM accepted a JOIN postings p USING (template) JOIN n_words USING (template)
+  JOIN licence l ON l.doc_id = a.doc_id AND l.pos = a.shift + p.spot AND l.word = p.word GROUP BY a.doc_id, a.template, a.shift),
+placed AS (SELECT l.doc_id, b.phrase, b.label, l.pos - b.spot AS pos FROM licence l JOIN base b USING (word) JOIN n_base USING (phrase)
+  GROUP BY l.doc_id, b.phrase, b.label, l.pos - b.spot HAVING count(*) = max(n)),
+places AS (SELECT doc_id, count(DISTINCT pos) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM placed GROUP BY doc_id),
+named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
+  SELECT doc_id, label FROM placed UNION SELECT doc_id, label FROM accepted JOIN labels USING (template)) GROUP BY doc_id),
+best AS (SELECT doc_id, max(coverage) AS coverage FROM covered GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1e0 ELSE coalesce(coverage, 0e0) END AS score
+FROM cut LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)"""

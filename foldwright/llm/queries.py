@@ -38,7 +38,7 @@ def op2(spark, sf_dir):
     return language.identify(docs, language.fit(docs))
 
 
-@query("op4_license_scan")
+@query("op4_license_scan", licenses.twin_sql())
 def op4(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
 
