@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from foldwright.operators.skew import lookup
 from foldwright.session import freeze
 
 MAX_THRESHOLD = 6
+STAR_GROUP = 4096
 
 
 def duplicate_groups(df: DataFrame, fingerprint: str = "hash", key: str = "key") -> DataFrame:
@@ -86,8 +89,42 @@ def _distinct_hashes(df: DataFrame, fingerprint: str, key: str) -> DataFrame:
         F.min(key).alias("id"))
 
 
+def _in_key_order(t: int):
+    """Task function for one component: the first free hash in key order takes all free hashes within t."""
+    def resolve(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", kind="stable").reset_index(drop=True)
+        h, ids = group["h"].to_numpy().astype(np.int64).view(np.uint64), group["id"]
+        owner, free = np.zeros(len(h), dtype=np.int64), np.ones(len(h), dtype=bool)
+        for k in range(len(h)):
+            if free[k]:
+                mine = np.flatnonzero(free & (np.bitwise_count(h ^ h[k]) <= t))
+                owner[mine], free[mine] = k, False
+        return pd.DataFrame({"h": group["h"], "root": ids.to_numpy()[owner]})
+
+    return resolve
+
+
 def _star(hashes: DataFrame, t: int) -> DataFrame:
-    """(h, root): the first unvisited hash in key order takes all unvisited hashes within t."""
+    """(h, root): the first unvisited hash in key order takes all unvisited hashes within t.
+
+    Groups never cross components, so each component of at most STAR_GROUP hashes is resolved by one task, whatever the
+    order of its keys. A larger one takes rounds, in which every hash that is first among its free neighbours takes them.
+    """
+    placed = freeze(_components(hashes, t).join(hashes, "h").withColumnRenamed("root", "_part"))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    many = freeze(sizes.where(F.col("_n") > 1))
+    groups = placed.join(many, "_part")
+    kind = dict(hashes.dtypes)
+    small = groups.where(F.col("_n") <= STAR_GROUP).select("_part", "h", "id").groupBy("_part").applyInPandas(
+        _in_key_order(t), f"h {kind['h']}, root {kind['id']}")
+    alone = placed.join(many, "_part", "left_anti").select("h", F.col("id").alias("root"))
+    out = alone.unionByName(small)
+    if not many.where(F.col("_n") > STAR_GROUP).isEmpty():
+        out = out.unionByName(_star_rounds(freeze(groups.where(F.col("_n") > STAR_GROUP).select("h", "id")), t))
+    return out
+
+
+def _star_rounds(hashes: DataFrame, t: int) -> DataFrame:
     reach = freeze(hashes.join(_lowest_neighbour(hashes, hashes, t, "id"), "h"))
     alone = reach.where(F.col("low") == F.col("high")).select("h", F.col("id").alias("root"))
     todo = reach.where(F.col("low") != F.col("high")).select("h", "id", "low")

@@ -104,3 +104,38 @@ def test_bad_options(spark):
         dedup.near_duplicates(df, 7)
     with pytest.raises(ValueError):
         dedup.near_duplicates(df, 1, "other")
+
+
+def _star_by_hand(hashes, t):
+    root = {}
+    for key in sorted(hashes):
+        if key not in root:
+            for other in sorted(hashes):
+                if other not in root and bin((hashes[key] ^ hashes[other]) & (2 ** 64 - 1)).count("1") <= t:
+                    root[other] = key
+    return root
+
+
+def test_a_long_chain_takes_no_rounds(spark, monkeypatch):
+    """1000 ascending keys, each within reach of the next only: one group per task, no round per key."""
+    monkeypatch.setattr(dedup, "_star_rounds", lambda *a: pytest.fail("rounds were taken"))
+    word, chain = 0, {}
+    for key in range(1000):
+        word ^= 1 << ((key * 7) % 61)
+        chain[key] = word - (1 << 64) if word >= 1 << 63 else word
+    df = spark.createDataFrame(list(chain.items()), "key bigint, hash bigint")
+    got = {r["key"]: r["root"] for r in dedup.near_duplicates(df, 1).collect()}
+    first = {}
+    for key in sorted(chain):
+        first.setdefault(chain[key], key)
+    by_hand = _star_by_hand({k: h for h, k in first.items()}, 1)
+    assert got == {k: by_hand[first[h]] for k, h in chain.items()}
+
+
+def test_large_components_take_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    hashes = {k: int(x) for k, x in enumerate(rng.integers(0, 1 << 9, 300))}
+    df = spark.createDataFrame(list(hashes.items()), "key bigint, hash bigint")
+    one = {r["key"]: r["root"] for r in dedup.near_duplicates(df, 2).collect()}
+    monkeypatch.setattr(dedup, "STAR_GROUP", 3)
+    assert {r["key"]: r["root"] for r in dedup.near_duplicates(df, 2).collect()} == one
