@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import store
+from foldwright.llm.common import store, whole_row
 from foldwright.llm.shingles import batches_of, mixed, shingles
 
 BANDS, ROWS = 16, 3
@@ -34,7 +34,7 @@ DAMPING = 0.5
 FREQUENCY_BITS = 18
 _SEGMENT = 4096
 _SHARED = 20  # of the 48 samples; a pair at 0.8 has as many with probability above 0.9999999
-_BLOCK_NODES, _BLOCK_CHARS = 2000, 8_000_000
+_BLOCK_NODES, _BLOCK_CHARS = 1000, 8_000_000
 
 
 def _digest():
@@ -225,19 +225,23 @@ def _links(pairs: DataFrame, texts: DataFrame, sent, least: float, name: str) ->
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link: root is the least node connected to it.
 
-    Each round takes the least root among the neighbours and then the root's own root, so chains halve; every round is a
-    written table.
+    Each round takes the least root among the neighbours. Stars, the usual shape, need two rounds; from the third on
+    a node also takes its root's own root, so chains halve. Every round is a written table.
     """
     edges = store(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(
         links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges")
     state = store(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("root")).withColumnRenamed("x", "node"), "roots")
+    rounds = 0
     while True:
+        rounds += 1
         near = edges.join(state.select(F.col("node").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
-        step = store(state.join(near.withColumnRenamed("x", "node"), "node").select(
-            "node", "root", F.least("root", "near").alias("new")), "step")
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("next"))
-        state = store(step.join(jump, "new").select(
-            "node", F.least("new", "next").alias("root"), (F.least("new", "next") != F.col("root")).alias("moved")), "roots")
+        step = state.join(near.withColumnRenamed("x", "node"), "node").select(
+            "node", "root", F.least("root", "near").alias("new"))
+        if rounds > 2:
+            step = store(step, "step")
+            jump = step.select(F.col("node").alias("new"), F.col("new").alias("next"))
+            step = step.join(jump, "new").select("node", "root", F.least("new", "next").alias("new"))
+        state = store(step.select("node", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")), "roots")
         if state.where("moved").isEmpty():
             return state.select("node", "root")
         state = state.select("node", "root")
@@ -305,8 +309,11 @@ def _hidden_links(shared: DataFrame, signatures: DataFrame, roots: DataFrame, te
     pairs_of_bands = open_nodes.select("node", F.explode(two).alias("two")).distinct()
     centre = pairs_of_bands.groupBy("two").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
     centre = store(centre.where(F.col("centre") < F.col("last")).drop("last"), "two-bands")
-    edges = pairs_of_bands.join(centre, "two").where(F.col("node") != F.col("centre")).select(
-        F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    spokes = store(pairs_of_bands.join(centre, "two").select("node", "centre").distinct(), "spokes")
+    # A node ties its centres to the least of them; nodes of one group have the same few centres, so few edges are left.
+    hub = spokes.groupBy("node").agg(F.min("centre").alias("hub"))
+    ties = spokes.join(hub, "node").select(F.col("hub").alias("a"), F.col("centre").alias("b"))
+    edges = ties.unionByName(hub.select(F.col("hub").alias("a"), F.col("node").alias("b"))).where("a <> b").distinct()
     clusters = components(edges).withColumnRenamed("root", "cluster")
 
     known = clusters.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -400,9 +407,8 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     stays = near_duplicates(docs, least).where("stays").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_rows"))
     stays = store(stays.where(F.col("digest").isNotNull()), "stays")
-    names = docs.columns
-    rows = docs.where(F.col("text").isNotNull()).withColumns({"_digest": _digest(), "_key": _key("doc_id")})
-    rows = rows.join(stays.select(_key("doc_id").alias("_key"), F.col("digest").alias("_digest")), ["_digest", "_key"])
+    rows = docs.where(F.col("text").isNotNull()).select(whole_row(docs).alias("row"), _digest().alias("digest"), _key("doc_id"))
+    rows = rows.join(stays.select("digest", _key("doc_id")), ["digest", "key"])
     if not stays.where(F.col("_rows") > 1).isEmpty():
-        rows = rows.dropDuplicates(["_digest", "_key"])
-    return rows.select(*names).unionByName(docs.where(F.col("text").isNull()))
+        rows = rows.dropDuplicates(["digest", "key"])
+    return rows.select("row.*").unionByName(docs.where(F.col("text").isNull()))
