@@ -7,28 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The default label map and the file contracts users exchange.
+# The default label map.
 CLASS_NAMES = ("Recyclable", "Electronic", "Organic")
 FOLDER_LABELS = {"0_Recyclable": 0, "1_Electronic": 1, "2_Organic": 2}
 PRIORITY_PAIRS = ((0, 2), (2, 0))
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
 DECISIONS = ("keep", "relabel", "drop")
-FOLDS_CSV = ("filepath", "label", "fold")
-SUBMISSION_CSV = ("id", "predicted")
-LABEL_ISSUES_CSV = (
-    "filepath", "fold", "label_asli", "label_asli_name", "label_predicted", "label_predicted_name",
-    "label_quality_score", "confidence", "margin", "entropy", "is_high_priority",
-)
-AMBIGUOUS_CSV = (
-    "filepath", "fold", "label", "pred_class", "margin", "entropy", "top1_prob", "top2_prob",
-    "pair_label_pred", "is_priority_pair", "ambig_source", "is_double_flagged",
-)
-REVIEW_CSV = (
-    "filepath", "fold", "label_asli", "label_baru", "keputusan", "alasan", "reviewer",
-    "margin", "label_quality_score", "is_double_flagged",
-)
 
-# Names inside the engine -> names in the exchanged files.
+# Names inside the engine -> headers of the exchanged files, in their order.
 ISSUE_EXPORT = {
     "key": "filepath", "fold": "fold", "label": "label_asli", "label_name": "label_asli_name",
     "pred_class": "label_predicted", "pred_name": "label_predicted_name",

@@ -67,9 +67,7 @@ def test_export_contract(spark, tmp_path):
     part = [f for f in os.listdir(tmp_path / "x") if f.endswith(".csv")]
     with open(tmp_path / "x" / part[0]) as f:
         assert f.read() == "filepath,fold,label_asli,margin\na,0,1,0.25\nb,1,2,0.5\n"
-    assert list(S.ISSUE_EXPORT.values()) == list(S.LABEL_ISSUES_CSV)
-    assert list(S.AMBIGUOUS_EXPORT.values()) == list(S.AMBIGUOUS_CSV)
-    assert list(S.REVIEW_EXPORT.values()) == list(S.REVIEW_CSV) and S.REVIEW.fieldNames() == list(S.REVIEW_CSV)
+    assert list(S.REVIEW_EXPORT.values()) == S.REVIEW.fieldNames() and list(S.FOLDS_EXPORT.values()) == S.FOLDS.fieldNames()
 
 
 def test_submission_file(spark, tmp_path):
