@@ -25,8 +25,8 @@ from foldwright.llm.common import store
 WINDOW = 16
 PASSAGE_WORDS = 50
 SEED_WORDS = 20
-_BATCH_BYTES = 4_000_000
-_STRETCH = "digest bigint, doc_id bigint, tag int, nth int, start int, stop int, word int, stop_word int"
+_BATCH_BYTES = 1_500_000
+_STRETCH = "digest bigint, doc_id bigint, tag int, at bigint, place bigint"
 _CHAIN = "doc_id bigint, tag int, start int, stop int, words int, first_doc bigint, first_start int"
 
 
@@ -95,6 +95,21 @@ def stretches(chunks: list[tuple[int, int, int]], seed_words: int) -> list[tuple
     return out
 
 
+def _packed(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers per stretch, so that little is shuffled: (start, stop) and (nth, word, number of words)."""
+    nth, start, stop, word, stop_word = flat.T
+    return (start << 32) | stop, (nth << 35) | (word << 6) | (stop_word - word)
+
+
+def _unpacked(df: DataFrame) -> DataFrame:
+    low32 = F.lit((1 << 32) - 1)
+    word = F.shiftright("place", 6).bitwiseAND(F.lit((1 << 29) - 1))
+    return df.select(
+        *[c for c in df.columns if c not in ("at", "place")], F.shiftright("place", 35).cast("int").alias("nth"),
+        F.shiftright("at", 32).cast("int").alias("start"), F.col("at").bitwiseAND(low32).cast("int").alias("stop"),
+        word.cast("int").alias("word"), (word + F.col("place").bitwiseAND(F.lit(63))).cast("int").alias("stop_word"))
+
+
 def _stretched(seed_words: int, least: int, most: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,13 +125,13 @@ def _stretched(seed_words: int, least: int, most: int, bits: int):
                 found = [stretches(c, seed_words) for c in cut(part, least, most, bits)]
                 digest = [xxhash.xxh3_64_intdigest(t[x[1]:x[2]]) for t, xs in zip(part, found) for x in xs]
                 n = [len(xs) for xs in found]
-                flat = np.array([x for xs in found for x in xs], dtype=np.int32).reshape(-1, 5)
+                flat = np.array([x for xs in found for x in xs], dtype=np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.array(digest, dtype=np.uint64).view(np.int64)),
                     pa.array(np.repeat(np.array(ids[begin:end], dtype=np.int64), n)),
                     pa.array(np.repeat(np.array(tags[begin:end], dtype=np.int32), n)),
-                    *[pa.array(np.ascontiguousarray(flat[:, k])) for k in range(5)],
-                ], names=["digest", "doc_id", "tag", "nth", "start", "stop", "word", "stop_word"])
+                    *[pa.array(x) for x in _packed(flat)],
+                ], names=["digest", "doc_id", "tag", "at", "place"])
                 begin = end
 
     return run
@@ -131,7 +146,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def chunk(docs: DataFrame, seed_words: int = SEED_WORDS, least: int = 3, most: int = 24, bits: int = 2) -> DataFrame:
-    """One row per stretch: digest, doc_id, tag, nth chunk, start, stop, word, stop_word. Null and short texts have none."""
+    """One row per stretch: digest, doc_id, tag, and packed its extent and place (see _unpacked). Null and short texts have
+    none."""
+    if seed_words + most > 63:
+        raise ValueError("a stretch must hold fewer than 64 words")
     return _texts(docs).mapInArrow(_stretched(seed_words, least, most, bits), _STRETCH)
 
 
@@ -235,7 +253,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, seed_
     # Only digests of two documents go on; the stored sides leave the join two plain exchanges, which Spark can split.
     ends = pieces.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last"))
     repeated = store(ends.where(F.col("first_doc") < F.col("_last")).drop("_last"), "repeated")
-    shared = store(pieces.join(repeated, "digest"), "shared")
+    shared = store(_unpacked(pieces.join(repeated, "digest")), "shared")
     first = store(shared.where(F.col("doc_id") == F.col("first_doc")).groupBy("digest")
                   .agg(F.min("start").alias("first_start")), "first")
     hits = shared.where(F.col("doc_id") > F.col("first_doc")).join(first, "digest")
