@@ -13,8 +13,8 @@ from foldwright.llm import decontaminate, language, neardup, packing, pii
 from foldwright.llm.common import store, table
 from foldwright.llm.queries import PII_KEY, TOKENIZER
 
-#: A text is in none of the learned languages if even the best one needs this many bits per character of it.
-MOST_BITS = 5.0
+#: A text is in none of the learned languages (another script) if the best one needs more bits per character of it.
+MOST_BITS = 8.0
 #: Shorter texts say too little about that.
 LEAST_CHARS = 64
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +40,25 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def worker_cache(name: str, make):
-    """make() once per Python worker process; Spark reuses its workers for many tasks."""
+def text_slices(batch: pa.RecordBatch, column: str | int, most_chars: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive rows of a batch with their texts ("" for null), at most most_chars bytes together or one row.
+
+    Only one slice at a time is turned into Python strings, so memory follows most_chars, not the batch.
+    """
+    size = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)))
+    begin = 0
+    while begin < batch.num_rows:
+        before = size[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(size, before + most_chars, side="right")))
+        part = batch.slice(begin, end - begin)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
+        begin = end
+
+
+def worker_cache(kind: str, key: str, make):
+    """make() once per Python worker process and key; a worker keeps one object of each kind, the last one used."""
     kept = sys.modules.setdefault("_foldwright_worker", types.ModuleType("_foldwright_worker")).__dict__
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    if kept.get(kind, (None,))[0] != key:
+        kept.pop(kind, None)  # free the old one first
+        kept[kind] = (key, make())
+    return kept[kind][1]

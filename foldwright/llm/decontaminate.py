@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import store
-from foldwright.llm.shingles import batches_of, words
+from foldwright.llm.common import store, text_slices
+from foldwright.llm.shingles import words
 
 STEP = 16  # a passage is two steps of words, and passages are one step apart
 COSINE = 0.4
@@ -42,9 +42,8 @@ def _cells(word: np.ndarray) -> np.ndarray:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for b, e in batches_of(texts):
-            word, begin = words(texts[b:e])
+        for _, texts in text_slices(batch, 0):
+            word, begin = words(texts)
             cell = _cells(word)
             distinct = [np.unique(cell[x:y]) for x, y in zip(begin[:-1], begin[1:])]
             counts += np.bincount(np.concatenate(distinct), minlength=len(counts))
@@ -174,13 +173,12 @@ def _searched(sent_blocks, sent_idf, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, idf = [_Block(r) for r in sent_blocks.value], sent_idf.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
-            for b, e in batches_of(texts):
-                word, begin = words(texts[b:e])
+            for rows, texts in text_slices(batch, 1):
+                word, begin = words(texts)
                 if len(word):
                     for block in blocks:
-                        out += _search_block(block, idf, cosine, word, begin, ids[b:e])
+                        out += _search_block(block, idf, cosine, word, begin, rows.column(0).to_pylist())
             if out:
                 doc, item, share, kind, first = zip(*out)
                 yield pa.RecordBatch.from_arrays(

@@ -24,11 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.llm.common import worker_cache
+from foldwright.llm.common import text_slices, worker_cache
 
 UNDETERMINED = "und"
 BLOCK = 256
-_BATCH_CHARS = 2_000_000
 _SEPARATOR = 0
 
 
@@ -89,7 +88,7 @@ class Model:
         return h.hexdigest()
 
 
-def fit(docs: DataFrame, sample_rows: int = 256, window: int = 320, sample_chars: int = 65_536,
+def fit(docs: DataFrame, sample_rows: int = 192, window: int = 320, sample_chars: int = 49_152,
         max_languages: int = 64) -> Model:
     """Learn from rows with text, lang and doc_id outside the held-out quarter.
 
@@ -184,20 +183,13 @@ class _Parser:
         return out, n
 
 
-def _predict(sent, key: str):
+def _predict(sent, key: str, judged: str, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)
-        parser = worker_cache(f"language {key}", lambda: _Parser(model)) if model.languages else None
+        parser = worker_cache("language", key, lambda: _Parser(model)) if model.languages else None
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            texts = [t or "" for t in batch.column("_judged").to_pylist()]
-            begin = 0
-            while begin < len(texts):
-                end, chars = begin, 0
-                while end < len(texts) and (end == begin or chars + len(texts[end]) <= _BATCH_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                part = texts[begin:end]
+            for rows, part in text_slices(batch, judged):
                 best, score, bits = np.full(len(part), -1), np.zeros(len(part)), np.full(len(part), np.nan)
                 if parser:
                     count, n = parser.phrases(part)
@@ -209,12 +201,10 @@ def _predict(sent, key: str):
                         second = np.take_along_axis(h, order[:, 1:2], 1)[:, 0] if h.shape[1] > 1 else np.full(len(h), np.inf)
                         best[known], bits[known] = order[:, 0], least
                         score[known] = np.clip(1 - least / np.maximum(second, 1e-12), 0, 1)
-                columns = batch.slice(begin, end - begin).drop_columns(["_judged"])
                 yield pa.RecordBatch.from_arrays(
-                    [*columns.columns, pa.array(names[best], pa.string()), pa.array(score),
+                    [*[rows.column(c) for c in carried], pa.array(names[best], pa.string()), pa.array(score),
                      pa.array(bits, mask=np.isnan(bits))],
-                    names=[*columns.schema.names, "lang_pred", "score", "bits"])
-                begin = end
+                    names=[*carried, "lang_pred", "score", "bits"])
 
     return run
 
@@ -233,8 +223,11 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -
         carried = [F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out")]
     else:
         carried = [F.col(f"`{c}`") for c in keep if c not in ("lang_pred", "score", "bits")]
-    rows = docs.select(*carried, F.col("text").cast("string").alias("_judged"))
     schema = docs.select(*carried).schema
+    names = list(schema.names)
+    # A text that is carried along anyway is sent to Python once.
+    judged = "text" if "text" in names and dict(docs.dtypes)["text"] == "string" else "_judged_text"
+    rows = docs.select(*carried, *([] if judged == "text" else [F.col("text").cast("string").alias(judged)]))
     for name, kind in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits", T.DoubleType())):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(_predict(sent, model.key()), schema)
+    return rows.mapInArrow(_predict(sent, model.key(), judged, names), schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import store, whole_row
+from foldwright.llm.common import store, text_slices, whole_row
 from foldwright.llm.shingles import batches_of, mixed, shingles
 
 BANDS, ROWS = 16, 3
@@ -61,9 +61,8 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for b, e in batches_of(texts):
-            distinct = [np.unique(s) for s in shingles(texts[b:e])]
+        for _, texts in text_slices(batch, 0):
+            distinct = [np.unique(s) for s in shingles(texts)]
             counts += np.bincount(_cells(np.concatenate(distinct)), minlength=len(counts))
     for segment, part in enumerate(counts.reshape(-1, _SEGMENT)):
         if part.any():
@@ -171,18 +170,17 @@ def _sampled(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, sampler = sent.value, Sampler()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for b, e in batches_of(texts):
-                found = [weighted(s, idf) for s in shingles(texts[b:e])]
+            for rows, texts in text_slices(batch, "text"):
+                found = [weighted(s, idf) for s in shingles(texts)]
                 full = [k for k, f in enumerate(found) if len(f[0])]
                 if not full:
                     continue
                 sizes = [len(found[k][0]) for k in full]
                 samples = sampler(np.concatenate([found[k][0] for k in full]), np.concatenate([found[k][1] for k in full]),
                                   np.cumsum([0, *sizes[:-1]]))
-                keep = pa.array([b + k for k in full])
+                keep = pa.array(full)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(keep), batch.column("digest").take(keep),
+                    rows.column("doc_id").take(keep), rows.column("digest").take(keep),
                     pa.array([list(x) for x in samples.view(np.int32)], pa.list_(pa.int32())),
                     pa.array([list(x) for x in bands(samples)], pa.list_(pa.int64())),
                 ], names=["doc_id", "digest", "samples", "bands"])

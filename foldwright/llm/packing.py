@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.llm.common import store, worker_cache
+from foldwright.llm.common import store, text_slices, worker_cache
 
 SIZE = 1024
 END_ID = 2
@@ -66,8 +66,10 @@ class _Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.engine = Tokenizer.from_file(path), _same_merges(path)
-        self.tokenizer.encode_special_tokens = True
+        self.engine = _same_merges(path)
+        if self.engine is None:
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
 
     def __call__(self, text: str) -> bytes:
         if self.engine:
@@ -76,18 +78,16 @@ class _Encoder:
 
 
 def _encoder(path: str) -> _Encoder:
-    return worker_cache(f"encoder {path}", lambda: _Encoder(path))
+    return worker_cache("encoder", path, lambda: _Encoder(path))
 
 
-def _tokenized(path: str, size: int, end_id: int, encode_rows: int = 500):
+def _tokenized(path: str, size: int, end_id: int):
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, seen = _encoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows, encode_rows):
-                part = whole.slice(at, encode_rows)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            for part, texts in text_slices(whole, 1, 1_000_000):
                 rows, raw = [], []
                 for doc, text in zip(part.column(0).to_pylist(), texts):
                     ids = encoder(text) + end

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 SHINGLE = 5
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _WORD = np.zeros(256, dtype=np.int8)
@@ -76,7 +76,7 @@ def shingles(texts: list[str], n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def batches_of(texts: list[str], most_chars: int = 1_500_000):
+def batches_of(texts: list[str], most_chars: int = 500_000):
     """(begin, end) of consecutive texts of at most most_chars characters together, one text at least."""
     begin = 0
     while begin < len(texts):
