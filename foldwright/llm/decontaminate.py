@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, then longest-common-subsequence and answer checks.
 
 1. Document frequencies of words over all documents, in a table of hashed cells of fixed size, give the TF-IDF weights.
-2. The benchmark's texts are cut into overlapping passages. Blocks of passages are factorised by randomised SVD, one task
-   per block: a block's index is its vocabulary, the leading right singular vectors and the passages' latent vectors.
+2. The benchmark's texts are cut into overlapping passages. Blocks of at most RANK passages are factorised by randomised SVD,
+   a task per group of items: a block's index is its vocabulary, the right singular vectors and the passages' latent vectors.
+   With no more passages than directions, a passage keeps its norm, however long the items are.
 3. Every passage of every document is projected and compared by cosine. A passage's weight on a block's vocabulary bounds its
    cosine, so those that cannot reach the threshold are never projected.
 4. The words around a hit are compared with the whole item: the longest common subsequence must cover most of it, or, for
@@ -85,26 +86,36 @@ def _passages(word: np.ndarray) -> list[np.ndarray]:
     return [word[s:s + 2 * STEP] for s in range(0, max(1, len(word) - STEP), STEP)]
 
 
+def _block_rows(idf: np.ndarray, vocabulary: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
+    """(passages, words of the block) TF-IDF rows of length 1."""
+    rows = np.zeros((len(passages), len(vocabulary)), dtype=np.float32)
+    for row, p in zip(rows, passages):
+        np.add.at(row, np.searchsorted(vocabulary, p), idf[_cells(p)])
+        row /= max(float(np.linalg.norm(row)), 1e-9)
+    return rows
+
+
 def _block_index(idf: np.ndarray):
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["item_id", "text"], kind="stable")
+        ids = group["item_id"].to_numpy(np.int64)
         word, begin = words(group["text"].tolist())
-        vocabulary = np.unique(word)
-        rows, owner = [], []
-        for k, (b, e) in enumerate(zip(begin[:-1], begin[1:])):
-            for p in _passages(word[b:e]):
-                row = np.zeros(len(vocabulary), dtype=np.float32)
-                np.add.at(row, np.searchsorted(vocabulary, p), idf[_cells(p)])
-                rows.append(row / max(float(np.linalg.norm(row)), 1e-9))
-                owner.append(k)
-        a = np.stack(rows)
-        v = randomized_svd(a, RANK)
-        latent = a @ v
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        return pd.DataFrame([[group["item_id"].to_numpy(np.int64).tobytes(), begin.astype(np.int64).tobytes(), word.tobytes(),
-                              vocabulary.tobytes(), zlib.compress(v.tobytes()), zlib.compress(latent.tobytes()),
-                              np.array(owner, dtype=np.int64).tobytes(), v.shape[1]]],
-                            columns=["items", "begin", "word", "vocabulary", "v", "latent", "owner", "rank"])
+        cut = [(k, p) for k, (b, e) in enumerate(zip(begin[:-1], begin[1:])) for p in _passages(word[b:e])]
+        out = []
+        # No block has more passages than directions, so a passage keeps its norm; a long item may lie in several blocks.
+        for block in np.array_split(np.arange(len(cut)), -(-len(cut) // RANK)):
+            held, owner = np.unique([cut[i][0] for i in block], return_inverse=True)
+            passages = [cut[i][1] for i in block]
+            vocabulary = np.unique(np.concatenate(passages))
+            a = _block_rows(idf, vocabulary, passages)
+            v = randomized_svd(a, RANK)
+            latent = a @ v
+            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+            texts = [word[begin[k]:begin[k + 1]] for k in held]
+            out.append([ids[held].tobytes(), np.cumsum([0] + [len(t) for t in texts]).astype(np.int64).tobytes(),
+                        np.concatenate(texts).tobytes(), vocabulary.tobytes(), zlib.compress(v.tobytes()),
+                        zlib.compress(latent.tobytes()), owner.astype(np.int64).tobytes(), v.shape[1]])
+        return pd.DataFrame(out, columns=["items", "begin", "word", "vocabulary", "v", "latent", "owner", "rank"])
 
     return build
 

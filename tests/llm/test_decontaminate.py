@@ -1,6 +1,7 @@
 """Decontamination: subsequences by definition, the factorisation, recall against brute force, edge rows."""
 
 import numpy as np
+import pandas as pd
 
 from foldwright.llm import decontaminate
 from foldwright.llm.shingles import words
@@ -79,6 +80,33 @@ def test_planted(spark):
     assert len(got & want) >= 0.97 * len(want) and not got - want - brute(rows, bench)
 
 
+def test_long_items():
+    """Items of 500 words, some thirty passages each: verbatim and with 30 % of the words changed."""
+    rng = np.random.default_rng(4)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 100000, n)]
+    items = [text(500) for _ in range(80)]
+    docs = []
+    for i in range(40):
+        inserted = list(items[i])
+        if i % 2:
+            for k in rng.choice(400, 150, replace=False):
+                inserted[k] = f"p{rng.integers(0, 10 ** 6)}"
+        docs.append(" ".join(text(100) + inserted + text(100)))
+    idf = np.ones(1 << decontaminate.CELL_BITS, dtype=np.float32)
+    index = decontaminate._block_index(idf)(pd.DataFrame({"item_id": range(80), "text": [" ".join(w) for w in items]}))
+    word, begin = words(docs)
+    found = [decontaminate._search_block(decontaminate._Block(r), idf, decontaminate.COSINE, word, begin, list(range(40)))
+             for r in index.to_dict("records")]
+    assert {(d, i) for f in found for d, i, *_ in f} == {(d, d) for d in range(40)}
+    # A passage's cosine with itself: its norm after the projection.
+    own = np.zeros(31)
+    for block in map(decontaminate._Block, index.to_dict("records")):
+        for k, p in enumerate(decontaminate._passages(words([" ".join(items[0])])[0])):
+            latent = block.v[block.places(p)].sum(axis=0)
+            own[k] = max(own[k], (block.latent @ latent).max() / np.sqrt((np.unique(p, return_counts=True)[1] ** 2).sum()))
+    assert own.min() > 0.99
+
+
 def test_edges(spark, edges, no_docs):
     bench = [(1, "one two"), (2, None), (3, ""), (None, "one two"), (4, "..."), (5, "two"), (6, "nobody in the old harbour town could say"),
              (1, "one two")]
