@@ -6,7 +6,9 @@
    With no more passages than directions, a passage keeps its norm, however long the items are.
 3. Every passage of every document is projected and compared by cosine. A passage's weight on a block's vocabulary bounds its
    cosine, so those that cannot reach the threshold are never projected.
-4. The words around a hit are compared with the whole item: the longest common subsequence must cover most of it, or, for
+4. A short item is a small part of a document's passage, so items of up to SMALL words are also looked up by their rarest words,
+   one of which every copy must hold, and by their answers' rarest word; those under SHORT words by one word of theirs.
+5. The words around a hit are compared with the whole item: the longest common subsequence must cover most of it, or, for
    a paraphrase, much of it and the answer (the item's last words) word for word.
 
 The benchmark is read in parts of at most PART_CHARS characters; what a part broadcasts is bounded by that.
@@ -29,6 +31,7 @@ from foldwright.llm.shingles import words
 STEP = 16  # a passage is two steps of words, and passages are one step apart
 COSINE = 0.4
 COPY, PARAPHRASE = 0.8, 0.6
+SMALL = 2 * STEP  # items of up to so many words are looked up by single words as well
 SHORT = 8  # items of fewer words must stand word for word
 BLOCK_ITEMS, RANK = 200, 256
 PART_CHARS = 1_000_000
@@ -123,10 +126,34 @@ def _block_index(idf: np.ndarray):
 _INDEX = ("items binary, begin binary, word binary, vocabulary binary, v binary, latent binary, owner binary, rank bigint")
 
 
+def _keys(k: int, word: np.ndarray, idf: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(word, k, run, size, at) for an item of up to SMALL words: where it can stand, one of these words does, and item[run:run +
+    size] word for word around it, the word being its at-th.
+
+    A copy lacks at most a part 1 - COPY of the item's words, so it holds one of any few more of them: the rarest are taken.
+    A paraphrase holds the answer, and items under SHORT words stand as they are.
+    """
+    n = len(word)
+    if not 0 < n <= SMALL:
+        return []
+    rarity = idf[_cells(word)]
+
+    def run(first: int, size: int) -> tuple[int, int, int, int, int]:
+        at = int(np.argmax(rarity[first:first + size]))
+        return int(word[first + at]), k, first, size, at
+
+    if n < SHORT:
+        return [run(0, n)]
+    lacking = next(m for m in range(n, -1, -1) if (n - m) / n >= COPY)
+    rarest = np.argsort(-rarity, kind="stable")[:lacking + 1]
+    answer = max(3, n // 5)
+    return [(w, k, 0, 1, 0) for w in {int(word[i]) for i in rarest}] + [run(n - answer, answer)]
+
+
 class _Block:
     """One factorised block of items, ready to be asked."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, idf: np.ndarray):
         self.items, self.begin, self.owner = (np.frombuffer(row[c], np.int64) for c in ("items", "begin", "owner"))
         self.word, self.vocabulary = (np.frombuffer(row[c], np.uint64) for c in ("word", "vocabulary"))
         self.v, self.latent = (np.frombuffer(zlib.decompress(row[c]), np.float32).reshape(-1, row["rank"])
@@ -135,6 +162,12 @@ class _Block:
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
         self.item_words = [self.word[b:e].tolist() for b, e in zip(self.begin[:-1], self.begin[1:])]
+        keys = [x for k, (b, e) in enumerate(zip(self.begin[:-1], self.begin[1:])) for x in _keys(k, self.word[b:e], idf)]
+        self.key_place, self.key_item, self.key_run, self.key_size, self.key_at = np.array(
+            [(int(np.searchsorted(self.vocabulary, w)), *x) for w, *x in keys], dtype=np.int64).reshape(-1, 5).T
+        order = np.argsort(self.key_place, kind="stable")
+        for c in ("place", "item", "run", "size", "at"):
+            setattr(self, f"key_{c}", getattr(self, f"key_{c}")[order])
 
     def places(self, word: np.ndarray) -> np.ndarray:
         """Column of every word, -1 outside the vocabulary."""
@@ -182,14 +215,17 @@ def judge(item: list[int], text: list[int]) -> tuple[float, str | None]:
 
 def _searched(sent_blocks, sent_idf, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, idf = [_Block(r) for r in sent_blocks.value], sent_idf.value
+        idf = sent_idf.value
+        blocks = [_Block(r, idf) for r in sent_blocks.value]
         for batch in batches:
             out = []
             for rows, texts in text_slices(batch, 1):
                 word, begin = words(texts)
                 if len(word):
                     for block in blocks:
-                        out += _search_block(block, idf, cosine, word, begin, rows.column(0).to_pylist())
+                        ids = rows.column(0).to_pylist()
+                        out += _search_block(block, idf, cosine, word, begin, ids)
+                        out += _search_keys(block, word, begin, ids)
             if out:
                 doc, item, share, kind, first = zip(*out)
                 yield pa.RecordBatch.from_arrays(
@@ -252,6 +288,52 @@ def _search_block(block: _Block, idf, cosine, word, begin, ids):
     return out
 
 
+def _search_keys(block: _Block, word, begin, ids):
+    """The small items around their keys: every window of twice the item's words, a quarter of them apart, with a key in it."""
+    if not len(block.key_place):
+        return []
+    place = block.places(word)
+    at = np.flatnonzero(place >= 0)
+    low, high = (np.searchsorted(block.key_place, place[at], side) for side in ("left", "right"))
+    times = high - low
+    at = np.repeat(at, times)
+    key = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+    doc = np.searchsorted(begin, at, side="right") - 1
+    out = []
+    for k in np.unique(block.key_item[key]):
+        item, mine = np.array(block.item_words[k], dtype=np.uint64), np.flatnonzero(block.key_item[key] == k)
+        n, best = len(item), {}
+        for c in range(0, len(mine), 4096):
+            p, x, d = at[mine[c:c + 4096]], key[mine[c:c + 4096]], doc[mine[c:c + 4096]]
+            first, last = begin[d], begin[d + 1]
+            # The run word for word, or as many of the item's words around the key as any kind needs.
+            run, size = p - block.key_at[x], block.key_size[x]
+            held = (run >= first) & (run + size <= last)
+            for i in range(n):
+                spot, own = np.clip(run + i, 0, len(word) - 1), np.minimum(block.key_run[x] + i, n - 1)
+                held &= (i >= size) | (word[spot] == item[own])
+            p, first, last, d = p[held], first[held], last[held], d[held]
+            if n < SHORT:
+                for y, z, b in zip(d.tolist(), p.tolist(), first.tolist()):
+                    best.setdefault(y, (1.0, "copy", z - b - int(block.key_at[x[0]])))
+                continue
+            spot = p[:, None] + np.arange(1 - 2 * n, 2 * n)
+            near = np.where((spot >= first[:, None]) & (spot < last[:, None]), word[np.clip(spot, 0, len(word) - 1)], 0)
+            there = sum((near == w).any(axis=1).astype(np.int64) for w in item)
+            p, first, last, d = (v[there >= PARAPHRASE * n] for v in (p, first, last, d))
+            # Windows begin at multiples of a step from the document's beginning.
+            step = max(1, n // 4)
+            start = ((p - first) // step)[:, None] - np.arange(-(-2 * n // step) + 1)
+            inside = (start >= 0) & (start * step + 2 * n > (p - first)[:, None])
+            for y, s in np.unique(np.stack([np.broadcast_to(d[:, None], start.shape)[inside], start[inside]], axis=1), axis=0).tolist():
+                b = int(begin[y]) + s * step
+                share, kind = judge(block.item_words[k], word[b:min(b + 2 * n, int(begin[y + 1]))].tolist())
+                if kind and share > best.get(y, (0.0,))[0]:
+                    best[y] = (share, kind, s * step)
+        out += [(ids[y], int(block.items[k]), *found) for y, found in sorted(best.items())]
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """doc_id, item_id, overlap, kind, first_word: one row for each document and benchmark item found in it.
 

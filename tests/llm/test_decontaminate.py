@@ -95,18 +95,41 @@ def test_long_items():
     idf = np.ones(1 << decontaminate.CELL_BITS, dtype=np.float32)
     index = decontaminate._block_index(idf)(pd.DataFrame({"item_id": range(80), "text": [" ".join(w) for w in items]}))
     word, begin = words(docs)
-    found = [decontaminate._search_block(decontaminate._Block(r), idf, decontaminate.COSINE, word, begin, list(range(40)))
+    found = [decontaminate._search_block(decontaminate._Block(r, idf), idf, decontaminate.COSINE, word, begin, list(range(40)))
              for r in index.to_dict("records")]
     assert {(d, i) for f in found for d, i, *_ in f} == {(d, d) for d in range(40)}
     # A passage's cosine with itself: its norm after the projection.
     own = np.zeros(31)
-    for block in map(decontaminate._Block, index.to_dict("records")):
+    for block in (decontaminate._Block(r, idf) for r in index.to_dict("records")):
         for k, p in enumerate(decontaminate._passages(words([" ".join(items[0])])[0])):
             latent = block.v[block.places(p)].sum(axis=0)
             own[k] = max(own[k], (block.latent @ latent).max() / np.sqrt((np.unique(p, return_counts=True)[1] ** 2).sum()))
     assert own.min() > 0.99
 
 
+def test_short_items(spark):
+    """Items of 1 to 24 words inside long documents: what brute force finds is found, verbatim or a paraphrase with the answer."""
+    rng = np.random.default_rng(6)
+    text = lambda n: [f"w{x}" for x in rng.zipf(1.3, n) % 20000]
+    items = {i: text(i % 24 + 1) for i in range(72)}
+    docs, want = {}, set()
+    for d in range(144):
+        i = d % 72
+        inserted = list(items[i])
+        if d >= 72 and len(inserted) >= 8:  # 30 % of the words before the answer changed
+            n = len(inserted)
+            for k in rng.choice(n - max(3, n // 5), int(0.3 * n), replace=False):
+                inserted[k] = f"p{rng.integers(0, 10 ** 6)}"
+        docs[d] = text(200)
+        at = int(rng.integers(0, 200))
+        docs[d][at:at] = inserted
+        want.add((d, i))
+    rows, bench = [(d, " ".join(w)) for d, w in docs.items()], [(i, " ".join(w)) for i, w in items.items()]
+    got = pairs(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3),
+                spark.createDataFrame(bench, "item_id bigint, text string"))
+    assert got >= want | brute(rows, bench)
+
+
 def test_edges(spark, edges, no_docs):
     bench = [(1, "one two"), (2, None), (3, ""), (None, "one two"), (4, "..."), (5, "two"), (6, "nobody in the old harbour town could say"),
              (1, "one two")]
