@@ -3,8 +3,8 @@
 1. One pass cuts every whole text into words and keeps, per file, the word count and the distinct licence words present.
 2. Document frequencies of the licence words over all files give their IDF.
 3. A file is a candidate where all words of some template's key phrases (or of a base phrase) are present; nothing else
-   could pass the verification. Its rarest licence words are looked up by position in the template postings; equal
-   relative positions vote for one alignment.
+   could pass the verification. The rarest words of every template's key phrases are looked up by position in the template
+   postings; equal relative positions vote for one alignment. An accepted alignment holds all of these words, so none is missed.
 4. An alignment is accepted where every key phrase stands in the file at the place the alignment gives it.
 
 Words are maximal runs of characters other than ASCII blanks, marks and controls, after lower-casing A-Z.
@@ -94,10 +94,21 @@ def _candidate(present: str, templates: tuple[Template, ...]) -> Column:
     return out
 
 
-def _postings(spark, templates: tuple[Template, ...]) -> DataFrame:
-    """One row per template word: bounded by the templates."""
-    rows = [(k, i, w) for k, t in enumerate(templates) for i, w in enumerate(t.text.split())]
-    return spark.createDataFrame(rows, "template int, at int, word string")
+def _key_starts(t: Template) -> list[int]:
+    """Where each key phrase begins in the template."""
+    text = t.text.split()
+    return [next(i for i in range(len(text)) if text[i:i + len(k)] == k) for k in (key.split() for key in t.keys)]
+
+
+def _postings(spark, templates: tuple[Template, ...], df: dict[str, int], rare: int, votes: int) -> DataFrame:
+    """One row per place of a template's `rare` rarest key words, and the votes it needs: bounded by the templates."""
+    rows = []
+    for k, t in enumerate(templates):
+        places = sorted({(s + i, w) for s, key in zip(_key_starts(t), t.keys) for i, w in enumerate(key.split())})
+        rarest = sorted({w for _, w in places}, key=lambda w: (df.get(w, 0), w))[:rare]
+        chosen = [(i, w) for i, w in places if w in rarest]
+        rows += [(k, i, w, min(votes, len(chosen))) for i, w in chosen]
+    return spark.createDataFrame(rows, "template int, at int, word string, need int")
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare: int = 8, votes: int = 2) -> DataFrame:
@@ -105,8 +116,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare: int
 
     found: array of (label, first word, coverage), one per accepted alignment with the most coverage of its template.
     score: 1 where a base phrase stands, else the largest coverage (share of a template's words in place), else 0. Labels are
-    distinct, sorted and comma-joined, empty where there is none. rare: how many of a file's rarest licence words are
-    looked up (ties by word). A null text is empty. Repeated rows give repeated results.
+    distinct, sorted and comma-joined, empty where there is none. rare: how many of the rarest words of a
+    template's key phrases are looked up (ties by word). A null text is empty. Repeated rows give repeated results.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for t in templates for w in t.text.split()} | {w for p in BASE for w in p.split()})
@@ -121,29 +132,21 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare: int
     # At most one row per licence word.
     frequency = files.select(F.explode("present").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     df = {r["word"]: r["df"] for r in frequency.collect()}
-    by_rarity = _strings(sorted(vocabulary, key=lambda w: (df.get(w, 0), w)))
-    candidates = files.where(F.col("text").isNotNull()).select(
-        "row", words(F.col("text")).alias("w"), F.slice(F.array_intersect(by_rarity, F.col("present")), 1, rare).alias("rare"))
+    candidates = files.where(F.col("text").isNotNull()).select("row", words(F.col("text")).alias("w"))
 
-    hits = candidates.select("row", "rare", F.posexplode("w").alias("pos", "word")).where(
-        F.array_contains("rare", F.col("word"))).drop("rare")
-    postings = F.broadcast(_postings(spark, templates))
+    hits = candidates.select("row", F.posexplode("w").alias("pos", "word"))
+    postings = F.broadcast(_postings(spark, templates, df, rare, votes))
     aligned = hits.join(postings, "word").groupBy("row", "template", (F.col("pos") - F.col("at")).alias("shift")).agg(
-        F.count(F.lit(1)).alias("n"))
-    # A template with a single rare word in the file cannot get more than one vote.
-    aligned = aligned.where(F.col("n") >= votes).select("row", F.struct("template", "shift").alias("a"))
+        F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    aligned = aligned.where(F.col("n") >= F.col("need")).select("row", F.struct("template", "shift").alias("a"))
     alignments = aligned.groupBy("row").agg(F.array_sort(F.collect_list("a")).alias("alignments"))
 
     texts = F.array(*[_strings(t.text.split()) for t in templates])
     labels = _strings([t.label for t in templates])
     spans = []
     for t in templates:
-        all_words, starts = t.text.split(), []
-        for key in t.keys:
-            k = key.split()
-            starts.append(next(i for i in range(len(all_words)) if all_words[i:i + len(k)] == k))
         spans.append(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(len(k.split())).alias("n"))
-                               for s, k in zip(starts, t.keys)]))
+                               for s, k in zip(_key_starts(t), t.keys)]))
     verified = candidates.join(alignments, "row").withColumns({"_t": texts, "_l": labels, "_k": F.array(*spans)})
     accepted = F.expr("""
         filter(alignments, a -> forall(_k[a.template], k ->

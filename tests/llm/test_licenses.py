@@ -48,6 +48,20 @@ def test_templates_are_found_in_place(spark):
     assert by[105]["labels"] == "" and by[105]["n_words"] == 0
 
 
+def test_several_notices_in_one_file(spark):
+    """Every notice of a file is found, whatever else uses licence words, in a short and in a very long text."""
+    by = {t.label: t.text for t in licenses.TEMPLATES}
+    words_ = sorted({w for t in licenses.TEMPLATES for w in t.text.split()})
+    scattered = " ".join(f"{words_[i % len(words_)]} w{i}" for i in range(10_000))
+    rows = [(1, " and ".join(by[k] for k in ("bsd", "isc", "gpl-3.0", "mpl-2.0"))), (2, " ; ".join(t.text for t in licenses.TEMPLATES)),
+            (3, f"{scattered} {by['apache-2.0']} {scattered}"), (4, by["mit"] + " " + by["apache-2.0"])]
+    rows += [(k, "licensed under the apache license version 2 0") for k in range(10, 40)]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    labels = {k: {f["label"] for f in r["found"]} for k, r in out.items()}
+    assert labels[1] == {"bsd", "isc", "gpl-3.0", "mpl-2.0"} and labels[2] >= {t.label for t in licenses.TEMPLATES}
+    assert labels[3] == {"apache-2.0"} and labels[4] == {"mit", "apache-2.0"}
+
+
 def test_missing_key_phrase_is_no_licence(spark):
     text = "permission is hereby granted free of charge to any person obtaining a copy of this book"
     out = licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
