@@ -6,7 +6,8 @@ their last byte and the separator is that byte: the file is nothing but members,
 
 Reading: Spark's text reader cuts byte ranges of a file at a separator, and gives a range whatever starts inside it, read to
 its end. With the gzip magic as separator every piece is a candidate member. A task accepts a candidate whose header decodes
-to a WARC version line, and appends the following pieces while the member goes on (the magic may occur in compressed bytes).
+to a WARC version line, and appends the following pieces while the member goes on (the magic may occur in compressed bytes, even
+before the first byte of text comes out). The later pieces of a candidate that fails are tried as beginnings themselves.
 What a range cannot finish is joined with the first pieces of the next ranges of its file. Files must not be named *.gz:
 Spark would hand them to its own, unsplittable codec. A payload that itself holds WARC members byte for byte may be taken for
 records where a range begins inside it.
@@ -108,40 +109,72 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:int(size)] if size.isdigit() else rest.removesuffix(b"\r\n\r\n")
 
 
+_VERSION = b"WARC/"
+
+
 class _Open:
-    """A member that is being read."""
+    """A member that is being read. It is known as a record once its version line has come out."""
 
-    def __init__(self, raw: bytes):
-        self.inflate, self.out, self.raw = zlib.decompressobj(31), [], []
-        self.add(raw)
-        if not b"".join(self.out).startswith(b"WARC/"):
-            raise zlib.error("not a WARC record")
+    def __init__(self, nth: int, raw: bytes):
+        self.inflate, self.out, self.raw, self.known = zlib.decompressobj(31), [], [], False
+        self.add(nth, raw)
 
-    def add(self, raw: bytes) -> None:
+    def add(self, nth: int, raw: bytes) -> None:
         self.out.append(self.inflate.decompress(raw))
-        self.raw.append(raw)
+        self.raw.append((nth, raw))
+        if not self.known:
+            head = b"".join(self.out)
+            self.known = head.startswith(_VERSION)
+            if not self.known and (self.whole or not _VERSION.startswith(head)):
+                self.raw.pop()
+                raise zlib.error("not a WARC record")
 
     @property
     def whole(self) -> bool:
         return self.inflate.eof
 
 
-def _start(raw: bytes) -> _Open | None:
-    try:
-        return _Open(raw)
-    except zlib.error:
-        return None
+class _Members:
+    """Pieces in order -> whole members, and the pieces before the first member known, which may belong to an earlier one."""
+
+    def __init__(self):
+        self.member, self.begun = None, False
+
+    def add(self, nth: int, raw: bytes) -> Iterator[tuple[int, _Open | None, bytes]]:
+        """(nth, member, b"") or (nth, None, raw)."""
+        waiting = [(nth, raw)]
+        while waiting:
+            piece = waiting.pop(0)
+            failed = None
+            try:
+                if self.member is None:
+                    failed = [piece]
+                    self.member = _Open(*piece)
+                else:
+                    failed = [*self.member.raw, piece]
+                    self.member.add(*piece)
+            except zlib.error:
+                # Damaged, or never a beginning; each of its later pieces may be one.
+                known, self.member = self.member is not None and self.member.known, None
+                if not known and not self.begun:
+                    yield (failed[0][0], None, failed[0][1])
+                waiting[:0] = failed[1:]
+                continue
+            self.begun = self.begun or self.member.known
+            if self.member.whole:
+                yield (piece[0], self.member, b"")
+                self.member = None
 
 
 def _scan(fragments: bool):
     """Pieces of byte ranges -> records, or (fragments) the raw bytes that a range could not place itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, member, begun, nth, found = None, None, False, 0, []
+        at, members, nth, found = None, _Members(), 0, []
 
         def leave():
-            if fragments and member is not None:
-                for raw in member.raw:
-                    found.append((*at, nth, None, raw))
+            if fragments and members.member is not None:
+                for n, raw in members.member.raw:
+                    found.append((*at, n, None, raw))
 
         for batch in batches:
             found = []
@@ -149,26 +182,15 @@ def _scan(fragments: bool):
                 fresh = (file, start) != at
                 if fresh:
                     leave()
-                    at, member, begun, nth = (file, start), None, False, 0
+                    at, members, nth = (file, start), _Members(), 0
                 if fresh and start == 0:
                     continue  # what stands before the first magic
-                raw, nth = MAGIC + raw, nth + 1
-                if member is not None:
-                    try:
-                        member.add(raw)
-                    except zlib.error:
-                        member = None  # damaged; this piece may be a new beginning
-                if member is None:
-                    member = _start(raw)
-                    if member is None:
-                        if fragments and not begun:
-                            found.append((*at, nth, None, raw))
-                        continue
-                    begun = True
-                if member.whole:
-                    if not fragments:
-                        found.append((*at, nth, *parse(b"".join(member.out))))
-                    member = None
+                nth += 1
+                for n, member, left in members.add(nth, MAGIC + raw):
+                    if member is None and fragments:
+                        found.append((*at, n, None, left))
+                    elif member is not None and not fragments:
+                        found.append((*at, n, *parse(b"".join(member.out))))
             if found:
                 yield _rows(found)
         found = []
@@ -188,17 +210,9 @@ def _scan(fragments: bool):
 
 def _stitch(pieces: pd.DataFrame) -> pd.DataFrame:
     """The members of one file that cross byte ranges and have the magic in their compressed bytes: very few."""
-    out, member = [], None
-    for file, raw in pieces.sort_values(["range", "nth"], kind="stable")[["file", "block"]].itertuples(index=False):
-        if member is not None:
-            try:
-                member.add(raw)
-            except zlib.error:
-                member = None
-        member = member or _start(raw)
-        if member is not None and member.whole:
-            out.append((file, *parse(b"".join(member.out))))
-            member = None
+    out, members = [], _Members()
+    for nth, (file, raw) in enumerate(pieces.sort_values(["range", "nth"], kind="stable")[["file", "block"]].itertuples(index=False)):
+        out += [(file, *parse(b"".join(member.out))) for _, member, _ in members.add(nth, raw) if member is not None]
     return pd.DataFrame(out, columns=["file", "headers", "block"])
 
 

@@ -88,6 +88,31 @@ def test_ranges(spark, tmp_path, size):
     assert got == sorted(records)
 
 
+@pytest.mark.parametrize("size", [64, 300, 100_000])
+def test_magic_before_the_first_text(spark, tmp_path, size):
+    """The magic stands where the member has not given any text: in a name in its gzip header; false beginnings before members."""
+    records, raw = [], b""
+    for k in range(40):
+        payload = bytes([65 + k % 26]) * (20 + 7 * k)
+        member = warc._gzip(f"WARC/1.0\r\nN: {k}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n")
+        assert member[3] == 0
+        name = (b"a" * (k % 30) + b"\x1f\x8b\x08") * (1 + k % 3) + b"\0"
+        raw += member[:3] + b"\x08" + member[4:10] + name + member[10:]
+        raw += b"\x1f\x8b\x08\x08\x01\x01" * (k % 4 == 1)  # a header that swallows the next one's magic
+        records.append((str(k), payload))
+    os.makedirs(tmp_path / "w")
+    (tmp_path / "w" / "some.warc").write_bytes(raw)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = sorted((r["headers"]["N"], bytes(r["block"])) for r in warc.read_archives(spark, str(tmp_path / "w")).collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == sorted(records)
+
+
 def test_long_members_end_with_zero():
     record = b"WARC/1.1\r\n\r\n" + b"z" * ((1 << 24) + 5)
     member = warc._member(record, 1)
