@@ -7,7 +7,7 @@ fails its validation stays as it is.
 
 | kind | accepted | permuted | kept |
 | card | 13-19 digits, plain or in groups, Luhn | all digits but the last | grouping; the check digit is made anew |
-| iban | mod-97 check | account letters and digits | country, grouping; the check digits are made anew |
+| iban | mod-97 check, in the length of its country | account letters and digits | country, grouping; the check digits are made anew |
 | phone | +country and 7-14 digits, or NANP grouping | subscriber digits | country code, punctuation |
 | ssn | US ranges | area, group, serial within their ranges | dashes |
 | ipv4 | four octets | octets | |
@@ -31,11 +31,28 @@ ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _START, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+# The length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_pattern() -> str:
+    """A known country's own length, so that a following word is not taken; else any length."""
+    known = []
+    for n, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(n - 4, 4)
+        known.append(f"(?:{countries.replace(' ', '|')})\\d\\d(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "") + _END)
+    return (_START + r"(?=[A-Z]{2}\d\d)(?:" + "|".join(known) + "|" + r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END + ")")
+
+
 # In the order in which they are tried at a place.
 PATTERNS = {
     "secret": r"(?<=(?:token|secret|password|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/-]{16,}+",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": _START + r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
+    "iban": _iban_pattern(),
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}" + _END
              + "|" + _START + r"(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}" + _END,
     "date": _START + r"(?:\d{4}-\d\d-\d\d|\d\d?[./]\d\d?[./]\d{4})" + _END,
@@ -109,10 +126,16 @@ def _mod97(text: str) -> str:
 def _iban(v: str, key: str) -> str:
     body = _permuted_text("substr(d, 5)", "iban", key)
     check = "lpad(cast(98 - " + _mod97("concat(b, substr(d, 1, 2), '00')") + " AS string), 2, '0')"
-    new = _let(body, "b", _let(f"concat(substr(d, 1, 2), {check}, b)", "sym", _poured(v, "sym", "c != ' '")))
+    new = _let(body, "b", _let(f"concat(substr(d, 1, 2), {check}, b)", "sym", _poured("p", "sym", "c != ' '")))
+    # Of a country with no known length, last groups that belong to the next words make the check fail; they are left off.
     whole = _mod97("concat(substr(d, 5), substr(d, 1, 4))")
-    # A last group that belongs to the next words makes the check fail, and the value stays.
-    return _let(f"replace({v}, ' ', '')", "d", f"IF({whole} = 1 AND substr(d, 3, 2) BETWEEN '02' AND '98', {new}, {v})")
+    valid = _let("replace(x, ' ', '')", "d", f"length(d) >= 12 AND {whole} = 1 AND substr(d, 3, 2) BETWEEN '02' AND '98'")
+    known = " ".join(IBAN_LENGTHS.values()).split()
+    shorter = f"IF(substr({v}, 1, 2) IN ({', '.join(map(_quoted, known))}), array({v}), transform(sequence(size(g), 1, -1), " \
+              "n -> array_join(slice(g, 1, n), ' ')))"
+    parts = _let(f"split({v}, ' ')", "g", f"get(filter({shorter}, x -> {valid}), 0)")
+    made = _let("replace(p, ' ', '')", "d", f"concat({new}, substr({v}, length(p) + 1))")
+    return _let(parts, "p", f"IF(p IS NULL, {v}, {made})")
 
 
 def _phone(v: str, key: str) -> str:
