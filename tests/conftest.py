@@ -8,6 +8,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from cases import prob_rows  # noqa: E402
 from foldwright.session import local_session  # noqa: E402
 
 
@@ -46,11 +47,6 @@ def make_png():
     return png
 
 
-def prob_rows(spark, rows):
-    """[(key, label, fold, probs)] -> table"""
-    return spark.createDataFrame(rows, "key bigint, label int, fold int, probs array<double>")
-
-
 @pytest.fixture(scope="session")
 def random_probs(spark):
     """1200 rows, 3 classes, 5 folds, with ties and a little skill."""

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import prob_rows
+from cases import prob_rows
 from pyspark.sql import functions as F
 
 from foldwright.operators import diagnosis, label_noise
