@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from foldwright.llm import (
-    chunks, decontaminate, language, licenses, neardup, packing, pii, syncmers, urls, warc,
+    centroids, chunks, decontaminate, language, licenses, neardup, packing, pii, secrets, syncmers, turns, urls, warc,
 )
 from foldwright.llm.common import scratch, table
 
@@ -139,3 +139,18 @@ def op7(spark, sf_dir):
 @query("op8_benchmark_decontamination")
 def op8(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_conversation_repair")
+def op11(spark, sf_dir):
+    return turns.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_centroid_clustering", centroids.twin_sql())
+def op12(spark, sf_dir):
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query("op13_secret_scan")
+def op13(spark, sf_dir):
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
