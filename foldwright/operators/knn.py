@@ -66,12 +66,29 @@ def _into_cells(pivots: np.ndarray):
     return run
 
 
+def blocks_of(need: np.ndarray, first: np.ndarray, parts: np.ndarray) -> list[np.ndarray]:
+    """Per query the numbers of the train blocks of the cells it needs. need: queries x cells."""
+    row, cell = np.nonzero(need)
+    n = parts[cell]
+    begin = np.concatenate([[0], np.cumsum(n)])
+    block = np.repeat(first[cell] - begin[:-1], n) + np.arange(begin[-1])
+    asked = np.unique(np.stack([np.repeat(row, n), block]), axis=1)  # small cells may share a block
+    each = np.bincount(asked[0], minlength=len(need))
+    return np.split(asked[1].astype(np.int32), np.cumsum(each)[:-1])
+
+
+def usable_rows(counts: dict[int, np.ndarray], exclude_same_fold: bool) -> tuple[np.ndarray, dict]:
+    """Rows per cell, and those that a query of each fold may use (key None: any other fold). counts[fold][cell]."""
+    total = sum(counts.values())
+    usable = {f: total - n for f, n in counts.items()} if exclude_same_fold else {}
+    return total, usable | {None: total}
+
+
 def _cells_needed(pivots: np.ndarray, radius: np.ndarray, rows_by_fold: dict[int, np.ndarray], k: int,
-                  first: np.ndarray, parts: np.ndarray, cells_per_query: int | None = None):
+                  first: np.ndarray, parts: np.ndarray):
     """Task function: add each query's own cell and the train blocks that may hold its k nearest rows.
 
-    rows_by_fold[f][c]: rows of cell c a query of fold f may use; key None for any other fold. With cells_per_query
-    only that many of the cells are asked, those with the nearest pivots.
+    rows_by_fold[f][c]: rows of cell c a query of fold f may use; key None for any other fold.
     """
     def reach(units, zero, may_use):
         d = _apart(units, pivots)
@@ -86,10 +103,6 @@ def _cells_needed(pivots: np.ndarray, radius: np.ndarray, rows_by_fold: dict[int
         bound = np.where(enough.any(axis=1), high[rows, order[rows, at]], np.inf)
         home = d.argmin(axis=1) if len(pivots) else np.zeros(len(units), dtype=int)
         need = (low <= bound[:, None] + _SLACK) & (may_use > 0)
-        if cells_per_query is not None:
-            away = np.where(need, np.hstack([d, edge]), np.inf)
-            place = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1, kind="stable")
-            need &= place < cells_per_query
         return np.where(zero, len(pivots), home), need
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,12 +115,7 @@ def _cells_needed(pivots: np.ndarray, radius: np.ndarray, rows_by_fold: dict[int
             for lo in range(0, len(b), _STRIP):
                 here, need = reach(units[lo:lo + _STRIP], zero[lo:lo + _STRIP], np.array(may_use[lo:lo + _STRIP]))
                 home.append(here)
-                row, cell = np.nonzero(need)
-                n = parts[cell]
-                begin = np.concatenate([[0], np.cumsum(n)])
-                block = np.repeat(first[cell] - begin[:-1], n) + np.arange(begin[-1])
-                each = np.bincount(row, weights=n, minlength=len(need)).astype(np.int64)
-                blocks += np.split(block.astype(np.int32), np.cumsum(each)[:-1])
+                blocks += blocks_of(need, first, parts)
             yield b.assign(home=np.concatenate(home).astype(np.int32), blocks=blocks)
 
     return run
@@ -139,11 +147,15 @@ def _block_topk(k: int):
     return best
 
 
-def _split(rows: DataFrame, cell: str, key: str, counts: np.ndarray, size: int, name: str) -> DataFrame:
-    """Number blocks of about `size` rows: each cell is cut by key hash into as many as it needs."""
+def own_blocks(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of every cell, each cell cut into as many blocks of about `size` rows as it needs."""
     parts = -(-counts // size)
-    first = np.concatenate([[0], np.cumsum(parts)[:-1]])
-    table = pd.DataFrame({cell: np.arange(len(counts), dtype=np.int32), "_first": first.astype(np.int32),
+    return np.concatenate([[0], np.cumsum(parts)[:-1]]).astype(np.int64), parts
+
+
+def _split(rows: DataFrame, cell: str, key: str, first: np.ndarray, parts: np.ndarray, name: str) -> DataFrame:
+    """Number blocks: the rows of a cell are dealt by key hash over its blocks."""
+    table = pd.DataFrame({cell: np.arange(len(first), dtype=np.int32), "_first": first.astype(np.int32),
                           "_parts": np.maximum(parts, 1).astype(np.int32)})  # at most MAX_PIVOTS + 1 rows
     at = F.col("_first") + F.pmod(F.xxhash64(F.col(key)), F.col("_parts")).cast("int")
     out = rows.join(F.broadcast(rows.sparkSession.createDataFrame(table)), cell)
@@ -166,8 +178,26 @@ def _one_block(q: DataFrame, t: DataFrame, k: int, schema: str) -> DataFrame:
     return q.mapInPandas(search, schema)
 
 
+def pair_blocks(q: DataFrame, t: DataFrame, total: np.ndarray, block_rows: int, deal=own_blocks) -> tuple[DataFrame, DataFrame]:
+    """Queries (home, blocks) and train rows (cell): q with (qb, tb), and t copied for every (for_qb, in_tb) that asks.
+
+    deal(rows per cell, block size) gives every cell's first block and number of blocks; total: train rows per cell.
+    """
+    t = _split(t, "cell", "t_key", *deal(total, block_rows), "in_tb")
+    at_home = np.zeros(len(total), dtype=np.int64)
+    for r in q.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+        at_home[r["home"]] = r["n"]
+    size = _query_block(int(at_home.sum()), block_rows, q.sparkSession)
+    q = _split(q, "home", "q_key", *deal(at_home, size), "qb").drop("home").withColumn("tb", F.explode("blocks")).drop("blocks")
+    pairs = q.select(F.col("qb").alias("for_qb"), F.col("tb").alias("in_tb")).distinct()  # one per matrix product
+    # A block that all queries need is copied by _SALTS tasks, each with its share of the block's rows.
+    pairs = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    t = t.withColumn("_salt", F.pmod(F.xxhash64("t_key"), F.lit(_SALTS)).cast("int"))
+    return q, t.join(pairs, ["in_tb", "_salt"]).drop("_salt")
+
+
 def _paired_blocks(q: DataFrame, t: DataFrame, pivots: np.ndarray, k: int, block_rows: int,
-                   exclude_same_fold: bool, cells_per_query: int | None) -> tuple[DataFrame, DataFrame]:
+                   exclude_same_fold: bool) -> tuple[DataFrame, DataFrame]:
     """q with (qb, tb) and t with (for_qb, in_tb): each pair of blocks that may hold neighbours."""
     t = freeze(t.mapInPandas(_into_cells(pivots), _schema(t, "cell int, away double")))
     n_cells = len(pivots) + 1
@@ -175,36 +205,24 @@ def _paired_blocks(q: DataFrame, t: DataFrame, pivots: np.ndarray, k: int, block
     for r in t.groupBy("cell", "t_fold").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect():
         by_fold.setdefault(r["t_fold"], np.zeros(n_cells, dtype=np.int64))[r["cell"]] = r["n"]
         radius[r["cell"]] = max(radius[r["cell"]], r["far"])
-    total = sum(by_fold.values(), np.zeros(n_cells, dtype=np.int64))
-    usable = {f: total - n for f, n in by_fold.items()} if exclude_same_fold else {}
-    usable[None] = total
-    parts = -(-total // block_rows)
-    first = np.concatenate([[0], np.cumsum(parts)[:-1]])
-    t = _split(t, "cell", "t_key", total, block_rows, "in_tb")
-
-    q = freeze(q.mapInPandas(_cells_needed(pivots, radius, usable, k, first, parts, cells_per_query),
-                             _schema(q, "home int, blocks array<int>")))
-    at_home = np.zeros(n_cells, dtype=np.int64)
-    for r in q.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect():
-        at_home[r["home"]] = r["n"]
-    size = _query_block(int(at_home.sum()), block_rows, q.sparkSession)
-    q = _split(q, "home", "q_key", at_home, size, "qb")
-    q = q.select("q_key", "q_vec", "q_fold", "qb", F.explode("blocks").alias("tb"))
+    total, usable = usable_rows({None: np.zeros(n_cells, dtype=np.int64)} | by_fold, exclude_same_fold)
+    first, parts = own_blocks(total, block_rows)
+    q = freeze(q.mapInPandas(_cells_needed(pivots, radius, usable, k, first, parts), _schema(q, "home int, blocks array<int>")))
+    return pair_blocks(q, t.select("t_key", "t_vec", "t_fold", "t_label", "cell"), total, block_rows)
 
-    pairs = q.select(F.col("qb").alias("for_qb"), F.col("tb").alias("in_tb")).distinct()  # one per matrix product
-    # A block that all queries need is copied by _SALTS tasks, each with its share of the block's rows.
-    pairs = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    t = t.select("t_key", "t_vec", "t_fold", "t_label", "in_tb", F.pmod(F.xxhash64("t_key"), F.lit(_SALTS)).cast("int").alias("_salt"))
-    return q, t.join(pairs, ["in_tb", "_salt"]).drop("_salt")
+
+def few_copies(t: DataFrame, k: int) -> DataFrame:
+    """Of identical train vectors (of one fold) the k smallest keys: others are never among k nearest rows."""
+    copies = Window.partitionBy("t_vec", "t_fold").orderBy("t_key")
+    return t.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
 
 
 def knn_join(query: DataFrame, train: DataFrame, k: int = 15, block_rows: int = BLOCK_ROWS,
-             exclude_same_fold: bool = False, cells_per_query: int | None = None) -> DataFrame:
+             exclude_same_fold: bool = False) -> DataFrame:
     """(q_key, t_key, t_label, dist): the k nearest train rows of each query by cosine distance.
 
     block_rows is the size of a block. Train rows that fit one block are broadcast; more are cut into cells. Both plans
-    are exact. cells_per_query bounds the cells a query asks, for vectors without clusters, where an exact answer
-    needs them all: the result is then approximate (measure its recall), exact is the default.
+    are exact; vectors without clusters need all pairs then (operators/ann.py searches them approximately).
 
     query needs key and vec (and fold); train needs key, vec, label (and fold). With
     exclude_same_fold a query never sees train rows of its own fold: out-of-fold in one job.
@@ -214,8 +232,7 @@ def knn_join(query: DataFrame, train: DataFrame, k: int = 15, block_rows: int =
     t = train.select(F.col("key").alias("t_key"), F.col("vec").alias("t_vec"),
                      (fold if exclude_same_fold else F.lit(-2)).alias("t_fold"),
                      F.col("label").cast("int").alias("t_label"))
-    copies = Window.partitionBy("t_vec", "t_fold").orderBy("t_key")
-    t = t.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
+    t = few_copies(t, k)
     q = query.select(F.col("key").alias("q_key"), F.col("vec").alias("q_vec"),
                      (fold if exclude_same_fold else F.lit(-1)).alias("q_fold"))
     n_train = train.count()
@@ -223,7 +240,7 @@ def knn_join(query: DataFrame, train: DataFrame, k: int = 15, block_rows: int =
     if n_train <= block_rows:
         return _one_block(q, t, k, schema)
     pivots = _choose_pivots(train, -(-n_train // block_rows))
-    q, t = _paired_blocks(q, t, pivots, k, block_rows, exclude_same_fold, cells_per_query)
+    q, t = _paired_blocks(q, t, pivots, k, block_rows, exclude_same_fold)
     near = q.groupBy("qb", "tb").cogroup(t.groupBy("for_qb", "in_tb")).applyInPandas(_block_topk(k), schema)
     w = Window.partitionBy("q_key").orderBy("dist", "t_key")
     return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
@@ -248,24 +265,29 @@ def vote(neighbours: DataFrame, n_classes: int) -> DataFrame:
 
 
 def _knn_probs(query: DataFrame, train: DataFrame, n_classes: int, k: int, block_rows: int,
-               exclude_same_fold: bool) -> DataFrame:
+               exclude_same_fold: bool, recall: float | None = None) -> DataFrame:
     """query with probs. Equal vectors (of one fold) get equal answers, so each is searched once."""
     same = ["vec", "fold"] if exclude_same_fold else ["vec"]
     ident = F.concat_ws("-", F.xxhash64(F.lit(1), *same), F.xxhash64(F.lit(2), *same))  # 128 bits
     rows = query.withColumn("_same", ident)
     one = freeze(rows.groupBy("_same").agg(F.min("key").alias("key"), *[F.min_by(c, "key").alias(c) for c in same]))
-    probs = vote(knn_join(one, train, k, block_rows, exclude_same_fold), n_classes)
+    if recall is None:
+        near = knn_join(one, train, k, block_rows, exclude_same_fold)
+    else:
+        from foldwright.operators import ann  # it builds on this module
+        near = ann.ann_join(one, train, k, recall, exclude_same_fold, block_rows)
+    probs = vote(near, n_classes)
     answers = freeze(one.select("key", "_same").join(probs, "key").drop("key"))
     # Without any usable train row there is no answer, and the row is left out as in knn_join.
     return lookup(rows, answers, "_same").where(F.col("probs").isNotNull()).drop("_same")
 
 
-def knn_oof(df: DataFrame, n_classes: int, k: int = 15, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(key, fold, label, probs) for every row, from neighbours in the other folds."""
-    return _knn_probs(df, df, n_classes, k, block_rows, True).select("key", "fold", "label", "probs")
+def knn_oof(df: DataFrame, n_classes: int, k: int = 15, block_rows: int = BLOCK_ROWS, recall: float | None = None) -> DataFrame:
+    """(key, fold, label, probs) for every row, from neighbours in the other folds; recall: as in ann_join, else exact."""
+    return _knn_probs(df, df, n_classes, k, block_rows, True, recall).select("key", "fold", "label", "probs")
 
 
 def knn_predict(train: DataFrame, test: DataFrame, n_classes: int, k: int = 15,
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(key, probs) for the test rows."""
-    return _knn_probs(test.select("key", "vec"), train, n_classes, k, block_rows, False).select("key", "probs")
+                block_rows: int = BLOCK_ROWS, recall: float | None = None) -> DataFrame:
+    """(key, probs) for the test rows; recall: as in ann_join, else exact."""
+    return _knn_probs(test.select("key", "vec"), train, n_classes, k, block_rows, False, recall).select("key", "probs")
