@@ -3,6 +3,8 @@
 A head is a pair of functions registered by name, so users can add their own:
     fit(train, n_classes, seed, balanced) -> model
     predict(model, rows, n_classes) -> rows with a probs array
+and, where it can, a third one that fits the models of all folds with the same scans:
+    fit_folds(rows, folds, n_classes, seed, balanced) -> model, whose predict() uses for each row the one that has not seen it
 Tables carry key, fold, label, vec.
 """
 
@@ -14,23 +16,16 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.functions import probs as P
-from foldwright.functions import vectors as V
-from foldwright.operators import knn
+from foldwright.operators import knn, linear, neural, trees
 from foldwright.operators.metrics import fold_consistency, with_pred
+from foldwright.operators.passes import folds_of, pack, predicted
 from foldwright.operators.validate import assert_ok, validate_probs
 
-# Settings of the four heads.
+# Settings of the heads (those of the network and the trees stand in their modules).
 LINEAR_C, LINEAR_ITERATIONS = 1.0, 3000
-MLP_HIDDEN, MLP_ITERATIONS = 512, 400
-TREES, TREE_RATE, TREE_DEPTH = 300, 0.05, 5
 NEIGHBOURS = 15
 
 
@@ -38,92 +33,54 @@ NEIGHBOURS = 15
 class Head:
     fit: Callable
     predict: Callable
+    fit_folds: Callable | None = None
 
 
-def _features(df: DataFrame) -> DataFrame:
-    return df.withColumn("_x", array_to_vector(V.as_double("vec")))
+def _of_models(fit_models: Callable, probabilities: Callable) -> Head:
+    """A head whose fit_models(df, models, k, seed, balanced) gives one model for each fold to leave out (None: leave out none)."""
+    def fit(train, k, seed, balanced):
+        return fit_models(train, [None], k, seed, balanced)
 
+    def predict(models, df, k):
+        return predicted(df, k, probabilities, models)
 
-def _class_weighted(train: DataFrame, k: int, balanced: bool) -> DataFrame:
-    if not balanced:
-        return train.withColumn("_w", F.lit(1.0))
-    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    w = F.lit(1.0)
-    for c, n in counts.items():
-        w = F.when(F.col("label") == c, total / (k * n)).otherwise(w)
-    return train.withColumn("_w", w)
+    return Head(fit, predict, fit_models)
 
 
-def _probs_of(model, df: DataFrame, k: int, column: str = "probability") -> DataFrame:
-    """MLlib sizes the output by the largest label seen; pad to k classes."""
-    out = model.transform(_features(df)).withColumn("_p", vector_to_array(column))
-    padded = F.array(*[F.coalesce(F.get("_p", F.lit(i)), F.lit(0.0)) for i in range(k)])
-    keep = [c for c in df.columns if c != "probs"]
-    return out.select(*keep, padded.alias("probs"))
+def _fit_linear(df, models, k, seed, balanced):
+    """Multinomial logistic regression, penalised as C on the summed loss."""
+    packed = pack(df)
+    try:
+        return linear.fit(packed, models, k, balanced, LINEAR_C, LINEAR_ITERATIONS)
+    finally:
+        packed.release()
 
 
-def _fit_linear(train, k, seed, balanced):
-    """Multinomial logistic regression; the penalty matches C on the summed loss."""
-    rows = _class_weighted(train, k, balanced)
-    weight = rows.agg(F.sum("_w")).first()[0]
-    lr = LogisticRegression(
-        family="multinomial", featuresCol="_x", labelCol="label", weightCol="_w", standardization=False,
-        regParam=1.0 / (LINEAR_C * weight), elasticNetParam=0.0, maxIter=LINEAR_ITERATIONS, tol=1e-6)
-    return lr.fit(_features(rows))
+def make_mlp(hidden: int = neural.HIDDEN, epochs: int = neural.EPOCHS, held_out: float = neural.HELD_OUT,
+             patience: int = neural.PATIENCE, tasks: int | None = None) -> Head:
+    """One hidden layer of rectified units with early stopping; class weights do not apply. held_out=0 runs all epochs."""
+    def fit_models(df, models, k, seed, balanced):
+        rows = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+        packed = pack(df, neural.aside(held_out, seed), tasks or neural.tasks_for(rows["n"], rows["dim"] or 0))
+        try:
+            return neural.fit(packed, models, k, seed, hidden, epochs, patience=patience)[0]
+        finally:
+            packed.release()
 
+    return _of_models(fit_models, neural.probabilities)
 
-def make_mlp(hidden: int = MLP_HIDDEN, iterations: int = MLP_ITERATIONS, held_out: float = 0.1,
-             patience: int = 2, stages: int = 10) -> Head:
-    """One hidden layer; class weights do not apply.
 
-    Early stopping: the iterations are run in stages that go on from the last one's weights. After each the accuracy on
-    a held-out share of the rows (by a seeded hash of the key) is taken; after `patience` stages without a better one
-    fitting ends, and the best stage's model is kept. held_out=0 runs all iterations on all rows.
-    """
-    def fit(train, k, seed, balanced):
-        dim = train.select(F.size("vec").alias("n")).first()["n"]
-        aside = F.pmod(F.xxhash64(F.col("key"), F.lit(seed)), F.lit(10_000)) < int(held_out * 10_000)
-        rows, check = _features(train.where(~aside)), _features(train.where(aside))
-        if not held_out or check.isEmpty() or rows.isEmpty():
-            rows, check = _features(train), None
-        mlp = MultilayerPerceptronClassifier(layers=[dim, hidden, k], featuresCol="_x", labelCol="label", seed=seed)
-        if check is None:
-            return mlp.setMaxIter(iterations).fit(rows)
-        best, best_share, waited = None, -1.0, 0
-        for _ in range(stages):
-            model = mlp.setMaxIter(-(-iterations // stages)).fit(rows)
-            share = model.transform(check).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-            best, best_share, waited = (model, share, 0) if share > best_share else (best, best_share, waited + 1)
-            if waited >= patience:
-                break
-            mlp.setInitialWeights(model.weights)
-        return best
-    return Head(fit, _probs_of)
-
-
-def make_trees(trees: int = TREES, depth: int = TREE_DEPTH) -> Head:
-    """Boosted trees, one against the rest; scores are scaled to sum 1. Depth 5 allows 32 leaves."""
-    def fit(train, k, seed, balanced):
-        gbt = GBTClassifier(maxIter=trees, stepSize=TREE_RATE, maxDepth=depth, seed=seed,
-                            featuresCol="_x", labelCol="label", weightCol="_w")
-        rest = OneVsRest(classifier=gbt, featuresCol="_x", labelCol="label", weightCol="_w", parallelism=k)
-        return rest.fit(_features(_class_weighted(train, k, balanced)))
-
-    def predict(model, df, k):
-        rows = _features(df)
-        keep = [c for c in df.columns if c != "probs"]
-        names = []
-        for i, m in enumerate(model.models):
-            m = m.copy()
-            m.setPredictionCol(f"_y{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}")
-            rows = m.transform(rows).withColumn(f"_s{i}", F.get(vector_to_array(f"_q{i}"), F.lit(1)))
-            names.append(f"_s{i}")
-        scores = [F.col(c) for c in names] + [F.lit(0.0)] * (k - len(names))
-        total = P.add_up(scores)
-        return rows.select(*keep, F.array(*[s / total for s in scores]).alias("probs"))
-
-    return Head(fit, predict)
+def make_trees(rounds: int = trees.ROUNDS, leaves: int = trees.LEAVES, **settings) -> Head:
+    """Boosted trees over all classes: a tree per round and class, grown best first. settings: see trees.fit."""
+    def fit_models(df, models, k, seed, balanced):
+        limits = trees.fit_bins(df, seed=seed)
+        packed = pack(df)
+        try:
+            return trees.fit(packed, limits, models, k, balanced, rounds, leaves=leaves, **settings)
+        finally:
+            packed.release()
+
+    return _of_models(fit_models, trees.probabilities)
 
 
 def _fit_knn(train, k, seed, balanced):
@@ -135,10 +92,10 @@ def _predict_knn(train, df, k):
 
 
 HEADS: dict[str, Head] = {
-    "linear": Head(_fit_linear, _probs_of),
+    "linear": _of_models(_fit_linear, linear.probabilities),
     "mlp": make_mlp(),
     "trees": make_trees(),
-    "lgbm": make_trees(),  # another name for "trees"; the algorithm is MLlib's
+    "lgbm": make_trees(),  # another name for "trees"
     "knn": Head(_fit_knn, _predict_knn),
 }
 
@@ -166,16 +123,17 @@ def cross_val_oof(df: DataFrame, head: str | Head, n_classes: int, seed: int = 4
     if head == "knn":
         oof = knn.knn_oof(df, n_classes, NEIGHBOURS)
     else:
-        h = get_head(head)
-        folds = [r["fold"] for r in df.select("fold").distinct().orderBy("fold").collect()]  # a handful
+        h, folds = get_head(head), folds_of(df)
 
         def one(f):
             model = h.fit(df.where(F.col("fold") != f), n_classes, seed, balanced)
             return h.predict(model, df.where(F.col("fold") == f), n_classes).select("key", "fold", "label", "probs")
 
-        # Each fit is a chain of short jobs; independent folds overlap, as in MLlib's own cross-validation.
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            oof = assemble_oof(list(pool.map(inheritable_thread_target(df.sparkSession)(one), folds)))
+        if h.fit_folds is not None:
+            oof = h.predict(h.fit_folds(df, folds, n_classes, seed, balanced), df, n_classes).select("key", "fold", "label", "probs")
+        else:  # each fit is a chain of short jobs; independent folds overlap
+            with ThreadPoolExecutor(max_workers=parallelism) as pool:
+                oof = assemble_oof(list(pool.map(inheritable_thread_target(df.sparkSession)(one), folds)))
     if check:
         assert_ok(validate_probs(oof, n_classes, expected=df))
     return oof

@@ -652,15 +652,16 @@ def trees_predict(spark, sf):
     return _fitted(spark, sf, "trees")
 
 
-@query("probe_grid", """SELECT unnest(['joined', 'plain', 'unit', 'joined', 'plain', 'unit']) AS combo,
-  unnest(['knn', 'knn', 'knn', 'linear', 'linear', 'linear']) AS head, true AS in_range""")
+@query("probe_grid", """SELECT unnest(['joined', 'joined', 'plain', 'plain', 'plain', 'plain', 'unit', 'unit', 'unit', 'unit']) AS combo,
+  unnest(['linear', 'mlp', 'knn', 'lgbm', 'linear', 'mlp', 'knn', 'lgbm', 'linear', 'mlp']) AS head, true AS in_range""")
 def probe_grid(spark, sf):
-    """Two vector sets and their concatenation; the boosted and neural heads have queries of their own."""
+    """Two vector sets with all four heads, and their concatenation with the linear and the neural one, at full settings."""
     vecs = freeze(inputs.vector_table(spark, sf))
     unit = freeze(vectors.l2_normalise(vecs))
     joined = freeze(vectors.join_blocks([vecs.select("key", "vec"), unit.select("key", F.reverse("vec").alias("vec"))]).join(
         vecs.select("key", "fold", "label"), "key"))
-    grid = heads.probe_grid({"plain": vecs, "unit": unit, "joined": joined}, ["knn", "linear"], 10)
+    grid = heads.probe_grid({"plain": vecs, "unit": unit}, ["linear", "mlp", "lgbm", "knn"], 10)
+    grid = grid.unionByName(heads.probe_grid({"joined": joined}, ["linear", "mlp"], 10))
     return grid.select("combo", "head", (F.col("mean").between(F.col("min"), 1.0) & F.col("std").between(0.0, 0.5)).alias("in_range"))
 
 

@@ -24,7 +24,7 @@ def check(df, n, k=3):
         assert len(r["probs"]) == k and sum(r["probs"]) == pytest.approx(1, abs=1e-5) and min(r["probs"]) >= 0
 
 
-@pytest.mark.parametrize("head", ["linear", "knn", heads.make_mlp(16, 60), heads.make_trees(4, 3)])
+@pytest.mark.parametrize("head", ["linear", "knn", heads.make_mlp(32, 300), heads.make_trees(10, 4), "lgbm"])
 def test_heads_learn_and_return_probabilities(blobs, head):
     out = heads.fit_predict(blobs, blobs, head, 3).cache()
     check(out, 90)
@@ -50,13 +50,13 @@ def test_linear_matches_the_penalised_optimum(spark):
     y = np.arange(120) % 3
     x = rng.normal(0, 1, (3, 4))[y] + rng.normal(size=(120, 4))
     df = vec_rows(spark, x, y, np.zeros(120))
-    model = heads.HEADS["linear"].fit(df, 3, 42, False)
-    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    model = heads.HEADS["linear"].fit(df, 3, 42, False)[None][0]
+    w, b = model[:-1].T, model[-1]
     z = x @ w.T + b
     p = np.exp(z - z.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     grad = (p - np.eye(3)[y]).T @ x + w
-    assert np.abs(grad).max() < 0.05 and np.abs((p - np.eye(3)[y]).sum(0)).max() < 0.05
+    assert np.abs(grad).max() < 1e-3 and np.abs((p - np.eye(3)[y]).sum(0)).max() < 1e-3
 
 
 def test_absent_class_gets_zero(blobs):
