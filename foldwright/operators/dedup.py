@@ -1,25 +1,26 @@
 """Duplicate and near-duplicate groups over 64-bit fingerprints.
 
-Near duplicates never build candidate pairs. Two hashes within distance t have a midpoint
-word within ceil(t/2) of one and floor(t/2) of the other, so every distinct hash is listed
-under the words around it and a grouped minimum per word finds its neighbours. A word's list is
-bounded by the number of words around it, whatever the data.
+Near duplicates are found by multi-index hashing (operators/hamming.py), which gives links that connect all hashes within the
+threshold, never all pairs. Components follow from the links; star groups lie inside components, which are dealt over tasks in
+batches and resolved one after the other.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwright.operators.hamming import MAX_DISTANCE, lowest_near, near_links
 from foldwright.operators.ordering import rank_rows
 from foldwright.operators.skew import lookup
 from foldwright.session import freeze
 
-MAX_THRESHOLD = 6
 STAR_GROUP = 4096
 
 
@@ -57,107 +58,93 @@ def assign_group_ids(df: DataFrame, fingerprint: str = "hash", key: str = "key")
     return rows.where(F.col("group_id").isNotNull()).unionByName(single)
 
 
-# All 64-bit words with at most 0, 1 or 2 bits set; Spark folds each into one array constant.
-_ONE_BIT = "transform(sequence(0, 63), i -> shiftleft(1L, i))"
-_TWO_BITS = ("flatten(transform(sequence(1, 63), i -> transform(sequence(0, i - 1), "
-             "j -> shiftleft(1L, i) | shiftleft(1L, j))))")
-_MASKS = ["array(0L)", f"concat(array(0L), {_ONE_BIT})", f"concat(array(0L), {_ONE_BIT}, {_TWO_BITS})"]
-
-
-def _around(points: DataFrame, radius: int) -> DataFrame:
-    """Every word within `radius` of every point, in column w.
-
-    Radius 3 goes by one more single flip; the words this repeats do not matter to a minimum.
-    """
-    out = points.withColumn("w", F.col("h"))
-    for r in ([radius] if radius <= 2 else [2, radius - 2]):
-        flip = F.explode(F.expr(_MASKS[r]))
-        out = out.withColumn("f", flip).withColumn("w", F.col("w").bitwiseXOR(F.col("f"))).drop("f")
-    return out
-
-
-def _lowest_neighbour(points: DataFrame, sources: DataFrame, t: int, value: str) -> DataFrame:
-    """For each hash h of `points` the least `value` among `sources` within distance t."""
-    reach = _around(sources.select("h", value), (t + 1) // 2)
-    per_word = reach.groupBy("w").agg(F.min(value).alias("_v"), F.max(value).alias("_x"))
-    near = _around(points.select("h"), t // 2).join(per_word, "w")
-    return near.groupBy("h").agg(F.min("_v").alias("low"), F.max("_x").alias("high"))
-
-
 def _distinct_hashes(df: DataFrame, fingerprint: str, key: str) -> DataFrame:
     return df.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("h")).agg(
         F.min(key).alias("id"))
 
 
 def _in_key_order(t: int):
-    """Task function for one component: the first free hash in key order takes all free hashes within t."""
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", kind="stable").reset_index(drop=True)
-        h, ids = group["h"].to_numpy().astype(np.int64).view(np.uint64), group["id"]
+    """Task function over rows sorted by component and key: the first free hash of a component takes all free ones within t."""
+    def resolve(h: np.ndarray) -> np.ndarray:
+        if len(h) == 2:  # neighbours, or they would not be a component
+            return np.zeros(2, dtype=np.int64)
         owner, free = np.zeros(len(h), dtype=np.int64), np.ones(len(h), dtype=bool)
         for k in range(len(h)):
             if free[k]:
                 mine = np.flatnonzero(free & (np.bitwise_count(h ^ h[k]) <= t))
                 owner[mine], free[mine] = k, False
-        return pd.DataFrame({"h": group["h"], "root": ids.to_numpy()[owner]})
-
-    return resolve
+        return owner
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None and not b.num_rows:
+                continue
+            parts = [x for x in (left, b) if x is not None and x.num_rows]
+            if not parts:
+                continue
+            table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            part = np.array(table.column("_part").to_pylist(), dtype=object)
+            at = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+            whole = len(at) - (1 if b is None else 2)
+            h, owner = table.column("h").to_numpy().view(np.uint64), np.arange(at[whole])
+            for lo, hi in zip(at[:whole], at[1:whole + 1]):
+                owner[lo:hi] = resolve(h[lo:hi]) + lo
+            done = table.slice(0, at[whole])
+            yield pa.RecordBatch.from_arrays([done.column("h"), done.column("id").take(pa.array(owner))], ["h", "root"])
+            left = table.slice(at[whole])
+
+    return run
 
 
 def _star(hashes: DataFrame, t: int) -> DataFrame:
     """(h, root): the first unvisited hash in key order takes all unvisited hashes within t.
 
-    Groups never cross components, so each component of at most STAR_GROUP hashes is resolved by one task, whatever the
-    order of its keys. A larger one takes rounds, in which every hash that is first among its free neighbours takes them.
+    Groups never cross components, so tasks resolve components of at most STAR_GROUP hashes one after the other, whatever
+    the order of their keys. A larger one takes rounds, in which every hash that is first among its free neighbours takes them.
     """
-    placed = freeze(_components(hashes, t).join(hashes, "h").withColumnRenamed("root", "_part"))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    many = freeze(sizes.where(F.col("_n") > 1))
-    groups = placed.join(many, "_part")
+    linked, alone = _components(hashes, t)
+    placed = freeze(linked.withColumnRenamed("root", "_part"))
+    large = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > STAR_GROUP).select("_part")
     kind = dict(hashes.dtypes)
-    small = groups.where(F.col("_n") <= STAR_GROUP).select("_part", "h", "id").groupBy("_part").applyInPandas(
-        _in_key_order(t), f"h {kind['h']}, root {kind['id']}")
-    alone = placed.join(many, "_part", "left_anti").select("h", F.col("id").alias("root"))
-    out = alone.unionByName(small)
-    if not many.where(F.col("_n") > STAR_GROUP).isEmpty():
-        out = out.unionByName(_star_rounds(freeze(groups.where(F.col("_n") > STAR_GROUP).select("h", "id")), t))
+    small = placed.join(large, "_part", "left_anti").select("_part", "h", "id").repartition("_part").sortWithinPartitions("_part", "id")
+    out = alone.unionByName(small.mapInArrow(_in_key_order(t), f"h {kind['h']}, root {kind['id']}"))
+    if not large.isEmpty():
+        out = out.unionByName(_star_rounds(freeze(lookup(placed, large.withColumn("_in", F.lit(True)), "_part").where("_in").select("h", "id")), t))
     return out
 
 
 def _star_rounds(hashes: DataFrame, t: int) -> DataFrame:
-    reach = freeze(hashes.join(_lowest_neighbour(hashes, hashes, t, "id"), "h"))
-    alone = reach.where(F.col("low") == F.col("high")).select("h", F.col("id").alias("root"))
-    todo = reach.where(F.col("low") != F.col("high")).select("h", "id", "low")
-    members, rounds = todo.select("h", "id"), []
+    todo = freeze(hashes.join(lowest_near(hashes, hashes, t, "id"), "h"))
+    rounds = []
     while not todo.isEmpty():
         # Lowest key of its free neighbourhood: nothing earlier can take this hash any more.
         rounds.append(freeze(todo.where(F.col("low") == F.col("id")).select("h", "id")))
-        taken = _lowest_neighbour(todo, rounds[-1], t, "id").select("h")
+        taken = lowest_near(todo, rounds[-1], t, "id").select("h")
         left = freeze(todo.select("h", "id").join(taken, "h", "left_anti"))
-        todo = freeze(left.join(_lowest_neighbour(left, left, t, "id").select("h", "low"), "h"))
-    if not rounds:
-        return alone
+        todo = freeze(left.join(lowest_near(left, left, t, "id"), "h"))
     seeds = reduce(DataFrame.unionByName, rounds)
     # No two seeds are within t, so a seed finds itself.
-    owned = members.join(_lowest_neighbour(members, seeds, t, "id"), "h")
-    return alone.unionByName(owned.select("h", F.col("low").alias("root")))
+    return hashes.join(lowest_near(hashes, seeds, t, "id"), "h").select("h", F.col("low").alias("root"))
 
 
-def _components(hashes: DataFrame, t: int) -> DataFrame:
-    """(h, root): connected components, rooted at the smallest key."""
-    reach = freeze(hashes.join(_lowest_neighbour(hashes, hashes, t, "id"), "h"))
-    alone = reach.where(F.col("low") == F.col("high")).select("h", F.col("id").alias("root"))
-    state = reach.where(F.col("low") != F.col("high")).select("h", "id", F.col("low").alias("root"))
+def _components(hashes: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
+    """(h, id, root) of hashes with a neighbour, rooted at their component's smallest key, and (h, root) of the others."""
+    links = near_links(hashes, t)
+    both = freeze(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ends = freeze(both.select(F.col("a").alias("h")).distinct())
+    alone = hashes.join(ends, "h", "left_anti").select("h", F.col("id").alias("root"))
+    state = freeze(hashes.join(ends, "h").select("h", "id", F.col("id").alias("root")))
     settled = state.isEmpty()
     while not settled:
-        near = _lowest_neighbour(state, state, t, "root").select("h", "low")
-        step = freeze(state.join(near, "h").select("h", "id", "root", F.least("root", "low").alias("new")))
+        seen = lookup(both, state.select(F.col("h").alias("b"), "root"), "b").groupBy(F.col("a").alias("h")).agg(F.min("root").alias("low"))
+        step = freeze(state.join(seen, "h").select("h", "id", "root", F.least("root", "low").alias("new")))
         # Follow the root's own new root as well, so long chains halve each round.
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("_next"))
         after = freeze(lookup(step, jump, "new").withColumn("new", F.coalesce("_next", "new")).drop("_next"))
         settled = after.where(F.col("new") != F.col("root")).isEmpty()
         state = after.select("h", "id", F.col("new").alias("root"))
-    return alone.unionByName(state.select("h", "root"))
+    return state, alone
 
 
 def near_duplicates(df: DataFrame, threshold: int = 2, mode: str = "star", fingerprint: str = "hash",
@@ -166,17 +153,18 @@ def near_duplicates(df: DataFrame, threshold: int = 2, mode: str = "star", finge
 
     star: in key order, a row not yet taken takes every free row within the threshold.
     components: rows connected by steps of at most the threshold (safe against split leakage).
-    NULL fingerprints stay alone. Costs 65**ceil(t/2) words per distinct hash.
+    NULL fingerprints stay alone. A distinct hash is listed in threshold + 1 buckets, in 66 to 70 for thresholds above 3.
     """
-    if not 0 <= threshold <= MAX_THRESHOLD:
-        raise ValueError(f"threshold must lie between 0 and {MAX_THRESHOLD}")
+    if not 0 <= threshold <= MAX_DISTANCE:
+        raise ValueError(f"threshold must lie between 0 and {MAX_DISTANCE}")
     hashes = _distinct_hashes(df, fingerprint, key)
     if threshold == 0:
         roots = hashes.select("h", F.col("id").alias("root"))
     elif mode == "star":
         roots = _star(freeze(hashes), threshold)
     elif mode == "components":
-        roots = _components(freeze(hashes), threshold)
+        linked, alone = _components(freeze(hashes), threshold)
+        roots = linked.select("h", "root").unionByName(alone)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     out = lookup(df, roots.withColumnRenamed("h", fingerprint), fingerprint)

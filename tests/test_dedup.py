@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from foldwright.operators import dedup
+from foldwright.operators import dedup, hamming
 
 
 def hashes(spark, words, keys=None):
@@ -43,7 +43,7 @@ def test_path_tells_star_from_components(spark):
     assert {r["key"]: r["root"] for r in dedup.near_duplicates(df, 2, "components").collect()} == {0: 0, 1: 0, 2: 0}
 
 
-@pytest.mark.parametrize("t", [0, 1, 2, 3])
+@pytest.mark.parametrize("t", [0, 1, 2, 3, 4, 6, 9, 16])
 @pytest.mark.parametrize("mode", ["star", "components"])
 def test_equals_brute_force(spark, t, mode):
     rng = np.random.default_rng(t)
@@ -52,7 +52,7 @@ def test_equals_brute_force(spark, t, mode):
         w = int(rng.integers(-2**62, 2**62))
         for _ in range(int(rng.integers(1, 9))):
             words.append(w)
-            for b in rng.choice(64, int(rng.integers(0, 4)), replace=False):
+            for b in rng.choice(64, int(rng.integers(0, max(4, t + 2))), replace=False):
                 w ^= 1 << int(b)
             w = (w + (1 << 63)) % (1 << 64) - (1 << 63)
     words += [None, None]
@@ -70,12 +70,34 @@ def test_sign_bit(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
-def test_words_around(spark):
+@pytest.mark.parametrize("t", range(1, 17))
+def test_near_words_meet_in_a_bucket(t):
+    """Whatever bits differ, one band differs by at most one bit from either side."""
+    rng = np.random.default_rng(t)
+    cut = hamming.bands(t, 64)
+    assert sum(w for _, w in cut) == 64 and [a for a, _ in cut] == list(np.cumsum([0] + [w for _, w in cut])[:-1])
+    for _ in range(300):
+        flipped = rng.choice(64, t, replace=False)
+        assert min(np.isin(flipped, range(a, a + w)).sum() for a, w in cut) <= (0 if t <= 3 else 2)
+
+
+@pytest.mark.parametrize("t", [1, 2, 5, 9])
+def test_crowded_buckets_are_split(spark, monkeypatch, t):
+    """Words that share most bits: listed anew by the other bits, then in pairs of blocks; nothing is lost."""
+    monkeypatch.setattr(hamming, "BUCKET", 12)
+    rng = np.random.default_rng(t)
+    words = [int(x) for x in rng.integers(0, 1 << 11, 150) << 3] + [int(x) for x in rng.integers(-2**62, 2**62, 30)]
+    keys = rng.permutation(len(words)).tolist()
+    df = hashes(spark, words, keys)
+    for mode, plain in (("star", star), ("components", components)):
+        assert {r["key"]: r["root"] for r in dedup.near_duplicates(df, t, mode).collect()} == plain(list(zip(keys, words)), t)
+
+
+def test_lists_stay_short(spark):
     point = spark.createDataFrame([(-5,)], "h bigint")
-    for radius, n in ((0, 1), (1, 65), (2, 2081)):
-        words = [r["w"] for r in dedup._around(point, radius).collect()]
-        assert len(words) == len(set(words)) == n
-        assert all(bin((w ^ -5) & (2**64 - 1)).count("1") <= radius for w in words)
+    for t in range(1, 17):
+        n = hamming._buckets(point, t).count()
+        assert n == t + 1 if t <= 3 else n <= 70
 
 
 def test_exact_groups(spark):
@@ -101,7 +123,7 @@ def test_near_groups_count(spark):
 def test_bad_options(spark):
     df = hashes(spark, [1])
     with pytest.raises(ValueError):
-        dedup.near_duplicates(df, 7)
+        dedup.near_duplicates(df, 17)
     with pytest.raises(ValueError):
         dedup.near_duplicates(df, 1, "other")
 
