@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.operators.ordering import hash_order, place_in_shuffle
+from foldwright.operators.skew import lookup
 from foldwright.session import freeze
 
-LARGE_SHARE = 1 / 1000
-
 
 def split_fold(folds: DataFrame, k: int, fold: str = "fold") -> tuple[DataFrame, DataFrame]:
     """(train, validation) for fold k."""
@@ -35,77 +35,62 @@ def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, label: str = "la
     return placed.withColumn("fold", (F.col("_before") % k).cast("int")).drop("_before", "_total")
 
 
-def _deal_large(groups: list, n_folds: int, target: list[float]) -> tuple[dict, list[list[float]]]:
-    """Largest first, each to the fold whose worst class stays lowest. At most folds / large_share groups."""
-    filled = [[0.0] * len(target) for _ in range(n_folds)]
-    out = {}
-    for group, counts in groups:
-        def load(f):
-            after = [(filled[f][c] + counts[c]) / target[c] for c in range(len(target)) if target[c] > 0]
-            return max(after), sum(after), f
-        best = min(range(n_folds), key=load)
-        out[group] = best
-        for c, n in enumerate(counts):
-            filled[best][c] += n
-    return out, filled
+def _dealt(start: Sequence[int], step: int, n: int) -> list[int]:
+    """How many of n equal steps each fold gets if every step goes to the fold with the least load (ties: the first fold).
+
+    A step raises a load by `step`, so the n least members of the progressions start + step * j are taken: all below a level, and
+    those at the level in fold order until n are reached.
+    """
+    def below(level: int) -> list[int]:
+        return [max(0, -(-(level - s) // step)) for s in start]
+
+    low, high = min(start), max(start) + step * (n + 1)
+    while high - low > 1:  # largest level with at most n members below it
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(below(mid)) <= n else (low, mid)
+    out = below(low)
+    for f, s in enumerate(start):
+        if sum(out) < n and s + step * out[f] == low:
+            out[f] += 1
+    return out
+
+
+def _place_vectors(vectors: Iterable[tuple[str, int, list[int]]], weights: list[int], k: int) -> Iterator[tuple[str, list[int]]]:
+    """(vector, end of each fold's share of its groups) for (vector, number of groups, counts), in the order given."""
+    filled = [[0] * len(weights) for _ in range(k)]
+    for name, n, counts in vectors:
+        pull = [w * c for w, c in zip(weights, counts)]
+        share = _dealt([sum(p * x for p, x in zip(pull, fold)) for fold in filled], sum(p * c for p, c in zip(pull, counts)), n)
+        for fold, m in zip(filled, share):
+            for c, x in enumerate(counts):
+                fold[c] += m * x
+        yield name, list(itertools.accumulate(share))
 
 
 def stratified_group_kfold(df: DataFrame, k: int = 5, seed: int = 42, n_classes: int = 3, label: str = "label",
-                           group: str = "group", large_share: float = LARGE_SHARE) -> DataFrame:
+                           group: str = "group") -> DataFrame:
     """Add fold so that a group never spans folds and class shares stay even.
 
-    Groups of more than large_share of a fold (and more than one row) number at most k / large_share;
-    they are placed one by one on the driver, the largest first. All others are dealt by seeded hash so
-    that they fill what each fold still lacks. A class's count in a fold therefore misses its even share by at
-    most the largest group plus what hashing the small groups leaves (about the square root of
-    large_share of it). A row without a group is an error.
+    Groups with the same counts per class are interchangeable. One rule holds for all sizes: vectors of counts are taken from the
+    largest group's down, and each group goes to the fold that has least of what the group brings (its counts times the fold's,
+    each class weighted by its rarity; the first of equal folds). The driver sees each distinct vector once, with its number of
+    groups, and deals equal groups in one step. Which of them go where follows their seeded hash order. All in whole numbers, so
+    any engine can repeat it. A row without a group is an error.
     """
     missing = F.raise_error(F.lit("a row has no group")).cast(dict(df.dtypes)[group])
     df = df.withColumn(group, F.when(F.col(group).isNull(), missing).otherwise(F.col(group)))
-    counts = freeze(df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_size"),
-        *[F.count_if(F.col(label) == c).alias(f"_n{c}") for c in range(n_classes)]))
-    ns = [f"_n{c}" for c in range(n_classes)]
-    totals = counts.agg(F.sum("_size").alias("n"), *[F.sum(c).alias(c) for c in ns]).first()
-    limit = (totals["n"] or 0) * large_share / k
-    target = [(totals[c] or 0) / k for c in ns]
-
-    big = counts.where(F.col("_size") > F.lit(max(limit, 1.0)))
-    listed = sorted(
-        ((r[group], [r[c] for c in ns], r["_size"], r["_h"]) for r in
-         big.withColumn("_h", hash_order(group, seed)).collect()),
-        key=lambda r: (-r[2], r[3]))
-    placed, filled = _deal_large([(g, n) for g, n, _, _ in listed], k, target)
-
-    # Each class still needs target - filled rows per fold: the shares that small groups follow.
-    fold = F.lit(None).cast("int")
-    for c in range(n_classes):
-        need = [max(target[c] - filled[f][c], 0.0) for f in range(k)]
-        whole = sum(need) or 1.0
-        share = [x / whole for x in need] if sum(need) else [1.0 / k] * k
-        pick, upto = F.lit(k - 1), 1.0
-        for f in reversed(range(k - 1)):
-            upto -= share[f + 1]
-            pick = F.when(F.col("_at") < F.lit(upto), f).otherwise(pick)
-        fold = F.when(F.col("_main") == c, pick).otherwise(fold)
-
-    top = F.greatest(*[F.col(c) for c in ns])
-    main = F.lit(n_classes - 1)
-    for c in reversed(range(n_classes - 1)):
-        main = F.when(F.col(ns[c]) == top, c).otherwise(main)
-    small = counts.where(F.col("_size") <= F.lit(max(limit, 1.0))).withColumn("_main", main)
-    small = place_in_shuffle(small.select(group, "_size", "_main"), "_main", group, seed, F.col("_size"))
-    at = (F.col("_before") + F.col("_size") / 2) / F.col("_total")
-    small = small.withColumn("_at", at).select(group, fold.cast("int").alias("fold"))
-
-    if not placed:
-        return df.join(small, group)
-    table = df.sparkSession.createDataFrame(
-        list(placed.items()), f"{group} {dict(df.dtypes)[group]}, _fold int")
-    rows = df.join(F.broadcast(table), group, "left")
-    # A small group is at most 1/1000 of a fold, so this join has no heavy key.
-    rest = rows.where(F.col("_fold").isNull()).drop("_fold").join(small, group)
-    return rest.unionByName(rows.where(F.col("_fold").isNotNull()).withColumnRenamed("_fold", "fold"))
+    ns = ["_size", *[f"_n{c}" for c in range(n_classes)]]
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"), *[F.count_if(F.col(label) == c).alias(f"_n{c}") for c in range(n_classes)])
+    counts = freeze(counts.withColumn("_v", F.concat_ws(",", *ns)))
+    vectors = counts.groupBy("_v", *ns).agg(F.count(F.lit(1)).alias("n")).orderBy(*[F.desc(c) for c in ns])
+    totals = counts.agg(*[F.sum(c).alias(c) for c in ns]).first()
+    # Size only decides between folds whose classes are equally full.
+    weights = [1, *[(totals["_size"] << 20) // totals[c] if totals[c] else 0 for c in ns[1:]]]
+    listed = ((r["_v"], r["n"], [r[c] for c in ns]) for r in vectors.toLocalIterator())
+    ends = df.sparkSession.createDataFrame(list(_place_vectors(listed, weights, k)), "_v string, _ends array<bigint>")
+    placed = lookup(place_in_shuffle(counts.select(group, "_v"), "_v", group, seed), ends, "_v")
+    fold = F.size(F.filter("_ends", lambda e: e <= F.col("_before"))).alias("fold")
+    return lookup(df, freeze(placed.select(group, fold)), group)
 
 
 def sample_per_class(df: DataFrame, n: int, seed: int = 42, label: str = "label", key: str = "key") -> DataFrame:

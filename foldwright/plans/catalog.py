@@ -440,20 +440,9 @@ def stratified_kfold(spark, sf):
     return splits.stratified_kfold(_folds(spark, sf).drop("fold")).select("key", "label", "fold")
 
 
-@query("stratified_group_kfold", """SELECT quality AS label, count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys,
-  CAST(5 AS BIGINT) AS n_folds, true AS even FROM labels GROUP BY quality""")
+@query("stratified_group_kfold", twins.STRATIFIED_GROUP_KFOLD)
 def stratified_group_kfold(spark, sf):
-    """Per class: every row once, and no fold further from its even share than the largest group and a tenth of the share."""
-    rows = splits.stratified_group_kfold(inputs.labelled_documents(spark, sf), n_classes=2).select(
-        "key", "label", "group", "fold")
-    per_group = freeze(rows.groupBy("label", "fold", "group").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys")))
-    per_fold = per_group.groupBy("label", "fold").agg(
-        F.sum("n").alias("n"), F.sum("keys").alias("keys"), F.max("n").alias("largest"))
-    share = F.sum("n") / 5
-    off = F.greatest(F.max("n") - share, share - F.min("n"))
-    return per_fold.groupBy("label").agg(
-        F.sum("n").alias("n_rows"), F.sum("keys").alias("n_keys"), F.count(F.lit(1)).alias("n_folds"),
-        (off <= F.max("largest") + 0.1 * share + 3).alias("even")).withColumn("label", F.col("label").cast("bigint"))
+    return splits.stratified_group_kfold(inputs.labelled_documents(spark, sf), n_classes=2).select("key", "label", "group", "fold")
 
 
 @query("group_kfold_leaks", "SELECT CAST(0 AS BIGINT) AS n_leaks, count(*) AS n_rows FROM labels")

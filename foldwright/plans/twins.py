@@ -860,3 +860,26 @@ def handoff_report() -> str:
              (("probs", probs), ("folds", folds), ("weights", weights), ("vectors", vecs))]
     parts.append(f"SELECT 'scores' AS artefact, * FROM ({compare_cv_oof()})")
     return f"WITH {PROB}, one AS (SELECT 1) " + " UNION ALL ".join(parts)
+
+
+# Every vector of counts in turn: its groups are dealt by sorting all (load after j groups, fold) and taking the least.
+STRATIFIED_GROUP_KFOLD = """
+WITH RECURSIVE rows AS (SELECT l.doc_id AS key, l.quality AS label, md5(d.text) AS grp FROM labels l JOIN documents d USING (doc_id)),
+g AS (SELECT grp, count(*) AS size, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM rows GROUP BY grp),
+w AS (SELECT coalesce((CAST(sum(size) AS HUGEINT) * 1048576) // nullif(sum(n0), 0), 0) AS w0,
+             coalesce((CAST(sum(size) AS HUGEINT) * 1048576) // nullif(sum(n1), 0), 0) AS w1 FROM g),
+v AS (SELECT size, n0, n1, count(*) AS m, row_number() OVER (ORDER BY size DESC, n0 DESC, n1 DESC) AS i FROM g GROUP BY size, n0, n1),
+deal AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([0, 0, 0, 0, 0] AS HUGEINT[]) AS fs, CAST([0, 0, 0, 0, 0] AS HUGEINT[]) AS f0,
+         CAST([0, 0, 0, 0, 0] AS HUGEINT[]) AS f1, CAST([] AS BIGINT[]) AS share
+  UNION ALL
+  SELECT i, list_transform(range(1, 6), lambda f: fs[f] + share[f] * size), list_transform(range(1, 6), lambda f: f0[f] + share[f] * n0),
+         list_transform(range(1, 6), lambda f: f1[f] + share[f] * n1), share
+  FROM (SELECT *, list_transform(range(1, 6), lambda f: CAST(len(list_filter(taken, lambda t: t.f = f)) AS BIGINT)) AS share
+    FROM (SELECT *, list_slice(list_sort(flatten(list_transform(range(1, 6), lambda f: list_transform(range(m), lambda j: {
+        'load': size * fs[f] + n0 * w0 * f0[f] + n1 * w1 * f1[f] + j * (size * size + n0 * n0 * w0 + n1 * n1 * w1), 'f': f})))), 1, m) AS taken
+      FROM (SELECT v.i, v.size, v.n0, v.n1, v.m, w.w0, w.w1, d.fs, d.f0, d.f1 FROM deal d JOIN v ON v.i = d.i + 1, w)))),
+placed AS (SELECT g.*, row_number() OVER (PARTITION BY size, n0, n1 ORDER BY md5(grp || ':42'), grp) - 1 AS place FROM g),
+folds AS (SELECT p.grp, CAST(len(list_filter(range(1, 6), lambda f: list_sum(d.share[1:f]) <= p.place)) AS INTEGER) AS fold
+          FROM placed p JOIN v USING (size, n0, n1) JOIN deal d ON d.i = v.i)
+SELECT key, label, grp AS "group", fold FROM rows JOIN folds USING (grp)"""

@@ -67,12 +67,17 @@ def test_decide_needs_whole_sets(spark):
         decide.decide({"a": a, "b": a.where("key <> 3")}, tests, template, grid=grid)
 
 
-def test_large_share_is_only_a_plan(spark):
-    """Whatever counts as a large group, groups stay whole and every row has a fold."""
-    df = spark.createDataFrame([(k, k % 3, int(k ** 0.5)) for k in range(900)], "key bigint, label int, group int")
-    for share in (1 / 1000, 1 / 20, 1.0):
-        out = splits.stratified_group_kfold(df, large_share=share)
-        assert out.count() == 900 and splits.fold_overlap(out, "group").isEmpty()
+def test_equal_groups_are_dealt_as_one_by_one():
+    """The bulk step of group folds against the rule taken group by group."""
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        start, step, n = [int(x) for x in rng.integers(0, 40, 5)], int(rng.integers(1, 9)), int(rng.integers(0, 60))
+        load, want = list(start), [0] * 5
+        for _ in range(n):
+            f = load.index(min(load))
+            load[f] += step
+            want[f] += 1
+        assert splits._dealt(start, step, n) == want
 
 
 def test_overwriting_drops_the_old_manifest_first(spark, tmp_path):
