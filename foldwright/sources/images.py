@@ -20,6 +20,7 @@ from foldwright.functions.paths import file_name
 from foldwright.functions.probs import half_even
 from foldwright.operators.splits import seeded_sample
 from foldwright.schema import FOLDER_LABELS, IMAGE_SUFFIXES
+from foldwright.sources.ranges import tree_digests
 
 Decoder = Callable[[bytes], "np.ndarray | None"]
 
@@ -214,6 +215,5 @@ def encode(images: DataFrame, encoder: Callable[[], Callable], views: Sequence[C
 
 
 def file_digest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """path, digest: first 16 hex digits of SHA-256 of each file (at most 2 GB each)."""
-    return spark.read.format("binaryFile").load(list(paths)).select(
-        "path", F.substring(F.sha2("content", 256), 1, 16).alias("digest"))
+    """path, digest: 16 hex digits for each file, whatever its size (see ranges.tree_digests)."""
+    return tree_digests(spark, paths)

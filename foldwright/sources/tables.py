@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,7 +15,7 @@ from foldwright.functions.paths import file_name
 from foldwright.operators.ordering import rank_rows
 from foldwright.operators.validate import assert_ok, validate_shards, validate_vectors
 
-_META = "_meta"
+_META, _VERSIONS, _CURRENT = "_meta", "_versions", "_current"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -66,29 +67,63 @@ def remove(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
+def _pointer(spark: SparkSession, path: str) -> str | None:
+    """Name of the newest pointer of a versioned table."""
+    fs, p = _fs(spark, f"{path}/{_CURRENT}")
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return max((n for n in names if not n.startswith((".", "_"))), default=None)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the current version, None without one."""
+    name = _pointer(spark, path)
+    return f"{path}/{_VERSIONS}/{name.split('-', 1)[1]}" if name else None
+
+
+def data_path(spark: SparkSession, path: str) -> str:
+    """Where a table's data lie: the current version of a versioned one, else the folder itself."""
+    return current_version(spark, path) or path
+
+
 def write_versioned(df: DataFrame, path: str, meta: Mapping | None = None, allow_overwrite: bool = False,
                     partition_by: Sequence[str] = ()) -> dict:
-    """Parquet plus a manifest written after the data; refuses to replace an earlier version.
+    """Parquet and a manifest in a folder of their own, then a pointer to it; refuses to replace an earlier version.
 
-    The row count comes from the write itself.
+    The pointer is an empty file whose name says it all, so making it is one atomic step on any file system. Readers follow the
+    newest pointer: until that step they get the old version, after it the new one, wherever a writer is killed. Earlier
+    versions stay until drop_versions(). The row count comes from the write itself.
     """
     spark = df.sparkSession
-    if exists(spark, path) and not allow_overwrite:
+    last = _pointer(spark, path)
+    if (last or exists(spark, path)) and not allow_overwrite:
         raise FileExistsError(f"{path} exists; choose another name or set allow_overwrite")
     seen = Observation()
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     if "vec" in df.columns:
         aggs.append(F.max(F.size("vec")).alias("dim"))
-    if allow_overwrite:
-        # Without its manifest a half-written folder is never taken for complete.
-        remove(spark, f"{path}{_META}")
-    df.observe(seen, *aggs).write.mode("overwrite" if allow_overwrite else "errorifexists").partitionBy(
-        *partition_by).parquet(path)
+    version = uuid.uuid4().hex
+    folder = f"{path}/{_VERSIONS}/{version}"
+    df.observe(seen, *aggs).write.partitionBy(*partition_by).parquet(folder)
     full = {**(meta or {}), **seen.get}
-    write_json(spark, full, f"{path}{_META}", allow_overwrite)
+    write_json(spark, full, f"{folder}/{_META}")
+    number = int(last.split("-", 1)[0]) + 1 if last else 0
+    fs, pointer = _fs(spark, f"{path}/{_CURRENT}/{number:010d}-{version}")
+    fs.create(pointer, False).close()
     return full
 
 
+def drop_versions(spark: SparkSession, path: str) -> None:
+    """Remove all versions but the current one, also unfinished ones; not while another writer is at work."""
+    keep = _pointer(spark, path)
+    if keep is None:
+        return
+    for folder, name in ((_CURRENT, keep), (_VERSIONS, keep.split("-", 1)[1])):
+        fs, p = _fs(spark, f"{path}/{folder}")
+        for f in fs.listStatus(p):
+            if f.getPath().getName() != name:
+                fs.delete(f.getPath(), True)
+
+
 def write_json(spark: SparkSession, record: Mapping, path: str, allow_overwrite: bool = False) -> None:
     """One JSON record as a small text file."""
     line = spark.range(1).select(F.lit(json.dumps(record, sort_keys=True, default=str)).alias("value"))
@@ -105,22 +140,27 @@ def write_summary(row: DataFrame, path: str, allow_overwrite: bool = False) -> N
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """Data and manifest are there, the data write finished, and the row counts agree."""
-    if not (exists(spark, f"{path}/_SUCCESS") and exists(spark, f"{path}{_META}/_SUCCESS")):
+    """There is a current version, its data and manifest were written to the end, and the row counts agree."""
+    folder = current_version(spark, path)
+    if folder is None or not (exists(spark, f"{folder}/_SUCCESS") and exists(spark, f"{folder}/{_META}/_SUCCESS")):
         return False
-    return spark.read.parquet(path).count() == read_json(spark, f"{path}{_META}").get("n_rows")
+    return spark.read.parquet(folder).count() == read_json(spark, f"{folder}/{_META}").get("n_rows")
 
 
 def read_versioned(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    return spark.read.parquet(path), read_json(spark, f"{path}{_META}")
+    """Data and manifest of the current version."""
+    folder = current_version(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"{path} has no version")
+    return spark.read.parquet(folder), read_json(spark, f"{folder}/{_META}")
 
 
 def write_once(df: DataFrame, path: str, meta: Mapping | None = None) -> DataFrame:
     """Write unless a complete version is there; read it back either way."""
     spark = df.sparkSession
     if not is_complete(spark, path):
-        write_versioned(df, path, meta, allow_overwrite=exists(spark, path))
-    return spark.read.parquet(path)
+        write_versioned(df, path, meta, allow_overwrite=True)
+    return read_versioned(spark, path)[0]
 
 
 def submission(pred: DataFrame, template: DataFrame) -> DataFrame:
@@ -164,7 +204,7 @@ def merge_shards(spark: SparkSession, shards: DataFrame, paths: Sequence[str], n
     Rows carry their key, so the order of the shard files does not matter.
     """
     assert_ok(validate_shards(shards, n_expected))
-    rows = spark.read.parquet(*paths)
+    rows = spark.read.parquet(*[data_path(spark, p) for p in paths])
     assert_ok(validate_vectors(rows, n_expected))
     return write_versioned(rows, out, meta)
 

@@ -2,51 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.operators.validate import assert_ok, validate_probs, validate_vectors
+from foldwright.sources.ranges import read_npy  # noqa: F401
+from foldwright.sources.tables import data_path
 
 
 def read_vectors(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """key, vec as 32-bit floats; non-finite or uneven vectors are an error."""
-    rows = spark.read.parquet(path).withColumn("vec", F.col("vec").cast("array<float>"))
+    rows = spark.read.parquet(data_path(spark, path)).withColumn("vec", F.col("vec").cast("array<float>"))
     if check:
         assert_ok(validate_vectors(rows))
     return rows
 
 
 def read_probs(spark: SparkSession, path: str, k: int = 3, check: bool = True) -> DataFrame:
-    rows = spark.read.parquet(path).withColumn("probs", F.col("probs").cast("array<double>"))
+    rows = spark.read.parquet(data_path(spark, path)).withColumn("probs", F.col("probs").cast("array<double>"))
     if check:
         assert_ok(validate_probs(rows, k))
     return rows
-
-
-def read_npy(spark: SparkSession, path: str, name: str = "vec", rows_per_task: int = 65536) -> DataFrame:
-    """row, <name>: a two-dimensional .npy matrix on a shared file system, read in row ranges.
-
-    Each task maps only its own slice of the file. `row` is the position the matrix was written
-    in: join it to the table that lists the keys in that order.
-    """
-    head = np.load(path, mmap_mode="r")
-    if head.ndim != 2:
-        raise ValueError(f"expected a matrix, found shape {head.shape}")
-    n = int(head.shape[0])
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix = np.load(path, mmap_mode="r")
-        for b in batches:
-            rows = b["id"].to_numpy()
-            if len(rows):
-                part = np.asarray(matrix[rows[0]:rows[-1] + 1], dtype=np.float32)
-                if not np.isfinite(part).all():
-                    raise ValueError(f"non-finite values in rows {rows[0]}..{rows[-1]}")
-                yield pd.DataFrame({"row": rows, name: list(part)})
-
-    slices = spark.range(0, n, 1, max(1, -(-n // rows_per_task)))
-    return slices.mapInPandas(load, f"row bigint, {name} array<float>")

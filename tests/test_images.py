@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 
 from foldwright.sources import images
 from foldwright.streaming import ingest
-from foldwright.sources.tables import is_complete
+from foldwright.sources.tables import is_complete, read_versioned
 
 LABELS = {"0_A": 0, "1_B": 1}
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # encoders below run in workers
@@ -172,7 +172,7 @@ def test_extract_all_skips_finished(spark, tmp_path, make_png):
     before = sorted(os.listdir(paths["plain"]))
     ingest.extract_all(spark, jobs, str(tmp_path / "sets"))
     assert sorted(os.listdir(paths["plain"])) == before
-    assert sorted(r["vec"][0] for r in spark.read.parquet(paths["dark"]).collect()) == [0.0, 0.5, 1.0]
+    assert sorted(r["vec"][0] for r in read_versioned(spark, paths["dark"])[0].collect()) == [0.0, 0.5, 1.0]
 
 
 @pytest.mark.parametrize("paths,want", [

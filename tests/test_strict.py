@@ -80,17 +80,6 @@ def test_equal_groups_are_dealt_as_one_by_one():
         assert splits._dealt(start, step, n) == want
 
 
-def test_overwriting_drops_the_old_manifest_first(spark, tmp_path):
-    path = str(tmp_path / "t")
-    df = spark.range(10)
-    tables.write_versioned(df, path)
-    assert tables.is_complete(spark, path)
-    broken = df.selectExpr("IF(id = 7, raise_error('lost'), id) AS id")
-    with pytest.raises(Exception, match="lost"):
-        tables.write_versioned(broken, path, allow_overwrite=True)
-    assert not tables.is_complete(spark, path)
-
-
 def test_dense_cell_asked_by_many_blocks(spark):
     """Most rows in one narrow cell, which every query block needs: still exact."""
     rng = np.random.default_rng(3)

@@ -55,12 +55,55 @@ def test_incomplete_versions(spark, tmp_path):
     path = str(tmp_path / "v")
     df = spark.range(3).withColumnRenamed("id", "key")
     df.write.parquet(path)
+    assert not tables.is_complete(spark, path)  # no version
+    with pytest.raises(FileExistsError):
+        tables.write_versioned(df, path)
+    assert tables.write_once(df, path).count() == 3 and tables.is_complete(spark, path)
+    tables.remove(spark, tables.current_version(spark, path) + "/_meta")
     assert not tables.is_complete(spark, path)  # no manifest
-    tables.write_json(spark, {"n_rows": 4}, path + "_meta")
+    tables.write_json(spark, {"n_rows": 4}, tables.current_version(spark, path) + "/_meta")
     assert not tables.is_complete(spark, path)  # counts differ
     assert tables.write_once(df, path).count() == 3 and tables.is_complete(spark, path)
 
 
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["data", "manifest", "pointer"])
+def test_a_writer_killed_anywhere_leaves_the_old_version(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "t")
+    tables.write_versioned(spark.range(5), path, {"v": 1})
+    new = spark.range(9)
+    if step == "data":
+        new = new.selectExpr("IF(id = 7, raise_error('killed'), id) AS id")
+    elif step == "manifest":
+        monkeypatch.setattr(tables, "write_json", lambda *a, **k: (_ for _ in ()).throw(Killed("killed")))
+    else:
+        one = tables._fs
+        monkeypatch.setattr(tables, "_fs", lambda s, p: (_ for _ in ()).throw(Killed("killed")) if "/_current/" in p else one(s, p))
+    with pytest.raises(Exception, match="killed"):
+        tables.write_versioned(new, path, {"v": 2}, allow_overwrite=True)
+    monkeypatch.undo()
+    rows, meta = tables.read_versioned(spark, path)
+    assert rows.count() == 5 and meta["v"] == 1 and tables.is_complete(spark, path)
+    held = tables.read_versioned(spark, path)[0]  # a reader from before goes on while a new version comes
+    tables.write_versioned(spark.range(9), path, {"v": 3}, allow_overwrite=True)
+    assert tables.read_versioned(spark, path)[0].count() == 9 and held.count() == 5
+    tables.drop_versions(spark, path)
+    assert len([d for d in os.listdir(tmp_path / "t" / "_versions") if not d.startswith(".")]) == 1
+    assert tables.is_complete(spark, path) and tables.read_versioned(spark, path)[1]["v"] == 3
+
+
+def test_a_version_can_be_made_from_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_versioned(spark.range(4), path)
+    tables.write_versioned(tables.read_versioned(spark, path)[0].where("id > 0"), path, allow_overwrite=True)
+    assert tables.read_versioned(spark, path)[0].count() == 3
+    with pytest.raises(FileNotFoundError):
+        tables.read_versioned(spark, str(tmp_path / "none"))
+
+
 def test_export_contract(spark, tmp_path):
     df = spark.createDataFrame([("b", 1, 2, 0.5), ("a", 0, 1, 0.25)], "key string, fold int, label int, margin double")
     tables.export_csv(df.coalesce(1), str(tmp_path / "x"), S.ISSUE_EXPORT, [F.asc("key")])
@@ -106,7 +149,7 @@ def test_merge_shards(spark, tmp_path):
         tables.merge_shards(spark, shards.where("start <> 3"), [paths[1], paths[2]], 8, out)
     assert not tables.exists(spark, out)  # nothing written on a gap
     assert tables.merge_shards(spark, shards, paths, 8, out)["n_rows"] == 8
-    assert {r["key"]: r["vec"][0] for r in spark.read.parquet(out).collect()} == {str(i): float(i) for i in range(8)}
+    assert {r["key"]: r["vec"][0] for r in tables.read_versioned(spark, out)[0].collect()} == {str(i): float(i) for i in range(8)}
 
 
 def test_npy(spark, tmp_path):
@@ -121,6 +164,41 @@ def test_npy(spark, tmp_path):
     np.save(tmp_path / "flat.npy", m[:, 0])
     with pytest.raises(ValueError):
         vectors.read_npy(spark, str(tmp_path / "flat.npy"))
+    with pytest.raises(FileNotFoundError):
+        vectors.read_npy(spark, str(tmp_path / "none.npy"))
+    np.save(tmp_path / "turned.npy", np.asfortranarray(m))
+    with pytest.raises(ValueError):
+        vectors.read_npy(spark, str(tmp_path / "turned.npy"))
+
+
+def test_npy_ranges_of_other_numbers(spark, tmp_path):
+    """Tasks read their byte ranges by URI; halves, doubles and big-endian numbers become floats."""
+    m = np.random.default_rng(1).normal(size=(257, 3))
+    for kind in ("<f2", "<f8", ">f4", "<i2"):
+        np.save(tmp_path / "k.npy", (m * 9).astype(kind))
+        rows = vectors.read_npy(spark, f"file:{tmp_path}/k.npy", "emb", rows_per_task=100)
+        assert rows.rdd.getNumPartitions() == 3 and rows.columns == ["row", "emb"]
+        got = np.array([r["emb"] for r in sorted(rows.collect(), key=lambda r: r["row"])], np.float32)
+        assert np.array_equal(got, (m * 9).astype(kind).astype(np.float32))
+
+
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    """Ranges joined as a tree; a sparse file above 2 GB; folders and patterns; an empty file."""
+    import hashlib
+
+    from foldwright.sources.ranges import tree_digests
+    data = bytes(range(256)) * 1000
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.bin").write_bytes(data)
+    (tmp_path / "d" / "empty").write_bytes(b"")
+    got = {r["path"].rsplit("/", 1)[1]: r["digest"] for r in tree_digests(spark, [str(tmp_path / "d")], 100_000).collect()}
+    parts = [hashlib.sha256(data[i:i + 100_000]).digest() for i in range(0, len(data), 100_000)]
+    assert got == {"a.bin": hashlib.sha256(b"".join(parts)).hexdigest()[:16], "empty": hashlib.sha256(b"").hexdigest()[:16]}
+    assert tree_digests(spark, [str(tmp_path / "d" / "a*")]).first()["digest"] == hashlib.sha256(data).hexdigest()[:16]
+    with open(tmp_path / "big", "wb") as f:
+        f.truncate(3 << 30)
+    zero = hashlib.sha256(bytes(64 << 20)).digest()
+    assert tree_digests(spark, [str(tmp_path / "big")]).first()["digest"] == hashlib.sha256(zero * 48).hexdigest()[:16]
 
 
 def test_bad_vector_and_prob_sets(spark, tmp_path):
