@@ -1,11 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval, then longest-common-subsequence and answer checks.
 
 1. Document frequencies of words over all documents, in a table of hashed cells of fixed size, give the TF-IDF weights.
-2. The benchmark's texts are cut into overlapping passages. Blocks of at most RANK passages are factorised by randomised SVD,
-   a task per group of items: a block's index is its vocabulary, the right singular vectors and the passages' latent vectors.
-   With no more passages than directions, a passage keeps its norm, however long the items are.
-3. Every passage of every document is projected and compared by cosine. A passage's weight on a block's vocabulary bounds its
-   cosine, so those that cannot reach the threshold are never projected.
+2. The benchmark's texts are cut into overlapping passages, and the passages of a part are factorised together by a randomised
+   SVD: from a random start, scans over the passage rows give A'(A B), summed by word; the driver makes the columns of B
+   orthonormal, and after POWERS scans turns them into the leading singular vectors. There are at most RANK of them and at most
+   half as many as passages, so passages share directions: words that stand together in the benchmark lie close.
+3. Every passage of every document is projected and compared with the items' passages by the cosine inside the latent space.
+   Words the benchmark lacks fall away there, so a passage with changed words stays near its original. Candidates must share
+   SHARED of the item passage's words.
 4. A short item is a small part of a document's passage, so items of up to SMALL words are also looked up by their rarest words,
    one of which every copy must hold, and by their answers' rarest word; those under SHORT words by one word of theirs.
 5. The words around a hit are compared with the whole item: the longest common subsequence must cover most of it, or, for
@@ -16,7 +18,6 @@ The benchmark is read in parts of at most PART_CHARS characters; what a part bro
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,13 @@ from foldwright.llm.common import store, text_slices
 from foldwright.llm.shingles import words
 
 STEP = 16  # a passage is two steps of words, and passages are one step apart
-COSINE = 0.4
+COSINE = 0.5  # inside the latent space
+WEIGHT = 0.16  # share of a document passage's squared weights on words of the benchmark, at least
+SHARED = 0.35
 COPY, PARAPHRASE = 0.8, 0.6
 SMALL = 2 * STEP  # items of up to so many words are looked up by single words as well
 SHORT = 8  # items of fewer words must stand word for word
-BLOCK_ITEMS, RANK = 200, 256
+RANK, POWERS, SPARE = 128, 3, 8
 PART_CHARS = 1_000_000
 CELL_BITS = 18
 _SEGMENT = 4096
@@ -75,55 +78,92 @@ def word_weights(texts: DataFrame) -> np.ndarray:
 
 # --- the index -----------------------------------------------------------------------------------------
 
-def randomized_svd(a: np.ndarray, rank: int, rounds: int = 2, seed: int = 3) -> np.ndarray:
-    """(columns, rank) leading right singular vectors: a random projection, power rounds, then an exact small SVD."""
-    rank = min(rank, *a.shape)
-    q = np.random.default_rng(seed).standard_normal((a.shape[1], min(rank + 8, min(a.shape)))).astype(np.float32)
-    for _ in range(rounds + 1):
-        q, _ = np.linalg.qr(a.T @ (a @ q))
-    _, _, vt = np.linalg.svd(a @ q, full_matrices=False)
-    return (q @ vt.T)[:, :rank].astype(np.float32)
-
-
 def _passages(word: np.ndarray) -> list[np.ndarray]:
     return [word[s:s + 2 * STEP] for s in range(0, max(1, len(word) - STEP), STEP)]
 
 
-def _block_rows(idf: np.ndarray, vocabulary: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
-    """(passages, words of the block) TF-IDF rows of length 1."""
-    rows = np.zeros((len(passages), len(vocabulary)), dtype=np.float32)
-    for row, p in zip(rows, passages):
-        np.add.at(row, np.searchsorted(vocabulary, p), idf[_cells(p)])
-        row /= max(float(np.linalg.norm(row)), 1e-9)
-    return rows
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item_id, text -> the item's words, as the row of passage -1, and its passages."""
+    for batch in batches:
+        for rows, texts in text_slices(batch, 1):
+            word, begin = words(texts)
+            item, nth, held = [], [], []
+            for k, (b, e) in enumerate(zip(begin[:-1], begin[1:])):
+                for n, part in enumerate([word[b:e], *_passages(word[b:e])], -1):
+                    item.append(k)
+                    nth.append(n)
+                    held.append(part.tobytes())
+            at = pa.array(item, pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(nth, pa.int64()), pa.array(held, pa.binary())],
+                                             names=["item_id", "text", "nth", "words"])
+
+
+def _padded(parts: list[bytes], vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the vocabulary, TF-IDF weights of unit length) of passages, filled up with place -1 and weight 0."""
+    place, weight = np.full((len(parts), 2 * STEP), -1), np.zeros((len(parts), 2 * STEP), dtype=np.float32)
+    for row, part in enumerate(parts):
+        word = np.frombuffer(part, np.uint64)
+        place[row, :len(word)] = np.searchsorted(vocabulary, word)
+        weight[row, :len(word)] = idf[_cells(word)]
+    # A word that stands n times in a passage has n times its weight: its places add up in every product.
+    same = (place[:, :, None] == place[:, None, :]) & (place[:, :, None] >= 0)
+    norm = np.sqrt((weight * np.einsum("pij,pj->pi", same.astype(np.float32), weight)).sum(axis=1, keepdims=True))
+    return place, weight / np.maximum(norm, 1e-9)
+
+
+def _project(place: np.ndarray, weight: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows times b, whose last row stands for place -1."""
+    out = np.empty((len(place), b.shape[1]), dtype=np.float32)
+    for lo in range(0, len(place), 512):
+        out[lo:lo + 512] = np.matmul(weight[lo:lo + 512, None, :], b[place[lo:lo + 512]])[:, 0, :]
+    return out
+
+
+def _partial(sent, vocabulary, idf):
+    """Task function: the part of A'(A B) that this task's passages give, word by word, in pieces of the vocabulary."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = sent.value
+        total = np.zeros((len(b), b.shape[1]), dtype=np.float64)
+        for batch in batches:
+            place, weight = _padded(batch.column(0).to_pylist(), vocabulary.value, idf.value)
+            y = _project(place, weight, b)
+            for lo in range(0, len(place), 512):
+                np.add.at(total, place[lo:lo + 512], weight[lo:lo + 512, :, None] * y[lo:lo + 512, None, :])
+        for piece in range(0, len(b) - 1, _SEGMENT):
+            part = total[piece:min(piece + _SEGMENT, len(b) - 1)]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([part.tobytes()], pa.binary())], names=["segment", "counts"])
+
+    return run
 
 
-def _block_index(idf: np.ndarray):
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["item_id", "text"], kind="stable")
-        ids = group["item_id"].to_numpy(np.int64)
-        word, begin = words(group["text"].tolist())
-        cut = [(k, p) for k, (b, e) in enumerate(zip(begin[:-1], begin[1:])) for p in _passages(word[b:e])]
-        out = []
-        # No block has more passages than directions, so a passage keeps its norm; a long item may lie in several blocks.
-        for block in np.array_split(np.arange(len(cut)), -(-len(cut) // RANK)):
-            held, owner = np.unique([cut[i][0] for i in block], return_inverse=True)
-            passages = [cut[i][1] for i in block]
-            vocabulary = np.unique(np.concatenate(passages))
-            a = _block_rows(idf, vocabulary, passages)
-            v = randomized_svd(a, RANK)
-            latent = a @ v
-            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-            texts = [word[begin[k]:begin[k + 1]] for k in held]
-            out.append([ids[held].tobytes(), np.cumsum([0] + [len(t) for t in texts]).astype(np.int64).tobytes(),
-                        np.concatenate(texts).tobytes(), vocabulary.tobytes(), zlib.compress(v.tobytes()),
-                        zlib.compress(latent.tobytes()), owner.astype(np.int64).tobytes(), v.shape[1]])
-        return pd.DataFrame(out, columns=["items", "begin", "word", "vocabulary", "v", "latent", "owner", "rank"])
+def _sum_pieces(group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(c) for c in group["counts"])
+    return pd.DataFrame({"segment": group["segment"].iloc[:1], "counts": [total.tobytes()]})
 
-    return build
 
+def factorise(passages: DataFrame, n: int, vocabulary, idf, rank: int = RANK, seed: int = 3) -> np.ndarray:
+    """(words of the vocabulary, directions): the leading right singular vectors of the n passages (column words).
 
-_INDEX = ("items binary, begin binary, word binary, vocabulary binary, v binary, latent binary, owner binary, rank bigint")
+    vocabulary and idf are broadcast variables. At most half as many directions as passages.
+    """
+    spark, size = passages.sparkSession, len(vocabulary.value)
+    rank = max(1, min(rank, n // 2, size))
+    wide = min(rank + SPARE, n, size)
+    b = np.random.default_rng(seed).standard_normal((size, wide))
+    for _ in range(POWERS):
+        b, _ = np.linalg.qr(b)
+        sent = spark.sparkContext.broadcast(np.vstack([b, np.zeros((1, wide))]).astype(np.float32))
+        parts = passages.select("words").mapInArrow(_partial(sent, vocabulary, idf), "segment bigint, counts binary")
+        after = np.zeros_like(b)
+        for r in parts.groupBy("segment").applyInPandas(_sum_pieces, "segment bigint, counts binary").collect():  # vocabulary x width
+            piece = np.frombuffer(r["counts"]).reshape(-1, wide)
+            after[r["segment"]:r["segment"] + len(piece)] = piece
+        # b is orthonormal and b'A'Ab small: its eigenvectors, largest first, turn b into the singular vectors.
+        small, turn = np.linalg.eigh(b.T @ after)
+        b, after = b @ turn[:, ::-1], after @ turn[:, ::-1]
+        b, leading = after, b
+    return leading[:, :rank].astype(np.float32)
 
 
 def _keys(k: int, word: np.ndarray, idf: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -150,19 +190,21 @@ def _keys(k: int, word: np.ndarray, idf: np.ndarray) -> list[tuple[int, int, int
     return [(w, k, 0, 1, 0) for w in {int(word[i]) for i in rarest}] + [run(n - answer, answer)]
 
 
-class _Block:
-    """One factorised block of items, ready to be asked."""
+class _Space:
+    """The items of a part in their latent space, ready to be asked."""
 
-    def __init__(self, row: dict, idf: np.ndarray):
-        self.items, self.begin, self.owner = (np.frombuffer(row[c], np.int64) for c in ("items", "begin", "owner"))
-        self.word, self.vocabulary = (np.frombuffer(row[c], np.uint64) for c in ("word", "vocabulary"))
-        self.v, self.latent = (np.frombuffer(zlib.decompress(row[c]), np.float32).reshape(-1, row["rank"])
-                               for c in ("v", "latent"))
-        self.v = np.vstack([self.v, np.zeros((1, self.v.shape[1]), dtype=np.float32)])
+    def __init__(self, items: list[int], item_words: list[np.ndarray], v: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray):
+        self.items, self.vocabulary = np.array(items, dtype=np.int64), vocabulary
+        self.item_words = [w.tolist() for w in item_words]
+        self.v = np.vstack([v, np.zeros((1, v.shape[1]), dtype=np.float32)])
+        cut = [(k, p) for k, w in enumerate(item_words) for p in _passages(w)]
+        self.owner = np.array([k for k, _ in cut], dtype=np.int64)
+        self.place, weight = _padded([p.tobytes() for _, p in cut], vocabulary, idf)
+        self.latent = _unit(_project(self.place, weight, self.v))
+        self.size = (self.place >= 0).sum(axis=1)
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
-        self.item_words = [self.word[b:e].tolist() for b, e in zip(self.begin[:-1], self.begin[1:])]
-        keys = [x for k, (b, e) in enumerate(zip(self.begin[:-1], self.begin[1:])) for x in _keys(k, self.word[b:e], idf)]
+        keys = [x for k, w in enumerate(item_words) for x in _keys(k, w, idf)]
         self.key_place, self.key_item, self.key_run, self.key_size, self.key_at = np.array(
             [(int(np.searchsorted(self.vocabulary, w)), *x) for w, *x in keys], dtype=np.int64).reshape(-1, 5).T
         order = np.argsort(self.key_place, kind="stable")
@@ -178,6 +220,10 @@ class _Block:
         return out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 def lcs_length(item: list[int], text: list[int]) -> int:
     """Length of the longest common subsequence, one bit per word of the item."""
     bit: dict[int, int] = {}
@@ -213,19 +259,18 @@ def judge(item: list[int], text: list[int]) -> tuple[float, str | None]:
     return share, "paraphrase" if share >= PARAPHRASE and _holds(text, answer) else None
 
 
-def _searched(sent_blocks, sent_idf, cosine: float):
+def _searched(sent_parts, sent_idf, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = sent_idf.value
-        blocks = [_Block(r, idf) for r in sent_blocks.value]
+        space = _Space(*sent_parts.value, idf)
         for batch in batches:
             out = []
             for rows, texts in text_slices(batch, 1):
                 word, begin = words(texts)
                 if len(word):
-                    for block in blocks:
-                        ids = rows.column(0).to_pylist()
-                        out += _search_block(block, idf, cosine, word, begin, ids)
-                        out += _search_keys(block, word, begin, ids)
+                    ids = rows.column(0).to_pylist()
+                    out += _search_space(space, idf, cosine, word, begin, ids)
+                    out += _search_keys(space, word, begin, ids)
             if out:
                 doc, item, share, kind, first = zip(*out)
                 yield pa.RecordBatch.from_arrays(
@@ -235,8 +280,8 @@ def _searched(sent_blocks, sent_idf, cosine: float):
     return run
 
 
-def _search_block(block: _Block, idf, cosine, word, begin, ids):
-    place, weight = block.places(word), idf[_cells(word)]
+def _search_space(space: _Space, idf, cosine, word, begin, ids):
+    place, weight = space.places(word), idf[_cells(word)]
     size = np.diff(begin)
     steps = -(-size // STEP)
     at = np.concatenate([np.arange(b, b + n, STEP) for b, n in zip(begin[:-1].tolist(), size.tolist())])
@@ -248,7 +293,7 @@ def _search_block(block: _Block, idf, cosine, word, begin, ids):
     more = np.append(owner[1:] == owner[:-1], False)
     whole = whole + np.where(more, np.append(whole[1:], 0), 0)
     inside = inside + np.where(more, np.append(inside[1:], 0), 0)
-    chosen = np.flatnonzero((more | (steps[owner] == 1)) & (inside >= cosine * cosine * whole) & (inside > 0))
+    chosen = np.flatnonzero((more | (steps[owner] == 1)) & (inside >= WEIGHT * whole) & (inside > 0))
     if not len(chosen):
         return []
     hits: dict[tuple[int, int], list[int]] = {}
@@ -256,17 +301,19 @@ def _search_block(block: _Block, idf, cosine, word, begin, ids):
         part = chosen[c:c + 512]
         low, high = at[part], np.minimum(at[part] + 2 * STEP, begin[owner[part] + 1])
         cell = low[:, None] + np.arange(2 * STEP)
-        column = np.where(cell < high[:, None], place[np.minimum(cell, len(word) - 1)], -1)
         # Words outside the vocabulary fall on the row of zeros at the end.
-        share = weight[np.minimum(cell, len(word) - 1)][:, None, :]
-        latent = np.matmul(share, block.v[column])[:, 0, :]
-        cos = (latent @ block.latent.T) / np.sqrt(whole[part])[:, None]
-        for p, q in zip(*np.nonzero(cos >= cosine)):
-            hits.setdefault((int(owner[part[p]]), int(block.owner[q])), []).append(int(low[p]))
+        column = np.where(cell < high[:, None], place[np.minimum(cell, len(word) - 1)], -1)
+        latent = _unit(_project(column, weight[np.minimum(cell, len(word) - 1)], space.v))
+        p, q = np.nonzero(latent @ space.latent.T >= cosine)
+        for lo in range(0, len(p), 4096):
+            x, y = p[lo:lo + 4096], q[lo:lo + 4096]
+            there = (space.place[y][:, :, None] == column[x][:, None, :]).any(axis=2) & (space.place[y] >= 0)
+            for k in np.flatnonzero(there.sum(axis=1) >= SHARED * space.size[y]):
+                hits.setdefault((int(owner[part[x[k]]]), int(space.owner[y[k]])), []).append(int(low[x[k]]))
     out = []
     present: tuple[int, np.ndarray] | None = None
     for (d, k), places in sorted(hits.items()):
-        item, b, e = block.item_words[k], int(begin[d]), int(begin[d + 1])
+        item, b, e = space.item_words[k], int(begin[d]), int(begin[d + 1])
         if present is None or present[0] != d:
             present = (d, set(word[b:e].tolist()))
         if sum(w in present[1] for w in item) < PARAPHRASE * len(item):
@@ -284,7 +331,7 @@ def _search_block(block: _Block, idf, cosine, word, begin, ids):
             if kind and share > best[0]:
                 best = (share, kind, low - b)
         if best[1]:
-            out.append((ids[d], int(block.items[k]), *best))
+            out.append((ids[d], int(space.items[k]), *best))
     return out
 
 
@@ -352,14 +399,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE)
         return spark.createDataFrame([], schema)
     idf = spark.sparkContext.broadcast(word_weights(texts))
     parts = -(-size["chars"] // PART_CHARS)
-    blocks_each = max(1, -(-size["n"] // (BLOCK_ITEMS * parts)))
     out = None
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        mine = mine.withColumn("block", F.pmod(F.xxhash64("text", "item_id", F.lit(1)), F.lit(blocks_each)))
-        rows = mine.groupBy("block").applyInPandas(_block_index(idf.value), _INDEX).collect()
-        index = spark.sparkContext.broadcast([r.asDict() for r in rows])
+        cut = store(mine.select("item_id", "text").mapInArrow(_cut, "item_id bigint, text string, nth bigint, words binary"), "passages")
+        whole = cut.where("nth < 0").orderBy("item_id", "text").select("item_id", "words").collect()  # at most PART_CHARS characters
+        if not whole:
+            continue
+        item_words = [np.frombuffer(r["words"], np.uint64) for r in whole]
+        vocabulary = np.unique(np.concatenate(item_words))
+        passages = cut.where("nth >= 0")
+        v = factorise(passages, passages.count(), spark.sparkContext.broadcast(vocabulary), idf)
+        index = spark.sparkContext.broadcast(([r["item_id"] for r in whole], item_words, v, vocabulary))
         found = texts.mapInArrow(_searched(index, idf, cosine), schema)
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], schema)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", "kind", "first_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.overlap", "b.kind", "b.first_word")

@@ -1,7 +1,6 @@
 """Decontamination: subsequences by definition, the factorisation, recall against brute force, edge rows."""
 
 import numpy as np
-import pandas as pd
 
 from foldwright.llm import decontaminate
 from foldwright.llm.shingles import words
@@ -25,11 +24,55 @@ def test_lcs_by_definition():
         assert decontaminate.lcs_length(a, b) == lcs(a, b)
 
 
-def test_randomized_svd():
+def space_of(spark, items, rank=decontaminate.RANK):
+    """The latent space of item texts, with even weights."""
+    idf = np.ones(1 << decontaminate.CELL_BITS, dtype=np.float32)
+    df = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").repartition(3)
+    cut = df.mapInArrow(decontaminate._cut, "item_id bigint, text string, nth bigint, words binary").where("nth >= 0")
+    held = [words([t])[0] for t in items]
+    vocabulary = np.unique(np.concatenate(held))
+    send = spark.sparkContext.broadcast
+    v = decontaminate.factorise(cut, cut.count(), send(vocabulary), send(idf), rank)
+    return decontaminate._Space(list(range(len(items))), held, v, vocabulary, idf), idf
+
+
+def plain_rows(space, idf):
+    """The passages as a dense matrix."""
+    a = np.zeros((len(space.place), len(space.vocabulary)))
+    _, weight = decontaminate._padded([space.vocabulary[p[p >= 0]].tobytes() for p in space.place], space.vocabulary, idf)
+    for row, p, w in zip(a, space.place, weight):
+        np.add.at(row, p[p >= 0], w[p >= 0])
+    return a
+
+
+def prose(rng, topics, n):
+    """Words of a topic each, so that there is something to factorise."""
+    mine = topics[rng.integers(0, len(topics))]
+    return [f"w{x}" for x in rng.choice(mine, n)]
+
+
+def test_factorisation_spans_the_leading_directions(spark):
     rng = np.random.default_rng(1)
-    a = (rng.standard_normal((80, 12)) @ rng.standard_normal((12, 300))).astype(np.float32)
-    v = decontaminate.randomized_svd(a, 12)
-    assert np.allclose(v.T @ v, np.eye(12), atol=1e-3) and np.allclose(a @ v @ v.T, a, atol=1e-2 * np.abs(a).max())
+    topics = [rng.choice(3000, 60, replace=False) for _ in range(12)]
+    space, idf = space_of(spark, [" ".join(prose(rng, topics, 150)) for _ in range(40)], 12)
+    a = plain_rows(space, idf)
+    v = space.v[:-1].astype(float)
+    assert v.shape[1] == 12 < len(a) and np.allclose(v.T @ v, np.eye(12), atol=1e-3)
+    s = np.linalg.svd(a, compute_uv=False)
+    assert ((a @ v) ** 2).sum() >= 0.98 * (s[:12] ** 2).sum()
+
+
+def test_latent_cosine_is_not_the_plain_one(spark):
+    """Fewer directions than passages: passages of one topic without a common word are near in the space, and only there."""
+    rng = np.random.default_rng(2)
+    topics = [rng.choice(3000, 120, replace=False) for _ in range(8)]
+    of = [rng.integers(0, 8) for _ in range(60)]
+    space, idf = space_of(spark, [" ".join(f"w{x}" for x in rng.choice(topics[t], 32, replace=False)) for t in of], 8)
+    a = plain_rows(space, idf)
+    plain, latent = a @ a.T, space.latent @ space.latent.T
+    same = np.equal.outer(of, of) & ~np.eye(60, dtype=bool)
+    assert latent[same].mean() > 0.9 > 0.5 > plain[same].mean() and np.abs(latent - plain).max() > 0.5
+    assert np.allclose(np.diag(latent), 1, atol=1e-4)
 
 
 def test_judge():
@@ -80,31 +123,25 @@ def test_planted(spark):
     assert len(got & want) >= 0.97 * len(want) and not got - want - brute(rows, bench)
 
 
-def test_long_items():
-    """Items of 500 words, some thirty passages each: verbatim and with 30 % of the words changed."""
+def test_recall_by_length(spark):
+    """Items of 10 to 500 words, some thirty passages for the longest: verbatim and with 30 % of the words before the answer changed."""
     rng = np.random.default_rng(4)
-    text = lambda n: [f"w{x}" for x in rng.integers(0, 100000, n)]
-    items = [text(500) for _ in range(80)]
-    docs = []
-    for i in range(40):
-        inserted = list(items[i])
-        if i % 2:
-            for k in rng.choice(400, 150, replace=False):
-                inserted[k] = f"p{rng.integers(0, 10 ** 6)}"
-        docs.append(" ".join(text(100) + inserted + text(100)))
-    idf = np.ones(1 << decontaminate.CELL_BITS, dtype=np.float32)
-    index = decontaminate._block_index(idf)(pd.DataFrame({"item_id": range(80), "text": [" ".join(w) for w in items]}))
-    word, begin = words(docs)
-    found = [decontaminate._search_block(decontaminate._Block(r, idf), idf, decontaminate.COSINE, word, begin, list(range(40)))
-             for r in index.to_dict("records")]
-    assert {(d, i) for f in found for d, i, *_ in f} == {(d, d) for d in range(40)}
-    # A passage's cosine with itself: its norm after the projection.
-    own = np.zeros(31)
-    for block in (decontaminate._Block(r, idf) for r in index.to_dict("records")):
-        for k, p in enumerate(decontaminate._passages(words([" ".join(items[0])])[0])):
-            latent = block.v[block.places(p)].sum(axis=0)
-            own[k] = max(own[k], (block.latent @ latent).max() / np.sqrt((np.unique(p, return_counts=True)[1] ** 2).sum()))
-    assert own.min() > 0.99
+    text = lambda n: [f"w{x}" for x in rng.zipf(1.25, n) % 50000]
+    lengths = [10, 20, 33, 50, 100, 200, 300, 500]
+    items = [text(lengths[i % 8]) for i in range(120)]
+    rows, want = [], {}
+    for i, item in enumerate(items):
+        for kind in (0, 1):
+            inserted, n = list(item), len(item)
+            if kind:
+                for k in rng.choice(n - max(3, n // 5), int(0.3 * n), replace=False):
+                    inserted[k] = f"p{rng.integers(0, 10 ** 6)}"
+            rows.append((2 * i + kind, " ".join(text(300) + inserted + text(300))))
+            want.setdefault((n, kind), set()).add((2 * i + kind, i))
+    got = pairs(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5),
+                spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string"))
+    recall = {k: len(got & v) / len(v) for k, v in want.items()}
+    assert all(r >= (0.9 if kind else 1.0) for (_, kind), r in recall.items()), recall
 
 
 def test_short_items(spark):
@@ -140,12 +177,11 @@ def test_edges(spark, edges, no_docs):
 
 
 def test_parts(spark, edges, monkeypatch):
-    """A benchmark in many parts and blocks gives what one gives."""
+    """A benchmark in many parts gives what one gives."""
     benchmark = spark.createDataFrame([(k, f"old harbour town could say {k} why the lanterns had burned blue") for k in range(30)],
                                       "item_id bigint, text string")
     one = pairs(edges, benchmark)
     monkeypatch.setattr(decontaminate, "PART_CHARS", 600)
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     assert pairs(edges, benchmark) == one and one
 
 
