@@ -8,13 +8,18 @@ Reading: Spark's text reader cuts byte ranges of a file at a separator, and give
 its end. With the gzip magic as separator every piece is a candidate member. A task accepts a candidate whose header decodes
 to a WARC version line, and appends the following pieces while the member goes on (the magic may occur in compressed bytes, even
 before the first byte of text comes out). The later pieces of a candidate that fails are tried as beginnings themselves.
-What a range cannot finish is joined with the first pieces of the next ranges of its file. Files must not be named *.gz:
-Spark would hand them to its own, unsplittable codec. A payload that itself holds WARC members byte for byte may be taken for
-records where a range begins inside it.
+What a range cannot finish is joined with the first pieces of the next ranges of its file.
+
+Spark would hand files named *.gz to its own, unsplittable codec, and uncompressed archives hold no magic. Files named *.gz or *.warc
+are therefore read by a data source of byte ranges: a task looks for the first member (or version line) that begins in its range
+and decodes, follows the records from there, past the range's end where the last one needs it. A file of either kind that does
+not begin with a record is an error, never an empty result; members that break off or do not decode are listed by
+damaged_members(). A payload that itself holds WARC members byte for byte may be taken for records where a range begins inside it.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,8 +27,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from foldwright.llm.common import store
+from foldwright.sources.ranges import ByteRange, files_under, opened
 
 MAGIC = b"\x1f\x8b\x08"
 LEAST_BYTES = 100
@@ -183,8 +190,10 @@ def _scan(fragments: bool):
                 if fresh:
                     leave()
                     at, members, nth = (file, start), _Members(), 0
-                if fresh and start == 0:
-                    continue  # what stands before the first magic
+                if fresh and start == 0:  # what stands before the first magic
+                    if raw.startswith(_VERSION):
+                        raise ValueError(f"{file} is not compressed; name it *.warc")
+                    continue
                 nth += 1
                 for n, member, left in members.add(nth, MAGIC + raw):
                     if member is None and fragments:
@@ -216,15 +225,180 @@ def _stitch(pieces: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["file", "headers", "block"])
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """file, headers, block for every WARC record of the archives under path. Damaged members are left out."""
-    pieces = (spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+def _by_pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Archives of gzip members under any name that Spark's text reader does not unpack itself."""
+    pieces = (spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(paths)
               .select(F.col("value").cast("binary").alias("raw"), "_metadata.file_path", "_metadata.file_block_start"))
     records = pieces.mapInArrow(_scan(False), _PIECE).select("file", "headers", "block")
     crossing = pieces.mapInArrow(_scan(True), _PIECE).groupBy("file").applyInPandas(_stitch, RECORD)
     return records.unionByName(crossing)
 
 
+class _Ranges(DataSource):
+    """Records, or damaged members, of archives in byte ranges."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_ranges"
+
+    def schema(self) -> str:
+        return RECORD + ", start bigint, reason string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RangesReader(self.options)
+
+
+class _RangesReader(DataSourceReader):
+    def __init__(self, options):
+        size, self.damaged = max(1, int(options["range"])), options["damaged"] == "true"
+        self.parts = [ByteRange(options[f"path{i}"], at, min(size, int(options[f"bytes{i}"]) - at))
+                      for i in range(int(options["files"])) for at in range(0, int(options[f"bytes{i}"]), size)]
+
+    def partitions(self) -> list[ByteRange]:
+        return self.parts
+
+    def read(self, part: ByteRange) -> Iterator[tuple]:
+        with opened(part.uri) as f:
+            head = f.read(len(_VERSION))
+            if not head.startswith(MAGIC) and head != _VERSION:
+                raise ValueError(f"{part.uri} does not begin with a WARC record")
+            records = _plain_records if head == _VERSION else _gzip_records
+            for start, record, reason in records(f, part.start, part.start + part.length):
+                if start == 0 and record is None:
+                    raise ValueError(f"{part.uri} does not begin with a WARC record: {reason}")
+                if (record is None) == self.damaged:
+                    yield (part.uri, *(parse(record) if record is not None else (None, None)), start, reason)
+
+
+def _find(f, what: bytes, begin: int, end: int) -> int | None:
+    """Place of the first `what` that begins in [begin, end)."""
+    f.seek(begin)
+    held = b""
+    while begin < end:
+        data = f.read(1 << 16)
+        held += data
+        at = held.find(what)
+        if at >= 0:
+            return begin + at if begin + at < end else None
+        if not data:
+            return None
+        cut = max(0, len(held) - len(what) + 1)
+        begin, held = begin + cut, held[cut:]
+    return None
+
+
+def _inflated(f, at: int) -> tuple[bytes | None, int, str | None]:
+    """(contents, end, None) of the gzip member at a place, or (None, at, why it is none)."""
+    f.seek(at)
+    inflate, out, read = zlib.decompressobj(31), [], 0
+    while not inflate.eof:
+        data = f.read(1 << 16)
+        if not data:
+            return None, at, "breaks off"
+        read += len(data)
+        try:
+            out.append(inflate.decompress(data))
+        except zlib.error as e:
+            return None, at, str(e)
+        text = b"".join(out[:2])[:len(_VERSION)]
+        if text and not _VERSION.startswith(text):
+            return None, at, "not a WARC record"
+    return b"".join(out), at + read - len(inflate.unused_data), None
+
+
+def _gzip_records(f, begin: int, end: int) -> Iterator[tuple[int, bytes | None, str | None]]:
+    """(start, record, None) of the members that begin in a range, and (start, None, reason) where one was due and does not decode."""
+    at, due = begin, begin == 0
+    while at < end:
+        here = _find(f, MAGIC, at, end)
+        if due and here != at:
+            yield at, None, "no gzip member"
+        if here is None:
+            return
+        record, after, reason = _inflated(f, here)
+        if record is None:
+            if due and here == at:
+                yield here, None, reason
+            at, due = here + 1, False
+            continue
+        if record:  # an empty member only pads
+            yield here, record, None
+        at, due = after, True
+
+
+def _plain_records(f, begin: int, end: int) -> Iterator[tuple[int, bytes | None, str | None]]:
+    """As _gzip_records, for an uncompressed archive: a record is its headers, as many bytes as they say, and a blank line."""
+    line = b"\n" + _VERSION
+    at, due = begin, begin == 0
+    while at < end:
+        if not due:
+            found = _find(f, line, at - 1, end - 1)
+            if found is None:
+                return
+            at = found + 1
+        f.seek(at)
+        head = b""
+        while b"\r\n\r\n" not in head and len(head) < 1 << 20 and (data := f.read(1 << 13)):
+            head += data
+        head, blank, _ = head.partition(b"\r\n\r\n")
+        size = re.search(rb"\r\nContent-Length:[ \t]*(\d+)[ \t]*(?:\r\n|$)", head, re.IGNORECASE)
+        reason = None if head.startswith(_VERSION) and blank and size else "no headers of a record"
+        if reason is None:
+            whole = len(head) + 4 + int(size[1])
+            f.seek(at + len(head) + 4)
+            record = head + blank + f.read(int(size[1]))
+            ends = f.read(4 + len(_VERSION))
+            if len(record) < whole:
+                reason = "breaks off"
+            elif ends and not (ends.startswith(b"\r\n\r\n") and (len(ends) == 4 or ends.endswith(_VERSION))):
+                reason = "no record where its length ends"
+        if reason is None:
+            yield at, record, None
+            at, due = at + whole + 4, True
+        else:
+            if due:
+                yield at, None, reason
+            at, due = at + 1, False
+
+
+def _by_ranges(spark: SparkSession, files: list[tuple[str, int]], damaged: bool) -> DataFrame:
+    spark.dataSource.register(_Ranges)
+    options = {"files": len(files), "damaged": str(damaged).lower(),
+               "range": spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()}
+    for i, (uri, size) in enumerate(files):
+        options |= {f"path{i}": uri, f"bytes{i}": size}
+    return spark.read.format("warc_ranges").options(**options).load()
+
+
+def _sorted_files(spark: SparkSession, path: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """(files named *.gz or *.warc with their sizes, the other ones); empty files hold nothing."""
+    files = [(uri, size) for uri, size in files_under(spark, path) if size]
+    def named(uri: str) -> bool:
+        return uri.lower().endswith((".gz", ".warc"))
+
+    return [x for x in files if named(x[0])], [uri for uri, _ in files if not named(uri)]
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """file, headers, block for every WARC record of the archives under path: gzip members or, in *.warc files, also uncompressed.
+
+    Damaged members are left out (see damaged_members). A *.gz or *.warc file that does not begin with a record is an error.
+    """
+    ranged, others = _sorted_files(spark, path)
+    parts = ([_by_ranges(spark, ranged, False).select("file", "headers", "block")] if ranged else []) + ([_by_pieces(spark, others)] if others else [])
+    if not parts:
+        return spark.createDataFrame([], RECORD)
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
+def damaged_members(spark: SparkSession, path: str) -> DataFrame:
+    """file, start, reason for every place in *.gz and *.warc files where a record was due and none could be read."""
+    ranged, _ = _sorted_files(spark, path)
+    if not ranged:
+        return spark.createDataFrame([], "file string, start bigint, reason string")
+    return _by_ranges(spark, ranged, True).select("file", "start", "reason")
+
+
 def page_records(records: DataFrame) -> DataFrame:
     """page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest of the records that write_archives wrote.
 

@@ -117,3 +117,59 @@ def test_long_members_end_with_zero():
     record = b"WARC/1.1\r\n\r\n" + b"z" * ((1 << 24) + 5)
     member = warc._member(record, 1)
     assert member[-1] == 0 and gzip.decompress(member) == record
+
+
+def archive(n, payload=lambda k: bytes([65 + k % 26]) * (20 + 97 * k)):
+    out = []
+    for k in range(n):
+        block = payload(k)
+        out.append((str(k), block, f"WARC/1.0\r\nWARC-Type: resource\r\nN: {k}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"))
+    return out
+
+
+@pytest.mark.parametrize("size", [50, 1000, 10_000_000])
+def test_archives_named_gz_and_plain_ones(spark, tmp_path, size):
+    """Both names, and a third one, give all records; a plain payload may hold version lines."""
+    records = archive(40, lambda k: b"text\r\n\r\nWARC/1.0 is a format\r\n" * (k % 3) + bytes([65 + k % 26]) * (20 + 97 * k))
+    (tmp_path / "w" / "sub").mkdir(parents=True)
+    (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for _, _, r in records))
+    (tmp_path / "w" / "sub" / "b.warc").write_bytes(b"".join(r for _, _, r in records))
+    (tmp_path / "w" / "c.dat").write_bytes(b"".join(gzip.compress(r) for _, _, r in records))
+    (tmp_path / "w" / "empty.warc.gz").write_bytes(b"")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = warc.read_archives(spark, str(tmp_path / "w")).collect()
+        assert warc.damaged_members(spark, str(tmp_path / "w")).collect() == []
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = sorted((k, b) for k, b, _ in records)
+    for name in ("a.warc.gz", "b.warc", "c.dat"):
+        assert sorted((r["headers"]["N"], bytes(r["block"])) for r in rows if r["file"].endswith(name)) == want
+
+
+def test_damaged_members_are_listed(spark, tmp_path):
+    records = archive(12)
+    members = [bytearray(gzip.compress(r)) for _, _, r in records]
+    members[5][20:60] = bytes(40)
+    starts = [sum(map(len, members[:k])) for k in range(12)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(bytes, members))[:-30])
+    plain = [r for _, _, r in records]
+    plain[7] = plain[7].replace(b"Content-Length: ", b"Content-Length: 9")
+    (tmp_path / "b.warc").write_bytes(b"".join(plain))
+    got = {}
+    for r in warc.read_archives(spark, str(tmp_path)).collect():
+        got.setdefault(r["file"].rsplit("/", 1)[1], set()).add(int(r["headers"]["N"]))
+    assert got == {"a.warc.gz": set(range(11)) - {5}, "b.warc": set(range(12)) - {7}}
+    lost = {(r["file"].rsplit("/", 1)[1], r["start"]) for r in warc.damaged_members(spark, str(tmp_path)).collect()}
+    assert lost == {("a.warc.gz", starts[5]), ("a.warc.gz", starts[11]), ("b.warc", sum(map(len, plain[:7])))}
+
+
+@pytest.mark.parametrize("name,data", [("a.warc.gz", b"no archive at all"), ("a.warc", b"<html>" * 99), ("a.gz", gzip.compress(b"some text")),
+                                       ("b.warc.gz", gzip.compress(b"WARC/1.0\r\n\r\n")[:-9])])
+def test_files_without_records_are_an_error(spark, tmp_path, name, data):
+    (tmp_path / name).write_bytes(data)
+    with pytest.raises(Exception, match="does not begin with a WARC record"):
+        warc.read_archives(spark, str(tmp_path)).count()
