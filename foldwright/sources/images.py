@@ -151,19 +151,42 @@ def image_stats(health: DataFrame, sample_n: int | None = None, seed: int = 42)
         "path", "width", "height", "channels", half_even(F.col("width") / F.col("height"), 3).alias("aspect_ratio"))
 
 
-def _grey(image: np.ndarray) -> np.ndarray:
-    if image.shape[2] >= 3:
-        return image[:, :, :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])
-    return image[:, :, 0].astype(np.float64)
+# Weights of the grey value in 1/65536, taps of the windowed sinc, fraction bits of a filter's weights.
+_GREY = (19595, 38470, 7471)
+_TAPS, _FRACTION = 3, 22
 
 
-def _area_weights(size: int, target: int) -> np.ndarray:
-    """target x size matrix that averages the pixels under each target cell."""
-    edges = np.linspace(0, size, target + 1)
-    cells = np.arange(size)
-    cover = np.minimum(edges[1:, None], cells[None, :] + 1) - np.maximum(edges[:-1, None], cells[None, :])
-    cover = np.clip(cover, 0, None)
-    return cover / cover.sum(axis=1, keepdims=True)
+def _grey(image: np.ndarray) -> np.ndarray:
+    """Grey values of 8 bits; alpha is ignored."""
+    if image.shape[2] < 3:
+        return image[:, :, 0].astype(np.int64)
+    return (image[:, :, :3].astype(np.int64) @ np.array(_GREY) + (1 << 15)) >> 16
+
+
+def _sinc_weights(size: int, target: int) -> np.ndarray:
+    """target x size matrix of a sinc windowed by a wider sinc, stretched when shrinking; rows sum to 1, in fixed-point numbers."""
+    scale = size / target
+    stretch = max(scale, 1.0)
+    centre = (np.arange(target)[:, None] + 0.5) * scale
+    reach = _TAPS * stretch
+    low = np.maximum((centre - reach + 0.5).astype(np.int64), 0)
+    high = np.minimum((centre + reach + 0.5).astype(np.int64), size)
+    cells = np.arange(size)[None, :]
+    x = (cells - centre + 0.5) / stretch
+    weight = np.where((cells >= low) & (cells < high) & (np.abs(x) <= _TAPS), np.sinc(x) * np.sinc(x / _TAPS), 0.0)
+    weight /= weight.sum(axis=1, keepdims=True)
+    return np.trunc(weight * (1 << _FRACTION) + np.where(weight < 0, -0.5, 0.5)).astype(np.int64)
+
+
+def shrink(grey: np.ndarray, size: int) -> np.ndarray:
+    """size x size 8-bit picture: rows are resampled along their length, then columns, each result rounded to 8 bits."""
+    def along(pixels: np.ndarray) -> np.ndarray:
+        if pixels.shape[1] == size:
+            return pixels
+        sums = pixels @ _sinc_weights(pixels.shape[1], size).T
+        return np.clip((sums + (1 << (_FRACTION - 1))) >> _FRACTION, 0, 255)
+
+    return along(along(grey).T).T
 
 
 def _cosine_basis(n: int, keep: int) -> np.ndarray:
@@ -171,8 +194,12 @@ def _cosine_basis(n: int, keep: int) -> np.ndarray:
 
 
 def phash_bits(image: np.ndarray, size: int = 32, keep: int = 8) -> int:
-    """64-bit perceptual hash: low cosine frequencies of the shrunken grey image above their median."""
-    small = _area_weights(image.shape[0], size) @ _grey(image) @ _area_weights(image.shape[1], size).T
+    """64-bit perceptual hash: low cosine frequencies of the shrunken grey image above their median.
+
+    Grey values, filter and rounding are those of common imaging libraries, so stored hashes of the usual kind (8 x 8 of 32 x 32,
+    first frequency first, highest bit first) can be compared with these.
+    """
+    small = shrink(_grey(image), size).astype(np.float64)
     basis = _cosine_basis(size, keep)
     low = np.round(basis @ small @ basis.T, 9)
     word = 0

@@ -1,3 +1,4 @@
+import math
 import os
 import sys
 
@@ -201,3 +202,55 @@ def test_resume_over_jpeg_and_png(spark, tmp_path, make_png):
     sizes = ingest.encode_resumable(spark, root, str(tmp_path / "two"), str(tmp_path / "two-cp"), mean_encoder, (),
                                     lambda content: np.full((1, 1, 1), len(content) % 251))
     assert sizes.count() == 3
+
+
+def _slow_shrink(grey, size):
+    """The filter pixel by pixel: a windowed sinc of three taps to either side, stretched by the scale, weights in 1 / 2**22."""
+    def line(values):
+        n, out = len(values), []
+        scale = n / size
+        stretch = max(scale, 1.0)
+        for i in range(size):
+            centre = (i + 0.5) * scale
+            first, last = max(int(centre - 3 * stretch + 0.5), 0), min(int(centre + 3 * stretch + 0.5), n)
+            weights = []
+            for j in range(first, last):
+                x = (j - centre + 0.5) / stretch
+                pi = math.pi
+                weights.append(0.0 if abs(x) > 3 else 1.0 if x == 0 else math.sin(pi * x) / (pi * x) * math.sin(pi * x / 3) / (pi * x / 3))
+            total, sum_ = sum(weights), 1 << 21
+            for w, j in zip(weights, range(first, last)):
+                fixed = w / total * (1 << 22)
+                sum_ += int(fixed + (0.5 if fixed >= 0 else -0.5)) * int(values[j])
+            out.append(min(max(sum_ >> 22, 0), 255))
+        return out
+
+    rows = [line(r) if grey.shape[1] != size else list(r) for r in grey]
+    columns = [line(c) if grey.shape[0] != size else list(c) for c in zip(*rows)]
+    return np.array(list(zip(*columns)))
+
+
+@pytest.mark.parametrize("shape", [(48, 37), (20, 90), (32, 64), (7, 5), (32, 32), (130, 33)])
+def test_shrinking_equals_the_filter_by_definition(shape):
+    rng = np.random.default_rng(sum(shape))
+    for grey in (rng.integers(0, 256, shape), np.indices(shape).sum(axis=0) * 3 % 256, np.where(rng.random(shape) < 0.5, 0, 255)):
+        assert (images.shrink(grey, 32) == _slow_shrink(grey, 32)).all()
+
+
+def test_hash_by_definition():
+    """Bits of the 8 x 8 lowest frequencies above their median, row by row, highest bit first; grey values in integers."""
+    rng = np.random.default_rng(5)
+    for shape in ((50, 41, 3), (33, 60, 4), (40, 40, 1)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        image = (image // 3 + 85 * np.indices(shape[:2]).sum(axis=0)[:, :, None] // 60 % 170).astype(np.uint8)
+        if shape[2] >= 3:
+            grey = np.array([[(19595 * int(p[0]) + 38470 * int(p[1]) + 7471 * int(p[2]) + 32768) >> 16 for p in row] for row in image])
+        else:
+            grey = image[:, :, 0].astype(int)
+        small = _slow_shrink(grey, 32)
+        low = [[sum(small[y][x] * math.cos(math.pi * (2 * y + 1) * u / 64) * math.cos(math.pi * (2 * x + 1) * v / 64)
+                    for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]
+        middle = sorted(x for row in low for x in row)
+        middle = (middle[31] + middle[32]) / 2
+        bits = "".join(str(int(x > middle)) for row in low for x in row)
+        assert images.phash_bits(image) % (1 << 64) == int(bits, 2)
