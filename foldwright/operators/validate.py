@@ -39,21 +39,41 @@ def _repeated(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") - 1).alias("repeated"))
 
 
-def validate_probs(df: DataFrame, k: int = 3, probs: str = "probs", tol: float = 1e-3,
-                   expected: DataFrame | None = None, key: str = "key") -> DataFrame:
-    """Shape, finite entries, sum 1, known labels, each key once, and the keys of `expected` covered."""
+def prob_rules(k: int = 3, probs: str = "probs", tol: float = 1e-3, label: bool = True) -> dict[str, Column]:
+    """What is wrong with a row, by rule: conditions on the row alone, so they hold for streams as well."""
     ps = P.entries(probs, k)
     finite = F.lit(True)
     for p in ps:
         finite = finite & p.isNotNull() & ~F.isnan(p) & (F.abs(p) != float("inf"))
     total = P.add_up(ps)
     rules = {
-        "length_k": F.count_if(F.coalesce(F.size(probs) != k, F.lit(True))),
-        "finite": F.count_if(~F.coalesce(finite, F.lit(False))),
-        "sums_to_one": F.count_if(F.coalesce(finite, F.lit(False)) & (F.abs(total - 1) > tol + 1e-5)),
+        "length_k": F.coalesce(F.size(probs) != k, F.lit(True)),
+        "finite": ~F.coalesce(finite, F.lit(False)),
+        "sums_to_one": F.coalesce(finite, F.lit(False)) & (F.abs(total - 1) > tol + 1e-5),
     }
-    if "label" in df.columns:
-        rules["label_known"] = F.count_if(~F.coalesce(F.col("label").between(0, k - 1), F.lit(False)))
+    if label:
+        rules["label_known"] = ~F.coalesce(F.col("label").between(0, k - 1), F.lit(False))
+    return rules
+
+
+def vector_rules(dim: int | None = None, vec: str = "vec") -> dict[str, Column]:
+    """As prob_rules, for vectors; their length only where dim is given."""
+    rules = {"finite": ~F.coalesce(V.is_finite(vec), F.lit(False))}
+    if dim is not None:
+        rules["constant_length"] = F.coalesce(F.size(vec) != dim, F.lit(True))
+    return rules
+
+
+def broken_rows(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """Rows that break a rule, with the names of all rules they break in `broken`; valid on a streaming DataFrame."""
+    names = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
+    return df.withColumn("broken", names).where(F.size("broken") > 0)
+
+
+def validate_probs(df: DataFrame, k: int = 3, probs: str = "probs", tol: float = 1e-3,
+                   expected: DataFrame | None = None, key: str = "key") -> DataFrame:
+    """Shape, finite entries, sum 1, known labels, each key once, and the keys of `expected` covered."""
+    rules = {n: F.count_if(c) for n, c in prob_rules(k, probs, tol, "label" in df.columns).items()}
     row = df.agg(*[c.alias(n) for n, c in rules.items()])
     names = [*rules, "repeated"]
     if expected is None:
