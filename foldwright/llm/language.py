@@ -89,19 +89,26 @@ class Model:
 
 
 def fit(docs: DataFrame, sample_rows: int = 192, window: int = 320, sample_chars: int = 49_152,
-        max_languages: int = 64) -> Model:
-    """Learn from rows with text, lang and doc_id outside the held-out quarter.
+        full_samples: int = 64, least_rows: int = 4) -> Model:
+    """Learn every value of lang from rows with text, lang and doc_id outside the held-out quarter.
 
-    The sample is bounded: of the max_languages most frequent values, sample_rows rows each, chosen by a hash of doc_id,
-    and of each row a window of `window` characters at a hashed place; at most sample_chars characters per language.
+    The sample is bounded: sample_rows rows of each value, chosen by a hash of doc_id, and of each row a window of `window`
+    characters at a hashed place, at most sample_chars characters per value. With more than full_samples values all samples
+    shrink so that together they stay as large; values too many for least_rows rows each are an error.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    most = full_samples * sample_rows // least_rows
+    top = counts.orderBy("lang").limit(most + 1).collect()
     if not top:
         return Model([], [], [])
+    if len(top) > most:
+        raise ValueError(f"more than {most} values of lang")
+    if len(top) > full_samples:
+        sample_chars = sample_chars * full_samples // len(top)
+        sample_rows = sample_rows * full_samples // len(top)
     # About twice as many rows as needed pass the hash, whatever a language's size; the window takes the first.
     share = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], 2.0 * sample_rows / r["n"])])
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) / 1_000_003

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foldwright.llm import language
@@ -98,3 +99,25 @@ def test_nothing_learned(edges, no_docs):
     assert model.languages == []
     assert {r["lang_pred"] for r in language.identify(edges, model).collect()} == {"und"}
     assert language.identify(no_docs, model).collect() == []
+
+
+def test_every_label_is_learned_however_many(spark):
+    """90 languages, above the number that gets full samples: each is predicted, the rare one too; too many are an error."""
+    rng = np.random.default_rng(12)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    vocabulary = {f"l{k:02d}": ["".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(40)] for k in range(90)}
+    rows = []
+    for i in range(90 * 24):
+        name = f"l{i % 90:02d}"
+        if name == "l89" and i > 90 * 8:
+            name = "l00"
+        rows.append((i, " ".join(rng.choice(vocabulary[name], 40)), name))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(df)
+    assert model.languages == sorted(vocabulary) and sum(model.lengths) <= 64 * 49_152
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, model).collect()}
+    truth = {i: name for i, _, name in rows}
+    assert np.mean([got[i] == truth[i] for i in truth]) > 0.98
+    assert all(got[i] == "l89" for i in truth if truth[i] == "l89")
+    with pytest.raises(ValueError):
+        language.fit(df, full_samples=8, sample_rows=32)

@@ -38,9 +38,26 @@ def test_stages(spark, documents):
 
 
 def test_edges(spark, no_docs, edges):
-    docs = edges.select("doc_id", "text", "lang").selectExpr("*", "'s' AS source", "length(text) AS n_chars")
-    for start in (no_docs, docs):
-        state = start
-        for _, stage in pipeline.STAGES:
-            state = store(stage(spark, state, SF), "test")
-        assert state.count() >= 0 and (start is docs) == (state.count() > 0)
+    """Nulls, empty and long texts, copies, and columns with names that operators use themselves; an empty table."""
+    docs = edges.selectExpr("*", "'s' AS source", "length(text) AS n_chars")
+    kept = [
+        {1, 2, 5, 8, 9, 10, None},  # without any learned language: those with letters
+        {1, 5, 8, 9, 10},  # 1 stands for its copies, the null id among them
+        {1, 5, 8, 9, 10}, {1, 5, 8, 9, 10}, {1, 5, 8, 9, 10}]
+    state = docs
+    for (_, stage), ids in zip(pipeline.STAGES, kept):
+        state = store(stage(spark, state, SF), "test")
+        assert {r["doc_id"] for r in state.select("doc_id").collect()} == ids
+        if stage is not pipeline.STAGES[-1][1]:
+            assert sorted(state.columns) == sorted(docs.columns)
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id in (1, 5, 8, 9)").collect()} | {10: "another text with id ten"}
+    pieces = sorted(map(tuple, state.select("doc_id", "piece", "start", "length").collect()))
+    tokens = {k: sum(length for d, _, _, length in pieces if d == k) for k in texts}
+    assert tokens[5] > 1024 > tokens[1] > tokens[8] > 1 and all(length <= 1024 for *_, length in pieces)
+    for k in texts:
+        mine = [p for p in pieces if p[0] == k]
+        assert [p[1] for p in mine] == list(range(len(mine))) and all(p[2] == sum(q[3] for q in mine[:p[1]]) for p in mine)
+    state = no_docs
+    for _, stage in pipeline.STAGES:
+        state = store(stage(spark, state, SF), "test")
+        assert state.count() == 0
