@@ -1,9 +1,10 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Exact copies (equal digests of the text) become one node; everything below works on nodes.
-2. Document frequencies of five-word shingles over all documents are counted in a table of 2**FREQUENCY_BITS hashed cells,
-   whatever the corpus's size; a shingle's weight is its count in the text times a damped IDF,
-   1 + DAMPING * ln(1 + N / frequency of its cell) / ln(1 + N).
+2. A shingle's weight is its count in the text times a damped IDF, 1 + DAMPING * ln(1 + N / frequency) / ln(1 + N). A first pass
+   counts all shingles in 2**FREQUENCY_BITS hashed cells; a second one counts those of the fullest cells by themselves. So the
+   shingles in one document of FREQUENT or more have their true frequency, whatever the corpus's size, and their number
+   is bounded by FREQUENT times a document's average; all others count as rare, as if one document held them.
 3. Improved consistent weighted sampling gives BANDS * ROWS samples per node: two nodes share a sample with probability equal
    to their weighted Jaccard similarity. ROWS samples make a band; nodes with an equal band are candidates.
 4. In every bucket all nodes are compared with one centre (a star, never all pairs), by the weighted Jaccard similarity
@@ -32,6 +33,7 @@ BANDS, ROWS = 16, 3
 SIMILARITY = 0.8
 DAMPING = 0.5
 FREQUENCY_BITS = 18
+FREQUENT = 64
 _SEGMENT = 4096
 _SHARED = 20  # of the 48 samples; a pair at 0.8 has as many with probability above 0.9999999
 _BLOCK_NODES, _BLOCK_CHARS = 1000, 8_000_000
@@ -87,14 +89,56 @@ def frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def cell_weights(frequency: np.ndarray, n_docs: int) -> np.ndarray:
-    return (1 + DAMPING * np.log1p(n_docs / np.maximum(frequency, 1)) / np.log1p(max(n_docs, 1))).astype(np.float32)
+def _count_heavy(sent):
+    """Task function: how many documents hold each shingle of a heavy cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in text_slices(batch, 0):
+                found = np.concatenate([np.unique(s) for s in shingles(texts)])
+                shingle, n = np.unique(found[sent.value[_cells(found)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    return run
+
+
+class Weights:
+    """Weights of single shingles: those that many documents hold in a table, one weight for all others."""
+
+    def __init__(self, frequent: np.ndarray, frequency: np.ndarray, n_docs: int):
+        order = np.argsort(frequent)
+        self.frequent = frequent[order]
+        self.weight = self._of(frequency[order], n_docs)
+        self.rare = self._of(np.ones(1), n_docs)[0]
+
+    @staticmethod
+    def _of(frequency: np.ndarray, n_docs: int) -> np.ndarray:
+        return (1 + DAMPING * np.log1p(n_docs / frequency) / np.log1p(max(n_docs, 1))).astype(np.float32)
+
+    def __call__(self, shingle: np.ndarray) -> np.ndarray:
+        if not len(self.frequent):
+            return np.full(len(shingle), self.rare, dtype=np.float32)
+        at = np.minimum(np.searchsorted(self.frequent, shingle), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == shingle, self.weight[at], self.rare)
+
+
+def least_frequent(n_docs: int) -> int:
+    """In how many documents a frequent shingle stands at least."""
+    return max(2, -(-n_docs // FREQUENT))
+
+
+def shingle_weights(texts: DataFrame, n_docs: int) -> Weights:
+    """Weights over all rows (a column text without nulls): two passes, and at most FREQUENT shingles per average one of a row."""
+    least = least_frequent(n_docs)
+    heavy = texts.sparkSession.sparkContext.broadcast(frequencies(texts) >= least)
+    counts = texts.select("text").mapInArrow(_count_heavy(heavy), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= least).toPandas()
+    return Weights(rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(float), n_docs)
 
 
-def weighted(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weighted(hashes: np.ndarray, idf: Weights) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of a text and their weights."""
     distinct, count = np.unique(hashes, return_counts=True)
-    return distinct, count * idf[_cells(distinct)]
+    return distinct, count * idf(distinct)
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -359,7 +403,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # With the first document's id in the key, the copies of a much-copied text fall in many partitions.
     firsts = nodes.select("digest", _key("first"), "node")
 
-    idf = spark.sparkContext.broadcast(cell_weights(frequencies(texts), members.count()))
+    idf = spark.sparkContext.broadcast(shingle_weights(texts, members.count()))
     sampled = texts.mapInArrow(_sampled(idf), "doc_id bigint, digest binary, samples array<int>, bands array<bigint>")
     # One row per node: that of its first document.
     sampled = sampled.withColumn("key", _key("doc_id")).join(firsts, ["digest", "key"])

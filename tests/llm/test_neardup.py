@@ -1,5 +1,6 @@
 """Near-dedup against all pairs."""
 
+import collections
 import itertools
 
 import numpy as np
@@ -13,11 +14,10 @@ from llm_cases import EDGES, needs_data
 def classes(texts):
     """{row number: least doc_id of its component} for [(doc_id, text)] by comparing all pairs of different texts."""
     sh = shingles([t or "" for _, t in texts])
-    frequency = np.zeros(1 << neardup.FREQUENCY_BITS, dtype=np.int64)
-    for (_, t), s in zip(texts, sh):
-        if t is not None:
-            frequency += np.bincount(neardup._cells(np.unique(s)), minlength=len(frequency))
-    idf = neardup.cell_weights(frequency, sum(t is not None for _, t in texts))
+    n = sum(t is not None for _, t in texts)
+    frequency = collections.Counter(x for (_, t), s in zip(texts, sh) if t is not None for x in set(s.tolist()))
+    frequent = {x: f for x, f in frequency.items() if f >= neardup.least_frequent(n)}
+    idf = neardup.Weights(np.array(list(frequent), dtype=np.uint64), np.array(list(frequent.values()), dtype=float), n)
     weights = [neardup.weighted(s, idf) for s in sh]
     parent = list(range(len(texts)))
 
@@ -119,3 +119,22 @@ def test_components(spark):
 @needs_data
 def test_documents(documents):
     check(documents, [(r["doc_id"], r["text"]) for r in documents.collect()])
+
+
+def test_weights_follow_true_frequencies(spark):
+    """Rare and common shingles differ although there are far more shingles than cells."""
+    rng = np.random.default_rng(3)
+    common = [" ".join(f"c{i}w{k}" for k in range(5)) for i in range(4)]
+    rows = []
+    for i in range(1200):
+        body = " ".join(f"w{x}" for x in rng.integers(0, 10 ** 7, 400))
+        rows.append((" ".join(common[k] for k in range(4) if i % (2 ** (k + 1)) == 0) + " . " + body,))
+    texts = spark.createDataFrame(rows, "text string").repartition(6)
+    kept = neardup.FREQUENCY_BITS
+    idf = neardup.shingle_weights(texts, 1200)
+    assert 1200 * 390 > 1 << kept
+    found = [float(idf(shingles([c])[0])[0]) for c in common]
+    want = [1 + 0.5 * np.log1p(2.0 ** (k + 1)) / np.log1p(1200) for k in range(4)]
+    assert np.allclose(found, want, atol=1e-3)
+    rare = idf(shingles([rows[0][0].split(" . ")[1]])[0])
+    assert (rare == np.float32(1.5)).all() and max(found) < 1.22
