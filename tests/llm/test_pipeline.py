@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 def test_registration():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names and len(pipeline.STAGES) == 5
 
