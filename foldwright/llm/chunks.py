@@ -1,10 +1,12 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; a chunk may end at white space where the top bits of the hash are zero. The hash
-sees the last 16 bytes only, so after an insertion the cuts fall at the same words again. Chunks are compared by a 64-bit
-digest of a stretch: the chunk and as many after it as make SEED_WORDS words. Stretches that also begin elsewhere form
-chains, neighbours at one distance from their first places. A chain as long as a passage is one, so a single colliding digest
-never makes a passage; shorter chains are compared with the other text byte by byte in both directions.
+A gear hash rolls over the bytes of a text; a chunk ends at the white space whose hash is the least of any GAP in a row (the last
+one of equals). That depends on at most GAP words to either side and never on the cut before, so after an insertion the cuts fall
+at the same words again, no chunk is longer than GAP words, and a text that repeats itself within GAP words is cut at each turn.
+Chunks are compared by a 64-bit digest of a stretch: the chunk and as many after it as make SEED_WORDS words. Two passages of 50
+equal words therefore share a whole stretch, whatever stands before and after them. Stretches that also begin elsewhere form
+chains, neighbours at one distance from their first places. Every chain's digest of 128 bits is compared with the first place's
+and the words around it byte by byte in both directions, so a passage is reported with its full length.
 
 The copy in the document with the smallest doc_id is the first one and stays; passages are reported in the others. Offsets count
 bytes of the UTF-8 text. Words are runs of anything but ASCII white space.
@@ -24,7 +26,9 @@ from foldwright.llm.common import store
 
 WINDOW = 16
 PASSAGE_WORDS = 50
-SEED_WORDS = 20
+SEED_WORDS = 14
+GAP = 13
+REACH = 1024  # bytes around a chain that are compared before whole texts are
 _BATCH_BYTES = 1_500_000
 _STRETCH = "digest bigint, doc_id bigint, tag int, at bigint, place bigint"
 _CHAIN = "doc_id bigint, tag int, start int, stop int, words int, first_doc bigint, first_start int"
@@ -46,18 +50,32 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut(texts: list[bytes], least: int, most: int, bits: int) -> list[list[tuple[int, int, int]]]:
-    """Chunks (start, stop, words) of every text. least and most bound the words of a chunk (the last may be shorter)."""
+def _least(values: np.ndarray, first_word: np.ndarray, gap: int) -> np.ndarray:
+    """Places that hold the least value of some gap places in a row of one text, the last one of equals; ascending."""
+    apart, low = gap - 1, (1 << 32) - 1
+    n, empty = len(values), np.iinfo(np.int64).max
+    # Between texts stand gap - 1 empty places, so that no run of gap places sees two texts.
+    text = np.repeat(np.arange(len(first_word) - 1), np.diff(first_word))
+    keys = np.full(n + apart * len(first_word), empty)
+    keys[np.arange(n) + apart * (text + 1)] = (values.astype(np.int64) << 32) | (low - np.arange(n))
+    span = 1
+    while span < gap:
+        step = min(span, gap - span)
+        keys = np.minimum(keys[:-step], keys[step:])
+        span += step
+    return np.unique(low - (keys[keys != empty] & low))
+
+
+def cut(texts: list[bytes], gap: int = GAP) -> list[list[tuple[int, int, int]]]:
+    """Chunks (start, stop, words) of every text, none longer than gap words."""
     lead = b" " * WINDOW  # every text begins in the same context
     data = np.frombuffer(b"".join([lead + t for t in texts]) + b" ", dtype=np.uint8)
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     ends = np.flatnonzero(blank & ~np.concatenate([[True], blank[:-1]]))
-    # A word may end a chunk if the hash at the white space after it says so.
-    may_end = (gear(data)[ends] >> np.uint16(16 - bits)) == 0
     offsets = np.cumsum([0] + [len(t) + WINDOW for t in texts])
     first_word = np.searchsorted(begins, offsets)
-    candidates = np.flatnonzero(may_end) + 1
+    candidates = _least(gear(data)[ends], first_word, gap) + 1
     bounds = np.searchsorted(candidates, first_word, side="right")
     begins, ends, candidates = begins.tolist(), ends.tolist(), candidates.tolist()
     out = []
@@ -65,10 +83,7 @@ def cut(texts: list[bytes], least: int, most: int, bits: int) -> list[list[tuple
         base, last, end = int(offsets[k]) + WINDOW, int(first_word[k]), int(first_word[k + 1])
         chunks = []
         for c in [*candidates[bounds[k]:bounds[k + 1]], end]:
-            while c - last > most:
-                chunks.append((begins[last] - base, ends[last + most - 1] - base, most))
-                last += most
-            if c - last >= least or (c == end and c > last):
+            if c > last:
                 chunks.append((begins[last] - base, ends[c - 1] - base, c - last))
                 last = c
         out.append(chunks)
@@ -110,7 +125,7 @@ def _unpacked(df: DataFrame) -> DataFrame:
         word.cast("int").alias("word"), (word + F.col("place").bitwiseAND(F.lit(63))).cast("int").alias("stop_word"))
 
 
-def _stretched(seed_words: int, least: int, most: int, bits: int):
+def _stretched(seed_words: int, gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -122,15 +137,19 @@ def _stretched(seed_words: int, least: int, most: int, bits: int):
                     size += len(texts[end])
                     end += 1
                 part = texts[begin:end]
-                found = [stretches(c, seed_words) for c in cut(part, least, most, bits)]
-                digest = [xxhash.xxh3_64_intdigest(t[x[1]:x[2]]) for t, xs in zip(part, found) for x in xs]
-                n = [len(xs) for xs in found]
+                found = [stretches(c, seed_words) for c in cut(part, gap)]
+                digest = np.array([xxhash.xxh3_64_intdigest(t[x[1]:x[2]]) for t, xs in zip(part, found) for x in xs],
+                                  dtype=np.uint64).view(np.int64)
+                text = np.repeat(np.arange(len(part)), [len(xs) for xs in found])
                 flat = np.array([x for xs in found for x in xs], dtype=np.int64).reshape(-1, 5)
+                # Where a text goes round in a loop, stretch after stretch is the same: one of them is enough.
+                kept = np.ones(len(text), dtype=bool)
+                kept[1:] = (text[1:] != text[:-1]) | (digest[1:] != digest[:-1])
+                digest, text, flat = digest[kept], text[kept], flat[kept]
+                flat[:, 0] = np.arange(len(text)) - np.searchsorted(text, text)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.array(digest, dtype=np.uint64).view(np.int64)),
-                    pa.array(np.repeat(np.array(ids[begin:end], dtype=np.int64), n)),
-                    pa.array(np.repeat(np.array(tags[begin:end], dtype=np.int32), n)),
-                    *[pa.array(x) for x in _packed(flat)],
+                    pa.array(digest), pa.array(np.array(ids[begin:end], dtype=np.int64)[text]),
+                    pa.array(np.array(tags[begin:end], dtype=np.int32)[text]), *[pa.array(x) for x in _packed(flat)],
                 ], names=["digest", "doc_id", "tag", "at", "place"])
                 begin = end
 
@@ -145,12 +164,12 @@ def _texts(docs: DataFrame) -> DataFrame:
         "doc_id", F.hash("text").alias("tag"), F.col("text").cast("binary").alias("data"))
 
 
-def chunk(docs: DataFrame, seed_words: int = SEED_WORDS, least: int = 3, most: int = 24, bits: int = 2) -> DataFrame:
-    """One row per stretch: digest, doc_id, tag, and packed its extent and place (see _unpacked). Null and short texts have
-    none."""
-    if seed_words + most > 63:
+def chunk(docs: DataFrame, seed_words: int = SEED_WORDS, gap: int = GAP) -> DataFrame:
+    """One row per stretch: digest, doc_id, tag, and packed its extent and place (see _unpacked); of equal stretches one after
+    another the first. Null and short texts have none."""
+    if seed_words + gap > 63:
         raise ValueError("a stretch must hold fewer than 64 words")
-    return _texts(docs).mapInArrow(_stretched(seed_words, least, most, bits), _STRETCH)
+    return _texts(docs).mapInArrow(_stretched(seed_words, gap), _STRETCH)
 
 
 _CHAIN_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
@@ -201,53 +220,100 @@ def _chains(passage_words: int):
 
 
 _BLANKS = b" \t\n\r\v\f"
+_AROUND = "doc_id bigint, tag int, start int, stop int, words int, first_doc bigint, first_start int, open boolean"
 
 
-def extend(a: bytes, b: bytes, start: int, stop: int, other: int) -> tuple[int, int, int] | None:
-    """The longest run of whole words around a[start:stop] that b holds at the same distance: start, stop, words."""
-    size = stop - start
-    if a[start:stop] != b[other:other + size]:
-        return None
-    back = 0
-    while back < min(start, other) and a[start - back - 1] == b[other - back - 1]:
-        back += 1
-    ahead, most = 0, min(len(a) - stop, len(b) - other - size)
-    while ahead < most and a[stop + ahead] == b[other + size + ahead]:
-        ahead += 1
-    low, high = start - back, stop + ahead
-    # Words that only one side ends or begins here are not whole.
-    while low < start and not ((low == 0 or a[low - 1] in _BLANKS) and (other - start + low == 0 or b[other - start + low - 1] in _BLANKS)):
-        low += 1
-    while high > stop and not ((high == len(a) or a[high] in _BLANKS)
-                               and (other - start + high == len(b) or b[other - start + high] in _BLANKS)):
-        high -= 1
-    part = a[low:high]
-    low += len(part) - len(part.lstrip(_BLANKS))
-    high -= len(part) - len(part.rstrip(_BLANKS))
-    return low, high, len(a[low:high].split())
-
-
-def _verified(passage_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                found = extend(r["data"], r["first_data"], r["start"], r["stop"], r["first_start"])
-                if found and found[2] >= passage_words:
-                    out.append((r["doc_id"], r["tag"], *found, r["first_doc"], r["first_start"] + found[0] - r["start"]))
-            if out:
-                yield _chain_rows(out)
+def agreeing(a: bytes, b: bytes) -> int:
+    """How many bytes a and b have in common from their beginnings on."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
-    return run
+
+def _whole_words(a: bytes, b: bytes, most: int) -> int:
+    """The largest length up to most at which neither a nor b is inside a word."""
+    while most and not ((most == len(a) or a[most] in _BLANKS) and (most == len(b) or b[most] in _BLANKS)):
+        most -= 1
+    return most
+
+
+def around(before: tuple[bytes, bytes], after: tuple[bytes, bytes], whole: tuple[bool, bool]) -> tuple[int, int, int, bool]:
+    """What two equal passages have in common around them: bytes before and after, words in them, and whether more may follow.
+
+    before and after hold the bytes at that side of either passage; whole says for each side whether they reach the ends of
+    both texts. Only whole words count.
+    """
+    out, words, more = [], 0, False
+    for (a, b), ended, side in ((tuple(x[::-1] for x in before), whole[0], -1), (after, whole[1], 1)):
+        n = agreeing(a, b)
+        more |= not ended and n == min(len(a), len(b))
+        n = _whole_words(a, b, n)
+        part = a[:n].rstrip(_BLANKS)
+        out.append(len(part))
+        words += len(part.split())
+    return out[0], out[1], words, more
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains with the bytes around both places -> chains at full length; open where the bytes did not suffice."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            back, ahead, more_words, is_open = around((r["before"], r["first_before"]), (r["after"], r["first_after"]),
+                                                      (r["from_begin"], r["to_end"]))
+            out.append((r["doc_id"], r["tag"], r["start"], r["stop"], r["words"], r["first_doc"], r["first_start"], True) if is_open
+                       else (r["doc_id"], r["tag"], r["start"] - back, r["stop"] + ahead, r["words"] + more_words, r["first_doc"],
+                             r["first_start"] - back, False))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*_CHAIN_TYPES, pa.bool_()))],
+                                             names=[*_CHAIN_NAMES, "open"])
+
+
+def _beside_texts(chains: DataFrame, texts: DataFrame, reach: int | None) -> DataFrame:
+    """Chains whose digest is that of the first place, with reach bytes before and after both (None: all of them).
+
+    The texts are cut in the JVM, beside each chain, before they are shuffled a second time or sent to Python.
+    """
+    def sides(prefix: str, start: str) -> list:
+        size, begin, n = F.octet_length("data"), F.col(start), F.col("stop") - F.col("start")
+        far = F.lit(reach) if reach else size
+        before = F.least(begin, far)
+        return [F.substring("data", begin - before + 1, before).alias(f"{prefix}before"),
+                F.substring("data", begin + n + 1, far).alias(f"{prefix}after"),
+                F.md5(F.substring("data", begin + 1, n)).alias(f"{prefix}digest"),
+                (before == begin).alias(f"{prefix}begin"), (begin + n + far >= size).alias(f"{prefix}end")]
+
+    own = texts.dropDuplicates(["doc_id", "tag"])
+    near = chains.join(own, ["doc_id", "tag"]).select(*_CHAIN_NAMES, *sides("", "start"))
+    other = texts.select(F.col("doc_id").alias("first_doc"), "data")
+    both = near.join(other, "first_doc").select(*near.columns, *sides("first_", "first_start"))
+    return both.where(F.col("digest") == F.col("first_digest")).select(
+        *_CHAIN_NAMES, "before", "first_before", "after", "first_after", (F.col("begin") & F.col("first_begin")).alias("from_begin"),
+        (F.col("end") & F.col("first_end")).alias("to_end"))
+
+
+def extend(chains: DataFrame, texts: DataFrame, reach: int = REACH) -> DataFrame:
+    """The chains at their full length: the longest run of whole words that both texts hold at one distance.
+
+    reach bytes at either side are compared first; chains that go on beyond them are compared over their whole texts.
+    """
+    tried = store(_beside_texts(chains, texts, reach).mapInArrow(_extended, _AROUND), "extended")
+    rest = tried.where("open").drop("open").distinct()
+    long = _beside_texts(rest, texts, None).mapInArrow(_extended, _AROUND)
+    return tried.where("NOT open").unionByName(long).select(*_CHAIN_NAMES)
 
 
 def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
     """doc_id, tag, start, stop, words, first_doc, first_start: passages of at least passage_words words that stand in a
     document with a smaller doc_id, each with the first one's place there.
 
-    A chain of at least passage_words words at chunk borders is a passage as it is; a shorter one is extended to its full
-    length by comparing the texts. Repeats inside one document are not reported. Rows equal in doc_id and text
-    are one document. Rows with a null doc_id or text are left out, an empty table gives an empty result.
+    Each passage is as long as both texts agree around it, by whole words. Repeats inside one document are not reported. Rows
+    equal in doc_id and text are one document. Rows with a null doc_id or text are left out, an empty table gives an empty result.
     """
     pieces = chunk(docs, seed_words)
     # Only digests of two documents go on; the stored sides leave the join two plain exchanges, which Spark can split.
@@ -261,11 +327,7 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, seed_
     by_doc = hits.select("doc_id", "tag", F.struct("nth", "start", "stop", "word", "stop_word", "first_doc", "first_start").alias("h")) \
         .distinct().groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list("h")).alias("hits"))
     chains = store(by_doc.mapInArrow(_chains(passage_words), _CHAIN), "chains")
-    whole = chains.where(F.col("words") >= passage_words)
-    texts = _texts(docs)
-    short = chains.where(F.col("words") < passage_words).join(texts.dropDuplicates(["doc_id", "tag"]), ["doc_id", "tag"])
-    short = short.join(texts.select(F.col("doc_id").alias("first_doc"), F.col("data").alias("first_data")), "first_doc")
-    return whole.unionByName(short.mapInArrow(_verified(passage_words), _CHAIN)).distinct()
+    return extend(chains, _texts(docs)).where(F.col("words") >= passage_words).distinct()
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:

@@ -37,8 +37,8 @@ def test_cuts_cover_the_words_and_survive_insertions():
     rng = np.random.default_rng(1)
     text = " ".join(prose(rng, 3000))
     shifted = "some words before it " + text
-    a, b = chunks.cut([text.encode(), shifted.encode()], 3, 24, 2)
-    assert sum(n for _, _, n in a) == 3000 and all(3 <= n <= 24 for _, _, n in a[:-1])
+    a, b = chunks.cut([text.encode(), shifted.encode()])
+    assert sum(n for _, _, n in a) == 3000 and all(1 <= n <= chunks.GAP for _, _, n in a)
     for start, stop, n in a:
         assert len(text.encode()[start:stop].split()) == n
     lead = len("some words before it ")
@@ -46,6 +46,69 @@ def test_cuts_cover_the_words_and_survive_insertions():
     assert len(common) >= len(a) - 4
 
 
+def test_cuts_equal_their_definition():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(prose(rng, n)).encode() for n in (0, 1, 5, 13, 14, 60, 200)] + [b"a " * 40, b"  x\ty  z " * 30]
+    for text, got in zip(texts, chunks.cut(texts)):
+        led = b" " * chunks.WINDOW + text + b" "
+        hashes = chunks.gear(np.frombuffer(led, dtype=np.uint8))
+        ends = [i for i in range(1, len(led)) if led[i:i + 1].isspace() and not led[i - 1:i].isspace()]
+        values = [int(hashes[i]) for i in ends]
+        stops = {len(values) - 1} if values else set()
+        for low in range(1 - chunks.GAP if values else 0, len(values)):
+            run = range(max(low, 0), min(low + chunks.GAP, len(values)))
+            stops.add(min(run, key=lambda k: (values[k], -k)))
+        assert [stop for _, stop, _ in got] == [ends[k] - chunks.WINDOW for k in sorted(stops)]
+
+
+def test_every_repeat_of_fifty_words_shares_a_stretch():
+    """Whatever stands before and after the passage; 3,000 repeats of every length from 50 to 60."""
+    rng = np.random.default_rng(4)
+    for n in range(50, 61):
+        texts = []
+        for _ in range(3000):
+            passage = prose(rng, n)
+            texts += [" ".join(prose(rng, int(rng.integers(0, 40))) + passage + prose(rng, 20)).encode() for _ in range(2)]
+        found = [{t[x[1]:x[2]] for x in chunks.stretches(c, chunks.SEED_WORDS)} for t, c in zip(texts, chunks.cut(texts))]
+        assert all(a & b for a, b in zip(found[::2], found[1::2]))
+
+
+def test_around():
+    cases = [((b"x one two ", b"y one two "), (b" three four", b" three fours"), (8, 6, 3)),
+             ((b"", b"z "), (b"", b" more"), (0, 0, 0)), ((b"same ", b"same "), (b" end ", b" end"), (5, 4, 2)),
+             ((b"undone ", b"done "), (b" a b", b" a c"), (0, 2, 1))]
+    for before, after, (back, ahead, words) in cases:
+        assert chunks.around(before, after, (True, True)) == (back, ahead, words, False)
+    assert chunks.around((b"a ", b"a "), (b" c", b" d"), (False, True))[3]  # more may stand before
+
+
+def test_extension_beyond_the_reach(spark):
+    """Chains that go on behind the compared bytes are compared over the whole texts."""
+    rng = np.random.default_rng(5)
+    shared = " ".join(prose(rng, 900))
+    texts = {1: "first lead " + shared + " tail", 2: "quite another start " + shared + " end"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    a, b = (texts[k].index(shared) for k in (2, 1))
+    middle = shared.index(" ", 2500) + 1
+    stop = shared.index(" ", middle + 90)
+    chain = [(2, None, a + middle, a + stop, len(shared[middle:stop].split()), 1, b + middle)]
+    rows = spark.createDataFrame(chain, chunks._CHAIN).drop("tag").join(chunks._texts(df).select("doc_id", "tag"), "doc_id")
+    for reach in (40, 1024, 1 << 20):
+        got = chunks.extend(rows, chunks._texts(df), reach).drop("tag").collect()
+        assert [tuple(r) for r in got] == [(2, a, a + len(shared), 900, 1, b)]
+
+
+def test_loops(spark):
+    """Loops of one to twelve words that begin and end at different places."""
+    words = [f"turn{k}" for k in range(12)]
+    rows = []
+    for p in range(1, 13):
+        lap = [f"{w}x{p}" for w in words[:p]]
+        rows += [(2 * p, " ".join(["lead", *(lap * 90)[:90]])), (2 * p + 1, " ".join(["other", "lead", *(lap * 90)[p // 2:p // 2 + 70], "end"]))]
+    found = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in found} == flagged(rows) == {2 * p + 1 for p in range(1, 13)}
+
+
 def test_planted_passages(spark):
     rng = np.random.default_rng(2)
     texts = {k: prose(rng, int(rng.integers(60, 800))) for k in range(60)}
@@ -62,6 +125,11 @@ def test_planted_passages(spark):
         part = by[r["doc_id"]].encode()[r["start"]:r["stop"]]
         assert part == by[r["first_doc"]].encode()[r["first_start"]:r["first_start"] + len(part)]
         assert len(part.split()) == r["words"] >= 50
+    # Every passage is reported at its full length.
+    for k in range(40, 60):
+        passage = " ".join(texts[k - 40][5:5 + 51 + k - 40])
+        at = by[k].index(passage)
+        assert any(r["doc_id"] == k and r["start"] <= at and r["stop"] >= at + len(passage) for r in found)
 
 
 def test_edges(spark, edges, no_docs):
@@ -72,7 +140,7 @@ def test_edges(spark, edges, no_docs):
     found = chunks.repeated_passages(more)
     assert {(r["doc_id"], r["first_doc"]) for r in found.collect()} == {(20, 5), (21, 5)}
     left = {r["doc_id"]: r["text"] for r in chunks.remove_passages(more.where("doc_id >= 20"), found).collect()}
-    assert left[21] == "" and left[20].startswith("before ") and len(left[20].split()) <= 24  # the chunk with the new word stays
+    assert left[21] == "" and left[20].split() == ["before"]
 
 
 def test_removal_keeps_columns(edges):
