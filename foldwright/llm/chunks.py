@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import store
@@ -31,7 +31,8 @@ GAP = 13
 REACH = 1024  # bytes around a chain that are compared before whole texts are
 _BATCH_BYTES = 1_500_000
 _STRETCH = "digest bigint, doc_id bigint, tag int, at bigint, place bigint"
-_CHAIN = "doc_id bigint, tag int, start int, stop int, words int, first_doc bigint, first_start int"
+_CHAIN = ("doc_id bigint, tag int, start int, stop int, word int, stop_word int, next_start int, first_doc bigint, "
+          "first_start int")
 
 
 def gear_table(seed: int = 1) -> np.ndarray:
@@ -172,16 +173,13 @@ def chunk(docs: DataFrame, seed_words: int = SEED_WORDS, gap: int = GAP) -> Data
     return _texts(docs).mapInArrow(_stretched(seed_words, gap), _STRETCH)
 
 
-_CHAIN_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-_CHAIN_NAMES = ["doc_id", "tag", "start", "stop", "words", "first_doc", "first_start"]
+_CHAIN_NAMES = ["doc_id", "tag", "start", "stop", "word", "stop_word", "next_start", "first_doc", "first_start"]
+_CHAIN_TYPES = [pa.int64(), *[pa.int32()] * 6, pa.int64(), pa.int32()]
 
 
-def _chain_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CHAIN_TYPES)], names=_CHAIN_NAMES)
-
-
-def chains_of(hits: list[dict], passage_words: int) -> list[tuple[int, int, int, int, int]]:
-    """Chains (start, stop, words, first_doc, first_start) among a document's repeated stretches, in text order.
+def chains_of(hits: list[dict], passage_words: int) -> list[dict]:
+    """Chains among a document's repeated stretches, in text order; next_start is where the next one begins that has the same
+    distance from the same first document, if any.
 
     Where a text repeats itself, first places jump back; a chain that begins at a first place seen before in its run of
     neighbours is left out unless it is a passage, because the texts are compared from the earlier one on.
@@ -190,8 +188,7 @@ def chains_of(hits: list[dict], passage_words: int) -> list[tuple[int, int, int,
 
     def close():
         if chain and (chain["new"] or chain["stop_word"] - chain["word"] >= passage_words):
-            out.append((chain["start"], chain["stop"], chain["stop_word"] - chain["word"], chain["first_doc"],
-                        chain["first_start"]))
+            out.append(chain)
 
     for h in hits:
         neighbour = last and h["nth"] == last["nth"] + 1 and h["first_doc"] == last["first_doc"]
@@ -205,22 +202,29 @@ def chains_of(hits: list[dict], passage_words: int) -> list[tuple[int, int, int,
         seen.add(h["first_start"])
         last = h
     close()
+    following = {}
+    for chain in reversed(out):
+        line = chain["first_doc"], chain["first_start"] - chain["start"]
+        chain["next_start"] = following.get(line)
+        following[line] = chain["start"]
     return out
 
 
 def _chains(passage_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(doc, tag, *chain) for doc, tag, hits in zip(*(c.to_pylist() for c in batch.columns))
+            out = [(doc, tag, *(chain[c] for c in _CHAIN_NAMES[2:])) for doc, tag, hits in zip(*(c.to_pylist() for c in batch.columns))
                    for chain in chains_of(hits, passage_words)]
             if out:
-                yield _chain_rows(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _CHAIN_TYPES)], names=_CHAIN_NAMES)
 
     return run
 
 
 _BLANKS = b" \t\n\r\v\f"
-_AROUND = "doc_id bigint, tag int, start int, stop int, words int, first_doc bigint, first_start int, open boolean"
+_AROUND = (f"{_CHAIN}, first_tag int, joined boolean, back int, back_words int, back_open boolean, ahead int, ahead_words int, "
+           "ahead_open boolean")
+_SIDE_TYPES = [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
 
 
 def agreeing(a: bytes, b: bytes) -> int:
@@ -242,70 +246,80 @@ def _whole_words(a: bytes, b: bytes, most: int) -> int:
     return most
 
 
-def around(before: tuple[bytes, bytes], after: tuple[bytes, bytes], whole: tuple[bool, bool]) -> tuple[int, int, int, bool]:
-    """What two equal passages have in common around them: bytes before and after, words in them, and whether more may follow.
-
-    before and after hold the bytes at that side of either passage; whole says for each side whether they reach the ends of
-    both texts. Only whole words count.
-    """
-    out, words, more = [], 0, False
-    for (a, b), ended, side in ((tuple(x[::-1] for x in before), whole[0], -1), (after, whole[1], 1)):
-        n = agreeing(a, b)
-        more |= not ended and n == min(len(a), len(b))
-        n = _whole_words(a, b, n)
-        part = a[:n].rstrip(_BLANKS)
-        out.append(len(part))
-        words += len(part.split())
-    return out[0], out[1], words, more
+def around(a: bytes, b: bytes, ended: bool) -> tuple[int, int, bool]:
+    """What two texts have in common from here on: bytes and number of whole words, and whether more may follow, as it may where
+    all bytes agree and the texts have not ended."""
+    n = agreeing(a, b)
+    part = a[:_whole_words(a, b, n)].rstrip(_BLANKS)
+    return len(part), len(part.split()), not ended and n == min(len(a), len(b))
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains with the bytes around both places -> chains at full length; open where the bytes did not suffice."""
     for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            back, ahead, more_words, is_open = around((r["before"], r["first_before"]), (r["after"], r["first_after"]),
-                                                      (r["from_begin"], r["to_end"]))
-            out.append((r["doc_id"], r["tag"], r["start"], r["stop"], r["words"], r["first_doc"], r["first_start"], True) if is_open
-                       else (r["doc_id"], r["tag"], r["start"] - back, r["stop"] + ahead, r["words"] + more_words, r["first_doc"],
-                             r["first_start"] - back, False))
+        out = [(*(r[c] for c in [*_CHAIN_NAMES, "first_tag", "joined"]),
+                *around(r["before"][::-1], r["first_before"][::-1], r["from_begin"]),
+                *around(r["after"], r["first_after"], r["to_end"])) for r in batch.to_pylist()]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*_CHAIN_TYPES, pa.bool_()))],
-                                             names=[*_CHAIN_NAMES, "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*_CHAIN_TYPES, *_SIDE_TYPES])],
+                                             names=[c.split()[0] for c in _AROUND.split(", ")])
 
 
 def _beside_texts(chains: DataFrame, texts: DataFrame, reach: int | None) -> DataFrame:
-    """Chains whose digest is that of the first place, with reach bytes before and after both (None: all of them).
+    """Chains whose digest is that of the first place, with reach bytes before and after both (None: all of them), and whether
+    the bytes up to the next chain agree as well (joined).
 
-    The texts are cut in the JVM, beside each chain, before they are shuffled a second time or sent to Python.
+    The texts are cut in the JVM, beside each chain, before they are shuffled again or sent to Python. Both joins read the texts
+    with the same columns and key, so Spark shuffles them once; the tag is therefore no join key.
     """
     def sides(prefix: str, start: str) -> list:
         size, begin, n = F.octet_length("data"), F.col(start), F.col("stop") - F.col("start")
         far = F.lit(reach) if reach else size
         before = F.least(begin, far)
+        gap = F.greatest(F.col("next_start") - F.col("stop"), F.lit(0))
         return [F.substring("data", begin - before + 1, before).alias(f"{prefix}before"),
                 F.substring("data", begin + n + 1, far).alias(f"{prefix}after"),
                 F.md5(F.substring("data", begin + 1, n)).alias(f"{prefix}digest"),
+                F.when(F.col("next_start").isNotNull(), F.md5(F.substring("data", begin + n + 1, gap))).alias(f"{prefix}gap"),
                 (before == begin).alias(f"{prefix}begin"), (begin + n + far >= size).alias(f"{prefix}end")]
 
-    own = texts.dropDuplicates(["doc_id", "tag"])
-    near = chains.join(own, ["doc_id", "tag"]).select(*_CHAIN_NAMES, *sides("", "start"))
-    other = texts.select(F.col("doc_id").alias("first_doc"), "data")
-    both = near.join(other, "first_doc").select(*near.columns, *sides("first_", "first_start"))
+    own = texts.select(F.col("doc_id").alias("_own"), F.col("tag").alias("_own_tag"), "data")
+    near = chains.join(own, (F.col("doc_id") == F.col("_own")) & (F.col("tag") - F.col("_own_tag") == 0))
+    near = near.select(*_CHAIN_NAMES, *sides("", "start"))
+    other = texts.select(F.col("doc_id").alias("_other"), F.col("tag").alias("first_tag"), "data")
+    both = near.join(other, F.col("first_doc") == F.col("_other")).select(*near.columns, "first_tag", *sides("first_", "first_start"))
     return both.where(F.col("digest") == F.col("first_digest")).select(
-        *_CHAIN_NAMES, "before", "first_before", "after", "first_after", (F.col("begin") & F.col("first_begin")).alias("from_begin"),
-        (F.col("end") & F.col("first_end")).alias("to_end"))
+        *_CHAIN_NAMES, "first_tag", "before", "first_before", "after", "first_after",
+        F.coalesce(F.col("gap") == F.col("first_gap"), F.lit(False)).alias("joined"),
+        (F.col("begin") & F.col("first_begin")).alias("from_begin"), (F.col("end") & F.col("first_end")).alias("to_end"))
 
 
 def extend(chains: DataFrame, texts: DataFrame, reach: int = REACH) -> DataFrame:
     """The chains at their full length: the longest run of whole words that both texts hold at one distance.
 
-    reach bytes at either side are compared first; chains that go on beyond them are compared over their whole texts.
+    Chains at one distance are joined where the bytes between them agree. reach bytes at either side are compared first; what goes
+    on beyond them is compared over the whole texts.
     """
-    tried = store(_beside_texts(chains, texts, reach).mapInArrow(_extended, _AROUND), "extended")
-    rest = tried.where("open").drop("open").distinct()
-    long = _beside_texts(rest, texts, None).mapInArrow(_extended, _AROUND)
-    return tried.where("NOT open").unionByName(long).select(*_CHAIN_NAMES)
+    tried = _beside_texts(chains, texts, reach).mapInArrow(_extended, _AROUND).distinct()
+    line = ["doc_id", "tag", "first_doc", "first_tag", "_shift"]
+    # A document's chains at one distance: no more than its own chunks.
+    order = Window.partitionBy(*line).orderBy("start")
+    parted = F.when(F.lag("joined").over(order) & (F.lag("next_start").over(order) == F.col("start")), 0).otherwise(1)
+    tried = tried.withColumn("_shift", F.col("first_start") - F.col("start")).withColumn("_run", parted)
+    tried = tried.withColumn("_run", F.sum("_run").over(order))
+    first, last = (lambda c: F.min_by(c, "start").alias(c)), (lambda c: F.max_by(c, "start").alias(c))
+    runs = store(tried.groupBy(*line, "_run").agg(
+        F.max("stop").alias("stop"), F.min("word").alias("word"), F.max("stop_word").alias("stop_word"),
+        F.min("start").alias("start"), *map(first, ("first_start", "back", "back_words", "back_open")),
+        *map(last, ("ahead", "ahead_words", "ahead_open"))), "extended")
+    rest = runs.where(F.col("back_open") | F.col("ahead_open"))
+    if not rest.isEmpty():
+        rest = rest.withColumn("next_start", F.lit(None).cast("int")).select(*_CHAIN_NAMES).distinct()
+        runs = runs.where(~F.col("back_open") & ~F.col("ahead_open")).unionByName(
+            _beside_texts(rest, texts, None).mapInArrow(_extended, _AROUND), allowMissingColumns=True)
+    return runs.select(
+        "doc_id", "tag", (F.col("start") - F.col("back")).alias("start"), (F.col("stop") + F.col("ahead")).alias("stop"),
+        (F.col("stop_word") - F.col("word") + F.col("back_words") + F.col("ahead_words")).alias("words"), "first_doc",
+        (F.col("first_start") - F.col("back")).alias("first_start")).distinct()
 
 
 def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -327,7 +341,10 @@ def repeated_passages(docs: DataFrame, passage_words: int = PASSAGE_WORDS, seed_
     by_doc = hits.select("doc_id", "tag", F.struct("nth", "start", "stop", "word", "stop_word", "first_doc", "first_start").alias("h")) \
         .distinct().groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list("h")).alias("hits"))
     chains = store(by_doc.mapInArrow(_chains(passage_words), _CHAIN), "chains")
-    return extend(chains, _texts(docs)).where(F.col("words") >= passage_words).distinct()
+    texts = _texts(docs)
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["doc_id", "tag"])
+    return extend(chains, texts).where(F.col("words") >= passage_words)
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:

@@ -74,12 +74,11 @@ def test_every_repeat_of_fifty_words_shares_a_stretch():
 
 
 def test_around():
-    cases = [((b"x one two ", b"y one two "), (b" three four", b" three fours"), (8, 6, 3)),
-             ((b"", b"z "), (b"", b" more"), (0, 0, 0)), ((b"same ", b"same "), (b" end ", b" end"), (5, 4, 2)),
-             ((b"undone ", b"done "), (b" a b", b" a c"), (0, 2, 1))]
-    for before, after, (back, ahead, words) in cases:
-        assert chunks.around(before, after, (True, True)) == (back, ahead, words, False)
-    assert chunks.around((b"a ", b"a "), (b" c", b" d"), (False, True))[3]  # more may stand before
+    assert chunks.around(b" three four", b" three fours", True) == (6, 1, False)
+    assert chunks.around(b"", b" more", True) == (0, 0, False)
+    assert chunks.around(b" end ", b" end", True) == (4, 1, False)
+    assert chunks.around(b" a b", b" a c", True) == (2, 1, False)
+    assert chunks.around(b" a", b" a", False) == (2, 1, True)  # more may follow
 
 
 def test_extension_beyond_the_reach(spark):
@@ -91,13 +90,22 @@ def test_extension_beyond_the_reach(spark):
     a, b = (texts[k].index(shared) for k in (2, 1))
     middle = shared.index(" ", 2500) + 1
     stop = shared.index(" ", middle + 90)
-    chain = [(2, None, a + middle, a + stop, len(shared[middle:stop].split()), 1, b + middle)]
+    chain = [(2, None, a + middle, a + stop, 0, len(shared[middle:stop].split()), None, 1, b + middle)]
     rows = spark.createDataFrame(chain, chunks._CHAIN).drop("tag").join(chunks._texts(df).select("doc_id", "tag"), "doc_id")
     for reach in (40, 1024, 1 << 20):
         got = chunks.extend(rows, chunks._texts(df), reach).drop("tag").collect()
         assert [tuple(r) for r in got] == [(2, a, a + len(shared), 900, 1, b)]
 
 
+def test_chains_with_another_first_holder_between(spark):
+    """A passage that an earlier document holds as well parts a copy's chain; the copy is reported in one piece."""
+    rng = np.random.default_rng(6)
+    popular, lead, end = (" ".join(prose(rng, n)) for n in (30, 200, 200))
+    rows = [(1, "start " + popular + " stop"), (2, f"{lead} {popular} {end}"), (3, f"x {lead} {popular} {end} y")]
+    found = chunks.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).drop("tag").collect()
+    assert [tuple(r) for r in found] == [(3, 2, 2 + len(rows[1][1]), 430, 2, 0)]
+
+
 def test_loops(spark):
     """Loops of one to twelve words that begin and end at different places."""
     words = [f"turn{k}" for k in range(12)]
