@@ -5,12 +5,14 @@ Every query works on whole tables. Doubles are rounded to six digits on both sid
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwright import schema
 from foldwright.functions import paths as PATH
 from foldwright.functions import probs as P
 from foldwright.functions import vectors as V
@@ -20,7 +22,7 @@ from foldwright.operators import (
 from foldwright.operators.order_stats import quantiles
 from foldwright.operators.single import beside
 from foldwright.plans import clean, decide, inputs, twins
-from foldwright.session import freeze
+from foldwright.session import ensure_checkpoint_dir, freeze
 from foldwright.sources import images, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -887,3 +889,54 @@ def handoff_report(spark, sf):
         "weights": validate.validate_weights(profile.class_weights(probs)),
         "vectors": validate.validate_vectors(inputs.vector_table(spark, sf)),
         "scores": validate.compare_cv_oof(metrics.cv_summary(metrics.with_pred(probs)))})
+
+
+# --- files written and read back -----------------------------------------------------------
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("folds_csv", twins.FOLDS_CSV)
+def folds_csv(spark, sf):
+    """The fold table as a CSV file in its contract, read back with types."""
+    path = _new_folder(spark, "folds")
+    tables.export_csv(_folds(spark, sf), path, schema.FOLDS_EXPORT)
+    return tables.read_folds(spark, path)
+
+
+@query("review_csv", twins.review_csv())
+def review_csv(spark, sf):
+    """The pending review log as a CSV file in its contract, read back with types and internal names."""
+    path = _new_folder(spark, "review")
+    tables.export_csv(review.init_review_log(review.review_order(_merged(spark, sf))), path, schema.REVIEW_EXPORT)
+    return rounded(tables.read_review(spark, path))
+
+
+@query("template_csv", twins.TEMPLATE_CSV)
+def template_csv(spark, sf):
+    """A submission template in file order: the lines of all files counted on from 0."""
+    path = _new_folder(spark, "template")
+    tables.export_csv(_folds(spark, sf), path, {"key": "id", "fold": "predicted"}, [F.desc("key")])
+    return tables.read_template(spark, path)
+
+
+@query("versioned_rows", twins.VERSIONED_ROWS)
+def versioned_rows(spark, sf):
+    """A table written twice: readers get the rows and the manifest of the second version."""
+    path = _new_folder(spark, "versions")
+    docs = inputs.document_table(spark, sf).select("key", "hash", "source", "n_chars")
+    tables.write_versioned(inputs.table(spark, sf, "labels"), path)
+    tables.write_versioned(docs, path, {"kind": "documents"}, allow_overwrite=True)
+    rows, meta = tables.read_versioned(spark, path)
+    return rows.select("*", F.lit(meta["n_rows"]).cast("bigint").alias("n_rows"), F.lit(meta["kind"]).alias("kind"),
+                       F.lit(tables.is_complete(spark, path)).alias("complete"))
+
+
+@query("summary_json", twins.DUPLICATE_SUMMARY)
+def summary_json(spark, sf):
+    """The duplicate summary as a JSON file, read back."""
+    path = _new_folder(spark, "summary")
+    row = dedup.duplicate_summary(inputs.document_table(spark, sf))
+    tables.write_summary(row, path)
+    return spark.read.schema(row.schema).json(path)

@@ -883,3 +883,18 @@ placed AS (SELECT g.*, row_number() OVER (PARTITION BY size, n0, n1 ORDER BY md5
 folds AS (SELECT p.grp, CAST(len(list_filter(range(1, 6), lambda f: list_sum(d.share[1:f]) <= p.place)) AS INTEGER) AS fold
           FROM placed p JOIN v USING (size, n0, n1) JOIN deal d ON d.i = v.i)
 SELECT key, label, grp AS "group", fold FROM rows JOIN folds USING (grp)"""
+
+
+# --- files written and read back ----------------------------------------------------------------
+
+FOLDS_CSV = f"WITH {PROB} SELECT CAST(key AS VARCHAR) AS key, label, fold FROM prob"
+TEMPLATE_CSV = f"""WITH {PROB} SELECT row_number() OVER (ORDER BY key DESC) - 1 AS pos, CAST(key AS VARCHAR) AS id,
+  fold AS predicted FROM prob"""
+VERSIONED_ROWS = """SELECT doc_id AS key, md5(text) AS hash, source, n_chars, (SELECT count(*) FROM documents) AS n_rows,
+  'documents' AS kind, true AS complete FROM documents"""
+
+
+def review_csv() -> str:
+    # An empty CSV field is null.
+    return f"""SELECT * EXCLUDE (position) REPLACE (CAST(key AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS reason,
+  CAST(NULL AS VARCHAR) AS reviewer) FROM ({review_log()})"""
