@@ -7,9 +7,9 @@ alphabet's middle, and serial correlation of neighbours. Fisher's method joins t
 
 How often ordinary text passes the battery depends on the alphabet and the length, so it is measured on the whole corpus:
 outside candidates every document's text, read in an alphabet (other symbols left out), is cut into strings of the least length of
-a class, and the battery runs on them (decoys); a document serves DECOY_CELLS of the pairs of alphabet and class. In each cell (alphabet, length class) the share of decoys that look at
-least as random as a candidate is the candidate's p-value for "this is ordinary text", and Benjamini-Hochberg over all
-candidates of the corpus keeps the share of ordinary strings among the reported ones below RATE. Where a cell has few decoys
+a class, and the battery runs on them (decoys), for every pair of alphabet and class. In each cell (alphabet, length class) the
+share of decoys that look at least as random as a candidate is the candidate's p-value for "this is ordinary text", and
+Benjamini-Hochberg over all candidates of the corpus keeps the share of ordinary strings among the reported ones below RATE. Where a cell has few decoys
 no p-value gets small and nothing is reported: short strings of small alphabets are never called secrets on thin evidence.
 
 Per cell and step of the combined p-value two counts are kept, so the driver sees a table of fixed size.
@@ -18,8 +18,7 @@ Per cell and step of the combined p-value two counts are kept, so the driver see
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import erfc
 
 import numpy as np
@@ -44,8 +43,6 @@ ALPHABETS = {
     "any": _DIGITS + _UPPER + _LOWER + "+/-_",
 }
 LEAST_CHARS, LEAST_BITS, RATE = 16, 80, 0.01
-#: Pairs of alphabet and length class that one document's text gives decoys for.
-DECOY_CELLS = 4
 #: Lower ends of the length classes. Decoys have the least length of their class, at which they pass most easily.
 LENGTHS = (16, 20, 24, 32, 40, 48, 64, 96, 128, 256)
 #: Steps of the combined p-value, four for each power of ten.
@@ -69,28 +66,47 @@ _FOLDED = {n: _ranks(a, n in _ONE_CASE) for n, a in ALPHABETS.items()}
 _MEMBER = [frozenset(a) for a in ALPHABETS.values()]
 
 
-def _two_sided(z: np.ndarray) -> np.ndarray:
-    return np.array([erfc(v) for v in np.abs(z) / np.sqrt(2.0)])
+#: -ln erfc(z / sqrt 2) at steps of 1 / _GRID from _LOW to _HIGH; between two steps it is all but linear.
+_GRID, _LOW, _HIGH = 2048, -8, 36
+_MINUS_LOG = np.array([-np.log(erfc(i / _GRID / np.sqrt(2.0))) for i in range(_LOW * _GRID, _HIGH * _GRID + 2)])
 
 
-def battery(x: np.ndarray, size: int) -> np.ndarray:
-    """Combined p-value of every row of symbol ranks (all rows of one length, 16 or more) under even independent symbols."""
-    m, n = x.shape
+def _minus_log(z: np.ndarray) -> np.ndarray:
+    at = (np.clip(z, _LOW, _HIGH) - _LOW) * _GRID
+    i = at.astype(np.int64)
+    low = _MINUS_LOG[i]
+    return low + (at - i) * (_MINUS_LOG[i + 1] - low)
+
+
+def _bins(n: int, size: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of bins for n symbols, bin of every symbol, share of the symbols in every bin."""
     bins = max(2, min(n // 5, size))
     of = np.arange(size) * bins // size
-    share = np.bincount(of, minlength=bins) / size
-    seen = np.bincount((np.arange(m)[:, None] * bins + of[x]).ravel(), minlength=m * bins).reshape(m, bins)
-    chi = (seen * seen / share).sum(axis=1) / n - n
+    return bins, of, np.bincount(of, minlength=bins) / size
+
+
+def _combined(seen: np.ndarray, runs: np.ndarray, serial: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Combined p-value of strings of n symbols: symbols seen in every bin, changes between the halves of the alphabet, sum of the
+    products of neighbours about the middle."""
+    bins, _, share = _bins(n, size)
+    chi = (seen * seen) @ (1 / share) / n - n
     d = bins - 1  # Wilson and Hilferty: the cube root is close to normal
     z = (np.cbrt(np.maximum(chi, 0.0) / d) - (1 - 2 / (9 * d))) / np.sqrt(2 / (9 * d))
-    p_even = np.array([erfc(v) for v in z / np.sqrt(2.0)]) / 2
+    half = _minus_log(z) + np.log(2.0)
+    half += _minus_log(np.abs(runs - (n - 1) / 2) / np.sqrt((n - 1) / 4))
+    half += _minus_log(np.abs(serial / ((size * size - 1) / 12 * np.sqrt(n - 1))))
+    return np.exp(-half) * (1 + half + half * half / 2)
+
+
+def battery(x: np.ndarray, size: int) -> np.ndarray:
+    """Combined p-value of every row of symbol ranks (all rows of one length, 16 or more) under even independent symbols."""
+    m, n = x.shape
+    bins, of, _ = _bins(n, size)
+    seen = np.bincount((np.arange(m)[:, None] * bins + of[x]).ravel(), minlength=m * bins).reshape(m, bins)
     high = x >= size // 2  # every alphabet has an even number of symbols
     runs = (high[:, 1:] != high[:, :-1]).sum(axis=1)
-    p_runs = _two_sided((runs - (n - 1) / 2) / np.sqrt((n - 1) / 4))
     centred = x - (size - 1) / 2
-    p_serial = _two_sided((centred[:, 1:] * centred[:, :-1]).sum(axis=1) / ((size * size - 1) / 12 * np.sqrt(n - 1)))
-    half = -sum(np.log(np.maximum(p, 1e-300)) for p in (p_even, p_runs, p_serial))
-    return np.exp(-half) * (1 + half + half * half / 2)
+    return _combined(seen.astype(float), runs, (centred[:, 1:] * centred[:, :-1]).sum(axis=1), n, size)
 
 
 def step(p: np.ndarray) -> np.ndarray:
@@ -131,19 +147,53 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     return found
 
 
-_DECOYS = [(a, n) for a in range(len(ALPHABETS)) for n in LENGTHS if _testable(a, n)]
+def _alike() -> list[tuple[int, list[int]]]:
+    """(alphabet, all alphabets that read a text as this one does): upper and lower case of one alphabet give the same decoys."""
+    found: dict[bytes, list[int]] = {}
+    for i, name in enumerate(_NAMES):
+        found.setdefault(_FOLDED[name].tobytes(), []).append(i)
+    return [(same[0], same) for same in found.values()]
+
+
+_READINGS = _alike()
 
 
-def decoys(text: str) -> Iterator[tuple[int, np.ndarray]]:
-    """(cell, steps) of the strings that the text is cut into, without its candidates, in DECOY_CELLS cells; the text alone decides which."""
-    first = zlib.crc32(text.encode("utf-8", "replace"))
-    rest = np.frombuffer(_RUN.sub("", text).encode("utf-8", "replace"), dtype=np.uint8)
-    for i in range(DECOY_CELLS):
-        alphabet, n = _DECOYS[(first + i * len(_DECOYS) // DECOY_CELLS) % len(_DECOYS)]
-        ranks = _FOLDED[_NAMES[alphabet]][rest]
-        ranks = ranks[ranks >= 0]
-        if rows := len(ranks) // n:
-            yield _cell(alphabet, n), step(battery(ranks[:rows * n].reshape(rows, n), _SIZES[alphabet]))
+def decoys(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(cell, steps) of the strings that every text is cut into, without its candidates, for every cell.
+
+    Runs and neighbours are differences of running sums over all texts; a string never spans two texts.
+    """
+    rest = [_RUN.sub("", t).encode("utf-8", "replace") for t in texts]
+    codes = np.frombuffer(b"".join(rest), dtype=np.uint8)
+    ends = np.cumsum([len(r) for r in rest], dtype=np.int64)
+    for alphabet, same in _READINGS:
+        size, ranks = _SIZES[alphabet], _FOLDED[_NAMES[alphabet]][codes]
+        kept = np.flatnonzero(ranks >= 0)
+        x = ranks[kept].astype(np.int64)
+        end = np.searchsorted(kept, ends)  # of every text, in kept symbols
+        begin = np.concatenate([[0], end[:-1]])
+        high, double = x >= size // 2, 2 * x - (size - 1)
+        changes = np.concatenate([[0], np.cumsum(high[1:] != high[:-1])]) if len(x) else x
+        products = np.concatenate([[0], np.cumsum(double[1:] * double[:-1])]) if len(x) else x
+        for n in LENGTHS:
+            rows = (end - begin) // n
+            m = int(rows.sum())
+            if not m or not _testable(alphabet, n):
+                continue
+            first = np.repeat(begin - n * (np.cumsum(rows) - rows), rows) + n * np.arange(m)
+            last = first + n - 1
+            bins, of, _ = _bins(n, size)
+            at = of[x]
+            if len(at) > m * n:  # the ends of the texts are in no string
+                inside = np.ones(len(at), dtype=bool)
+                over = end - begin - n * rows
+                inside[np.repeat(end - np.cumsum(over), over) + np.arange(int(over.sum()))] = False
+                at = at[inside]
+            at = at.reshape(m, n) + (np.arange(m) * bins)[:, None]
+            seen = np.bincount(at.ravel(), minlength=m * bins).reshape(m, bins).astype(float)
+            steps = step(_combined(seen, changes[last] - changes[first], (products[last] - products[first]) / 4, n, size))
+            for a in same:
+                yield _cell(a, n), steps
 
 
 def patterns(text: str) -> list[tuple[int, int, int]]:
@@ -174,8 +224,8 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tried.append([{"start": s, "end": e, "cell": c, "step": p} for s, e, c, p in candidates(text)])
                 for t in tried[-1]:
                     targets[t["cell"] * STEPS + t["step"]] += 1
-                for cell, steps in decoys(text):
-                    ordinary[cell * STEPS:(cell + 1) * STEPS] += np.bincount(steps, minlength=STEPS)
+            for cell, steps in decoys(texts):
+                ordinary[cell * STEPS:(cell + 1) * STEPS] += np.bincount(steps, minlength=STEPS)
             none = pa.nulls(len(texts), _COUNTS)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(base, _SPANS), pa.array(tried, _TRIED), none, none],
                                              ["doc_id", "base", "tried", "targets", "decoys"])

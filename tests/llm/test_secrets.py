@@ -104,6 +104,27 @@ def test_random_strings_are_found_and_ordinary_long_ones_left(spark, corpus):
     assert again == {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
 
 
+def test_every_text_gives_decoys_for_every_cell():
+    """Each text on its own, in each alphabet and length class, by the battery itself."""
+    rng = np.random.default_rng(5)
+    texts = ["", PROSE, "ä" * 40, "0123456789 " * 30, "+/-_ " * 9, *("".join(rng.choice(list(string.printable), n)) for n in (15, 16, 17, 300, 2000)),
+             "x " * 500 + drawn(rng, 60, secrets.ALPHABETS["base62"]), "AbC-9_ /+ " * 40]
+    got, want = np.zeros((2, secrets.CELLS, secrets.STEPS), dtype=int)
+    for cell, steps in secrets.decoys(texts):
+        got[cell] += np.bincount(steps, minlength=secrets.STEPS)
+    for text in texts:
+        rest = re.sub(r"[A-Za-z0-9+/_-]{16,}={0,2}", "", text)
+        for a, (name, alphabet) in enumerate(secrets.ALPHABETS.items()):
+            folded = len({c.lower() for c in alphabet}) == len(alphabet)
+            ranks = [(alphabet.lower() if folded else alphabet).index(c) for c in (rest.lower() if folded else rest)
+                     if c in (alphabet.lower() if folded else alphabet)]
+            for k, n in enumerate(secrets.LENGTHS):
+                if n * np.log2(len(alphabet)) >= secrets.LEAST_BITS and len(ranks) >= n:
+                    x = np.array(ranks[:len(ranks) // n * n]).reshape(-1, n)
+                    want[a * len(secrets.LENGTHS) + k] += np.bincount(secrets.step(secrets.battery(x, len(alphabet))), minlength=secrets.STEPS)
+    assert (want.sum(axis=1) > 0).sum() > 60 and (got == want).all()
+
+
 def test_error_control_counts():
     targets, ordinary = np.zeros((2, 2, secrets.STEPS), dtype=int)
     ordinary[0, 40], targets[0, 2], targets[0, 40] = 5000, 20, 100  # well apart: the 20 are reported
