@@ -5,7 +5,12 @@ one tree, grown leaf by leaf at the largest gain. Growth asks for histograms in
 growth would split with what is known, so a tree takes about as many waves as it is deep, not as many as it has leaves. The tree
 is the same as if it were grown leaf by leaf.
 
-Data that fit LOCAL_ENTRIES are sent to one task per model, where waves need no exchange; the folds are fitted side by side.
+Rows of one fold and label with equal bins are one weighted row (a cell): every task merges its own, and equal cells of all tasks
+meet in a shuffle. Where vectors have few components their number is bounded by the bins, however many rows there are; where
+every row differs nothing is lost.
+
+Cells that fit LOCAL_ENTRIES are sent to one task per model, where waves need no exchange; the folds are fitted side by side. A
+leaf keeps its rows and histogram there, so only the smaller child of a split is counted and the larger one is the difference.
 Beyond, a wave is a scan of all tasks: their histograms are added up by (tree, leaf) in a shuffle, each sum is turned into its
 best split where it lies, and only splits come to the driver. Trees share a wave as long as a task's histograms stay below
 WAVE_BYTES. Scores are kept by the executors and written to the checkpoint folder every CHECKPOINT rounds.
@@ -18,7 +23,7 @@ from collections.abc import Generator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.operators.linear import softmax
@@ -93,21 +98,20 @@ def best_split(sums: np.ndarray, least_rows: int, least_hessian: float) -> Split
     left = sums.cumsum(axis=2)
     g, h, n = left
     whole = left[:, :, -1:]
-    right_h, right_n = whole[1] - h, whole[2] - n
-    fits = (np.minimum(n, right_n) >= least_rows) & (np.minimum(h, right_h) >= least_hessian)
-    at = np.flatnonzero(fits)
-    if not len(at):
+    g_all, h_all, n_all = whole
+    right_h, right_n = h_all - h, n_all - n
+    fits = (n >= least_rows) & (right_n >= least_rows) & (h >= least_hessian) & (right_h >= least_hessian)
+    if not fits.any():
         return None
-    f = at // g.shape[1]
-    g_all, h_all = whole[0, f, 0], whole[1, f, 0]
-    g, h = g.ravel()[at], h.ravel()[at]
-    gain = g * g / h + (g_all - g) ** 2 / (h_all - h) - g_all * g_all / h_all
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = g * g / h + (g_all - g) ** 2 / right_h - g_all * g_all / h_all
+    gain[~fits] = -np.inf
     best = int(gain.argmax())
-    if not gain[best] > 1e-12:
+    if not gain.flat[best] > 1e-12:
         return None
-    feature, cut = divmod(int(at[best]), sums.shape[2])
+    feature, cut = divmod(best, sums.shape[2])
     here = left[:, feature, cut]
-    return Split(float(gain[best]), feature, cut, tuple(here), tuple(whole[:, feature, 0] - here))
+    return Split(float(gain[feature, cut]), feature, cut, tuple(here), tuple(whole[:, feature, 0] - here))
 
 
 Known = dict[tuple, Split | None]
@@ -153,8 +157,8 @@ def _gradients(scores: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.nda
     return w[:, None] * p, h
 
 
-def _histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, tree: Tree, asked: dict[int, tuple], n_bins: int) -> np.ndarray:
-    """asked leaves x (gradient, hessian, rows) x features x bins."""
+def _histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray, tree: Tree, asked: dict[int, tuple], n_bins: int) -> np.ndarray:
+    """asked leaves x (gradient, hessian, rows) x features x bins, of cells of n rows each."""
     leaf = tree.leaf_of(bins, "bin")
     slot = np.full(len(tree.feature), -1, dtype=np.int64)
     slot[list(asked)] = np.arange(len(asked))
@@ -164,12 +168,58 @@ def _histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, tree: Tree, aske
     at = ((slot[rows, None] * d + np.arange(d)) * n_bins + bins[rows]).ravel()
     size = len(asked) * d * n_bins
     out = np.empty((len(asked), 3, d, n_bins))
-    for i, v in enumerate((g, h, None)):
-        weights = None if v is None else np.repeat(v[rows], d)
-        out[:, i] = np.bincount(at, weights=weights, minlength=size).reshape(len(asked), d, n_bins)
+    for i, v in enumerate((g, h, n)):
+        out[:, i] = np.bincount(at, weights=np.repeat(v[rows], d), minlength=size).reshape(len(asked), d, n_bins)
     return out
 
 
+class _Leaves:
+    """Rows and histograms of a tree's leaves by path, over cells that lie here: g, h and rows of a cell, and its bins by feature."""
+
+    def __init__(self, columns: np.ndarray, weights: Sequence[np.ndarray], n_bins: int):
+        self.columns, self.weights, self.n_bins = columns, weights, n_bins
+        self.rows: dict[tuple, np.ndarray | None] = {(): None}  # None: all
+        self.sums: dict[tuple, np.ndarray] = {}
+
+    def part(self, path: tuple, split: Split) -> None:
+        """Rows of the two children of a leaf."""
+        if (*path, 0) not in self.rows:
+            rows, column = self.rows[path], self.columns[split.feature]
+            goes = (column if rows is None else column[rows]) <= split.bin
+            for side, mine in ((0, goes), (1, ~goes)):
+                self.rows[(*path, side)] = np.flatnonzero(mine) if rows is None else rows[mine]
+
+    def counted(self, path: tuple) -> np.ndarray:
+        rows, d = self.rows[path], len(self.columns)
+        values = self.weights if rows is None else [v[rows] for v in self.weights]
+        out = np.empty((3, d, self.n_bins))
+        if len(values[0]) < 512:  # few rows: all features at once
+            at = ((self.columns if rows is None else self.columns[:, rows]) + (np.arange(d) * self.n_bins)[:, None]).ravel()
+            for i, v in enumerate(values):
+                out[i] = np.bincount(at, weights=np.tile(v, d), minlength=d * self.n_bins).reshape(d, self.n_bins)
+        else:
+            for f, column in enumerate(self.columns):
+                at = (column if rows is None else column[rows]).astype(np.intp)
+                for i, v in enumerate(values):
+                    out[i, f] = np.bincount(at, weights=v, minlength=self.n_bins)
+        return out
+
+    def histogram(self, path: tuple) -> np.ndarray:
+        """(gradient, hessian, rows) x features x bins of a leaf; its parent's is known, and dropped when both children's are."""
+        if path in self.sums:
+            return self.sums[path]
+        if not path:
+            self.sums[path] = self.counted(path)
+            return self.sums[path]
+        above = path[:-1]
+        low, high = sorted(((*above, 0), (*above, 1)), key=lambda p: len(self.rows[p]))
+        whole, few = self.sums.pop(above), self.counted(low)
+        many = whole - few
+        many[:2, many[2] == 0] = 0.0  # no rows: the difference is rounding
+        self.sums[low], self.sums[high] = few, many
+        return self.sums[path]
+
+
 def _finish(tree: Tree, leaves: list, rate: float, limits: Sequence[np.ndarray]) -> Tree:
     for node, (g, h, _) in leaves:
         tree.value[node] = -rate * g / h
@@ -189,67 +239,118 @@ def _prior(counts: np.ndarray) -> np.ndarray:
         return np.log(counts / max(counts.sum(), 1e-300))
 
 
-def boost(bins: np.ndarray, y: np.ndarray, w: np.ndarray, prior: np.ndarray, limits: Sequence[np.ndarray], rounds: int, rate: float, leaves: int,
-          least_rows: int, least_hessian: float) -> Forest:
-    """All rounds over rows that lie here."""
+def boost(bins: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, prior: np.ndarray, limits: Sequence[np.ndarray], rounds: int, rate: float,
+          leaves: int, least_rows: int, least_hessian: float) -> Forest:
+    """All rounds over cells that lie here: bins, label, number of rows and weight of a row."""
     n_bins = max((len(at) for at in limits), default=0) + 1
+    columns, n = np.ascontiguousarray(bins.T), n.astype(float)
     scores, out = np.tile(prior, (len(y), 1)), []
     for _ in range(rounds):
-        g, h = _gradients(scores, y, w)
+        g, h = (np.ascontiguousarray(v.T) for v in _gradients(scores, y, w * n))
         out.append([])
         for c in range(len(prior)):
             tree = Tree()
             if np.isfinite(prior[c]):
+                state, known = _Leaves(columns, (g[c], h[c], n), n_bins), {}
                 run = grow(leaves, least_rows)
-                partial, asked = next(run)
+                _, asked = next(run)
                 while True:
-                    sums = _histograms(bins, g[:, c], h[:, c], partial, asked, n_bins)
+                    found = {}
+                    for path in asked.values():
+                        if path:
+                            state.part(path[:-1], known[path[:-1]])
+                        found[path] = best_split(state.histogram(path), least_rows, least_hessian)
+                    known.update(found)
                     try:
-                        partial, asked = run.send({path: best_split(s, least_rows, least_hessian) for path, s in zip(asked.values(), sums)})
+                        _, asked = run.send(found)
                     except StopIteration as done:
                         tree = _finish(*done.value, rate, limits)
                         break
-                scores[:, c] += np.array(tree.value)[tree.leaf_of(bins, "bin")]
+                _add_values(tree, state, known, scores[:, c])
             out[-1].append(tree)
     return Forest(prior, out)
 
 
-def _fit_local(packed: Packed, models, limits, weights, priors, settings) -> dict[Model, Forest]:
-    """One task per model, each with all (bounded) rows."""
-    parts = packed.blocks.map(lambda b: (binned(b.x, limits), b.y, b.fold)).collect()  # at most LOCAL_ENTRIES bytes
-    bins, y, fold = (np.concatenate(c) for c in zip(*parts))
-    sent = packed.blocks.context.broadcast((bins, y, fold))
+def _add_values(tree: Tree, state: _Leaves, known: Known, scores: np.ndarray) -> None:
+    """Add every leaf's value to the scores of its rows."""
+    todo: list[tuple[int, tuple]] = [(0, ())] if tree.feature[0] >= 0 else []
+    while todo:
+        node, path = todo.pop()
+        if tree.feature[node] < 0:
+            scores[state.rows[path]] += tree.value[node]
+        else:
+            state.part(path, known[path])
+            todo += [(tree.left[node], (*path, 0)), (tree.right[node], (*path, 1))]
+
+
+Cells = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # bins, label, fold, rows
+
+
+def _merged(cells: Sequence[Cells]) -> Cells:
+    """Cells with equal bins, label and fold as one, in the order of their bytes."""
+    bins, y, fold, n = (np.concatenate(c) for c in zip(*cells))
+    key = np.ascontiguousarray(np.concatenate([bins, y.astype(">i8").view(np.uint8).reshape(-1, 8), fold.astype(">i8").view(np.uint8).reshape(-1, 8)], axis=1))
+    _, first, cell = np.unique(key.view(f"V{key.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return bins[first], y[first], fold[first], np.bincount(cell.ravel(), weights=n, minlength=len(first)).astype(np.int64)
+
+
+def _cells(packed: Packed, limits: Sequence[np.ndarray]) -> RDD:
+    """The rows as cells, dealt by their bins."""
+    width = packed.blocks.getNumPartitions()
+
+    def deal(part):
+        own = [(binned(b.x, limits), b.y, b.fold, np.ones(len(b.y), dtype=np.int64)) for b in part]
+        if not own:
+            return
+        bins, y, fold, n = _merged(own)
+        mixed = (bins.astype(np.uint64) + np.uint64(1)) @ np.random.default_rng(1).integers(1, 1 << 63, bins.shape[1], dtype=np.uint64)
+        to = ((mixed >> np.uint64(33)) % np.uint64(width)).astype(np.int64)
+        for i in np.unique(to).tolist():
+            rows = to == i
+            yield i, (bins[rows], y[rows], fold[rows], n[rows])
+
+    dealt = packed.blocks.mapPartitions(deal).partitionBy(width, lambda i: i)
+    return dealt.mapPartitions(lambda part: [_merged(own)] if (own := [c for _, c in part]) else [])
+
+
+def _fit_local(cells: RDD, models, limits, weights, priors, settings) -> dict[Model, Forest]:
+    """One task per model, each with all (bounded) cells."""
+    parts = cells.collect()  # at most LOCAL_ENTRIES bytes
+    sent = cells.context.broadcast(tuple(np.concatenate(c) for c in zip(*parts)))
 
     def one(i: int):
-        all_bins, all_y, all_fold = sent.value
-        rows = np.ones(len(all_y), dtype=bool) if models[i] is None else all_fold != models[i]
-        return models[i], boost(all_bins[rows], all_y[rows], weights[i][all_y[rows]], priors[i], limits, *settings)
+        bins, y, fold, n = sent.value
+        rows = np.ones(len(y), dtype=bool) if models[i] is None else fold != models[i]
+        return models[i], boost(bins[rows], y[rows], n[rows], weights[i][y[rows]], priors[i], limits, *settings)
 
-    return dict(packed.blocks.context.parallelize(range(len(models)), len(models)).map(one).collect())
+    try:
+        return dict(cells.context.parallelize(range(len(models)), len(models)).map(one).collect())
+    finally:
+        sent.destroy()
 
 
-def _fit_spread(packed: Packed, models, limits, weights, priors, settings) -> dict[Model, Forest]:
+def _fit_spread(cells: RDD, models, limits, weights, priors, settings) -> dict[Model, Forest]:
     """A wave is a scan; histograms meet by (tree, leaf) in a shuffle and leave it as splits."""
     rounds, rate, leaves, least_rows, least_hessian = settings
     n_bins, k = max((len(at) for at in limits), default=0) + 1, priors.shape[1]
-    sc, width = packed.blocks.context, packed.blocks.getNumPartitions()
+    sc, width = cells.context, cells.getNumPartitions()
     ensure_checkpoint_dir(SparkSession.builder.getOrCreate())
-    state = packed.blocks.map(lambda b: (binned(b.x, limits), b.y, b.fold, np.tile(priors, (len(b.y), 1, 1)))).persist(StorageLevel.MEMORY_AND_DISK)
+    state = cells.map(lambda c: (*c, np.tile(priors, (len(c[1]), 1, 1)))).persist(StorageLevel.MEMORY_AND_DISK)
     forests = {m: Forest(priors[i], []) for i, m in enumerate(models)}
-    per_leaf = packed.dim * n_bins * 24
+    per_leaf = len(limits) * n_bins * 24
 
     def emit(wave):
         def run(part):
             sums: dict = {}
-            for bins, y, fold, scores in part:
+            for bins, y, fold, n, scores in part:
                 for i, m in enumerate(models):
                     trees = [(c, wave.value[i, c]) for c in range(k) if (i, c) in wave.value]
                     if not trees:
                         continue
                     rows = slice(None) if m is None else fold != m
-                    g, h = _gradients(scores[rows, i], y[rows], weights[i][y[rows]])
+                    g, h = _gradients(scores[rows, i], y[rows], weights[i][y[rows]] * n[rows])
                     for c, (partial, asked) in trees:
-                        found = _histograms(bins[rows], g[:, c], h[:, c], partial, asked, n_bins)
+                        found = _histograms(bins[rows], g[:, c], h[:, c], n[rows], partial, asked, n_bins)
                         for path, s in zip(asked.values(), found):
                             sums[i, c, path] = sums[i, c, path] + s if (i, c, path) in sums else s
             return iter(sums.items())
@@ -284,11 +385,11 @@ def _fit_spread(packed: Packed, models, limits, weights, priors, settings) -> di
         new = sc.broadcast(grown)
 
         def scored(element, new=new):
-            bins, y, fold, scores = element
+            bins, y, fold, n, scores = element
             scores = scores.copy()
             for (i, c), tree in new.value.items():
                 scores[:, i, c] += np.array(tree.value)[tree.leaf_of(bins, "bin")]
-            return bins, y, fold, scores
+            return bins, y, fold, n, scores
 
         after = state.map(scored).persist(StorageLevel.MEMORY_AND_DISK)
         if (r + 1) % CHECKPOINT == 0:
@@ -306,8 +407,12 @@ def fit(packed: Packed, limits: Sequence[np.ndarray], models: Sequence[Model], k
     weights = packed.weights(models, k, balanced)
     priors = np.array([_prior(packed.class_counts(m, k) * weights[i]) for i, m in enumerate(models)])
     settings = (rounds, rate, leaves, least_rows, least_hessian)
-    small = sum(packed.counts.values()) * packed.dim <= local_entries
-    return (_fit_local if small else _fit_spread)(packed, list(models), limits, weights, priors, settings)
+    cells = _cells(packed, limits).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        small = cells.map(lambda c: len(c[1])).sum() * packed.dim <= local_entries
+        return (_fit_local if small else _fit_spread)(cells, list(models), limits, weights, priors, settings)
+    finally:
+        cells.unpersist()
 
 
 def probabilities(x: np.ndarray, model: Forest, _=None) -> np.ndarray:

@@ -227,3 +227,30 @@ def test_spread_waves_of_bounded_size(data, monkeypatch):
     monkeypatch.setattr(trees, "WAVE_BYTES", 1)
     one = trees.fit(packed, limits, [0, 1], 3, False, rounds=2, leaves=5, least_rows=5, local_entries=0)
     assert all(np.allclose(trees.probabilities(x, whole[m]), trees.probabilities(x, one[m]), atol=1e-12) for m in (0, 1))
+
+
+def test_equal_rows_are_one_cell_of_their_number(spark):
+    """Ten times the rows with ten times the least rows: as many cells, the same trees."""
+    x, y, fold = drawn(200, 3, seed=5)
+    x = np.round(x)
+    few = vec_rows(spark, x, y, fold)
+    many = vec_rows(spark, np.tile(x, (10, 1)), np.tile(y, 10), np.tile(fold, 10))
+    limits = trees.fit_bins(few, bins=8)
+    cells = [trees._cells(passes.pack(df, tasks=tasks), limits).collect() for df, tasks in ((few, 2), (many, 3))]
+    sizes = [(sum(len(c[1]) for c in part), sum(c[3].sum() for c in part)) for part in cells]
+    assert sizes[0][0] == sizes[1][0] < 200 and [n for _, n in sizes] == [200, 2000]
+    for entries in (0, 1 << 20):
+        a, b = (trees.fit(passes.pack(df, tasks=2), limits, [1], 3, True, rounds=3, leaves=6, least_rows=rows, local_entries=entries, least_hessian=0)[1]
+                for df, rows in ((few, 8), (many, 80)))
+        assert [splits_of(t) for r in a.rounds for t in r] == [splits_of(t) for r in b.rounds for t in r]
+        assert np.allclose(trees.probabilities(x, a), trees.probabilities(x, b), atol=1e-9)
+
+
+def test_only_the_smaller_child_is_counted(monkeypatch):
+    x, y, _ = drawn(400, 4, seed=2)
+    limits = [np.unique(np.quantile(c, np.linspace(0, 1, 17)[1:-1])) for c in x.T]
+    counted, one = [], trees._Leaves.counted
+    monkeypatch.setattr(trees._Leaves, "counted", lambda self, path: counted.append((path, 400 if self.rows[path] is None else len(self.rows[path]))) or one(self, path))
+    forest = trees.boost(trees.binned(x, limits), y, np.ones(400, dtype=int), np.ones(400), np.log(np.full(3, 1 / 3)), limits, 1, 0.05, 8, 10, 1e-3)
+    assert len(forest.rounds[0][0].feature) == 15
+    assert all(n <= 200 for path, n in counted if path) and len([p for p, _ in counted if not p]) == 3
