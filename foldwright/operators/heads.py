@@ -147,14 +147,17 @@ def fit_predict(train: DataFrame, test: DataFrame, head: str | Head, n_classes:
 
 
 def probe_grid(sets: Mapping[str, DataFrame], heads: Sequence[str], n_classes: int, seed: int = 42,
-               balanced: bool = True) -> DataFrame:
-    """combo, head, mean, std, min for every vector set and head, best mean first."""
-    rows = []
-    for combo, df in sets.items():
-        for head in heads:
-            oof = with_pred(cross_val_oof(df, head, n_classes, seed, balanced, check=False))
-            score = fold_consistency(oof, n_classes).first()  # one row of the experiment log
-            rows.append((combo, head, score["mean"], score["std"], score["min"]))
-    rows.sort(key=lambda r: (-r[2], r[0], r[1]))
+               balanced: bool = True, parallelism: int = 8) -> DataFrame:
+    """combo, head, mean, std, min for every vector set and head, best mean first. The fits do not depend on each other: they overlap."""
     spark = next(iter(sets.values())).sparkSession
+
+    def one(combo, head):
+        oof = with_pred(cross_val_oof(sets[combo], head, n_classes, seed, balanced, check=False))
+        score = fold_consistency(oof, n_classes).first()  # one row of the experiment log
+        return combo, head, score["mean"], score["std"], score["min"]
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        fits = [pool.submit(inheritable_thread_target(spark)(one), combo, head) for combo in sets for head in heads]
+        rows = [f.result() for f in fits]
+    rows.sort(key=lambda r: (-r[2], r[0], r[1]))
     return spark.createDataFrame(rows, "combo string, head string, mean double, std double, min double")

@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from test_knn import vec_rows
@@ -78,3 +80,13 @@ def test_grid(blobs):
     rows = heads.probe_grid({"plain": blobs, "unit": l2_normalise(blobs)}, ["knn"], 3).collect()
     assert [r["combo"] for r in rows] and all(r["mean"] > 0.9 and r["min"] <= r["mean"] for r in rows)
     assert [r["mean"] for r in rows] == sorted((r["mean"] for r in rows), reverse=True)
+
+
+def test_fits_of_a_grid_overlap(blobs):
+    """Each of two fits waits until the other has begun."""
+    both, linear = threading.Barrier(2, timeout=60), heads.HEADS["linear"]
+    heads.register_head("met", heads.Head(linear.fit, linear.predict, lambda *a: both.wait() * 0 or linear.fit_folds(*a)))
+    try:
+        assert len(heads.probe_grid({"a": blobs, "b": blobs}, ["met"], 3).collect()) == 2
+    finally:
+        del heads.HEADS["met"]
