@@ -74,30 +74,72 @@ def forward(x: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return inner, softmax(inner @ w2 + b2)
 
 
-def _gradient(x: np.ndarray, y: np.ndarray, parts: list[np.ndarray], penalty: float) -> tuple[float, np.ndarray]:
-    inner, p = forward(x, parts)
-    at, n = np.arange(len(y)), len(y)
-    loss = -np.log(np.maximum(p[at, y], 1e-30)).sum()
-    p[at, y] -= 1
-    w1, _, w2, _ = parts
-    back = (p @ w2.T) * (inner > 0)
-    found = [x.T @ back + penalty * w1, back.sum(axis=0), inner.T @ p + penalty * w2, p.sum(axis=0)]
-    return float(loss), np.concatenate([g.ravel() for g in found]) / n
+def loss_of(x: np.ndarray, y: np.ndarray, parts: list[np.ndarray], block: int = 2048) -> float:
+    """Summed loss, a block of rows at a time: a whole task's hidden layer would not stay near the processor."""
+    total = 0.0
+    for begin in range(0, len(y), block):
+        rows = slice(begin, begin + block)
+        p = forward(x[rows], parts)[1]
+        total -= np.log(np.maximum(p[np.arange(len(p)), y[rows]], 1e-30)).sum(dtype=float)
+    return total
+
+
+class _Gradient:
+    """Loss and gradient of a batch, written into arrays that all batches share. The biases are the last row of their weights."""
+
+    def __init__(self, theta: np.ndarray, dim: int, hidden: int, k: int, batch: int, penalty: float):
+        self.out, self.penalty = np.empty_like(theta), penalty
+        n = (dim + 1) * hidden
+        self.first, self.second = theta[:n].reshape(dim + 1, hidden), theta[n:].reshape(hidden + 1, k)  # views: they follow theta
+        self.first_out, self.second_out = self.out[:n].reshape(dim + 1, hidden), self.out[n:].reshape(hidden + 1, k)
+        self.x = np.ones((batch, dim + 1), dtype=theta.dtype)
+        self.inner, self.back, self.on = (np.empty((batch, hidden), dtype=theta.dtype) for _ in range(3))
+        self.at = np.arange(batch)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> float:
+        n = len(y)
+        own, inner, back, on, w2 = self.x[:n], self.inner[:n], self.back[:n], self.on[:n], self.second[:-1]
+        own[:, :-1] = x
+        np.matmul(own, self.first, out=inner)
+        np.copyto(on, inner > 0)
+        inner *= on
+        p = softmax(inner @ w2 + self.second[-1])
+        at = self.at[:n]
+        loss = -np.log(np.maximum(p[at, y], 1e-30)).sum()
+        p[at, y] -= 1
+        np.matmul(p, w2.T, out=back)
+        back *= on
+        np.matmul(own.T, back, out=self.first_out)
+        np.matmul(inner.T, p, out=self.second_out[:-1])
+        np.sum(p, axis=0, out=self.second_out[-1])
+        self.first_out[:-1] += self.penalty * self.first[:-1]
+        self.second_out[:-1] += self.penalty * w2
+        self.out /= n
+        return float(loss)
 
 
 def local_epoch(x: np.ndarray, y: np.ndarray, net: Network, dim: int, hidden: int, k: int, rng, batch: int, rate: float, penalty: float):
     """(theta, moments, steps, summed loss) after one epoch over these rows."""
     theta, first, second, steps, total = net.theta.copy(), net.first.copy(), net.second.copy(), net.steps, 0.0
+    gradient, g2 = _Gradient(theta, dim, hidden, k, min(batch, len(y)), penalty), np.empty_like(theta)
+    g = gradient.out
     order = rng.permutation(len(y))
     for begin in range(0, len(y), batch):
         rows = order[begin:begin + batch]
-        loss, g = _gradient(x[rows], y[rows], unflatten(theta, dim, hidden, k), penalty)
-        total += loss
+        total += gradient(x[rows], y[rows])
         steps += 1
-        first = _BETA1 * first + (1 - _BETA1) * g
-        second = _BETA2 * second + (1 - _BETA2) * g * g
-        size = rate * np.sqrt(1 - _BETA2 ** steps) / (1 - _BETA1 ** steps)
-        theta = theta - (size * first / (np.sqrt(second) + _EPS)).astype(np.float32)
+        np.multiply(g, g, out=g2)
+        first *= _BETA1
+        second *= _BETA2
+        g *= 1 - _BETA1
+        g2 *= 1 - _BETA2
+        first += g
+        second += g2
+        np.sqrt(second, out=g2)
+        g2 += _EPS
+        np.divide(first, g2, out=g2)
+        g2 *= float(rate * np.sqrt(1 - _BETA2 ** steps) / (1 - _BETA1 ** steps))
+        theta -= g2
     return theta, first, second, steps, total
 
 
@@ -121,10 +163,7 @@ def fit(packed: Packed, models: Sequence[Model], k: int, seed: int = 42, hidden:
             for m, net in sent.value.items():
                 seen = whole.seen_by(m)
                 check, rows = seen & whole.aside, seen & ~whole.aside
-                held = 0.0
-                if check.any():
-                    p = forward(whole.x[check], unflatten(net.theta, dim, hidden, k))[1]
-                    held = -np.log(np.maximum(p[np.arange(check.sum()), whole.y[check]], 1e-30)).sum(dtype=float)
+                held = loss_of(whole.x[check], whole.y[check], unflatten(net.theta, dim, hidden, k))
                 n, parts = int(rows.sum()), (np.zeros(1), np.zeros(1), np.zeros(1), 0, 0.0)
                 if train and n:
                     parts = local_epoch(whole.x[rows], whole.y[rows], net, dim, hidden, k, np.random.default_rng([seed, epoch, index]), batch, rate, penalty)

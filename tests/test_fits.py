@@ -136,6 +136,16 @@ def test_several_tasks_learn_as_well_and_stop_early(spark):
     assert last[4] < last[1] + 0.1 and last[4] < 0.5  # log 3 without learning
 
 
+def test_held_out_loss_is_taken_in_blocks(monkeypatch):
+    x, y, _ = drawn(500, 6)
+    x = x.astype(np.float32)
+    parts = neural.unflatten(neural.start(6, 16, 3, 1).theta, 6, 16, 3)
+    whole = -np.log(neural.forward(x, parts)[1][np.arange(500), y]).sum(dtype=float)
+    seen, one = [], neural.forward
+    monkeypatch.setattr(neural, "forward", lambda x, p: seen.append(len(x)) or one(x, p))
+    assert np.isclose(neural.loss_of(x, y, parts, block=64), whole, rtol=1e-5) and max(seen) == 64 and sum(seen) == 500
+
+
 # --- trees ----------------------------------------------------------------------------------------
 
 def plain_tree(bins, g, h, leaves, least_rows):
