@@ -18,6 +18,9 @@ fails its validation stays as it is.
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,131 +66,194 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
-def _quoted(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+# What follows is built of Columns, not of SQL text: the parser's tables for so long an expression would stay on the driver's heap.
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def _feistel(symbols: Column, radices: Column, kind: str, key: str) -> Column:
+    """Permute an array<bigint> of symbols, each within 0..radix-1; symbols at even and odd places are the halves."""
+    def moved(half: Column, round_: Column) -> Column:
+        def symbol(x: Column, i: Column) -> Column:
+            others = F.transform(F.filter(half, lambda y, j: j % 2 != round_ % 2), lambda y: y.cast("string"))
+            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.size(half), round_, i, F.array_join(others, ",")), 256)
+            drawn = F.conv(F.substring(digest, 1, 14), 16, 10).cast("bigint")
+            return F.when(i % 2 == round_ % 2, (x + drawn) % F.get(radices, i)).otherwise(x)
+
+        return F.transform(half, symbol)
 
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), symbols, moved)
 
-def _feistel(symbols: str, radices: str, kind: str, key: str) -> str:
-    """SQL: permute an array<bigint> of symbols, each within 0..radix-1; symbols at even and odd places are the halves."""
-    return f"""aggregate(sequence(0, {ROUNDS - 1}), {symbols}, (half, round) -> transform(half, (x, i) ->
-        IF(i % 2 = round % 2, (x + cast(conv(substr(sha2(concat_ws('|', {_quoted(key)}, '{kind}', size(half), round, i,
-            array_join(transform(filter(half, (y, j) -> j % 2 != round % 2), y -> cast(y AS string)), ',')), 256),
-            1, 14), 16, 10) AS bigint)) % get({radices}, i), x)))"""
 
+def _alphabet(c: Column) -> Column:
+    found = F
+    for a in ALPHABETS:
+        found = found.when(F.contains(F.lit(a), c), a)
+    return found.otherwise("")
 
-def _alphabet(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN contains('{a}', {c}) THEN '{a}'" for a in ALPHABETS) + " ELSE '' END"
 
+def _poured(form: Column, symbols: Column, movable: Callable[[Column], Column]) -> Column:
+    """The text `form` with its movable characters replaced in order by the characters of `symbols`."""
+    def state(t: Column, n: Column) -> Column:
+        return F.struct(t.alias("t"), n.alias("n"))
+
+    def step(s: Column, c: Column) -> Column:
+        moved = state(F.concat(s["t"], F.substr(symbols, s["n"] + 1, F.lit(1))), s["n"] + 1)
+        return F.when(movable(c), moved).otherwise(state(F.concat(s["t"], c), s["n"]))
 
-def _poured(form: str, symbols: str, movable: str) -> str:
-    """SQL: the text `form` with its movable characters replaced in order by the characters of `symbols`."""
     # Walks the characters once; the state is the text so far and the number of symbols used.
-    return f"""aggregate(filter(split({form}, ''), c -> c != ''), named_struct('t', '', 'n', 0), (s, c) ->
-        IF({movable}, named_struct('t', concat(s.t, substr({symbols}, s.n + 1, 1)), 'n', s.n + 1),
-           named_struct('t', concat(s.t, c), 'n', s.n)), s -> s.t)"""
+    return F.aggregate(_characters(form), state(F.lit(""), F.lit(0)), step, lambda s: s["t"])
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """SQL: body with `name` standing for value, computed once."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+def _permuted_text(value: Column, kind: str, key: str) -> Column:
+    """Every letter and digit moved within its alphabet, everything else in place."""
+    def symbols(ch: Column, radices: Column) -> Column:
+        places = F.transform(ch, lambda c: (F.instr(_alphabet(c), c) - 1).cast("bigint"))
+        return F.array_join(F.zip_with(ch, _feistel(places, radices, kind, key),
+                                       lambda c, x: F.substr(_alphabet(c), x.cast("int") + 1, F.lit(1))), "")
 
+    def poured(ch: Column) -> Column:
+        made = _let(F.transform(ch, lambda c: F.length(_alphabet(c))), lambda radices: symbols(ch, radices))
+        return _let(made, lambda sym: _poured(value, sym, lambda c: _alphabet(c) != ""))
 
-def _permuted_text(value: str, kind: str, key: str) -> str:
-    """SQL: every letter and digit moved within its alphabet, everything else in place."""
-    a = _alphabet("c")
-    moved = _feistel("transform(ch, c -> cast(instr(" + a + ", c) - 1 AS bigint))", "radices", kind, key)
-    symbols = f"array_join(zip_with(ch, {moved}, (c, x) -> substr({a}, cast(x AS int) + 1, 1)), '')"
-    with_radices = _let(f"transform(ch, c -> length({a}))", "radices", symbols)
-    poured = _poured(value, "sym", f"{a} != ''")
-    return _let(f"filter(split({value}, ''), c -> c != '' AND {a} != '')", "ch", _let(with_radices, "sym", poured))
+    return _let(F.filter(F.split(value, ""), lambda c: (c != "") & (_alphabet(c) != "")), poured)
 
 
-def _digits(value: str) -> str:
-    return f"regexp_replace({value}, '[^0-9]', '')"
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
 
 
-_IS_DIGIT = "contains('0123456789', c)"
+def _is_digit(c: Column) -> Column:
+    return F.contains(F.lit("0123456789"), c)
 
 
-def _card(v: str, key: str) -> str:
+def _card(v: Column, key: str) -> Column:
     """Luhn numbers: all digits but the last, and the check digit that belongs to them."""
-    body = _permuted_text("substr(d, 1, length(d) - 1)", "card", key)
-    made = "concat(b, cast(get(filter(sequence(0, 9), x -> luhn_check(concat(b, cast(x AS string)))), 0) AS string))"
-    new = _let(body, "b", _let(made, "sym", _poured(v, "sym", _IS_DIGIT)))
-    return _let(_digits(v), "d", f"IF(luhn_check(d), {new}, {v})")
+    def checked(b: Column) -> Column:
+        fits = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda x: F.call_function("luhn_check", F.concat(b, x.cast("string"))))
+        return F.concat(b, F.get(fits, 0).cast("string"))
+
+    def new(d: Column) -> Column:
+        body = _permuted_text(F.substr(d, F.lit(1), F.length(d) - 1), "card", key)
+        return _let(body, lambda b: _let(checked(b), lambda sym: _poured(v, sym, _is_digit)))
+
+    return _let(_digits(v), lambda d: F.when(F.call_function("luhn_check", d), new(d)).otherwise(v))
+
+
+def _mod97(text: Column) -> Column:
+    """The ISO 7064 remainder of letters and digits."""
+    return F.aggregate(_characters(text), F.lit(0), lambda acc, c: F.when(_is_digit(c), (acc * 10 + c.cast("int")) % 97).otherwise(
+        (acc * 100 + F.ascii(c) - 55) % 97))
+
+
+def _iban(v: Column, key: str) -> Column:
+    def without_blanks(x: Column) -> Column:
+        return F.replace(x, F.lit(" "), F.lit(""))
 
+    def made(p: Column, d: Column) -> Column:
+        def whole(b: Column) -> Column:
+            check = F.lpad((98 - _mod97(F.concat(b, F.substring(d, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+            return F.concat(F.substring(d, 1, 2), check, b)
 
-def _mod97(text: str) -> str:
-    """SQL: the ISO 7064 remainder of letters and digits."""
-    return f"""aggregate(filter(split({text}, ''), c -> c != ''), 0, (acc, c) -> IF({_IS_DIGIT},
-        (acc * 10 + cast(c AS int)) % 97, (acc * 100 + ascii(c) - 55) % 97))"""
+        body = _permuted_text(F.substr(d, F.lit(5)), "iban", key)
+        new = _let(body, lambda b: _let(whole(b), lambda sym: _poured(p, sym, lambda c: c != " ")))
+        return F.concat(new, F.substr(v, F.length(p) + 1))
 
+    def valid(d: Column) -> Column:
+        remainder = _mod97(F.concat(F.substr(d, F.lit(5)), F.substring(d, 1, 4)))
+        return (F.length(d) >= 12) & (remainder == 1) & F.substring(d, 3, 2).between("02", "98")
 
-def _iban(v: str, key: str) -> str:
-    body = _permuted_text("substr(d, 5)", "iban", key)
-    check = "lpad(cast(98 - " + _mod97("concat(b, substr(d, 1, 2), '00')") + " AS string), 2, '0')"
-    new = _let(body, "b", _let(f"concat(substr(d, 1, 2), {check}, b)", "sym", _poured("p", "sym", "c != ' '")))
     # Of a country with no known length, last groups that belong to the next words make the check fail; they are left off.
-    whole = _mod97("concat(substr(d, 5), substr(d, 1, 4))")
-    valid = _let("replace(x, ' ', '')", "d", f"length(d) >= 12 AND {whole} = 1 AND substr(d, 3, 2) BETWEEN '02' AND '98'")
     known = " ".join(IBAN_LENGTHS.values()).split()
-    shorter = f"IF(substr({v}, 1, 2) IN ({', '.join(map(_quoted, known))}), array({v}), transform(sequence(size(g), 1, -1), " \
-              "n -> array_join(slice(g, 1, n), ' ')))"
-    parts = _let(f"split({v}, ' ')", "g", f"get(filter({shorter}, x -> {valid}), 0)")
-    made = _let("replace(p, ' ', '')", "d", f"concat({new}, substr({v}, length(p) + 1))")
-    return _let(parts, "p", f"IF(p IS NULL, {v}, {made})")
 
+    def part(g: Column) -> Column:
+        shorter = F.transform(F.sequence(F.size(g), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(g, 1, n), " "))
+        tried = F.when(F.substring(v, 1, 2).isin(known), F.array(v)).otherwise(shorter)
+        return F.get(F.filter(tried, lambda x: _let(without_blanks(x), valid)), 0)
 
-def _phone(v: str, key: str) -> str:
+    return _let(_let(F.split(v, " "), part),
+                lambda p: F.when(p.isNull(), v).otherwise(_let(without_blanks(p), lambda d: made(p, d))))
+
+
+def _phone(v: Column, key: str) -> Column:
     """The country code (up to the first other character, or one digit of an unbroken number) stays."""
-    code = f"CASE WHEN {v} RLIKE '^[+][0-9]{{1,3}}[^0-9]' THEN regexp_extract({v}, '^[+][0-9]{{1,3}}', 0) " \
-           f"WHEN {v} RLIKE '^[+]' THEN substr({v}, 1, 2) ELSE '' END"
-    new = "concat(code, " + _permuted_text(f"substr({v}, length(code) + 1)", "phone", key) + ")"
-    return _let(code, "code", f"IF(length({_digits(v)}) BETWEEN 8 AND 15, {new}, {v})")
+    code = F.when(v.rlike("^[+][0-9]{1,3}[^0-9]"), F.regexp_extract(v, "^[+][0-9]{1,3}", 0)).when(
+        v.rlike("^[+]"), F.substring(v, 1, 2)).otherwise("")
+
+    def new(code: Column) -> Column:
+        return F.concat(code, _permuted_text(F.substr(v, F.length(code) + 1), "phone", key))
+
+    return _let(code, lambda code: F.when(F.length(_digits(v)).between(8, 15), new(code)).otherwise(v))
 
 
-def _numbers(v: str, separator: str) -> str:
-    return f"transform(split({v}, '{separator}'), p -> cast(p AS bigint))"
+def _numbers(v: Column, separator: str) -> Column:
+    return F.transform(F.split(v, separator), lambda p: p.cast("bigint"))
 
 
-def _ssn(v: str, key: str) -> str:
+def _array(*numbers: int) -> Column:
+    return F.array(*[F.lit(n) for n in numbers])
+
+
+def _ssn(v: Column, key: str) -> Column:
     """Areas 001-665 and 667-899, groups 01-99, serials 0001-9999."""
-    valid = "n[0] BETWEEN 1 AND 899 AND n[0] != 666 AND n[1] > 0 AND n[2] > 0"
-    moved = _feistel("array(n[0] - IF(n[0] > 666, 2, 1), n[1] - 1, n[2] - 1)", "array(898, 99, 9999)", "ssn", key)
-    new = ("concat_ws('-', lpad(cast(m[0] + IF(m[0] >= 665, 2, 1) AS string), 3, '0'), "
-           "lpad(cast(m[1] + 1 AS string), 2, '0'), lpad(cast(m[2] + 1 AS string), 4, '0'))")
-    return _let(_numbers(v, "-"), "n", f"IF({valid}, {_let(moved, 'm', new)}, {v})")
+    def written(m: Column) -> Column:
+        area = m[0] + F.when(m[0] >= 665, 2).otherwise(1)
+        return F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((m[1] + 1).cast("string"), 2, "0"),
+                           F.lpad((m[2] + 1).cast("string"), 4, "0"))
+
+    def new(n: Column) -> Column:
+        places = F.array(n[0] - F.when(n[0] > 666, 2).otherwise(1), n[1] - 1, n[2] - 1)
+        return _let(_feistel(places, _array(898, 99, 9999), "ssn", key), written)
 
+    def valid(n: Column) -> Column:
+        return n[0].between(1, 899) & (n[0] != 666) & (n[1] > 0) & (n[2] > 0)
 
-def _ipv4(v: str, key: str) -> str:
-    moved = _feistel(_numbers(v, "[.]"), "array(256, 256, 256, 256)", "ipv4", key)
-    return f"array_join(transform({moved}, x -> cast(x AS string)), '.')"
+    return _let(_numbers(v, "-"), lambda n: F.when(valid(n), new(n)).otherwise(v))
 
 
-def _date(v: str, key: str) -> str:
+def _ipv4(v: Column, key: str) -> Column:
+    moved = _feistel(_numbers(v, "[.]"), _array(256, 256, 256, 256), "ipv4", key)
+    return F.array_join(F.transform(moved, lambda x: x.cast("string")), ".")
+
+
+def _date(v: Column, key: str) -> Column:
     """Day numbers from 1900-01-01; there are 73049 = 17 * 4297 of them."""
-    moved = _feistel("array(cast(day % 17 AS bigint), cast(day div 17 AS bigint))", "array(17, 4297)", "date", key)
-    new_day = _let(moved, "m", "date_add(DATE'1900-01-01', cast(m[1] * 17 + m[0] AS int))")
+    first = F.lit(datetime.date(1900, 1, 1))
+
+    def new_day(day: Column) -> Column:
+        places = F.array((day % 17).cast("bigint"), ((day - day % 17) / 17).cast("bigint"))
+        return _let(_feistel(places, _array(17, 4297), "date", key), lambda m: F.date_add(first, (m[1] * 17 + m[0]).cast("int")))
+
+    def made(day: Column, form: str) -> Column:
+        return F.when(day.between(0, 73048), F.date_format(new_day(day), form)).otherwise(v)
+
     out = v
     for pattern, form in (("^[0-9]+[/]", "d/M/yyyy"), ("^[0-9]+[.]", "d.M.yyyy"), ("^[0-9]{2}[/][0-9]{2}[/]", "dd/MM/yyyy"),
                           ("^[0-9]{2}[.][0-9]{2}[.]", "dd.MM.yyyy"), ("^[0-9]{4}-", "yyyy-MM-dd")):
-        parsed = f"datediff(try_to_timestamp({v}, '{form}'), DATE'1900-01-01')"
-        made = _let(parsed, "day", f"IF(day BETWEEN 0 AND 73048, date_format({new_day}, '{form}'), {v})")
-        out = f"CASE WHEN {v} RLIKE '{pattern}' THEN {made} ELSE {out} END"
+        parsed = F.datediff(F.try_to_timestamp(v, F.lit(form)), first)
+        out = F.when(v.rlike(pattern), _let(parsed, lambda day: made(day, form))).otherwise(out)
     return out
 
 
-def _replacement(v: str, key: str) -> str:
-    """SQL: struct(kind, new) for a match; new equals the match where validation fails."""
-    made = {"card": _card(v, key), "iban": _iban(v, key), "phone": _phone(v, key), "ssn": _ssn(v, key),
-            "ipv4": _ipv4(v, key), "date": _date(v, key), "secret": _permuted_text(v, "secret", key),
-            "email": f"concat({_permuted_text(f'substring_index({v}, {chr(39)}@{chr(39)}, 1)', 'email', key)}, '@', "
-                     f"substring_index({v}, '@', -1))"}
+def _replacement(v: Column, key: str) -> Column:
+    """struct(kind, new) for a match; new equals the match where validation fails."""
+    made = {"card": _card, "iban": _iban, "phone": _phone, "ssn": _ssn, "ipv4": _ipv4, "date": _date}
+    email = F.concat(_permuted_text(F.substring_index(v, "@", 1), "email", key), F.lit("@"), F.substring_index(v, "@", -1))
+
+    def named(kind: str, new: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), new.alias("new"))
+
     # Which alternative matched; the look-behind of `secret` is gone, so it is what fits no other kind.
-    order = ["email", "ipv4", "date", "ssn", "phone", "card", "iban"]
-    whens = " ".join(f"WHEN {v} RLIKE {_quoted('^(?:' + PATTERNS[k] + ')$')} THEN "
-                     f"named_struct('kind', '{k}', 'new', {made[k]})" for k in order)
-    return f"CASE {whens} ELSE named_struct('kind', 'secret', 'new', {made['secret']}) END"
+    out = F
+    for k in ("email", "ipv4", "date", "ssn", "phone", "card", "iban"):
+        out = out.when(v.rlike(f"^(?:{PATTERNS[k]})$"), named(k, email if k == "email" else made[k](v, key)))
+    return out.otherwise(named("secret", _permuted_text(v, "secret", key)))
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str = "pseudonyms") -> DataFrame:
@@ -202,7 +268,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str = "ps
     hit = F.coalesce(of.rlike("[0-9@]|(?:token|secret|password|key)[\"' =:]") & of.rlike(ANY), F.lit(False))
     rows = docs.select(whole_row(docs).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
     rows = rows.select("_row", "_text", F.when(hit, F.regexp_extract_all(of, F.lit(ANY), F.lit(0))).alias("_matches"))
-    rows = rows.select("_row", "_text", "_matches", F.expr(f"transform(_matches, v -> {_replacement('v', key)})").alias("_new"))
+    rows = rows.select("_row", "_text", "_matches", F.transform("_matches", lambda v: _replacement(v, key)).alias("_new"))
     between = F.split(of, ANY, -1)
     new_text = F.array_join(F.zip_with(between, F.concat(F.transform("_new", lambda n: n["new"]), F.array(F.lit(""))),
                                        lambda a, b: F.concat(a, b)), "")

@@ -37,6 +37,17 @@ def moved(text, kind):
     return "".join(out)
 
 
+def test_no_sql_text(spark, monkeypatch):
+    """The replacements are built of Columns: the parser keeps its tables for a long SQL text on the driver's heap."""
+    def parsed(text):
+        raise AssertionError(f"SQL text of {len(text)} characters")
+
+    for f in ("expr", "selectExpr"):
+        monkeypatch.setattr(pii.F if f == "expr" else pii.DataFrame, f, parsed, raising=False)
+    docs = spark.createDataFrame([(1, "ssn 123-45-6789")], "doc_id bigint, text string")
+    assert [x["kind"] for x in pii.pseudonymize(docs, KEY).first()["pseudonyms"]] == ["ssn"]
+
+
 def test_iban_before_other_words(spark):
     """A valid IBAN is found whatever word follows it, and what follows stays or is found itself."""
     ibans = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "AT611904300234573201", "DE89 3704 0044 0532 0130 00",
