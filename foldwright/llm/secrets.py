@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from math import erfc
 
 import numpy as np
@@ -78,6 +79,16 @@ def _minus_log(z: np.ndarray) -> np.ndarray:
     return low + (at - i) * (_MINUS_LOG[i + 1] - low)
 
 
+def _minus_log_runs(runs: np.ndarray, n: int) -> np.ndarray:
+    """-ln of the p-value of so many changes between the halves of the alphabet in n symbols."""
+    return _minus_log(np.abs(runs - (n - 1) / 2) / np.sqrt((n - 1) / 4))
+
+
+#: By length and number of changes.
+_RUNS = {n: _minus_log_runs(np.arange(n), n) for n in LENGTHS}
+
+
+@lru_cache(1024)
 def _bins(n: int, size: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of bins for n symbols, bin of every symbol, share of the symbols in every bin."""
     bins = max(2, min(n // 5, size))
@@ -86,14 +97,14 @@ def _bins(n: int, size: int) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def _combined(seen: np.ndarray, runs: np.ndarray, serial: np.ndarray, n: int, size: int) -> np.ndarray:
-    """Combined p-value of strings of n symbols: symbols seen in every bin, changes between the halves of the alphabet, sum of the
-    products of neighbours about the middle."""
+    """Combined p-value of strings of n symbols: symbols seen in every bin, _minus_log_runs of the string, sum of the products of
+    neighbours about the middle."""
     bins, _, share = _bins(n, size)
     chi = (seen * seen) @ (1 / share) / n - n
     d = bins - 1  # Wilson and Hilferty: the cube root is close to normal
     z = (np.cbrt(np.maximum(chi, 0.0) / d) - (1 - 2 / (9 * d))) / np.sqrt(2 / (9 * d))
     half = _minus_log(z) + np.log(2.0)
-    half += _minus_log(np.abs(runs - (n - 1) / 2) / np.sqrt((n - 1) / 4))
+    half += runs
     half += _minus_log(np.abs(serial / ((size * size - 1) / 12 * np.sqrt(n - 1))))
     return np.exp(-half) * (1 + half + half * half / 2)
 
@@ -106,7 +117,7 @@ def battery(x: np.ndarray, size: int) -> np.ndarray:
     high = x >= size // 2  # every alphabet has an even number of symbols
     runs = (high[:, 1:] != high[:, :-1]).sum(axis=1)
     centred = x - (size - 1) / 2
-    return _combined(seen.astype(float), runs, (centred[:, 1:] * centred[:, :-1]).sum(axis=1), n, size)
+    return _combined(seen.astype(float), _minus_log_runs(runs, n), (centred[:, 1:] * centred[:, :-1]).sum(axis=1), n, size)
 
 
 def step(p: np.ndarray) -> np.ndarray:
@@ -147,53 +158,59 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def _alike() -> list[tuple[int, list[int]]]:
-    """(alphabet, all alphabets that read a text as this one does): upper and lower case of one alphabet give the same decoys."""
+def _alike() -> list[tuple[list[int], bytes, bytes]]:
+    """(alphabets that read a text in one way, ranks of all bytes, bytes left out): upper and lower case of one alphabet give the
+    same decoys."""
     found: dict[bytes, list[int]] = {}
     for i, name in enumerate(_NAMES):
         found.setdefault(_FOLDED[name].tobytes(), []).append(i)
-    return [(same[0], same) for same in found.values()]
+    every = [(same, _FOLDED[_NAMES[same[0]]]) for same in found.values()]
+    return [(same, np.maximum(ranks, 0).astype(np.uint8).tobytes(), np.flatnonzero(ranks < 0).astype(np.uint8).tobytes()) for same, ranks in every]
 
 
 _READINGS = _alike()
 
 
+def _count(hits: np.ndarray) -> np.ndarray:
+    """Number of hits in every column, summed in 8 bits as long as they hold it."""
+    ones = hits.view(np.uint8)
+    total = np.add.reduce(ones[:255], axis=0, dtype=np.uint8)
+    return total if len(ones) <= 255 else total + ones[255:].sum(axis=0, dtype=np.int16)
+
+
+def _many(x: np.ndarray, size: int) -> np.ndarray:
+    """battery() for many rows of one of LENGTHS, ranks in 8 bits: every step runs along the rows, a place in all of them at a time."""
+    x = np.ascontiguousarray(x.T)
+    n, m = x.shape
+    bins, of, _ = _bins(n, size)
+    above = np.zeros((bins + 1, m), dtype=np.int16)  # symbols in a bin or in a later one
+    above[0] = n
+    for i, least in enumerate(np.searchsorted(of, np.arange(1, bins)).tolist(), 1):
+        above[i] = _count(x >= least)
+    seen = (above[:-1] - above[1:]).astype(float)
+    high = x >= size // 2
+    centred = x.astype(np.float32)  # sums of products are whole quarters below 2 ** 19: exact in 32 bits
+    centred -= (size - 1) / 2
+    serial = np.einsum("ij,ij->j", centred[1:], centred[:-1]).astype(float)
+    return _combined(seen.T, _RUNS[n][_count(high[1:] != high[:-1])], serial, n, size)
+
+
 def decoys(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray]]:
     """(cell, steps) of the strings that every text is cut into, without its candidates, for every cell.
 
-    Runs and neighbours are differences of running sums over all texts; a string never spans two texts.
+    The strings of all texts are tested at once; a string never spans two texts.
     """
     rest = [_RUN.sub("", t).encode("utf-8", "replace") for t in texts]
-    codes = np.frombuffer(b"".join(rest), dtype=np.uint8)
-    ends = np.cumsum([len(r) for r in rest], dtype=np.int64)
-    for alphabet, same in _READINGS:
-        size, ranks = _SIZES[alphabet], _FOLDED[_NAMES[alphabet]][codes]
-        kept = np.flatnonzero(ranks >= 0)
-        x = ranks[kept].astype(np.int64)
-        end = np.searchsorted(kept, ends)  # of every text, in kept symbols
-        begin = np.concatenate([[0], end[:-1]])
-        high, double = x >= size // 2, 2 * x - (size - 1)
-        changes = np.concatenate([[0], np.cumsum(high[1:] != high[:-1])]) if len(x) else x
-        products = np.concatenate([[0], np.cumsum(double[1:] * double[:-1])]) if len(x) else x
+    for same, ranks, others in _READINGS:
+        kept = [r.translate(ranks, others) for r in rest]
         for n in LENGTHS:
-            rows = (end - begin) // n
-            m = int(rows.sum())
-            if not m or not _testable(alphabet, n):
+            if not _testable(same[0], n):
                 continue
-            first = np.repeat(begin - n * (np.cumsum(rows) - rows), rows) + n * np.arange(m)
-            last = first + n - 1
-            bins, of, _ = _bins(n, size)
-            at = of[x]
-            if len(at) > m * n:  # the ends of the texts are in no string
-                inside = np.ones(len(at), dtype=bool)
-                over = end - begin - n * rows
-                inside[np.repeat(end - np.cumsum(over), over) + np.arange(int(over.sum()))] = False
-                at = at[inside]
-            at = at.reshape(m, n) + (np.arange(m) * bins)[:, None]
-            seen = np.bincount(at.ravel(), minlength=m * bins).reshape(m, bins).astype(float)
-            steps = step(_combined(seen, changes[last] - changes[first], (products[last] - products[first]) / 4, n, size))
-            for a in same:
-                yield _cell(a, n), steps
+            whole = b"".join([k[:len(k) // n * n] for k in kept])
+            if whole:
+                steps = step(_many(np.frombuffer(whole, dtype=np.uint8).reshape(-1, n), _SIZES[same[0]]))
+                for a in same:
+                    yield _cell(a, n), steps
 
 
 def patterns(text: str) -> list[tuple[int, int, int]]:
