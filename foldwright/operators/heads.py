@@ -147,7 +147,7 @@ def fit_predict(train: DataFrame, test: DataFrame, head: str | Head, n_classes:
 
 
 def probe_grid(sets: Mapping[str, DataFrame], heads: Sequence[str], n_classes: int, seed: int = 42,
-               balanced: bool = True, parallelism: int = 8) -> DataFrame:
+               balanced: bool = True, parallelism: int = 4) -> DataFrame:
     """combo, head, mean, std, min for every vector set and head, best mean first. The fits do not depend on each other: they overlap."""
     spark = next(iter(sets.values())).sparkSession
 

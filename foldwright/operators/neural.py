@@ -4,7 +4,8 @@ In an epoch every task starts from the shared parameters and takes Adam steps ov
 drawn from (seed, epoch, task); the results are averaged by the rows they come from. With one task that is plain mini-batch
 training; with more, tasks agree once per epoch, so an epoch costs one scan and one exchange of the parameters however many
 batches it has (agreeing after every batch would exchange them a hundred times as often). The number of tasks follows the
-data's size alone.
+data's size alone. A single task has nobody to agree with: it takes as many epochs as fit SLICE_SECONDS before it hands the
+parameters back, with the same result.
 
 Early stopping: a share of the rows, by a seeded hash of the key, is kept out of training. Their loss is taken at the start of
 the next scan; after `patience` epochs without a loss lower by `tol` a model stops, and its best parameters are kept.
@@ -12,8 +13,9 @@ the next scan; after `patience` epochs without a loss lower by `tol` a model sto
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column
@@ -25,6 +27,8 @@ from foldwright.operators.passes import TASK_ENTRIES, Block, Model, Packed
 # Settings of the head and of its optimiser.
 HIDDEN, EPOCHS, BATCH, RATE, PENALTY, HELD_OUT, PATIENCE, TOL = 512, 400, 200, 1e-3, 1e-4, 0.1, 10, 1e-4
 _BETA1, _BETA2, _EPS = 0.9, 0.999, 1e-8
+#: Length of a task that takes several epochs.
+SLICE_SECONDS = 5.0
 
 
 @dataclass
@@ -153,49 +157,92 @@ def fit(packed: Packed, models: Sequence[Model], k: int, seed: int = 42, hidden:
     active = [m for m in models if packed.class_counts(m, k).sum()]
     spark = packed.blocks.context
 
-    def task(epoch: int, sent, train: bool):
+    def whole_of(part) -> Block | None:
+        blocks = list(part)
+        if not blocks:
+            return None
+        x, y, fold, away = (np.concatenate([getattr(b, c) for b in blocks]) for c in ("x", "y", "fold", "aside"))
+        return Block(x.astype(np.float32), y, fold, away)
+
+    def scanned(whole: Block, m: Model, net: Network, epoch: int, index: int) -> tuple:
+        """(rows, parameters and moments, their loss, loss and number of the rows set aside, steps) after an epoch; the last only checks."""
+        seen = whole.seen_by(m)
+        check, rows = seen & whole.aside, seen & ~whole.aside
+        held = loss_of(whole.x[check], whole.y[check], unflatten(net.theta, dim, hidden, k))
+        n, parts = int(rows.sum()), (np.zeros(1), np.zeros(1), np.zeros(1), 0, 0.0)
+        if epoch < epochs and n:
+            parts = local_epoch(whole.x[rows], whole.y[rows], net, dim, hidden, k, np.random.default_rng([seed, epoch, index]), batch, rate, penalty)
+        return n, parts[:3], parts[4], held, int(check.sum()), parts[3]
+
+    def settled(net: Network, curve: list, epoch: int, params: tuple, n: int, loss: float, held: float, checked: int, steps: int) -> bool:
+        """Take over the epoch's parameters; whether the model goes on."""
+        if epoch:  # the scan has checked what the last epoch made
+            held_loss = held / checked if checked else None
+            curve[-1] = (curve[-1][0], held_loss)
+            if held_loss is None or held_loss < net.best_loss:
+                net.best = net.theta
+            net.waited = 0 if held_loss is None or held_loss < net.best_loss - tol else net.waited + 1
+            net.best_loss = min(net.best_loss, np.inf if held_loss is None else held_loss)
+            if net.waited >= patience or epoch == epochs:
+                return False
+        curve.append((loss / n, None))
+        (net.theta, net.first, net.second), net.steps = params, steps
+        return True
+
+    def apart(epoch: int) -> int:
+        """An epoch by all tasks, which agree at its end."""
+        sent = spark.broadcast({m: nets[m] for m in active})
+
         def run(index: int, part):
-            blocks = list(part)
-            if not blocks:
+            if (whole := whole_of(part)) is None:
                 return
-            x, y, fold, away = (np.concatenate([getattr(b, c) for b in blocks]) for c in ("x", "y", "fold", "aside"))
-            whole = Block(x.astype(np.float32), y, fold, away)
             for m, net in sent.value.items():
-                seen = whole.seen_by(m)
-                check, rows = seen & whole.aside, seen & ~whole.aside
-                held = loss_of(whole.x[check], whole.y[check], unflatten(net.theta, dim, hidden, k))
-                n, parts = int(rows.sum()), (np.zeros(1), np.zeros(1), np.zeros(1), 0, 0.0)
-                if train and n:
-                    parts = local_epoch(whole.x[rows], whole.y[rows], net, dim, hidden, k, np.random.default_rng([seed, epoch, index]), batch, rate, penalty)
+                n, params, *rest, steps = scanned(whole, m, net, epoch, index)
                 # A task's share of the averages. Steps: those of the task that takes most count for all.
-                yield m, (*(n * p.astype(float) for p in parts[:3]), n, parts[4], held, int(check.sum()), parts[3])
-
-        return run
+                yield m, (*(n * p.astype(float) for p in params), n, *rest, steps)
 
-    def add(a: tuple, b: tuple) -> tuple:
-        return (*(p + q for p, q in zip(a[:-1], b[:-1])), max(a[-1], b[-1]))
+        def add(a: tuple, b: tuple) -> tuple:
+            return (*(p + q for p, q in zip(a[:-1], b[:-1])), max(a[-1], b[-1]))
 
-    for epoch in range(epochs + 1):
-        sent = spark.broadcast({m: nets[m] for m in active})
-        found = dict(packed.blocks.mapPartitionsWithIndex(task(epoch, sent, epoch < epochs)).reduceByKey(add).collect())  # one per model
+        found = dict(packed.blocks.mapPartitionsWithIndex(run).reduceByKey(add).collect())  # one per model
         sent.destroy()
         for m in list(active):
-            theta, first, second, n, loss, held, checked, steps = found[m]
-            net = nets[m]
-            if epoch:  # the scan has checked what the last epoch made
-                held_loss = held / checked if checked else None
-                curves[m][-1] = (curves[m][-1][0], held_loss)
-                if held_loss is None or held_loss < net.best_loss:
-                    net.best = net.theta
-                net.waited = 0 if held_loss is None or held_loss < net.best_loss - tol else net.waited + 1
-                net.best_loss = min(net.best_loss, np.inf if held_loss is None else held_loss)
-                if net.waited >= patience or epoch == epochs:
-                    active.remove(m)
-                    continue
-            curves[m].append((loss / n, None))
-            net.theta, net.first, net.second, net.steps = (theta / n).astype(np.float32), (first / n).astype(np.float32), (second / n).astype(np.float32), steps
-        if not active:
-            break
+            *sums, n, loss, held, checked, steps = found[m]
+            if not settled(nets[m], curves[m], epoch, tuple((p / n).astype(np.float32) for p in sums), n, loss, held, checked, steps):
+                active.remove(m)
+        return epoch + 1
+
+    def alone(epoch: int, n_epochs: int) -> float:
+        """Several epochs by the only task; its seconds. Their number is fixed before it begins, so a lost task gives the same again."""
+        sent = spark.broadcast({m: (nets[m], curves[m]) for m in active})
+
+        def run(index: int, part):
+            began = time.monotonic()
+            if (whole := whole_of(part)) is None:
+                return
+            for m, (net, curve) in sent.value.items():
+                net, curve = replace(net), list(curve)  # a broadcast value may serve another attempt
+                for e in range(epoch, min(epoch + n_epochs, epochs + 1)):
+                    n, params, *rest = scanned(whole, m, net, e, index)
+                    if not (goes_on := settled(net, curve, e, params, n, *rest)):
+                        break
+                yield m, vars(net), curve, goes_on, time.monotonic() - began
+
+        found, seconds = packed.blocks.mapPartitionsWithIndex(run).collect(), 0.0  # one per model
+        sent.destroy()
+        for m, fields, curve, goes_on, seconds in found:
+            nets[m], curves[m] = Network(**fields), curve
+            if not goes_on:
+                active.remove(m)
+        return seconds
+
+    epoch, n_epochs, one = 0, 1, packed.blocks.getNumPartitions() == 1
+    while active:
+        if one:
+            seconds = alone(epoch, n_epochs)
+            epoch, n_epochs = epoch + n_epochs, max(1, min(4 * n_epochs, int(SLICE_SECONDS * n_epochs / max(seconds, 1e-3))))
+        else:
+            epoch = apart(epoch)
     return {m: unflatten(nets[m].theta if nets[m].best is None else nets[m].best, dim, hidden, k) for m in models}, curves
 
 

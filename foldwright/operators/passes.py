@@ -10,6 +10,7 @@ A model is named by the fold it must not see; None is the model that sees all.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -24,6 +25,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 #: Rows per block at most, and entries of vectors per task (64 MB of doubles) where cores do not ask for smaller tasks.
 BLOCK_ROWS, TASK_ENTRIES, LEAST_ENTRIES = 4096, 8_000_000, 400_000
 _FLAT = 32
+#: Bytes of a state that travel with the tasks; every broadcast takes a chunk of 4 MB of the driver's heap.
+_WITH_TASK = 1 << 18
 
 Model = int | None
 
@@ -110,17 +113,20 @@ def _added(a: tuple, b: tuple) -> tuple:
 
 
 def summed(blocks: RDD, work: Callable[[Block], tuple], state=None) -> tuple:
-    """work(block, state) of every block, added up in a tree. state is sent once to every executor."""
-    sent = blocks.context.broadcast(state)
+    """work(block, state) of every block, added up in a tree. state is sent once to every executor, a small one with the tasks."""
+    sent = None if len(pickle.dumps(state)) <= _WITH_TASK else blocks.context.broadcast(state)
+    small = state if sent is None else None
 
     def task(part: Iterator[Block]) -> Iterator[tuple]:
-        found = [reduce(_added, (work(b, sent.value) for b in part))] if (part := list(part)) else []
+        now = small if sent is None else sent.value
+        found = [reduce(_added, (work(b, now) for b in part))] if (part := list(part)) else []
         return iter(found)
 
     parts = blocks.mapPartitions(task)
     # Up to _FLAT sums come to the driver at once; more are added up on the way.
     total = parts.reduce(_added) if blocks.getNumPartitions() <= _FLAT else parts.treeReduce(_added)
-    sent.destroy()
+    if sent is not None:
+        sent.destroy()
     return total
 
 

@@ -11,6 +11,8 @@ every row differs nothing is lost.
 
 Cells that fit LOCAL_ENTRIES are sent to one task per model, where waves need no exchange; the folds are fitted side by side. A
 leaf keeps its rows and histogram there, so only the smaller child of a split is counted and the larger one is the difference.
+Such a task takes about SLICE_SECONDS of rounds and leaves its scores with the executors for the next one: jobs beside it get their
+turn, and none waits so long that a broadcast times out.
 Beyond, a wave is a scan of all tasks: their histograms are added up by (tree, leaf) in a shuffle, each sum is turned into its
 best split where it lies, and only splits come to the driver. Trees share a wave as long as a task's histograms stay below
 WAVE_BYTES. Scores are kept by the executors and written to the checkpoint folder every CHECKPOINT rounds.
@@ -19,6 +21,7 @@ WAVE_BYTES. Scores are kept by the executors and written to the checkpoint folde
 from __future__ import annotations
 
 import heapq
+import time
 from collections.abc import Generator, Sequence
 from dataclasses import dataclass, field
 
@@ -35,6 +38,8 @@ from foldwright.session import ensure_checkpoint_dir
 ROUNDS, RATE, LEAVES, BINS, LEAST_IN_BIN, LEAST_ROWS, LEAST_HESSIAN = 300, 0.05, 31, 255, 3, 20, 1e-3
 #: Rows that the bins are fitted on; entries of binned vectors (bytes) sent to a task; bytes of histograms of a wave; rounds between checkpoints.
 SAMPLE_ROWS, LOCAL_ENTRIES, WAVE_BYTES, CHECKPOINT = 20_000, 64_000_000, 128_000_000, 10
+#: Length of a task of _fit_local.
+SLICE_SECONDS = 5.0
 
 
 @dataclass
@@ -66,7 +71,7 @@ class Tree:
 
     def leaf_of(self, x: np.ndarray, cut: str) -> np.ndarray:
         """Node that every row ends in. cut: "bin" for binned rows, "threshold" for raw ones."""
-        feature, left, right, limit = (np.array(c) for c in (self.feature, self.left, self.right, getattr(self, cut)))
+        feature, left, right, limit = (np.asarray(c) for c in (self.feature, self.left, self.right, getattr(self, cut)))
         at, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
         while len(rows := rows[feature[at[rows]] >= 0]):
             node = at[rows]
@@ -97,21 +102,28 @@ def best_split(sums: np.ndarray, least_rows: int, least_hessian: float) -> Split
     """sums: (gradient, hessian, rows) x features x bins. The first of equal gains wins."""
     left = sums.cumsum(axis=2)
     g, h, n = left
-    whole = left[:, :, -1:]
-    g_all, h_all, n_all = whole
+    g_all, h_all, n_all = left[:, :, -1:]
     right_h, right_n = h_all - h, n_all - n
-    fits = (n >= least_rows) & (right_n >= least_rows) & (h >= least_hessian) & (right_h >= least_hessian)
+    fits = n >= least_rows
+    for more in (right_n >= least_rows, h >= least_hessian, right_h >= least_hessian):
+        fits &= more
     if not fits.any():
         return None
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = g * g / h + (g_all - g) ** 2 / right_h - g_all * g_all / h_all
-    gain[~fits] = -np.inf
+        gain = g * g
+        gain /= h
+        rest = g_all - g
+        rest *= rest
+        rest /= right_h
+        gain += rest
+        gain -= g_all * g_all / h_all
+    np.copyto(gain, -np.inf, where=~fits)
     best = int(gain.argmax())
     if not gain.flat[best] > 1e-12:
         return None
     feature, cut = divmod(best, sums.shape[2])
     here = left[:, feature, cut]
-    return Split(float(gain[feature, cut]), feature, cut, tuple(here), tuple(whole[:, feature, 0] - here))
+    return Split(float(gain[feature, cut]), feature, cut, tuple(here), tuple(left[:, feature, -1] - here))
 
 
 Known = dict[tuple, Split | None]
@@ -214,8 +226,8 @@ class _Leaves:
         above = path[:-1]
         low, high = sorted(((*above, 0), (*above, 1)), key=lambda p: len(self.rows[p]))
         whole, few = self.sums.pop(above), self.counted(low)
-        many = whole - few
-        many[:2, many[2] == 0] = 0.0  # no rows: the difference is rounding
+        many = np.subtract(whole, few, out=whole)
+        many[:2] *= many[2] != 0  # no rows: the difference is rounding
         self.sums[low], self.sums[high] = few, many
         return self.sums[path]
 
@@ -229,9 +241,43 @@ def _finish(tree: Tree, leaves: list, rate: float, limits: Sequence[np.ndarray])
 
 @dataclass(frozen=True)
 class Forest:
-    """Scores before the first round (minus infinity for absent classes), and a tree per round and class."""
+    """Scores before the first round (minus infinity for absent classes), and a tree per round and class.
+
+    The nodes of all trees lie one after the other, in as few bytes as they need: a grid holds tens of thousands of trees on the
+    driver. A node has a feature, or -1 and a value in place of a threshold; the right child stands behind the left one. ends: where
+    each tree's nodes end.
+    """
     prior: np.ndarray
-    rounds: list[list[Tree]]
+    feature: np.ndarray
+    bin: np.ndarray
+    number: np.ndarray
+    left: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, prior: np.ndarray, rounds: Sequence[Sequence[Tree]]) -> Forest:
+        trees = [t for r in rounds for t in r]
+        feature, cut, left = (np.array([v for t in trees for v in getattr(t, c)], dtype=np.int64) for c in ("feature", "bin", "left"))
+        number = [a if f >= 0 else v for t in trees for f, a, v in zip(t.feature, t.threshold, t.value)]
+        small = [v.astype(np.min_scalar_type(-1 - v.max(initial=0))) for v in (feature, left)]
+        return cls(prior, small[0], cut.astype(np.uint8), np.array(number, dtype=float), small[1], np.cumsum([len(t.feature) for t in trees], dtype=np.int64))
+
+    def then(self, more: Sequence[Forest]) -> Forest:
+        """This forest and the rounds of later ones."""
+        parts = [self, *more]
+        begin = np.cumsum([0, *(len(p.feature) for p in parts)])
+        ends = np.concatenate([p.ends + at for p, at in zip(parts, begin)])
+        return Forest(self.prior, *(np.concatenate([getattr(p, c) for p in parts]) for c in ("feature", "bin", "number", "left")), ends)
+
+    @property
+    def rounds(self) -> list[list[Tree]]:
+        k, begin, trees = len(self.prior), 0, []
+        for end in self.ends:
+            feature, cut, number, left = (v[begin:end] for v in (self.feature, self.bin, self.number, self.left))
+            inner = feature >= 0
+            trees.append(Tree(feature, cut, np.where(inner, number, 0.0), left, np.where(inner, left.astype(np.int64) + 1, 0), np.where(inner, 0.0, number)))
+            begin = end
+        return [trees[i:i + k] for i in range(0, len(trees), k)]
 
 
 def _prior(counts: np.ndarray) -> np.ndarray:
@@ -240,11 +286,12 @@ def _prior(counts: np.ndarray) -> np.ndarray:
 
 
 def boost(bins: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, prior: np.ndarray, limits: Sequence[np.ndarray], rounds: int, rate: float,
-          leaves: int, least_rows: int, least_hessian: float) -> Forest:
-    """All rounds over cells that lie here: bins, label, number of rows and weight of a row."""
+          leaves: int, least_rows: int, least_hessian: float, scores: np.ndarray | None = None) -> Forest:
+    """Rounds over cells that lie here: bins, label, number of rows and weight of a row. scores: those of earlier rounds; these rounds
+    are added to them."""
     n_bins = max((len(at) for at in limits), default=0) + 1
     columns, n = np.ascontiguousarray(bins.T), n.astype(float)
-    scores, out = np.tile(prior, (len(y), 1)), []
+    scores, out = np.tile(prior, (len(y), 1)) if scores is None else scores, []
     for _ in range(rounds):
         g, h = (np.ascontiguousarray(v.T) for v in _gradients(scores, y, w * n))
         out.append([])
@@ -268,7 +315,7 @@ def boost(bins: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, prior:
                         break
                 _add_values(tree, state, known, scores[:, c])
             out[-1].append(tree)
-    return Forest(prior, out)
+    return Forest.of(prior, out)
 
 
 def _add_values(tree: Tree, state: _Leaves, known: Known, scores: np.ndarray) -> None:
@@ -314,18 +361,40 @@ def _cells(packed: Packed, limits: Sequence[np.ndarray]) -> RDD:
 
 
 def _fit_local(cells: RDD, models, limits, weights, priors, settings) -> dict[Model, Forest]:
-    """One task per model, each with all (bounded) cells."""
-    parts = cells.collect()  # at most LOCAL_ENTRIES bytes
-    sent = cells.context.broadcast(tuple(np.concatenate(c) for c in zip(*parts)))
-
-    def one(i: int):
-        bins, y, fold, n = sent.value
-        rows = np.ones(len(y), dtype=bool) if models[i] is None else fold != models[i]
-        return models[i], boost(bins[rows], y[rows], n[rows], weights[i][y[rows]], priors[i], limits, *settings)
-
+    """One task per model and slice of rounds, each with all (bounded) cells."""
+    rounds, *rest = settings
+    sc, parts = cells.context, cells.collect()  # at most LOCAL_ENTRIES bytes
+    sent = sc.broadcast(tuple(np.concatenate(c) for c in zip(*parts)))
+    state = sc.parallelize([(i, None, None, 0.0) for i in range(len(models))], len(models))
+
+    def step(n_rounds: int):
+        def one(element):
+            i, scores, _, _ = element
+            (bins, y, fold, n), began = sent.value, time.monotonic()
+            rows = np.ones(len(y), dtype=bool) if models[i] is None else fold != models[i]
+            scores = np.tile(priors[i], (int(rows.sum()), 1)) if scores is None else scores.copy()
+            forest = boost(bins[rows], y[rows], n[rows], weights[i][y[rows]], priors[i], limits, n_rounds, *rest, scores)
+            return i, scores, forest, time.monotonic() - began
+
+        return one
+
+    grown: dict[int, list[Forest]] = {i: [] for i in range(len(models))}
+    done, n_rounds = 0, 1
     try:
-        return dict(cells.context.parallelize(range(len(models)), len(models)).map(one).collect())
+        while done < rounds:
+            n_rounds = min(n_rounds, rounds - done)
+            # The number of rounds is fixed before the task begins, so a lost one gives the same trees again.
+            after = state.map(step(n_rounds)).persist(StorageLevel.MEMORY_AND_DISK)
+            found = after.map(lambda e: (e[0], e[2], e[3])).collect()
+            state.unpersist()
+            state, done, longest = after, done + n_rounds, 0.0
+            for i, forest, seconds in found:
+                grown[i].append(forest)
+                longest = max(longest, seconds)
+            n_rounds = max(1, min(4 * n_rounds, int(SLICE_SECONDS * n_rounds / max(longest, 1e-3))))
+        return {m: Forest.of(priors[i], []).then(grown[i]) for i, m in enumerate(models)}
     finally:
+        state.unpersist()
         sent.destroy()
 
 
@@ -336,7 +405,7 @@ def _fit_spread(cells: RDD, models, limits, weights, priors, settings) -> dict[M
     sc, width = cells.context, cells.getNumPartitions()
     ensure_checkpoint_dir(SparkSession.builder.getOrCreate())
     state = cells.map(lambda c: (*c, np.tile(priors, (len(c[1]), 1, 1)))).persist(StorageLevel.MEMORY_AND_DISK)
-    forests = {m: Forest(priors[i], []) for i, m in enumerate(models)}
+    forests = {m: [] for m in models}
     per_leaf = len(limits) * n_bins * 24
 
     def emit(wave):
@@ -381,7 +450,7 @@ def _fit_spread(cells: RDD, models, limits, weights, priors, settings) -> dict[M
                     grown[key] = _finish(*done.value, rate, limits)
                     del open_trees[key]
         for i, m in enumerate(models):
-            forests[m].rounds.append([grown[i, c] for c in range(k)])
+            forests[m].append(Forest.of(priors[i], [[grown[i, c] for c in range(k)]]))
         new = sc.broadcast(grown)
 
         def scored(element, new=new):
@@ -398,7 +467,7 @@ def _fit_spread(cells: RDD, models, limits, weights, priors, settings) -> dict[M
         state.unpersist()
         state = after
     state.unpersist()
-    return forests
+    return {m: Forest.of(priors[i], []).then(forests[m]) for i, m in enumerate(models)}
 
 
 def fit(packed: Packed, limits: Sequence[np.ndarray], models: Sequence[Model], k: int, balanced: bool, rounds: int = ROUNDS, rate: float = RATE,
@@ -420,5 +489,5 @@ def probabilities(x: np.ndarray, model: Forest, _=None) -> np.ndarray:
     for trees in model.rounds:
         for c, tree in enumerate(trees):
             if len(tree.feature) > 1:
-                scores[:, c] += np.array(tree.value)[tree.leaf_of(x, "threshold")]
+                scores[:, c] += tree.value[tree.leaf_of(x, "threshold")]
     return softmax(scores)

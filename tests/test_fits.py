@@ -1,5 +1,7 @@
 """Fits of all folds at once against plain numpy runs of the same algorithms."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -264,3 +266,46 @@ def test_only_the_smaller_child_is_counted(monkeypatch):
     forest = trees.boost(trees.binned(x, limits), y, np.ones(400, dtype=int), np.ones(400), np.log(np.full(3, 1 / 3)), limits, 1, 0.05, 8, 10, 1e-3)
     assert len(forest.rounds[0][0].feature) == 15
     assert all(n <= 200 for path, n in counted if path) and len([p for p, _ in counted if not p]) == 3
+
+
+def jobs_of(spark, name, work):
+    """What work() returns, and the number of jobs it took."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_local_trees_grow_in_slices_of_rounds(spark, data, monkeypatch):
+    """No task holds its core for all rounds; the trees do not depend on where the slices end."""
+    df, x, _, _ = data
+    limits, packed = trees.fit_bins(df, bins=8), passes.pack(df, tasks=2)
+    fit = lambda: trees.fit(packed, limits, [0, None], 3, True, rounds=6, leaves=5, least_rows=5)
+    monkeypatch.setattr(trees, "SLICE_SECONDS", 0.0)
+    short, n_short = jobs_of(spark, "short", fit)
+    monkeypatch.setattr(trees, "SLICE_SECONDS", 1e6)
+    long, n_long = jobs_of(spark, "long", fit)
+    assert n_short - n_long == 3 and [len(short[m].rounds) for m in (0, None)] == [6, 6]  # 6 slices against 1 + 4 + 1
+    for m in (0, None):
+        assert [splits_of(t) for r in short[m].rounds for t in r] == [splits_of(t) for r in long[m].rounds for t in r]
+        assert np.array_equal(trees.probabilities(x, short[m]), trees.probabilities(x, long[m]))
+
+
+def test_forests_take_few_bytes(data):
+    """The driver holds all forests of a grid."""
+    df, _, _, _ = data
+    forest = trees.fit(passes.pack(df, tasks=2), trees.fit_bins(df, bins=32), [None], 3, True, rounds=20, least_rows=5)[None]
+    nodes = sum(len(t.feature) for r in forest.rounds for t in r)
+    assert nodes > 1000 and len(pickle.dumps([forest.prior, *vars(forest).values()])) < 16 * nodes
+
+
+def test_a_single_task_takes_several_epochs(spark, data, monkeypatch):
+    df, _, _, _ = data
+    fit = lambda: neural.fit(passes.pack(df, neural.aside(0.1, 7), tasks=1), [0, None], 3, 7, hidden=8, epochs=20, patience=4, tol=1e-3)
+    monkeypatch.setattr(neural, "SLICE_SECONDS", 0.0)
+    (one, curves), n_one = jobs_of(spark, "one", fit)
+    monkeypatch.setattr(neural, "SLICE_SECONDS", 1e6)
+    (many, same), n_many = jobs_of(spark, "many", fit)
+    assert curves == same and n_one - n_many >= max(map(len, curves.values())) - 4
+    assert all(np.array_equal(a, b) for m in (0, None) for a, b in zip(one[m], many[m]))
