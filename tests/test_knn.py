@@ -1,5 +1,7 @@
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from foldwright.operators import knn, metrics
 
@@ -107,3 +109,46 @@ def test_all_zero_and_copies(spark):
     assert len(rows) == 120 and all(r["dist"] == 1.0 for r in rows)
     assert {r["t_key"] for r in rows if r["q_key"] == 39} == {0, 1, 2}
     assert {r["t_key"] for r in rows if r["q_key"] == 0} == {1, 2, 3}
+
+
+def test_cells_of_a_large_table_are_searched_in_packs(spark, monkeypatch):
+    """Many cells and packs, no clusters, keys that are strings: exact, and no vector is copied for pairs of blocks."""
+    monkeypatch.setattr(knn, "PACK_ENTRIES", 6 * 300)
+    rng = np.random.default_rng(11)
+    x, label, fold = rng.normal(size=(1500, 6)), rng.integers(0, 3, 1500), np.arange(1500) % 5
+    x[7::50] = x[7]
+    x[9::90] = 0
+    df = vec_rows(spark, x, label, fold).withColumn("key", F.format_string("k%05d", "key"))
+    near = knn.knn_join(df, df, 5, block_rows=16, exclude_same_fold=True)
+    plan = near._jdf.queryExecution().toString()
+    assert "CoGroups" not in plan and "explode" not in plan
+    u = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) == 0, 1, np.linalg.norm(x, axis=1, keepdims=True))
+    d = 1 - u @ u.T
+    d[fold[:, None] == fold[None, :]] = np.inf
+    got = {}
+    for r in near.collect():
+        got.setdefault(int(r["q_key"][1:]), []).append((r["dist"], int(r["t_key"][1:]), r["t_label"]))
+    assert len(got) == 1500
+    for i, rows in got.items():
+        rows.sort()
+        assert np.allclose([dist for dist, _, _ in rows], np.sort(d[i])[:5], atol=1e-9)
+        assert all(fold[j] != fold[i] and label[j] == c and abs(d[i, j] - dist) < 1e-9 for dist, j, c in rows)
+        for dist, j, _ in rows:  # equal distances are won by the smaller key
+            assert not [m for m in np.flatnonzero(np.all(x == x[j], axis=1) & (fold != fold[i])) if m < j and m not in [b for _, b, _ in rows]]
+
+
+def test_a_query_of_many_cells_carries_one_number(spark):
+    """What a query takes along does not grow with the cells it may need: lists of blocks filled an executor's memory."""
+    rng = np.random.default_rng(12)
+    pivots = rng.normal(size=(400, 8))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    per = rng.integers(0, 3, 401)
+    radius = np.append(np.full(400, 0.2), 0.0)
+    q = rng.normal(size=(30, 8))
+    out = next(knn._cells_needed(pivots, radius, {None: per}, 40)(iter([pd.DataFrame({"q_key": range(30), "q_vec": list(q), "q_fold": [0] * 30})])))
+    assert set(out.columns) == {"q_key", "q_vec", "q_fold", "home", "bound"}
+    away = np.sqrt(2 - 2 * (q / np.linalg.norm(q, axis=1, keepdims=True)) @ pivots.T) + 0.2
+    away = np.hstack([away, np.full((30, 1), np.sqrt(2))])
+    for i in range(30):
+        order = np.argsort(away[i])
+        assert np.isclose(out["bound"][i], away[i, order[np.argmax(per[order].cumsum() >= 40)]])
