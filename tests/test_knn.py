@@ -152,3 +152,19 @@ def test_a_query_of_many_cells_carries_one_number(spark):
     for i in range(30):
         order = np.argsort(away[i])
         assert np.isclose(out["bound"][i], away[i, order[np.argmax(per[order].cumsum() >= 40)]])
+
+
+def test_out_of_fold_without_arrow_conversion(spark):
+    """A session's default setting: tables made on the driver get wider integers then, and cells must still meet."""
+    rng = np.random.default_rng(13)
+    label, fold = rng.integers(0, 3, 400), np.arange(400) % 5
+    x = rng.normal(size=(400, 6))
+    df = vec_rows(spark, x, label, fold)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else a small table is one partition
+    try:
+        got = {r["key"]: r["probs"] for r in knn.knn_oof(df, 3, 15, 16).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert np.allclose([got[i] for i in range(400)], brute(x, label, fold, 15, 3), atol=1e-9)
