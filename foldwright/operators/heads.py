@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 from dataclasses import dataclass
 from functools import reduce
 
@@ -148,12 +149,16 @@ def fit_predict(train: DataFrame, test: DataFrame, head: str | Head, n_classes:
 
 def probe_grid(sets: Mapping[str, DataFrame], heads: Sequence[str], n_classes: int, seed: int = 42,
                balanced: bool = True, parallelism: int = 4) -> DataFrame:
-    """combo, head, mean, std, min for every vector set and head, best mean first. The fits do not depend on each other: they overlap."""
-    spark = next(iter(sets.values())).sparkSession
+    """combo, head, mean, std, min for every vector set and head, best mean first. The fits do not depend on each other: they overlap.
+
+    Scores are taken one at a time: each is a wide plan over n_classes^2 counts, and the driver would hold them all.
+    """
+    spark, scoring = next(iter(sets.values())).sparkSession, Lock()
 
     def one(combo, head):
         oof = with_pred(cross_val_oof(sets[combo], head, n_classes, seed, balanced, check=False))
-        score = fold_consistency(oof, n_classes).first()  # one row of the experiment log
+        with scoring:
+            score = fold_consistency(oof, n_classes).first()  # one row of the experiment log
         return combo, head, score["mean"], score["std"], score["min"]
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:

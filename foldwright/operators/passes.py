@@ -66,7 +66,8 @@ class Packed:
 
 
 def folds_of(df: DataFrame) -> list[int]:
-    return [r["fold"] for r in df.select(F.col("fold").cast("bigint").alias("fold")).distinct().orderBy("fold").collect()]  # a handful
+    found = df.select(F.col("fold").cast("bigint").alias("fold")).distinct().collect()  # a handful
+    return sorted((r["fold"] for r in found), key=lambda f: (f is not None, f))
 
 
 def _pack(dim: int):
